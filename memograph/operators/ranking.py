@@ -27,7 +27,7 @@ def like_hits(text: Column, tokens: Column) -> Column:
     return F.aggregate(
         tokens,
         F.lit(0),
-        lambda n, t: n + F.when(text.like(F.concat(F.lit("%"), t, F.lit("%"))), 1).otherwise(0),
+        lambda n, t: n + F.when(F.like(text, F.concat(F.lit("%"), t, F.lit("%"))), 1).otherwise(0),
     )
 
 

@@ -8,15 +8,19 @@ the history of a real store.
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from memograph import schema as S
 from memograph.functions import identity as I
 from memograph.functions import text as T
 from memograph.operators.spans import tumbling
+from memograph.session import shared_dir
 
 WORDS_PER_CHUNK = 80
 CHUNKS_PER_WINDOW = 4
@@ -45,12 +49,28 @@ def _by_document(key: Column, options: list[str]) -> Column:
     return F.when(choice < "5", options[0]).when(choice < "a", options[1]).otherwise(options[2])
 
 
+_written: dict[str, StructType] = {}
+
+
 class Views:
-    """Driver tables of one folder and the views derived from them."""
+    """Driver tables of one folder and the views derived from them.
+
+    The memo itself - document sizes, chunks, entries - is a stored set of tables: it is
+    written once per application to the shared folder and read from there by every query.
+    """
 
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.spark, self.folder = spark, folder.rstrip("/")
 
+    def stored(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        label = hashlib.md5(self.folder.encode()).hexdigest()[:12]
+        path = f"{shared_dir(self.spark)}/memograph/{self.spark.sparkContext.applicationId}/{label}/{name}"
+        if path not in _written:
+            rows = build()
+            rows.write.mode("overwrite").parquet(path)
+            _written[path] = rows.schema
+        return self.spark.read.schema(_written[path]).parquet(path)
+
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
@@ -62,6 +82,11 @@ class Views:
 
     @cached_property
     def documents(self) -> DataFrame:
+        """Sizes and keys of the documents that have at least one word; no texts."""
+        return self.stored("documents", lambda: self.texts.drop("words"))
+
+    @cached_property
+    def texts(self) -> DataFrame:
         """Documents with at least one word, cut into words."""
         n_words = F.size("words").cast("bigint")
         return (
@@ -77,7 +102,10 @@ class Views:
 
     @cached_property
     def chunks(self) -> DataFrame:
-        return self.documents.select(
+        return self.stored("context_chunks", self._chunks)
+
+    def _chunks(self) -> DataFrame:
+        return self.texts.select(
             F.lit("docs").alias("corpus_id"),
             "document_id",
             F.posexplode(T.pack(F.col("words"), WORDS_PER_CHUNK)).alias("chunk_index", "text"),
@@ -91,10 +119,13 @@ class Views:
     @cached_property
     def windows(self) -> DataFrame:
         """Tumbling windows of chunks with the digest that decides their history."""
+        return self._windows(self.documents)
+
+    @staticmethod
+    def _windows(documents: DataFrame) -> DataFrame:
+        cut = tumbling(F.lit(0).cast("bigint"), F.col("n_chunks"), CHUNKS_PER_WINDOW)
         return (
-            self.documents.select(
-                "*", F.posexplode(tumbling(F.lit(0).cast("bigint"), F.col("n_chunks"), CHUNKS_PER_WINDOW)).alias("w", "span")
-            )
+            documents.select("*", F.posexplode(cut).alias("w", "span"))
             .select("*", "span.start", "span.end")
             .withColumn("window_key", F.md5(F.concat_ws(":", "document_id", F.col("w").cast("string"))))
             .drop("span")
@@ -126,34 +157,45 @@ class Views:
             )
         )
 
-    @cached_property
-    def _labelled(self) -> DataFrame:
-        toxic = self.table("labels").filter("toxic = 1").select("doc_id", F.lit(S.REJECTED).alias("status"))
-        return self.windows.join(toxic, "doc_id", "left").withColumn(
-            "verifier_status", F.coalesce("status", F.lit(S.NOT_REQUIRED))
-        )
-
     @cached_property
     def fragments(self) -> DataFrame:
         """Stored window results: plain windows, and some that straddle two of them."""
-        key = F.col("window_key")
-        straddle_start = F.col("start") + 2
-        straddle_end = F.least(F.col("end") + 2, F.col("n_chunks"))
-
-        def span(start: Column, end: Column) -> Column:
-            return F.struct(start.alias("scope_start"), end.alias("scope_end"))
-
-        spans = F.array_compact(
-            F.array(
-                F.when(key >= "50", span(F.col("start"), F.col("end"))),
-                F.when((key >= "d0") & (straddle_start < straddle_end), span(straddle_start, straddle_end)),
+        return self.stored("fragments", self._fragments)
+
+    def _fragments(self) -> DataFrame:
+        """Each document is cut into the texts of its windows before rows multiply."""
+        size = CHUNKS_PER_WINDOW * WORDS_PER_CHUNK
+        step = F.lit(CHUNKS_PER_WINDOW).cast("bigint")
+
+        def piece(i: Column, shift: int) -> Column:
+            first = i * CHUNKS_PER_WINDOW + shift
+            return F.struct(
+                first.alias("scope_start"),
+                F.least(first + CHUNKS_PER_WINDOW, F.col("n_chunks")).alias("scope_end"),
+                T.join_slice(F.col("words"), first * WORDS_PER_CHUNK, size).alias("text"),
             )
+
+        starts = F.sequence(F.lit(0).cast("bigint"), F.col("n_chunks") - 1, step)
+        pieces = F.transform(
+            starts,
+            lambda s: F.struct(
+                F.md5(F.concat_ws(":", "document_id", F.floor(s / CHUNKS_PER_WINDOW).cast("string"))).alias("window_key"),
+                F.array(*[piece(F.floor(s / CHUNKS_PER_WINDOW), shift) for shift in (0, 2)]).alias("options"),
+            ),
         )
-        mode = _digit(key, 3)
-        text = T.join_slice(
-            F.col("words"), F.col("scope_start") * WORDS_PER_CHUNK,
-            (F.col("scope_end") - F.col("scope_start")) * WORDS_PER_CHUNK,
+        toxic = self.table("labels").filter("toxic = 1").select("doc_id", F.lit(S.REJECTED).alias("status"))
+        key = F.col("window_key")
+        cut = (
+            self.texts.select("doc_id", "document_id", "doc_key", "content_hash", "n_words", F.inline(pieces))
+            .select("*", F.posexplode("options").alias("option_no", "o"))
+            .select("*", "o.*")
+            .filter(F.when(F.col("option_no") == 0, key >= "50").otherwise(key >= "d0"))
+            .filter("scope_start < scope_end")
+            .drop("options", "o")
+            .join(toxic, "doc_id", "left")
+            .withColumn("verifier_status", F.coalesce("status", F.lit(S.NOT_REQUIRED)))
         )
+        mode = _digit(key, 3)
         word_count = F.least(F.col("n_words"), F.col("scope_end") * WORDS_PER_CHUNK) - F.col("scope_start") * WORDS_PER_CHUNK
         found = F.concat(
             F.lit("chunks "), F.col("scope_start"), F.lit("-"), F.col("scope_end"),
@@ -162,12 +204,11 @@ class Views:
         evidence = F.array(
             F.struct(
                 "document_id", F.col("scope_start").alias("start"), F.col("scope_end").alias("end"),
-                F.lit("chunk").alias("unit"), text.alias("text"),
+                F.lit("chunk").alias("unit"), "text",
             )
         )
         rows = (
-            self._labelled.select("*", F.inline(spans))
-            .withColumn("word_count", word_count)
+            cut.withColumn("word_count", word_count)
             .withColumns(
                 {
                     "prompt": _by_document(F.col("doc_key"), PROMPTS),
@@ -192,6 +233,9 @@ class Views:
 
         Some documents have theirs stored under a reworded task.
         """
+        return self.stored("fulls", self._fulls)
+
+    def _fulls(self) -> DataFrame:
         from memograph.operators.folding import ordered_arrays
 
         ids = ordered_arrays(

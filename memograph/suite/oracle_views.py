@@ -228,8 +228,10 @@ SELECT a.conv_id * 1000 + a.turn AS sample_id,
     CASE WHEN length(u.text) < 120 THEN 'qa_short' ELSE 'qa_long' END AS task,
     CASE WHEN length(a.text) < 200 THEN '1000' WHEN length(a.text) < 400 THEN '2000' ELSE '4000' END AS length,
     u.text AS question, a.text AS prediction,
-    list_distinct(list_filter(regexp_split_to_array(u.text, '\s+'), lambda x: length(x) >= 6)) AS gold
-FROM conversations a JOIN conversations u ON u.conv_id = a.conv_id AND u.turn + 1 = a.turn
+    list_filter(u.long_words, lambda x, i: list_position(u.long_words, x) = i) AS gold
+FROM conversations a JOIN (
+    SELECT *, list_filter(regexp_split_to_array(text, '\s+'), lambda x: length(x) >= 6) AS long_words FROM conversations
+) u ON u.conv_id = a.conv_id AND u.turn + 1 = a.turn
 WHERE a.role = 'assistant' AND u.role = 'user'
 """,
     "v_answers": """

@@ -18,10 +18,10 @@ def _with_views(body: str) -> str:
     """Prepend the common table expressions a statement uses, in dependency order."""
     needed: list[str] = []
 
-    def visit(text: str) -> None:
+    def visit(text: str, inside: tuple[str, ...] = ()) -> None:
         for name in VIEWS:
-            if name not in needed and re.search(rf"\b{name}\b", text):
-                visit(VIEWS[name])
+            if name not in needed and name not in inside and re.search(rf"\b{name}\b", text):
+                visit(VIEWS[name], (*inside, name))
                 if name not in needed:
                     needed.append(name)
 
@@ -29,7 +29,8 @@ def _with_views(body: str) -> str:
     if not needed:
         return body
     parts = ",\n".join(f"{name} AS ({VIEWS[name].strip()})" for name in needed)
-    return f"WITH RECURSIVE {parts}\n{body}"
+    rest = f",\n{body[4:].lstrip()}" if body.startswith("WITH") else f"\n{body}"
+    return f"WITH RECURSIVE {parts}{rest}"
 
 
 def query(name: str, oracle: str | None = None):
