@@ -18,7 +18,10 @@ CHEAP_KEYWORDS = ["classify", "extract", "find", "count", "identify", "list", "c
 def json_object_text(value: Column) -> Column:
     """Text from the first ``{`` to the last ``}`` if that is valid JSON, else ``{}``."""
     cut = F.regexp_extract(value, r"(?s)\{.*\}", 0)
-    return F.when((cut != "") & F.try_parse_json(cut).isNotNull(), cut).otherwise(F.lit("{}"))
+    # Parsers stop at the end of the first value; as the only item of an array it must be all.
+    alone = F.concat(F.lit("["), cut, F.lit("]"))
+    valid = F.try_parse_json(alone).isNotNull() & (F.size(F.from_json(alone, "array<string>")) == 1)
+    return F.when((cut != "") & valid, cut).otherwise(F.lit("{}"))
 
 
 def planner_response(value: Column, fallback_ids: Column) -> Column:

@@ -1 +1,312 @@
-"""Placeholder."""
+"""Solving, answering, caching, placement and streaming from end to end."""
+
+from pyspark.sql import functions as F
+
+from memograph.operators import folding, reports, samples
+from memograph.plans import cache as caching
+from memograph.plans import retrieval, solve, summarise
+from memograph.session import shared_dir
+from memograph.sources.tables import MemoTables
+from memograph.sources.views import AS_OF, PROMPTS, Views
+from memograph.streaming import ingest
+from memograph.suite import oracle_views as O
+from memograph.suite.ranking import LABEL_QUESTIONS, RETRIEVED, label_questions, reranked
+from memograph.suite.registry import query
+from memograph.suite.scanning import TOP_ENTRIES
+
+
+def _solver():
+    return solve.built_in_solver(F.concat(F.lit("solved "), F.col("start"), F.lit("-"), F.col("end")))
+
+
+def finished(scopes: str, windows: str) -> str:
+    """Report of a batch after ``scopes`` (request_id, s, e) have been solved."""
+    return f"""
+WITH fresh AS (
+    SELECT *, {O.ENTRY_ID} AS entry_id FROM (
+        SELECT DISTINCT document_id, content_hash, prompt, task_signature, s AS scope_start, e AS scope_end,
+            ['aggregation_component'] AS reusable_as, 'answer' AS result_type, 'solved ' || s || '-' || e AS result,
+            []::VARCHAR[] AS dependencies, 1.0::DOUBLE AS confidence
+        FROM v_pending JOIN ({scopes}) USING (request_id)
+    )
+), pool AS (
+    SELECT task_signature, document_id, content_hash, scope_start, scope_end, reusable_as, dependencies, confidence, entry_id, result
+    FROM v_memo WHERE {O.COVERS} AND NOT {O.NEGATIVE}
+    UNION ALL
+    SELECT task_signature, document_id, content_hash, scope_start, scope_end, reusable_as, dependencies, confidence, entry_id, result FROM fresh
+), chosen AS (
+    SELECT r.request_id, p.* FROM v_pending r JOIN pool p ON p.task_signature = r.task_signature AND p.document_id = r.document_id
+        AND {O.hash_ok('p.content_hash', 'r.content_hash')} AND p.scope_start < r_end AND p.scope_end > r_start
+    QUALIFY row_number() OVER (PARTITION BY r.request_id, p.scope_start, p.scope_end, p.content_hash
+        ORDER BY list_contains(reusable_as, 'exact_answer') DESC, len(dependencies) DESC, confidence DESC, p.entry_id) = 1
+), answers AS (
+    SELECT request_id, string_agg(result, chr(10) ORDER BY scope_start, scope_end, entry_id) AS answer FROM chosen WHERE result <> '' GROUP BY 1
+), held AS (SELECT request_id, count(*) AS n FROM v_positions GROUP BY 1)
+SELECT r.request_id, CASE WHEN x.request_id IS NULL THEN 'composed' ELSE 'exact' END AS memo_type, {windows}
+    round(CASE WHEN x.request_id IS NOT NULL OR r_end <= r_start THEN 1.0 ELSE coalesce(h.n, 0)::DOUBLE / (r_end - r_start) END, 6)::DOUBLE AS initial_ratio,
+    1.0::DOUBLE AS final_ratio, coalesce(m.result, a.answer, '') AS answer
+FROM v_requests r LEFT JOIN v_exact x USING (request_id) LEFT JOIN v_memo m ON m.entry_id = x.exact_entry_id
+LEFT JOIN answers a ON a.request_id = r.request_id LEFT JOIN held h ON h.request_id = r.request_id
+"""
+
+
+STATES = """
+    SELECT t.request_id, w, a AS s, z AS e, z - a AS size, count(p.p) AS have FROM (
+        SELECT *, r_start + 4 * w AS a, least(r_start + 4 * w + 4, r_end) AS z
+        FROM (SELECT *, unnest(generate_series(0, (r_end - r_start - 1) // 4)) AS w FROM v_pending WHERE r_end > r_start)
+    ) t LEFT JOIN v_positions p ON p.request_id = t.request_id AND p.p >= a AND p.p < z GROUP BY ALL
+"""
+WINDOW_COUNTS = ", ".join(
+    f"coalesce((SELECT {what} FROM ({STATES}) k WHERE k.request_id = r.request_id), 0)::BIGINT AS {name}"
+    for what, name in [("count(*)", "windows"), ("sum((have = size)::INT)", "reused_windows"), ("sum((have < size)::INT)", "missing_windows")]
+) + ","
+
+
+@query("solve_windows", finished(f"SELECT request_id, s, e FROM ({STATES}) WHERE have < size", WINDOW_COUNTS))
+def solve_windows(v):
+    return solve.solve_windows(v.requests, v.memo, 4, _solver(), AS_OF).report
+
+
+@query("solve_gaps", finished('SELECT request_id, "start" AS s, "end" AS e FROM v_holes', ""))
+def solve_gaps(v):
+    return solve.solve_gaps(v.requests, v.memo, _solver(), AS_OF).report
+
+
+@query("composite_entries")
+def composite_entries(v):
+    """Composites of a window run with a Python solver, as they would be stored."""
+    answer = solve.python_solver(lambda scope: {"result": f"fact:{scope['document_id']}:{scope['start']}", "confidence": 0.75})
+    made = solve.solve_windows(v.requests, v.memo, 4, answer, AS_OF).composites()
+    return made.select(
+        "entry_id", "document_id", "scope_start", "scope_end", "result",
+        F.size("dependencies").cast("bigint").alias("dependency_count"),
+        F.size("evidence").cast("bigint").alias("evidence_spans"),
+    )
+
+
+CONTEXT_HITS = f"""
+SELECT request_id, least(count(*), 12) AS n FROM (
+    SELECT request_id, list_sum(list_transform({O.search_tokens('prompt')}, lambda t: (lower(text) LIKE '%' || t || '%')::INT)) AS score
+    FROM v_requests r JOIN v_chunks c ON c.document_id = r.document_id AND {O.hash_ok('c.content_hash', 'r.content_hash')}
+) WHERE score > 0 GROUP BY 1
+"""
+
+
+@query("reuse_packets", f"""
+SELECT r.request_id, coalesce(t.n, 0)::BIGINT AS memo_entries, coalesce(c.n, 0)::BIGINT AS context_chunks, t.best AS best_entry_id
+FROM v_requests r LEFT JOIN (SELECT request_id, count(*) AS n, arg_min(entry_id, rank) AS best FROM ({TOP_ENTRIES}) GROUP BY 1) t USING (request_id)
+LEFT JOIN ({CONTEXT_HITS}) c ON c.request_id = r.request_id
+""")
+def reuse_packets(v):
+    both = retrieval.reuse_packets(v.requests, v.memo, v.chunks)
+
+    def count(name):
+        return F.coalesce(F.size(F.col(name)), F.lit(0)).cast("bigint")
+
+    return both.select(
+        "request_id", F.greatest(count("memo_packets"), F.lit(0)).alias("memo_entries"),
+        F.greatest(count("context_packets"), F.lit(0)).alias("context_chunks"),
+        F.get("memo_packets", F.lit(0))["entry_id"].alias("best_entry_id"),
+    )
+
+
+@query("answer_from_memo", f"""
+SELECT r.request_id, CASE WHEN x.request_id IS NOT NULL THEN 'exact' WHEN b.request_id IS NOT NULL THEN 'memo_context_answer' ELSE 'planner_action' END AS memo_type,
+    coalesce(m.result, b.answer, '') AS answer, coalesce(x.exact_entry_id, b.used, '') AS dependencies,
+    CASE WHEN x.request_id IS NULL THEN 1 ELSE 0 END::BIGINT AS planner_calls
+FROM v_requests r LEFT JOIN v_exact x USING (request_id) LEFT JOIN v_memo m ON m.entry_id = x.exact_entry_id
+LEFT JOIN (
+    SELECT request_id, arg_min(substr(result, 1, 800), rank) AS answer, arg_min(entry_id, rank) AS used
+    FROM ({TOP_ENTRIES}) WHERE result_type = 'answer' AND result <> '' GROUP BY 1
+) b ON b.request_id = r.request_id
+""")
+def answer_from_memo(v):
+    made = retrieval.answer_from_memo(v.requests, v.memo)
+    return made.select("request_id", "memo_type", "answer", F.array_join("dependencies", ",").alias("dependencies"), "planner_calls")
+
+
+@query("shared_context")
+def shared_context(v):
+    """Facts are solved once per document, then several questions are answered from them."""
+    facts_of = solve.solve_windows(v.requests, v.memo, 4, _solver(), AS_OF)
+    known = v.memo.unionByName(facts_of.solved)
+    asked = F.array(*[F.struct(F.lit(i).alias("question_no"), F.lit(p).alias("q")) for i, p in enumerate(PROMPTS)])
+    questions = v.requests.select("*", F.inline(asked)).select(
+        (F.col("request_id") * 10 + F.col("question_no")).alias("request_id"), F.col("q").alias("prompt"),
+        "task_type", F.lit("answer").alias("output_contract"), "constraints_json",
+        F.xxhash64("q").cast("string").alias("task_signature"), "corpus_id", "document_id", "start", "end", "unit", "content_hash",
+    )
+    return retrieval.answer_from_memo(questions, known).select("request_id", "memo_type", "answer")
+
+
+SEARCH_ANSWER = O.strip(f"string_split({O.strip('source_text')}, chr(10))[-1]")
+
+
+@query("search_answers", f"""
+WITH asked AS (
+    SELECT label, query, CASE label WHEN 0 THEN '{PROMPTS[0]}' WHEN 1 THEN '{PROMPTS[1]}' WHEN 2 THEN '{PROMPTS[2]}' ELSE query END AS prompt
+    FROM ({LABEL_QUESTIONS})
+), known AS (
+    SELECT substr(sha256({O.task_json('prompt')}), 1, 16) AS signature, arg_min(result, created_at || entry_id) AS result FROM v_memo
+    WHERE verifier_status <> 'rejected' AND list_contains(reusable_as, 'exact_answer') GROUP BY 1
+), texts AS (
+    SELECT label, string_agg(text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) AS source_text, count(*) AS n
+    FROM ({reranked(RETRIEVED, 'label', 'vec_id', 5, 0.2)}) WHERE rank <= 3 GROUP BY 1
+)
+SELECT a.label::BIGINT AS query_id, CASE WHEN k.result IS NOT NULL THEN 'memo_exact' WHEN t.n IS NULL THEN 'nothing' ELSE 'retrieved' END AS source,
+    CASE WHEN k.result IS NOT NULL THEN k.result WHEN t.n IS NULL THEN 'No relevant documents found.' ELSE {SEARCH_ANSWER} END AS answer,
+    CASE WHEN k.result IS NOT NULL THEN 0 ELSE coalesce(t.n, 0) END::BIGINT AS sources, 'AGREED' AS consensus
+FROM asked a LEFT JOIN known k ON k.signature = substr(sha256({O.task_json('a.prompt')}), 1, 16) AND a.label IN (0, 1, 2)
+LEFT JOIN texts t ON t.label = a.label
+""")
+def search_answers(v):
+    from memograph.functions import identity as I
+    from memograph.sources.views import CONSTRAINTS, OUTPUT_CONTRACT, TASK_TYPE
+
+    questions = label_questions(v)
+    prompt = F.col("query")
+    for label, text in enumerate(PROMPTS):
+        prompt = F.when(F.col("query_id") == label, F.lit(text)).otherwise(prompt)
+    signature = I.task_signature(prompt, F.lit(TASK_TYPE), F.lit(OUTPUT_CONTRACT), F.lit(CONSTRAINTS))
+    requests = questions.select(F.col("query_id").alias("request_id"), signature.alias("task_signature"))
+    texts = v.table("documents").select(F.col("doc_id").alias("vec_id"), "text")
+    return retrieval.search(requests, v.memo, questions, v.vectors, texts, threshold=0.2)
+
+
+@query("cache_lookup", rf"""
+SELECT l.lookup_id, coalesce(h.outcome, 'miss') AS outcome, h.cache_id, c.result, CASE WHEN h.cache_id IS NULL THEN NULL ELSE 'pass' END AS guard, g.grounding
+FROM v_lookups l LEFT JOIN (
+    SELECT lookup_id, arg_min(outcome, outcome) AS outcome, arg_min(cache_id, outcome || lpad(cache_id::VARCHAR, 12, '0')) AS cache_id FROM (
+        SELECT l.lookup_id, c.cache_id, 'exact' AS outcome FROM v_lookups l JOIN v_cache c ON c.chunk_hash = l.chunk_hash
+            AND lower({O.strip('c.query')}) = lower({O.strip('l.query')})
+        UNION ALL
+        SELECT lookup_id, cache_id, 'semantic' FROM (
+            SELECT l.lookup_id, c.cache_id, len(list_intersect(list_distinct({O.search_tokens('l.query')}), list_distinct({O.search_tokens('c.query')}))) AS shared,
+                len(list_distinct({O.search_tokens('l.query')})) + len(list_distinct({O.search_tokens('c.query')})) AS total
+            FROM v_lookups l JOIN v_cache c ON c.chunk_hash = l.chunk_hash
+        ) WHERE shared >= 0.8 * (total - shared)
+    ) GROUP BY 1
+) h USING (lookup_id)
+LEFT JOIN v_cache c ON c.cache_id = h.cache_id
+LEFT JOIN (
+    SELECT o_orderkey, CASE WHEN len(list_filter(f, lambda x: NOT contains(source_text, x))) = 0 THEN 'GROUNDED'
+        WHEN len(list_filter(f, lambda x: contains(source_text, x))) = 0 THEN 'INFERRED' ELSE 'PARTIAL' END AS grounding
+    FROM (SELECT *, {O.figures('answer')} AS f FROM v_answers)
+) g ON g.o_orderkey = h.cache_id
+""")
+def cache_lookup(v):
+    return caching.lookup(v.lookups, v.cache)
+
+
+@query("recursive_summarize", """
+SELECT doc_id, levels::INTEGER AS levels, length(summary)::BIGINT AS chars, md5(summary) AS summary_hash FROM (
+    SELECT doc_id, 0 AS levels, text AS summary FROM documents WHERE length(text) // 4 <= 4000
+    UNION ALL
+    SELECT doc_id, 1, string_agg(substr(text, i + 1, 200), chr(10) ORDER BY i) FROM (
+        SELECT doc_id, text, unnest(generate_series(0, length(text) - 1, 4000)) AS i FROM documents WHERE length(text) // 4 > 4000
+    ) GROUP BY doc_id
+)
+""")
+def recursive_summarize(v):
+    made = summarise.condense(v.spread("documents", "doc_id"), "doc_id", "text", summarise.leading_text())
+    return made.select(
+        "doc_id", "levels", F.length("summary").cast("bigint").alias("chars"), F.md5("summary").alias("summary_hash")
+    )
+
+
+@query("manifest_summary", """
+SELECT 'run/' || model AS manifest, model, count(*) AS samples, round(avg(from_cache::INT), 6) AS initial_coverage_ratio,
+    count(*) FILTER (NOT from_cache) AS model_calls, count(*) AS memo_entries
+FROM v_calls GROUP BY model
+""")
+def manifest_summary(v):
+    runs = v.calls.groupBy("model").agg(
+        F.count("*").alias("n"), reports.count_where(~F.col("from_cache")).alias("calls"),
+        F.round(F.avg(F.col("from_cache").cast("int")), 6).alias("share"),
+    )
+    body = F.to_json(
+        F.struct(
+            F.lit("ledger").alias("benchmark"), "model",
+            F.struct(
+                F.col("n").alias("questions"), F.col("calls").alias("model_calls"),
+                F.col("share").alias("fact_initial_coverage_ratio"),
+            ).alias("totals"),
+            F.struct(F.col("n").alias("entry_count")).alias("memo_stats"),
+        )
+    )
+    manifests = runs.select(F.concat(F.lit("run/"), "model").alias("manifest"), body.alias("body"))
+    return reports.summarize_manifests(manifests).select(
+        "manifest", "model", "samples", "initial_coverage_ratio", "model_calls", "memo_entries"
+    )
+
+
+def _case(number, needle, question, gold, characters, distractor):
+    fields = {
+        "exp_id": F.lit(number), "test_name": F.lit(f"{number}_01_direct"), "question_type": F.lit("direct"),
+        "needle": F.lit(needle), "retrieval_question": F.lit(question), "gold_answers": F.array(F.lit(gold)),
+        "character_set": F.array(*map(F.lit, characters)).cast("array<string>"),
+        "distractor": F.lit(distractor).cast("string"), "seed_offset": F.lit(int(number)).cast("bigint"),
+    }
+    return F.struct(*[value.alias(name) for name, value in fields.items()])
+
+
+@query("needle_placement")
+def needle_placement(v):
+    """Two needles, one with a drawn character and a distractor, at every length and depth."""
+    numbered = folding.with_row_index(v.haystacks.select("haystack"), ["haystack"], "haystack_no")
+    cases = F.array(
+        _case("0001", "The keeper of the lamp is {CHAR}.", "Who is {CHAR}?", "Ada", ["Ada", "Bo", "Cy"], "Nobody keeps the lamp."),
+        _case("0002", "The gate opens at nine.", "When does the gate open?", "nine", [], None),
+    )
+    pairs = v.haystacks.join(numbered, "haystack").select("*", F.inline(cases))
+    placed = samples.place_needles(pairs, [250, 1000], 5, seed=42)
+    return placed.select(
+        "sample_id", "task", "length", "depth_percent", "selected_character", "static_depth", "token_depth",
+        "distractor_depth", F.md5("context").alias("context_hash"),
+        F.contains("context", F.col("needle")).alias("has_needle"),
+    )
+
+
+class _Streamed(Views):
+    """The same views with driver tables read as streams."""
+
+    def table(self, name):
+        return ingest.stream_table(self.spark, self.folder, name)
+
+
+def _new_folder(v: Views, name: str) -> str:
+    import uuid
+
+    return f"{shared_dir(v.spark)}/memograph/{v.spark.sparkContext.applicationId}/streams/{name}-{uuid.uuid4().hex}"
+
+
+@query("stream_call_ledger", """
+SELECT model, count(*) AS calls, sum(input_tokens)::BIGINT AS input_tokens, sum(output_tokens)::BIGINT AS output_tokens,
+    round(sum(cost), 6) AS cost_usd FROM v_costs GROUP BY model
+""")
+def stream_call_ledger(v):
+    folder = _new_folder(v, "ledger")
+    ingest.ingest_calls(_Streamed(v.spark, v.folder).calls, f"{folder}/rows", f"{folder}/checkpoint").awaitTermination()
+    return ingest.ledger(v.spark, f"{folder}/rows")
+
+
+@query("stream_memo_upsert", """
+SELECT verifier_status, count(*) AS entries FROM (
+    SELECT CASE WHEN entry_id IN (SELECT entry_id FROM v_reach) THEN 'rejected' ELSE verifier_status END AS verifier_status FROM v_memo
+) GROUP BY 1
+""")
+def stream_memo_upsert(v):
+    """Stored entries arrive as a stream, then the changed scopes reject what is stale."""
+    folder = _new_folder(v, "memo")
+    tables = MemoTables(v.spark, f"{folder}/tables", "docs")
+    v.memo.write.parquet(f"{folder}/arriving/memo.parquet")
+    v.changed.write.parquet(f"{folder}/changes/changed.parquet")
+
+    def stream(path, schema):
+        return v.spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(path)
+
+    ingest.ingest_entries(stream(f"{folder}/arriving", v.memo.schema), tables, f"{folder}/c1").awaitTermination()
+    ingest.apply_changes(
+        stream(f"{folder}/changes", v.changed.schema), tables, f"{folder}/c2", "text changed", AS_OF, 1_000_000
+    ).awaitTermination()
+    return tables.read("memo_entries").groupBy("verifier_status").agg(F.count("*").alias("entries"))

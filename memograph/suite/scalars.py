@@ -1 +1,379 @@
-"""Placeholder."""
+"""Text, parsing, scoring and fact-checking functions over whole columns."""
+
+from pyspark.sql import functions as F
+
+from memograph.functions import facts, parsing, scoring
+from memograph.functions import identity as I
+from memograph.functions import text as T
+from memograph.operators import samples
+from memograph.suite import oracle_views as O
+from memograph.suite.registry import query
+
+
+@query("normalize_text", f"SELECT doc_id, sha256({O.normalize('text')}) AS text_hash FROM documents")
+def normalize_text(v):
+    return v.spread("documents", "doc_id").select("doc_id", F.sha2(T.normalize_text("text"), 256).alias("text_hash"))
+
+
+@query("search_tokens", f"""
+SELECT doc_id, len(t)::BIGINT AS tokens, md5(array_to_string(t, ' ')) AS token_hash
+FROM (SELECT doc_id, {O.search_tokens('text')} AS t FROM documents)
+""")
+def search_tokens(v):
+    made = v.spread("documents", "doc_id").select("doc_id", T.search_tokens("text").alias("t"))
+    return made.select(
+        "doc_id", F.size("t").cast("bigint").alias("tokens"), F.md5(F.array_join("t", " ")).alias("token_hash")
+    )
+
+
+@query("knowledge_tokens", f"""
+SELECT doc_id, len(t)::BIGINT AS tokens, md5(array_to_string(t, ' ')) AS token_hash
+FROM (SELECT doc_id, {O.knowledge_tokens('text')} AS t FROM documents)
+""")
+def knowledge_tokens(v):
+    made = v.spread("documents", "doc_id").select("doc_id", F.array_sort(T.knowledge_tokens("text")).alias("t"))
+    return made.select(
+        "doc_id", F.size("t").cast("bigint").alias("tokens"), F.md5(F.array_join("t", " ")).alias("token_hash")
+    )
+
+
+@query("lexical_support", f"""
+SELECT sample_id, round(CASE WHEN len(q) = 0 THEN 1.0 WHEN len(a) = 0 THEN 0.0
+    ELSE len(list_intersect(q, a))::DOUBLE / len(q) END, 6)::DOUBLE AS support
+FROM (SELECT sample_id, {O.knowledge_tokens('question')} AS q, {O.knowledge_tokens('prediction')} AS a FROM v_predictions)
+""")
+def lexical_support(v):
+    support = T.lexical_support(F.col("question"), F.col("prediction")).cast("double")
+    return v.predictions.select("sample_id", F.round(support, 6).alias("support"))
+
+
+CHECKED = f"""
+SELECT o_orderkey, f, list_filter(f, lambda x: contains(source_text, x)) AS good, list_filter(f, lambda x: NOT contains(source_text, x)) AS bad, g
+FROM (SELECT *, {O.figures('answer')} AS f, {O.figures('source_text')} AS g FROM v_answers)
+"""
+
+
+@query("grounding_check", f"""
+SELECT o_orderkey, CASE WHEN len(bad) = 0 THEN 'GROUNDED' WHEN len(good) = 0 THEN 'INFERRED' ELSE 'PARTIAL' END AS grounding,
+    array_to_string(good, ';') AS verified, array_to_string(bad, ';') AS unverified FROM ({CHECKED})
+""")
+def grounding_check(v):
+    checked = v.answers.select("o_orderkey", facts.grounding(F.col("answer"), F.col("source_text")).alias("g"))
+    return checked.select(
+        "o_orderkey", "g.grounding", F.array_join("g.verified", ";").alias("verified"),
+        F.array_join("g.unverified", ";").alias("unverified"),
+    )
+
+
+@query("consensus_check", f"""
+SELECT o_orderkey, CASE WHEN len(bad) = 0 THEN 'AGREED' ELSE 'DISPUTED' END AS consensus, array_to_string(f, ';') AS primary_facts,
+    array_to_string(g, ';') AS second_facts, array_to_string(bad, ';') AS divergent FROM ({CHECKED})
+""")
+def consensus_check(v):
+    checked = v.answers.select("o_orderkey", facts.consensus(F.col("answer"), F.col("source_text")).alias("c"))
+    lists = [F.array_join(f"c.{name}", ";").alias(name) for name in ("primary_facts", "second_facts", "divergent")]
+    return checked.select("o_orderkey", "c.consensus", *lists)
+
+
+@query("fact_difference", f"SELECT o_orderkey, array_to_string(bad, ';') AS missing FROM ({CHECKED}) WHERE len(bad) > 0")
+def fact_difference(v):
+    missing = facts.missing_from(facts.figures(F.col("answer")), F.col("source_text"))
+    return v.answers.select("o_orderkey", F.array_join(missing, ";").alias("missing")).filter("missing <> ''")
+
+
+@query("ordered_distinct", r"""
+SELECT conv_id, turn, len(u)::BIGINT AS words, md5(array_to_string(u, ' ')) AS word_hash FROM (
+    SELECT conv_id, turn, list_filter(w, lambda x, i: list_position(w, x) = i) AS u
+    FROM (SELECT *, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w FROM conversations)
+)
+""")
+def ordered_distinct(v):
+    made = v.table("conversations").select("conv_id", "turn", F.array_distinct(T.words("text")).alias("w"))
+    return made.select(
+        "conv_id", "turn", F.size("w").cast("bigint").alias("words"), F.md5(F.array_join("w", " ")).alias("word_hash")
+    )
+
+
+@query("chunk_hash", f"SELECT doc_id, md5({O.strip('text')}) AS chunk_hash FROM documents")
+def chunk_hash(v):
+    return v.table("documents").select("doc_id", I.chunk_hash(F.col("text")).alias("chunk_hash"))
+
+
+WRAPPED = """CASE event_type WHEN 'error' THEN 'cut ' || replace(props, '}', '') WHEN 'signup' THEN props || ' and ' || props
+    WHEN 'click' THEN 'no object' ELSE 'sure: ' || props || chr(10) || 'done' END"""
+
+
+@query("json_extract_object", """
+SELECT event_id, CASE WHEN event_type IN ('error', 'signup', 'click') THEN '{}' ELSE props END AS object FROM events
+""")
+def json_extract_object(v):
+    kind = F.col("event_type")
+    said = (
+        F.when(kind == "error", F.concat(F.lit("cut "), F.replace("props", F.lit("}"), F.lit(""))))
+        .when(kind == "signup", F.concat("props", F.lit(" and "), "props"))
+        .when(kind == "click", F.lit("no object"))
+        .otherwise(F.concat(F.lit("sure: "), "props", F.lit("\ndone")))
+    )
+    return v.table("events").select("event_id", parsing.json_object_text(said).alias("object"))
+
+
+@query("planner_response", r"""
+SELECT o_orderkey, CASE p WHEN '1' THEN 'answer' WHEN '2' THEN 'solve' ELSE 'answer' END AS action,
+    CASE p WHEN '1' THEN 'total ' || o_orderkey WHEN '2' THEN '' WHEN '3' THEN 'total "' || o_orderkey || '"'
+        WHEN '4' THEN 'order ' || o_orderkey ELSE 'plain words about ' || o_orderkey END AS answer,
+    CASE p WHEN '1' THEN substr(md5(o_orderkey::VARCHAR), 1, 24) WHEN '3' THEN substr(md5(o_orderkey::VARCHAR), 1, 24) ELSE 'fallback' END AS used,
+    CASE p WHEN '1' THEN 0.9 WHEN '2' THEN 0.75 WHEN '3' THEN 0.4 WHEN '4' THEN 0.6 ELSE 0.5 END::DOUBLE AS confidence
+FROM (SELECT *, substr(o_orderpriority, 1, 1) AS p FROM orders)
+""")
+def planner_response(v):
+    number = F.col("o_orderkey").cast("string")
+    entry = F.substring(F.md5(number), 1, 24)
+    priority = F.substring("o_orderpriority", 1, 1)
+    said = (
+        F.when(priority == "1", F.concat(F.lit('Plan: {"answer": "total '), number, F.lit('", "used_entry_ids": ["'), entry, F.lit('"], "confidence": 0.9} end')))
+        .when(priority == "2", F.lit('{"action": "solve"}'))
+        .when(priority == "3", F.concat(F.lit('{"confidence": 0.4, "answer" : "total \\"'), number, F.lit('\\"", "used_entry_ids": ["'), entry, F.lit('", "a')))
+        .when(priority == "4", F.concat(F.lit('{"answer": "order '), number, F.lit('", "used_entry_')))
+        .otherwise(F.concat(F.lit("plain words about "), number))
+    )
+    parsed = v.table("orders").select(
+        "o_orderkey", parsing.planner_response(said, F.array(F.lit("fallback"))).alias("p")
+    )
+    return parsed.select("o_orderkey", "p.action", "p.answer", F.array_join("p.used_entry_ids", ",").alias("used"), "p.confidence")
+
+
+@query("clean_generation", rf"""
+SELECT conv_id, turn, md5({O.strip("CASE role WHEN 'user' THEN text || ' ' WHEN 'assistant' THEN text || text ELSE '' END")}) AS text_hash FROM conversations
+""")
+def clean_generation(v):
+    role = F.col("role")
+    said = (
+        F.when(role == "user", F.concat(F.lit("<think>first\n"), "text", F.lit("</think>\n"), "text", F.lit(" <think> open "), "text"))
+        .when(role == "assistant", F.concat("text", F.lit("<think></think>"), "text"))
+        .otherwise(F.concat(F.lit("<think>"), "text"))
+    )
+    return v.table("conversations").select("conv_id", "turn", F.md5(T.clean_generation(said)).alias("text_hash"))
+
+
+LAST = r"list_filter(string_split(t, chr(10)), lambda x: trim(x) <> '')"
+
+
+@query("split_prompt", rf"""
+SELECT conv_id, turn, CASE WHEN role = 'user' THEN 'Text: ' || turn WHEN role = 'assistant' THEN 'Which part is meant?'
+    ELSE 'Answer the question from the provided context.' END AS question, md5(t) AS context_hash
+FROM (SELECT *, {O.strip('text')} AS t FROM conversations)
+""")
+def split_prompt(v):
+    role = F.col("role")
+    prompt = (
+        F.when(role == "user", F.concat("text", F.lit("\nText: "), F.col("turn"), F.lit("\n")))
+        .when(role == "assistant", F.concat(F.lit("\n"), "text", F.lit("\n\n  Which part is meant? ")))
+        .otherwise(F.concat(F.lit("  "), "text", F.lit("\n")))
+    )
+    cut = v.table("conversations").select("conv_id", "turn", parsing.split_prompt(prompt).alias("p"))
+    return cut.select("conv_id", "turn", "p.question", F.md5("p.context").alias("context_hash"))
+
+
+@query("infer_from_path", r"""
+SELECT page_id, string_split(path, '/')[-2] AS task, regexp_extract(string_split(path, '/')[-3], '_(\d+)$', 1) AS length
+FROM (SELECT page_id, 'run_' || page_id || '/' || url AS path FROM pages)
+""")
+def infer_from_path(v):
+    path = F.concat(F.lit("run_"), "page_id", F.lit("/"), "url")
+    return v.table("pages").select(
+        "page_id", parsing.task_from_path(path).alias("task"), parsing.length_from_path(path).alias("length")
+    )
+
+
+@query("sanitize_segment", r"""
+SELECT page_id, substr(coalesce(nullif(trim(regexp_replace(url, '[^a-zA-Z0-9._-]+', '_', 'g'), '._-'), ''), 'default'), 1, 180) AS segment
+FROM pages
+""")
+def sanitize_segment(v):
+    return v.table("pages").select("page_id", parsing.safe_segment(F.col("url")).alias("segment"))
+
+
+@query("parse_lengths", """
+SELECT doc_id, array_to_string(list_filter(l, lambda x, i: x > 0 AND list_position(l, x) = i), ',') AS lengths
+FROM (SELECT doc_id, [n_chars, 8000, (n_chars // 100) * 1000, 8000, 500] AS l FROM documents)
+""")
+def parse_lengths(v):
+    stated = F.concat(
+        F.col("n_chars"), F.lit(" , 8K,, "), F.floor(F.col("n_chars") / 100), F.lit("k,8000, 0.5k")
+    )
+    parsed = parsing.parse_lengths(stated)
+    return v.table("documents").select("doc_id", F.array_join(F.transform(parsed, lambda x: x.cast("string")), ",").alias("lengths"))
+
+
+@query("depth_values", """
+SELECT doc_id, i::INTEGER AS depth_index, CASE WHEN n_chunks <= 1 THEN 0.0 ELSE round(i * (100.0::DOUBLE / (n_chunks - 1)), 6) END::DOUBLE AS depth
+FROM (SELECT doc_id, n_chunks, unnest(generate_series(0, greatest(n_chunks - 1, 0))) AS i FROM v_docs)
+""")
+def depth_values(v):
+    depths = parsing.depth_values(F.col("n_chunks"))
+    return v.documents.select("doc_id", F.posexplode(depths).alias("depth_index", "depth"))
+
+
+@query("template_fill", """
+SELECT o_orderkey, 'Order ' || o_orderkey || ' is ' || o_orderpriority || ', again ' || o_orderkey || ', {3}' AS filled FROM orders
+""")
+def template_fill(v):
+    arguments = F.array(F.col("o_orderkey").cast("string"), F.col("o_orderpriority"))
+    filled = parsing.fill_template(F.lit("  Order {1} is {2}, again {1}, {3} "), arguments)
+    return v.table("orders").select("o_orderkey", filled.alias("filled"))
+
+
+@query("word_chunks", "SELECT document_id, chunk_index, md5(text) AS text_hash FROM v_chunks")
+def word_chunks(v):
+    cut = v.spread("documents", "doc_id").filter(T.strip("text") != "").select(
+        F.col("doc_id").cast("string").alias("document_id"), F.posexplode(T.word_chunks("text", 80)).alias("chunk_index", "text")
+    )
+    return cut.select("document_id", F.col("chunk_index").cast("bigint").alias("chunk_index"), F.md5("text").alias("text_hash"))
+
+
+@query("sentence_chunks", rf"""
+SELECT doc_id, i AS chunk_index, md5(array_to_string(s[i*5+1 : (i+1)*5], ' ')) AS text_hash FROM (
+    SELECT doc_id, s, unnest(generate_series(0, (len(s) - 1) // 5)) AS i FROM (
+        SELECT doc_id, list_filter(list_transform(string_split(regexp_replace({O.strip('text')}, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)),
+            lambda x: {O.strip('x')}), lambda x: x <> '') AS s FROM documents
+    ) WHERE len(s) > 0
+)
+""")
+def sentence_chunks(v):
+    cut = v.spread("documents", "doc_id").filter(T.strip("text") != "").select(
+        "doc_id", F.posexplode(T.sentence_chunks("text", 5)).alias("chunk_index", "text")
+    )
+    return cut.select("doc_id", F.col("chunk_index").cast("bigint").alias("chunk_index"), F.md5("text").alias("text_hash"))
+
+
+def _answered(v):
+    """Predictions that sometimes end in, or consist of, an accepted answer."""
+    first = F.get("gold", F.lit(0))
+    said = (
+        F.when((F.col("length") == "1000") & first.isNotNull(), first)
+        .when((F.col("length") == "2000") & first.isNotNull(), F.concat("prediction", F.lit("\n  "), first, F.lit(" \n")))
+        .otherwise(F.col("prediction"))
+    )
+    return v.predictions.select("sample_id", said.alias("said"), "gold")
+
+
+ANSWERED = """
+SELECT sample_id, gold, CASE WHEN length = '1000' AND len(gold) > 0 THEN gold[1]
+    WHEN length = '2000' AND len(gold) > 0 THEN prediction || chr(10) || '  ' || gold[1] || ' ' || chr(10) ELSE prediction END AS said
+FROM v_predictions
+"""
+FINAL_LINE = O.strip(f"string_split({O.strip('said')}, chr(10))[-1]")
+
+
+@query("score_em", f"SELECT sample_id, list_contains(gold, said)::INT::DOUBLE AS score FROM ({ANSWERED})")
+def score_em(v):
+    return _answered(v).select("sample_id", scoring.exact_match(F.col("said"), F.col("gold")).alias("score"))
+
+
+@query("score_contains", f"""
+SELECT sample_id, (len(list_filter(gold, lambda g: contains(said, g))) > 0)::INT::DOUBLE AS score FROM ({ANSWERED})
+""")
+def score_contains(v):
+    return _answered(v).select("sample_id", scoring.contains_any(F.col("said"), F.col("gold")).alias("score"))
+
+
+@query("score_lastline", f"""
+SELECT sample_id, list_contains(gold, last)::INT::DOUBLE AS em, (len(list_filter(gold, lambda g: contains(last, g))) > 0)::INT::DOUBLE AS found
+FROM (SELECT *, {FINAL_LINE} AS last FROM ({ANSWERED}))
+""")
+def score_lastline(v):
+    said, gold = F.col("said"), F.col("gold")
+    return _answered(v).select(
+        "sample_id", scoring.last_line_match(said, gold).alias("em"), scoring.last_line_contains(said, gold).alias("found")
+    )
+
+
+@query("score_match_all", f"""
+SELECT sample_id, len(list_filter(gold, lambda g: contains(lower(said), lower(g)))) > 0 AS any_found,
+    len(list_filter(gold, lambda g: NOT contains(lower(said), lower(g)))) = 0 AS all_found FROM ({ANSWERED})
+""")
+def score_match_all(v):
+    said, gold = F.col("said"), F.col("gold")
+    return _answered(v).select(
+        "sample_id", scoring.mentions_any(said, gold).alias("any_found"), scoring.mentions_all(said, gold).alias("all_found")
+    )
+
+
+def _ascii_json(value: str) -> str:
+    return (
+        f"array_to_string(list_transform(string_split(to_json({value})::VARCHAR, ''), lambda c: "
+        "CASE WHEN unicode(c) > 127 THEN chr(92) || 'u' || lpad(lower(to_hex(unicode(c))), 4, '0') ELSE c END), '')"
+    )
+
+
+@query("stable_identity", rf"""
+SELECT haystack, 'T1__' || haystack || '__D03' AS document_id, substr(sha256('{{"depth_index": 3, "haystack_hash": "' || h || '", "needle": ' ||
+    {_ascii_json('needle')} || ', "test_name": "T1"}}'), 1, 16) AS source_hash, substr(h, 1, 16) AS context_hash
+FROM (
+    SELECT 'doc_' || lpad(doc_id::VARCHAR, 8, '0') AS haystack, sha256(text) AS h,
+        string_split(regexp_replace({O.strip('text')}, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))[1] AS needle
+    FROM documents WHERE {O.strip('text')} <> ''
+)
+""")
+def stable_identity(v):
+    depth, test = F.lit(3), F.lit("T1")
+    rows = v.haystacks.withColumn("needle", F.get(T.sentences("text"), F.lit(0)))
+    return rows.select(
+        "haystack",
+        I.sample_document_id("stable", F.lit(""), test, F.col("haystack"), depth).alias("document_id"),
+        I.sample_content_hash("source", F.col("text"), test, F.col("haystack_hash"), F.col("needle"), depth).alias("source_hash"),
+        I.sample_content_hash("context", F.col("text"), test, F.col("haystack_hash"), F.col("needle"), depth).alias("context_hash"),
+    )
+
+
+@query("route_model", """
+SELECT conv_id, turn, CASE WHEN regexp_matches(lower(text), 'classify|extract|find|count|identify|list|check') THEN 'small' ELSE 'large' END AS model
+FROM conversations
+""")
+def route_model(v):
+    return v.table("conversations").select("conv_id", "turn", parsing.route_model(F.col("text")).alias("model"))
+
+
+@query("data_kind", """
+SELECT page_id, CASE WHEN contains(url, 'fr') THEN 'fixture' WHEN contains(url, 'en') THEN 'official_or_downloaded' ELSE 'custom' END AS kind
+FROM pages
+""")
+def data_kind(v):
+    place = F.when(F.contains("url", F.lit("fr")), "benchmark_fixtures/a").when(F.contains("url", F.lit("en")), "x/benchmark_data").otherwise("own")
+    return v.table("pages").select("page_id", parsing.data_kind(F.col("url"), place).alias("kind"))
+
+
+@query("sample_normalize", rf"""
+SELECT CASE role WHEN 'assistant' THEN 'q' || conv_id || '_' || turn ELSE 'sample_' || lpad((conv_id * 100 + turn)::VARCHAR, 6, '0') END AS id,
+    CASE role WHEN 'assistant' THEN 'niah' WHEN 'user' THEN 'sub' ELSE '' END AS task,
+    CASE role WHEN 'assistant' THEN '4096' WHEN 'user' THEN '77' ELSE 'any' END AS length,
+    CASE role WHEN 'assistant' THEN 'Who?' WHEN 'user' THEN 'What is it?' ELSE 'Answer the question from the provided context.' END AS question,
+    md5({O.strip('text')}) AS context_hash, CASE role WHEN 'assistant' THEN 'a;b' WHEN 'user' THEN 'one' ELSE '' END AS answers
+FROM conversations WHERE {O.strip('text')} <> ''
+""")
+def sample_normalize(v):
+    role = F.col("role")
+
+    def only(kind, value):
+        return F.when(role == kind, value)
+
+    given = {
+        "id": only("other", F.lit("x")), "query_id": only("assistant", F.concat(F.lit("q"), "conv_id", F.lit("_"), "turn")),
+        "query": only("assistant", F.lit(" Who? ")), "document": only("assistant", F.col("text")),
+        "expected": only("assistant", F.lit('["a", " ", "b "]')), "answer": only("assistant", F.lit("  ")),
+        "prompt": only("user", F.concat("text", F.lit("\nWhat is it?"))), "subtask": only("user", F.lit("sub")),
+        "seq_len": only("user", F.lit("77")), "target": only("user", F.lit("one")),
+        "content": F.when(~role.isin("assistant", "user"), F.col("text")),
+        "source_file": only("assistant", F.lit("/data/setup_4096/niah/part.jsonl")),
+    }
+    names = [part.split()[0] for part in samples.RAW_SAMPLE.split(",")] + ["source_file"]
+    missing = F.lit(None).cast("string")
+    raw = v.table("conversations").select(
+        (F.col("conv_id") * 100 + F.col("turn")).alias("place"),
+        *[given.get(name, missing).alias(name) for name in names],
+    )
+    made = samples.normalize_samples(raw, "place", "any")
+    return made.select(
+        "id", "task", "length", "question", F.md5("context").alias("context_hash"),
+        F.array_join("expected_answer", ";").alias("answers"),
+    )
