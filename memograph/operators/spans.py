@@ -48,7 +48,12 @@ def coverage_runs(
     Touching intervals coalesce and empty ones vanish. With ``frame`` (one interval
     per key, containing its spans) the runs tile the frame exactly, gaps included.
     """
-    blocked = _steps(spans, keys, frame).withColumn("blk", F.floor(F.col("pos") / block))
+    # The same null filter on both uses of the blocked steps lets them share one shuffle.
+    blocked = (
+        _steps(spans, keys, frame)
+        .withColumn("blk", F.expr(f"pos div {block}"))
+        .filter(" AND ".join(f"{name} IS NOT NULL" for name in [*keys, "blk"]))
+    )
     within = W.partitionBy(*keys, "blk").orderBy("pos")
     local = blocked.withColumn("local", F.sum("step").over(within))
 

@@ -62,10 +62,12 @@ class ReusePlan:
     requests: DataFrame
     entries: DataFrame
     payload: Sequence[str] = ()
+    exact_among: DataFrame | None = None  # where a replay can come from, if not any entry
 
     @cached_property
     def exact(self) -> DataFrame:
-        return matching.exact_replays(self.requests, self.entries)
+        known = self.entries if self.exact_among is None else self.exact_among
+        return matching.exact_replays(self.requests, known)
 
     @cached_property
     def pending(self) -> DataFrame:

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from functools import cached_property
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from memograph import schema as S
@@ -111,26 +111,46 @@ def windows_of(requests: DataFrame, size: int) -> DataFrame:
 
 
 def window_states(windows: DataFrame, entries: DataFrame) -> DataFrame:
-    """Windows with what of them is covered and whether nothing is missing."""
-    plan = plan_reuse(windows, entries)
-    missing = F.coalesce("missing_length", F.lit(0))
+    """Windows with what of them is covered and whether nothing is missing.
+
+    An exact answer for a window covers it too, so coverage alone decides. Only the distinct
+    covering scopes take part.
+    """
+    keys = [*S.SCOPE_KEYS, "task_signature"]
+    held = entries.filter(E.can_cover()).select(*keys, "scope_start", "scope_end", "content_hash").distinct()
+    wanted = windows.select("request_id", *keys, "start", "end", "content_hash")
+    cut = matching.clipped(matching.overlapping(wanted, held, keys)).select(
+        "request_id", F.col("clip_start").alias("start"), F.col("clip_end").alias("end")
+    )
+    gaps = spans.gaps(cut, ["request_id"], wanted.select("request_id", "start", "end"))
+    missing = gaps.groupBy("request_id").agg(F.sum(F.col("end") - F.col("start")).alias("missing_length"))
     return (
-        windows.join(plan.coverage.select("request_id", "missing_length"), "request_id", "left")
-        .withColumn("missing_length", missing.cast("bigint"))
+        windows.join(missing, "request_id", "left")
+        .withColumn("missing_length", F.coalesce("missing_length", F.lit(0)).cast("bigint"))
         .withColumn("is_complete", F.col("missing_length") == 0)
     )
 
 
 @dataclass
 class Solution:
-    """Outcome of one batch of requests."""
+    """Outcome of one batch of requests.
+
+    ``todo`` holds what was missing at first: ``request_id, missing_length`` of every piece
+    looked at, zero for reused windows. ``solved`` are the new entries; both are checkpointed.
+    """
 
     first: ReusePlan
+    todo: DataFrame
     solved: DataFrame
-    final: ReusePlan
-    states: DataFrame | None
+    by_windows: bool
     created_at: str
 
+    @cached_property
+    def final(self) -> ReusePlan:
+        """The plan over old and new entries; only a new entry can replay a pending request now."""
+        everything = self.first.entries.unionByName(self.solved)
+        return ReusePlan(self.first.pending, everything, ["result"], self.solved)
+
     @cached_property
     def pieces(self) -> DataFrame:
         """Per pending request, the entries its answer is made of, in document order."""
@@ -155,14 +175,24 @@ class Solution:
             "request_id", F.concat(F.coalesce("used", none), F.coalesce("ruled_out", none)).alias("dependencies")
         )
 
+    @cached_property
+    def left_over(self) -> DataFrame:
+        """``request_id, missing_length`` of requests that are still incomplete.
+
+        Every missing piece was solved, so gaps remain only where a solver returned something
+        that covers nothing, such as a mere hint. Without such entries there is nothing to plan.
+        """
+        if self.solved.filter(~E.can_cover()).isEmpty():
+            return self.todo.select("request_id", "missing_length").filter("false")
+        return self.final.coverage.filter("missing_length > 0").select("request_id", "missing_length")
+
     def composites(self, evidence: bool = True) -> DataFrame:
         """Exact answers for requests that ended up complete, ready to be stored.
 
         With ``evidence`` they carry the evidence of all entries they depend on.
         """
-        complete = self.final.coverage.filter("missing_length = 0").select("request_id")
         rows = (
-            self.final.pending.join(complete, "request_id")
+            self.final.pending.filter("end > start").join(self.left_over, "request_id", "left_anti")
             .join(self.answers.filter("answer <> ''"), "request_id")
             .join(self.dependencies, "request_id")
             .withColumnRenamed("answer", "result")
@@ -188,74 +218,65 @@ class Solution:
 
     @cached_property
     def report(self) -> DataFrame:
-        """Per request: how it was answered and what the windows cost."""
-        before, after = self.first.coverage, self.final.coverage
+        """Per request: how it was answered, what it took, and the answer."""
         length = F.col("end") - F.col("start")
         replayed = F.col("exact_entry_id").isNotNull()
 
-        def share(column: str):
-            held = F.coalesce(column, F.lit(0)) / F.nullif(length, F.lit(0))
+        def share(missing: str) -> Column:
+            held = (length - F.coalesce(missing, F.lit(0))) / F.nullif(length, F.lit(0))
             return F.round(F.when(replayed | (length <= 0), F.lit(1.0)).otherwise(held), 6)
 
-        answers = self.answers
-        replay = self.first.exact.join(
-            self.first.entries.select(F.col("entry_id").alias("exact_entry_id"), F.col("result").alias("stored")),
-            "exact_entry_id",
-        )
-        kind = (
-            F.when(replayed, "exact")
-            .when(F.coalesce("left_over", F.lit(0)) == 0, "composed")
-            .otherwise("partial")
+        stored = self.first.entries.select(F.col("entry_id").alias("exact_entry_id"), F.col("result").alias("stored"))
+        needed = F.col("missing_length") > 0
+        spent = self.todo.groupBy("request_id").agg(
+            F.sum("missing_length").alias("missing_first"), F.count("*").alias("windows"),
+            count_where(~needed).alias("reused_windows"), count_where(needed).alias("missing_windows"),
         )
-        rows = (
+        kind = F.when(replayed, "exact").when(F.col("missing_last").isNull(), "composed").otherwise("partial")
+        names = ("windows", "reused_windows", "missing_windows") if self.by_windows else ()
+        return (
             self.first.requests.select("request_id", "start", "end")
-            .join(replay, "request_id", "left")
-            .join(before.select("request_id", F.col("covered_length").alias("had")), "request_id", "left")
-            .join(
-                after.select("request_id", F.col("covered_length").alias("has"), F.col("missing_length").alias("left_over")),
-                "request_id", "left",
+            .join(self.first.exact.join(stored, "exact_entry_id"), "request_id", "left")
+            .join(spent, "request_id", "left")
+            .join(self.left_over.withColumnRenamed("missing_length", "missing_last"), "request_id", "left")
+            .join(self.answers, "request_id", "left")
+            .select(
+                "request_id", kind.alias("memo_type"), *[F.coalesce(c, F.lit(0)).alias(c) for c in names],
+                share("missing_first").alias("initial_ratio"), share("missing_last").alias("final_ratio"),
+                F.coalesce("stored", "answer", F.lit("")).alias("answer"),
             )
-            .join(answers, "request_id", "left")
-        )
-        counts = []
-        if self.states is not None:
-            per = self.states.groupBy(F.col("parent_id").alias("request_id")).agg(
-                F.count("*").alias("windows"),
-                count_where(F.col("is_complete")).alias("reused_windows"),
-                count_where(~F.col("is_complete")).alias("missing_windows"),
-            )
-            rows = rows.join(per, "request_id", "left")
-            counts = [F.coalesce(c, F.lit(0)).alias(c) for c in ("windows", "reused_windows", "missing_windows")]
-        return rows.select(
-            "request_id", kind.alias("memo_type"), *counts,
-            share("had").alias("initial_ratio"), share("has").alias("final_ratio"),
-            F.coalesce("stored", "answer", F.lit("")).alias("answer"),
         )
 
 
 def _solve_scopes(scopes: DataFrame, solver: Solver, created_at: str) -> DataFrame:
     """New entries for scopes, each distinct task and scope solved once."""
-    ensure_checkpointing(scopes.sparkSession)
     distinct = scopes.select(*TASK, *SCOPE, "start", "end").dropDuplicates(["task_signature", *SCOPE, "start", "end"])
     return as_entries(solver(distinct), created_at).checkpoint()
 
 
+def _first_plan(requests: DataFrame, entries: DataFrame) -> ReusePlan:
+    ensure_checkpointing(requests.sparkSession)
+    plan = plan_reuse(requests, entries)
+    plan.exact = plan.exact.checkpoint()
+    return plan
+
+
 def solve_windows(requests: DataFrame, entries: DataFrame, size: int, solver: Solver, created_at: str) -> Solution:
     """Answer requests by windows: whole windows that are not fully covered go to the solver."""
-    first = plan_reuse(requests, entries, ["result"])
-    states = window_states(windows_of(first.pending, size), entries)
+    first = _first_plan(requests, entries)
+    states = window_states(windows_of(first.pending, size), entries).checkpoint()
     solved = _solve_scopes(states.filter("NOT is_complete"), solver, created_at)
-    final = plan_reuse(first.pending, entries.unionByName(solved), ["result"])
-    return Solution(first, solved, final, states, created_at)
+    todo = states.select(F.col("parent_id").alias("request_id"), "missing_length")
+    return Solution(first, todo, solved, True, created_at)
 
 
 def solve_gaps(requests: DataFrame, entries: DataFrame, solver: Solver, created_at: str) -> Solution:
     """Answer requests by gaps: exactly the uncovered stretches go to the solver."""
-    first = plan_reuse(requests, entries, ["result"])
-    holes = first.pending.drop("start", "end").join(first.missing, "request_id")
+    first = _first_plan(requests, entries)
+    holes = first.pending.drop("start", "end").join(first.missing, "request_id").checkpoint()
     solved = _solve_scopes(holes, solver, created_at)
-    final = plan_reuse(first.pending, entries.unionByName(solved), ["result"])
-    return Solution(first, solved, final, None, created_at)
+    todo = holes.select("request_id", (F.col("end") - F.col("start")).alias("missing_length"))
+    return Solution(first, todo, solved, False, created_at)
 
 
 def resolve_changes(
