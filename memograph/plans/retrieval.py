@@ -115,7 +115,7 @@ def first_packet_planner(asked: DataFrame) -> DataFrame:
 def python_planner(decide: Callable[[str, list], dict]) -> Planner:
     """Wrap a callback that gets a query and its packets and returns a decision dict."""
 
-    names = S.column_names(DECISION)
+    names = ["action", "answer", "used_entry_ids", "confidence", "reason"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

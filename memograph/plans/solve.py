@@ -57,7 +57,7 @@ def python_solver(answer: Callable[[dict], str | dict]) -> Solver:
     The dict may hold result, not_found, confidence, reusable_as, evidence and metadata_json.
     """
 
-    names = S.column_names(OUTCOME)
+    names = ["result", "not_found", "confidence", "reusable_as", "evidence", "metadata_json"]
 
     def outcome(scope: dict) -> tuple:
         raw = answer(scope)

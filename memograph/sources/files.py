@@ -11,7 +11,13 @@ from memograph.functions.text import strip
 
 # Keys under which a JSON file may hold its list of records.
 CONTAINER_KEYS = ["samples", "examples", "data", "items", "instances"]
-REPLACEMENT = "�"
+REPLACEMENT = chr(0xFFFD)
+
+
+def _decoded(value: str) -> Column:
+    """Text without its undecodable bytes."""
+    repaired = F.replace(F.make_valid_utf8(value), F.lit(REPLACEMENT), F.lit(""))
+    return F.when(F.is_valid_utf8(value), F.col(value)).otherwise(repaired)
 
 
 def read_text_dir(spark: SparkSession, path: str) -> DataFrame:
@@ -22,7 +28,7 @@ def read_text_dir(spark: SparkSession, path: str) -> DataFrame:
     raw = (
         spark.read.option("pathGlobFilter", "*.txt")
         .text(path, wholetext=True)
-        .select(F.col("_metadata.file_name").alias("filename"), F.replace("value", F.lit(REPLACEMENT), F.lit("")).alias("raw"))
+        .select(F.col("_metadata.file_name").alias("filename"), _decoded("value").alias("raw"))
     )
     return raw.select(
         "filename", strip("raw").alias("text"), F.sha2("raw", 256).alias("content_hash"),
@@ -95,7 +101,3 @@ def resolve_manifests(spark: SparkSession, path: str) -> DataFrame:
     best = F.max_by(F.struct("manifest", "body"), F.struct((-depth).alias("up"), F.col("manifest").alias("name")))
     named = files.filter(F.endswith(F.col("manifest"), F.lit(".json")))
     return named.agg(best.alias("m")).filter("m IS NOT NULL").select("m.*")
-
-
-def first_present(*names: Column) -> Column:
-    return F.coalesce(*names)
