@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from memograph import schema as S
-from memograph.functions.text import estimate_tokens, strip
+from memograph.functions.text import estimate_tokens, let, strip
 
 # What counts as a quantitative statement, tried in this order.
 FIGURE_PATTERNS = [
@@ -29,27 +29,37 @@ def missing_from(facts: Column, source: Column) -> Column:
 
 def grounding(result: Column, source: Column) -> Column:
     """struct<grounding, verified, unverified> of a result against the text it came from."""
-    facts = figures(result)
-    verified = F.filter(facts, lambda f: F.contains(source, f))
-    unverified = missing_from(facts, source)
-    label = (
-        F.when(F.size(unverified) == 0, F.lit("GROUNDED"))
-        .when(F.size(verified) == 0, F.lit("INFERRED"))
-        .otherwise(F.lit("PARTIAL"))
-    )
-    return F.struct(label.alias("grounding"), verified.alias("verified"), unverified.alias("unverified"))
+
+    def judged(checked: Column) -> Column:
+        verified, unverified = checked["verified"], checked["unverified"]
+        label = (
+            F.when(F.size(unverified) == 0, F.lit("GROUNDED"))
+            .when(F.size(verified) == 0, F.lit("INFERRED"))
+            .otherwise(F.lit("PARTIAL"))
+        )
+        return F.struct(label.alias("grounding"), verified.alias("verified"), unverified.alias("unverified"))
+
+    def sorted_out(found: Column) -> Column:
+        verified = F.filter(found, lambda f: F.contains(source, f))
+        return F.struct(verified.alias("verified"), missing_from(found, source).alias("unverified"))
+
+    return let(let(figures(result), sorted_out), judged)
 
 
 def consensus(primary: Column, second: Column) -> Column:
     """struct<consensus, primary_facts, second_facts, divergent> of two independent answers."""
-    primary_facts = figures(primary)
-    divergent = missing_from(primary_facts, second)
-    return F.struct(
-        F.when(F.size(divergent) == 0, F.lit("AGREED")).otherwise(F.lit("DISPUTED")).alias("consensus"),
-        primary_facts.alias("primary_facts"),
-        figures(second).alias("second_facts"),
-        divergent.alias("divergent"),
-    )
+
+    def judged(seen: Column) -> Column:
+        agreed = F.size(seen["divergent"]) == 0
+        return F.struct(
+            F.when(agreed, F.lit("AGREED")).otherwise(F.lit("DISPUTED")).alias("consensus"),
+            seen["facts"].alias("primary_facts"), figures(second).alias("second_facts"), seen["divergent"].alias("divergent"),
+        )
+
+    def compared(found: Column) -> Column:
+        return F.struct(found.alias("facts"), missing_from(found, second).alias("divergent"))
+
+    return let(let(figures(primary), compared), judged)
 
 
 def guard(result: Column) -> Column:

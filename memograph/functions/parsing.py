@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from memograph.functions.text import LINE_BREAK, strip
+from memograph.functions.text import LINE_BREAK, let, strip
 
 # Openings that mark the last line of a prompt as its question.
 QUESTION_OPENINGS = "^(?:what|which|who|where|when|how) "
@@ -73,7 +73,10 @@ def planner_response(value: Column, fallback_ids: Column) -> Column:
 
 def split_prompt(value: Column) -> Column:
     """struct<context, question> of a prompt that carries both."""
-    text = strip(value)
+    return let(strip(value), _split_prompt)
+
+
+def _split_prompt(text: Column) -> Column:
     marked = r"(?s)^(.*)\nText:(.*)$"
     head = strip(F.regexp_extract(text, marked, 1))
     lines = F.filter(F.split(text, LINE_BREAK), lambda line: strip(line) != "")

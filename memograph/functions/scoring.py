@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from memograph.functions.text import last_line
+from memograph.functions.text import last_line, let
 
 
 def _score(hit: Column) -> Column:
@@ -21,21 +21,19 @@ def contains_any(prediction: Column, gold: Column) -> Column:
 
 
 def last_line_match(prediction: Column, gold: Column) -> Column:
-    return exact_match(last_line(prediction), gold)
+    return let(last_line(prediction), lambda line: exact_match(line, gold))
 
 
 def last_line_contains(prediction: Column, gold: Column) -> Column:
-    return contains_any(last_line(prediction), gold)
+    return let(last_line(prediction), lambda line: contains_any(line, gold))
 
 
 def mentions_any(answer: Column, gold: Column) -> Column:
-    lowered = F.lower(answer)
-    return F.exists(gold, lambda g: F.contains(lowered, F.lower(g)))
+    return let(F.lower(answer), lambda text: F.exists(gold, lambda g: F.contains(text, F.lower(g))))
 
 
 def mentions_all(answer: Column, gold: Column) -> Column:
-    lowered = F.lower(answer)
-    return F.forall(gold, lambda g: F.contains(lowered, F.lower(g)))
+    return let(F.lower(answer), lambda text: F.forall(gold, lambda g: F.contains(text, F.lower(g))))
 
 
 METRICS = {

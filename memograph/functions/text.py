@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -31,6 +33,11 @@ def _text(value: Column | str) -> Column:
     return F.coalesce(column, F.lit(""))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once and use it many times in ``body``, also inside its lambdas."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(value: Column | str) -> Column:
     return F.btrim(_text(value), F.lit(BLANK_CHARACTERS))
 
@@ -54,19 +61,27 @@ def knowledge_tokens(value: Column | str) -> Column:
 
 def overlap_ratio(query_tokens: Column, other_tokens: Column) -> Column:
     """Share of the distinct query tokens that also occur on the other side; 0 for no tokens."""
-    wanted = F.array_distinct(query_tokens)
-    shared = F.size(F.array_intersect(wanted, other_tokens))
-    return F.coalesce(F.try_divide(shared.cast("double"), F.size(wanted).cast("double")), F.lit(0.0))
+
+    def share(wanted: Column) -> Column:
+        shared = F.size(F.array_intersect(wanted, other_tokens))
+        return F.try_divide(shared.cast("double"), F.size(wanted).cast("double"))
+
+    return F.coalesce(let(F.array_distinct(query_tokens), share), F.lit(0.0))
 
 
 def lexical_support(query: Column, candidate: Column) -> Column:
     """Share of query terms found in the candidate: no query terms 1.0, no candidate terms 0.0."""
-    wanted, offered = knowledge_tokens(query), knowledge_tokens(candidate)
-    return (
-        F.when(F.size(wanted) == 0, F.lit(1.0))
-        .when(F.size(offered) == 0, F.lit(0.0))
-        .otherwise(F.size(F.array_intersect(wanted, offered)) / F.size(wanted))
-    )
+
+    def share(both: Column) -> Column:
+        wanted, offered = both["wanted"], both["offered"]
+        return (
+            F.when(F.size(wanted) == 0, F.lit(1.0))
+            .when(F.size(offered) == 0, F.lit(0.0))
+            .otherwise(F.size(F.array_intersect(wanted, offered)) / F.size(wanted))
+        )
+
+    tokens = F.struct(knowledge_tokens(query).alias("wanted"), knowledge_tokens(candidate).alias("offered"))
+    return let(tokens, share)
 
 
 def words(value: Column | str) -> Column:
@@ -81,16 +96,19 @@ def join_slice(items: Column, start: Column, length: Column | int, separator: st
 
 def pack(items: Column, size: int, separator: str = " ") -> Column:
     """Join consecutive groups of ``size`` array items; empty input gives an empty array."""
-    starts = F.sequence(F.lit(0), F.size(items) - 1, F.lit(size))
-    return F.when(
-        F.size(items) > 0, F.transform(starts, lambda i: join_slice(items, i, size, separator))
-    ).otherwise(F.array().cast("array<string>"))
+
+    def groups(bound: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.size(bound) - 1, F.lit(size))
+        return F.when(
+            F.size(bound) > 0, F.transform(starts, lambda i: join_slice(bound, i, size, separator))
+        ).otherwise(F.array().cast("array<string>"))
+
+    return let(items, groups)
 
 
 def word_chunks(value: Column | str, words_per_chunk: int) -> Column:
     """Chunks of a fixed number of words; a text without words is its own single chunk."""
-    pieces = pack(words(value), words_per_chunk)
-    return F.when(F.size(pieces) > 0, pieces).otherwise(F.array(_text(value)))
+    return let(pack(words(value), words_per_chunk), lambda p: F.when(F.size(p) > 0, p).otherwise(F.array(_text(value))))
 
 
 def sentences(value: Column | str) -> Column:
@@ -99,8 +117,7 @@ def sentences(value: Column | str) -> Column:
 
 
 def sentence_chunks(value: Column | str, sentences_per_chunk: int) -> Column:
-    pieces = pack(sentences(value), sentences_per_chunk)
-    return F.when(F.size(pieces) > 0, pieces).otherwise(F.array(_text(value)))
+    return let(pack(sentences(value), sentences_per_chunk), lambda p: F.when(F.size(p) > 0, p).otherwise(F.array(_text(value))))
 
 
 def char_windows(
@@ -110,16 +127,18 @@ def char_windows(
     min_chars: int = S.INGEST_MIN_CHARS,
 ) -> Column:
     """Overlapping character windows as array<struct<char_start, text>>; short tails are dropped."""
-    starts = F.sequence(F.lit(0), F.length(value) - 1, F.lit(size - overlap))
-    cut = F.transform(
-        starts,
-        lambda i: F.struct(
-            i.cast("bigint").alias("char_start"),
-            F.substring(value, i + 1, F.lit(size)).alias("text"),
-        ),
-    )
-    kept = F.filter(cut, lambda w: F.length(w["text"]) >= min_chars)
-    return F.when(F.length(value) > 0, kept)
+
+    def cut(text: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.length(text) - 1, F.lit(size - overlap))
+        pieces = F.transform(
+            starts,
+            lambda i: F.struct(
+                i.cast("bigint").alias("char_start"), F.substring(text, i + 1, F.lit(size)).alias("text")
+            ),
+        )
+        return F.when(F.length(text) > 0, F.filter(pieces, lambda w: F.length(w["text"]) >= min_chars))
+
+    return let(value, cut)
 
 
 def bounded(value: Column, limit: int | None) -> Column:
@@ -142,4 +161,4 @@ def clean_generation(value: Column | str) -> Column:
 
 
 def last_line(value: Column) -> Column:
-    return strip(F.element_at(F.split(strip(value), "\n"), -1))
+    return strip(F.substring_index(strip(value), "\n", -1))

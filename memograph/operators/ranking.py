@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from memograph import schema as S
-from memograph.functions.text import overlap_ratio, search_tokens
+from memograph.functions.text import let, overlap_ratio, search_tokens
 
 QUERIES_PER_PASS = 2048
 
@@ -23,48 +23,50 @@ def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int) -
 
 
 def like_hits(text: Column, tokens: Column) -> Column:
-    """Number of tokens for which ``text`` is LIKE ``%token%``; repeated tokens count again."""
-    return F.aggregate(
-        tokens,
-        F.lit(0),
-        lambda n, t: n + F.when(F.like(text, F.concat(F.lit("%"), t, F.lit("%"))), 1).otherwise(0),
-    )
+    """Number of tokens for which ``text`` is LIKE ``%token%``; repeated tokens count again.
+
+    Only an underscore makes LIKE differ from a plain search, which needs no pattern.
+    """
+
+    def hit(bound: Column, t: Column) -> Column:
+        wild = F.like(bound, F.concat(F.lit("%"), t, F.lit("%")))
+        return F.when(F.contains(t, F.lit("_")), wild).otherwise(F.contains(bound, t))
+
+    return let(text, lambda bound: F.size(F.filter(tokens, lambda t: hit(bound, t))))
+
+
+def matched(text: Column, tokens: Column) -> Column:
+    """The tokens that literally occur in ``text``."""
+    return let(text, lambda bound: F.filter(tokens, lambda t: F.contains(bound, t)))
 
 
 def _scored(pairs: DataFrame, text: str, tokens: str) -> DataFrame:
-    lowered = F.lower(F.col(text))
-    return (
-        pairs.withColumn("score", like_hits(lowered, F.col(tokens)).cast("double"))
-        .filter("score > 0")
-        .withColumn("matched_terms", F.filter(tokens, lambda t: F.contains(lowered, t)))
-    )
+    score = like_hits(F.lower(F.col(text)), F.col(tokens)).cast("double")
+    return pairs.withColumn("score", score).filter("score > 0")
+
+
+def _with_matched(best: DataFrame, text: str, tokens: str) -> DataFrame:
+    return best.withColumn("matched_terms", matched(F.lower(F.col(text)), F.col(tokens))).drop(tokens)
 
 
 def search_chunks(chunks: DataFrame, queries: Sequence[str], limit: int = 20) -> DataFrame:
     """Corpus-wide lexical search for a handful of query strings in one pass over the chunks."""
-    listed = F.array(*[F.struct(F.lit(i).alias("query_no"), F.lit(q).alias("query")) for i, q in enumerate(queries)])
-    terms = search_tokens(F.col("query"))
-    asked = chunks.select("*", F.inline(listed)).withColumn("tokens", terms)
-    return top_k(
-        _scored(asked, "text", "tokens"),
-        ["query_no"],
-        [F.desc("score"), F.asc("document_id"), F.asc("chunk_index")],
-        limit,
-    ).drop("tokens")
+    listed = F.array(
+        *[F.struct(F.lit(i).alias("query_no"), search_tokens(F.lit(q)).alias("tokens")) for i, q in enumerate(queries)]
+    )
+    asked = chunks.select("*", F.inline(listed))
+    order = [F.desc("score"), F.asc("document_id"), F.asc("chunk_index")]
+    return _with_matched(top_k(_scored(asked, "text", "tokens"), ["query_no"], order, limit), "text", "tokens")
 
 
 def search_scoped_chunks(requests: DataFrame, pairs: DataFrame, query: str, limit: int) -> DataFrame:
-    """Lexical search inside the scope of each request.
+    """Lexical search among the chunks already paired with a ``request_id``.
 
-    ``pairs`` are chunks already matched to ``request_id``; ``query`` is a column of ``requests``.
+    ``query`` names the text column of ``requests``.
     """
     asked = pairs.join(requests.select("request_id", search_tokens(query).alias("tokens")), "request_id")
-    return top_k(
-        _scored(asked, "text", "tokens"),
-        ["request_id"],
-        [F.desc("score"), F.asc("document_id"), F.asc("chunk_index")],
-        limit,
-    ).drop("tokens")
+    order = [F.desc("score"), F.asc("document_id"), F.asc("chunk_index")]
+    return _with_matched(top_k(_scored(asked, "text", "tokens"), ["request_id"], order, limit), "text", "tokens")
 
 
 def candidate_text() -> Column:
@@ -83,14 +85,14 @@ def rank_entries(pairs: DataFrame, query: str, scoped: bool, limit: int) -> Data
     every live entry is a pair and the scope bonus does not apply.
     """
     wanted = F.array_distinct(search_tokens(query))
-    matched = F.array_sort(F.array_intersect(wanted, F.col("entry_terms")))
+    terms = F.array_sort(F.array_intersect(wanted, F.col("entry_terms")))
     score = F.size("matched_terms").cast("double")
     if scoped:
         same = (F.col("scope_start") == F.col("start")) & (F.col("scope_end") == F.col("end"))
         score = score + F.when(same, 3.0).otherwise(2.0)
     for mode in (S.EXACT_ANSWER, S.SUPPORTING_FACT):
         score = score + F.when(F.array_contains("reusable_as", mode), 0.25).otherwise(0.0)
-    ranked = pairs.withColumn("matched_terms", matched).withColumn("score", score).filter("score > 0")
+    ranked = pairs.withColumn("matched_terms", terms).withColumn("score", score).filter("score > 0")
     order = [F.desc("score"), F.desc("confidence"), F.asc("scope_start"), F.desc("entry_id")]
     return top_k(ranked, ["request_id"], order, limit)
 

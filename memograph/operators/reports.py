@@ -24,7 +24,7 @@ def store_totals(entries: DataFrame) -> DataFrame:
     return entries.agg(
         F.count("*").alias("entry_count"),
         F.coalesce(F.sum(F.size("dependencies")), F.lit(0)).cast("bigint").alias("dependency_edge_count"),
-        F.coalesce(F.sum(F.size("evidence")), F.lit(0)).cast("bigint").alias("evidence_span_count"),
+        F.coalesce(F.sum(F.size("evidence.start")), F.lit(0)).cast("bigint").alias("evidence_span_count"),
         F.round(F.coalesce(F.avg("confidence"), F.lit(0.0)), 6).alias("average_confidence"),
     )
 

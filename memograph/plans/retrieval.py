@@ -62,17 +62,12 @@ def context_packets(
     The whole document is searched, not only the requested range.
     """
     texts = chunks.withColumnRenamed("content_hash", "stored_hash")
-    asked = requests.select("request_id", *S.SCOPE_KEYS, "content_hash", T.search_tokens("prompt").alias("tokens"))
+    asked = requests.select("request_id", *S.SCOPE_KEYS, "content_hash")
     pairs = texts.join(asked, S.SCOPE_KEYS).filter(E.compatible_hash(F.col("content_hash"), F.col("stored_hash")))
-    lowered = F.lower("text")
-    scored = pairs.withColumn("score", ranking.like_hits(lowered, F.col("tokens")).cast("double")).filter("score > 0")
-    best = ranking.top_k(
-        scored, ["request_id"], [F.desc("score"), F.asc("document_id"), F.asc("chunk_index")], limit
-    )
+    best = ranking.search_scoped_chunks(requests, pairs, "prompt", limit)
     cut = T.bounded(F.col("text"), text_chars)
     return best.select(
-        "request_id", "rank", "document_id", "chunk_index", "score",
-        F.filter("tokens", lambda t: F.contains(lowered, t)).alias("matched_terms"),
+        "request_id", "rank", "document_id", "chunk_index", "score", "matched_terms",
         cut["text"].alias("text"), F.length("text").alias("text_chars"), cut["truncated"].alias("text_truncated"),
     )
 

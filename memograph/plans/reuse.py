@@ -27,7 +27,8 @@ def condensed(entries: DataFrame, payload: Sequence[str] = ()) -> DataFrame:
     """Live entries per task and exact scope.
 
     ``best`` is the entry to reuse: exact answers first, then more dependencies, then higher
-    confidence, then the smaller id. Negatives and hints are only counted.
+    confidence, then the smaller id. Negatives and hints are only counted. Spans are counted
+    by one of their small fields, so that evidence texts are never read.
     """
     negative, covers, hint = E.is_negative(), E.can_cover(), E.offers(S.SEARCH_HINT)
     best = F.struct(
@@ -36,7 +37,7 @@ def condensed(entries: DataFrame, payload: Sequence[str] = ()) -> DataFrame:
         (-F.col("confidence")).alias("less_confidence"),
         "entry_id",
         E.fragment_kind().alias("kind"),
-        F.size("evidence").alias("evidence_spans"),
+        F.size("evidence.start").alias("evidence_spans"),
         *payload,
     )
     return (
@@ -49,7 +50,7 @@ def condensed(entries: DataFrame, payload: Sequence[str] = ()) -> DataFrame:
             count_where(negative & covers).alias("covering_negatives"),
             count_where(hint).alias("hints"),
             count_where(hint & negative).alias("negative_hints"),
-            F.sum(F.when(negative, F.size("evidence")).otherwise(0) + F.when(hint, F.size("evidence")).otherwise(0)).alias("other_evidence"),
+            F.sum(F.when(negative, F.size("evidence.start")).otherwise(0) + F.when(hint, F.size("evidence.start")).otherwise(0)).alias("other_evidence"),
             F.sum(F.when(negative, F.size("dependencies")).otherwise(0) + F.when(hint, F.size("dependencies")).otherwise(0)).alias("other_dependencies"),
         )
     )
@@ -157,7 +158,7 @@ class ReusePlan:
         own = self.entries.select(
             F.col("entry_id").alias("exact_entry_id"),
             E.fragment_kind().alias("exact_kind"),
-            F.size("evidence").alias("exact_evidence"),
+            F.size("evidence.start").alias("exact_evidence"),
             F.size("dependencies").alias("exact_dependencies"),
         )
         exact = self.exact.join(own, "exact_entry_id")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(
@@ -52,3 +52,10 @@ def ensure_checkpointing(spark: SparkSession) -> None:
     folder = shared_dir(spark)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(folder)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows over all cores before costly per-row work, where few bytes would mean few tasks."""
+    spark = df.sparkSession
+    width = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return df.repartition(width, *keys)

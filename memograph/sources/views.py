@@ -393,7 +393,7 @@ class Views:
         changed_money = F.when(priority.isin("1", "2"), F.lit("0.5")).otherwise(total)
         changed_share = F.when(priority.isin("2", "3"), F.lit("x")).otherwise(share)
         plain = F.concat(F.lit("Order "), F.col("o_orderkey"), F.lit(" has no figures"))
-        return self.table("orders").select(
+        return self.spread("orders", "o_orderkey").select(
             "o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority",
             F.when(priority == "5", plain).otherwise(statement(total, share)).alias("answer"),
             F.when(priority == "2", F.lit("nothing on record"))
@@ -424,7 +424,7 @@ class Views:
             .when(priority == "3", F.concat(F.lit("delivery date of order "), number))
             .otherwise(F.concat(F.lit("  what is the TOTAL of order "), number, F.lit("? ")))
         )
-        return self.table("orders").select(
+        return self.spread("orders", "o_orderkey").select(
             F.col("o_orderkey").alias("lookup_id"), asked.alias("query"), I.chunk_hash(ledger).alias("chunk_hash")
         )
 
