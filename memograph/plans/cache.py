@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,7 +11,7 @@ from memograph import schema as S
 from memograph.functions import facts
 from memograph.functions import identity as I
 from memograph.functions import text as T
-from memograph.operators import matching
+from memograph.operators import matching, ranking
 
 SEARCH_TASK = ("retrieval_search", "synthesized_answer")
 FACT_TASK = ("legacy_knowledge_fact", "fact_triple")
@@ -28,16 +28,31 @@ def bucket_matches(lookups: DataFrame, cache: DataFrame) -> DataFrame:
     )
 
 
-def lookup(lookups: DataFrame, cache: DataFrame, threshold: float = 0.8) -> DataFrame:
+Judge = Callable[[DataFrame], DataFrame]
+
+
+def judged(near: DataFrame, judge: Judge, candidates: int = S.TOP_K_CANDIDATES) -> DataFrame:
+    """Of the best candidates per lookup, those a judge accepts.
+
+    The judge gets ``wanted`` and ``plain`` questions with their rank and adds a boolean ``hit``.
+    """
+    best = ranking.top_k(near, ["lookup_id"], [F.desc("similarity"), F.asc("cache_id")], candidates)
+    return judge(best).filter("hit")
+
+
+def lookup(lookups: DataFrame, cache: DataFrame, threshold: float = 0.8, judge: Judge | None = None) -> DataFrame:
     """Exact hit, else the most similar question in the bucket, else a miss; hits are guarded.
 
-    Rows with the same question in a bucket are reduced to the first one before matching.
+    Rows with the same question in a bucket are reduced to the first one before matching. With
+    a judge, similarity only proposes candidates and the first accepted one counts.
     """
     first = cache.withColumn("plain", _plain("query")).groupBy("chunk_hash", "plain").agg(F.min("cache_id").alias("cache_id"))
     asked = lookups.withColumn("wanted", _plain("query")).drop("query")
     exact = asked.join(first.withColumnRenamed("plain", "wanted"), ["chunk_hash", "wanted"]).select("lookup_id", "cache_id")
     rest = asked.join(exact, "lookup_id", "left_anti")
     near = matching.similar_text_join(rest, first, ["chunk_hash"], "wanted", "plain", threshold)
+    if judge is not None:
+        near = judged(near, judge)
     best = near.groupBy("lookup_id").agg(
         F.min(F.struct((-F.col("similarity")).alias("distance"), "cache_id"))["cache_id"].alias("cache_id")
     )

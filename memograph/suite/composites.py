@@ -310,3 +310,24 @@ def stream_memo_upsert(v):
         stream(f"{folder}/changes", v.changed.schema), tables, f"{folder}/c2", "text changed", AS_OF, 1_000_000
     ).awaitTermination()
     return tables.read("memo_entries").groupBy("verifier_status").agg(F.count("*").alias("entries"))
+
+
+@query("sample_runs", r"""
+SELECT sample_id, task, length, windows AS delta_calls, 0.0::DOUBLE AS initial_ratio,
+    (SELECT string_agg('solved ' || (2 * i) || '-' || least(2 * i + 2, chunks), chr(10) ORDER BY i) FROM unnest(generate_series(0, windows - 1)) t(i)) AS prediction
+FROM (
+    SELECT *, ((chunks + 1) // 2)::BIGINT AS windows FROM (
+        SELECT *, ((greatest(len(list_filter(regexp_split_to_array(prediction, '\s+'), lambda x: x <> '')), 1) + 19) // 20)::BIGINT AS chunks
+        FROM v_predictions
+    )
+)
+""")
+def sample_runs(v):
+    from memograph.plans.runs import run_samples
+
+    made = v.predictions.select(
+        "sample_id", "task", "length", "question", "gold", F.col("prediction").alias("context"),
+        F.col("sample_id").cast("string").alias("document_id"), F.lit("").alias("content_hash"),
+    )
+    rows, _ = run_samples(made, v.memo.filter("false"), _solver(), "talk", 20, 2, AS_OF)
+    return rows.select("sample_id", "task", "length", "delta_calls", "initial_ratio", "prediction")

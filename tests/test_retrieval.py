@@ -99,3 +99,26 @@ def test_signature_depends_on_content_and_multiplicity_only(spark):
 
     assert sign("abc") == sign("cab")
     assert sign("abc") != sign("abcc") != sign("abbc")
+
+
+def test_judge_accepts_the_first_candidate_it_likes(spark):
+    cache = spark.createDataFrame(
+        [(1, "total of order five", "a", "", "h", ""), (2, "order five total now", "b", "", "h", "")],
+        "cache_id BIGINT, query STRING, result STRING, source_context STRING, chunk_hash STRING, data_scope_hash STRING",
+    )
+    lookups = spark.createDataFrame([(10, "order five total", "h")], "lookup_id BIGINT, query STRING, chunk_hash STRING")
+    second = caching.lookup(lookups, cache, 0.5, judge=lambda c: c.withColumn("hit", F.col("plain").endswith("now"))).first()
+    assert (second.outcome, second.cache_id) == ("semantic", 2)
+    none = caching.lookup(lookups, cache, 0.5, judge=lambda c: c.withColumn("hit", F.lit(False))).first()
+    assert none.outcome == "miss"
+
+
+def test_embeddings_are_unit_vectors(spark):
+    from memograph.functions.embedding import hashed_embedding, model_embedding
+
+    df = spark.createDataFrame([("north bridge channel",), ("channel north bridge",), ("",)], "t STRING")
+    rows = [r.e for r in df.select(hashed_embedding(F.col("t"), 16).alias("e")).collect()]
+    assert rows[0] == rows[1] and abs(sum(x * x for x in rows[0]) - 1) < 1e-6 and not any(rows[2])
+    encode = model_embedding(lambda texts: np.array([[len(t), 1.0] for t in texts]), batch=2)
+    for r in df.select(encode(F.col("t")).alias("e")).collect():
+        assert abs(sum(x * x for x in r.e) - 1) < 1e-5

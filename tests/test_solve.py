@@ -127,3 +127,17 @@ def test_coverage_never_shrinks_when_entries_are_added(memo):
     after = plan_reuse(asked, more).telemetry.first()
     assert before.covered_length + before.missing_length == 20 == after.covered_length + after.missing_length
     assert after.missing_length <= before.missing_length
+
+
+def test_warm_run_needs_no_calls(memo, spark):
+    from memograph.plans.runs import run_samples
+
+    made = spark.createDataFrame(
+        [(1, "qa", "8", "Where?", "a b c d e", ["doc:0"], "doc", ""), (2, "qa", "8", "Who?", "a", ["x"], "doc2", "")],
+        "sample_id BIGINT, task STRING, length STRING, question STRING, context STRING, gold ARRAY<STRING>, document_id STRING, content_hash STRING",
+    )
+    solver = solve.python_solver(lambda s: f"{s['document_id']}:{s['start']}")
+    cold, stored = run_samples(made, NOTHING(memo), solver, "c", 1, 2, AT)
+    assert {r.sample_id: (r.delta_calls, r.from_cache, r.is_correct) for r in cold.collect()} == {1: (3, False, 1.0), 2: (1, False, 0.0)}
+    warm, _ = run_samples(made, stored.checkpoint(), solver, "c", 1, 2, AT)
+    assert {(r.delta_calls, r.from_cache, r.cache_type) for r in warm.collect()} == {(0, True, "exact")}
