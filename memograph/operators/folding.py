@@ -91,8 +91,9 @@ def with_offsets(df: DataFrame, order: Sequence[str], count: str, name: str) ->
 
     spark = df.sparkSession
     ensure_checkpointing(spark)
+    # Choosing the ranges reads the rows a second time, so whatever made them runs only once.
     ranged = (
-        df.repartitionByRange(*order).withColumn("range_no", F.spark_partition_id()).checkpoint()
+        df.checkpoint().repartitionByRange(*order).withColumn("range_no", F.spark_partition_id()).checkpoint()
     )
     before = W.orderBy("range_no").rowsBetween(W.unboundedPreceding, -1)
     shifts = ranged.groupBy("range_no").agg(F.sum(count).alias("total")).select(

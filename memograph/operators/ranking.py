@@ -163,20 +163,22 @@ def nearest(
     One pass over the vectors serves ``per_pass`` queries as a matrix product; only k rows
     per query and partition leave a task. More queries than that take further passes.
     """
-    total = queries.count()
-    passes = max(1, -(-total // per_pass))
-    blocks = [queries] if passes == 1 else [
-        queries.filter(F.pmod(F.xxhash64(query_id), F.lit(2 * passes)) == b) for b in range(2 * passes)
-    ]
+    wanted = queries.select(F.col(query_id).cast("bigint").alias(query_id), vector)
+    first = wanted.limit(per_pass + 1).collect()
+    if len(first) <= per_pass:
+        blocks = [first]
+    else:
+        parts = 2 * -(-wanted.count() // per_pass)
+        slot = F.pmod(F.xxhash64(query_id), F.lit(parts))
+        blocks = (wanted.filter(slot == n).collect() for n in range(parts))
     schema = f"{query_id} BIGINT, {vector_id} BIGINT, score DOUBLE"
     found = None
-    for block in blocks:
-        rows = block.select(F.col(query_id).cast("bigint"), vector).collect()
+    for rows in blocks:
         if not rows:
             continue
         ids = [r[0] for r in rows]
         matrix = np.array([r[1] for r in rows], dtype="float64")
-        part = vectors.select(F.col(vector_id).cast("bigint"), vector).mapInArrow(
+        part = vectors.select(F.col(vector_id).cast("bigint").alias(vector_id), vector).mapInArrow(
             _partial_top_k(ids, matrix, query_id, vector_id, vector, k), schema
         )
         found = part if found is None else found.unionByName(part)

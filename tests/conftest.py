@@ -19,7 +19,7 @@ CONTRACT = "short factual answer"
 
 @pytest.fixture(scope="session")
 def spark():
-    session = build_session("tests", "local[4]", 4, **{"spark.ui.enabled": "false", "spark.driver.memory": "6g"})
+    session = build_session("tests", "local[4]", 4, **{"spark.ui.enabled": "false", "spark.driver.memory": "6g", "spark.sql.codegen.wholeStage": "false"})
     session.sparkContext.setLogLevel("ERROR")
     return session
 
