@@ -37,7 +37,7 @@ def shared_dir(spark: SparkSession) -> str:
 
     A local folder is only acceptable when there is a single machine.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named
     if not spark.sparkContext.master.startswith("local"):
