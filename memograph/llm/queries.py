@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from memograph.llm import bpe, packing
+from memograph.llm import bpe, dedup, packing
 from memograph.llm.common import table
 from memograph.llm.suite import query
 
@@ -18,3 +18,8 @@ def op3_best_fit_packing(spark, folder):
 @query("op7_bpe")
 def op7_bpe(spark, folder):
     return bpe.encode(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"), digests=True)
+
+
+@query("op4_minhash_near_dedup")
+def op4_minhash_near_dedup(spark, folder):
+    return dedup.near_duplicates(table(spark, folder, "documents"), words=4, percent=80)
