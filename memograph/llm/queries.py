@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from memograph.llm import bpe, dedup, packing
+from memograph.llm import bpe, dedup, packing, rules
 from memograph.llm.common import table
 from memograph.llm.suite import query
 
@@ -23,3 +23,8 @@ def op7_bpe(spark, folder):
 @query("op4_minhash_near_dedup")
 def op4_minhash_near_dedup(spark, folder):
     return dedup.near_duplicates(table(spark, folder, "documents"), words=4, percent=80)
+
+
+@query("op5_quality_rules")
+def op5_quality_rules(spark, folder):
+    return rules.quality_rules(table(spark, folder, "documents"), table(spark, folder, "labels"))
