@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from memograph.llm import bpe, dedup, packing, rules
+from memograph.llm import bpe, dedup, packing, rules, toxicity
 from memograph.llm.common import table
 from memograph.llm.suite import query
 
@@ -28,3 +28,8 @@ def op4_minhash_near_dedup(spark, folder):
 @query("op5_quality_rules")
 def op5_quality_rules(spark, folder):
     return rules.quality_rules(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("op10_toxicity")
+def op10_toxicity(spark, folder):
+    return toxicity.toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
