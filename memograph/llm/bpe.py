@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memograph.llm.common import Recent
+from memograph.llm.common import Known, byte_letters
 
 CACHED_WORDS = 300_000
 #: Fixed values of the tokenizer file's format: its word pattern, and white space as its pattern language has it.
@@ -28,13 +28,6 @@ ENCODED_FIELDS = "doc_id long, n_tokens long, ids binary, decoded string"
 DIGEST_FIELDS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
-def byte_letters() -> list[str]:
-    """The letter that stands for each byte in byte-level vocabularies: printable ones themselves, others from 256 on."""
-    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
-    spare = iter(range(256, 512))
-    return [chr(b) if b in plain else chr(next(spare)) for b in range(256)]
-
-
 class WordBpe:
     """Encoder of a tokenizer file of byte-level merges with a word-end mark, lower case, white space dropped."""
 
@@ -73,9 +66,9 @@ class WordBpe:
         self.spaces = regex.compile(f"[{SPACE}]+").split
         # Separators that Python splits at and the pattern doesn't; beyond ASCII both agree.
         self.control = regex.compile("[\x1c-\x1f]").search
-        self.fits = Recent(self._fits, CACHED_WORDS)
-        self.words = Recent(self._word, CACHED_WORDS)
-        self.chunks = Recent(self._chunk, CACHED_WORDS)
+        self.fits = Known(self._fits, CACHED_WORDS)
+        self.words = Known(self._word, CACHED_WORDS)
+        self.chunks = Known(self._chunk, CACHED_WORDS)
 
     def _fits(self, pair: tuple[int, int]) -> bool:
         """Whether the two tokens stay apart side by side.

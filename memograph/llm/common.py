@@ -81,19 +81,22 @@ def _arrow(ddl: str) -> pa.Schema:
     return pa.schema([pa.field(n, kinds[k]) for n, k in (x.split() for x in ddl.split(", "))])
 
 
-class Recent(dict):
-    """Answers of a function by argument, of which the latest ``size`` to ``2 * size`` are kept."""
+def byte_letters() -> list[str]:
+    """The letter that stands for each byte in byte-level vocabularies: printable ones themselves, others from 256 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    spare = iter(range(256, 512))
+    return [chr(b) if b in plain else chr(next(spare)) for b in range(256)]
+
+
+class Known(dict):
+    """Answers of a function by argument; the first ``size`` arguments are remembered, frequent ones come early."""
 
     def __init__(self, function: Callable, size: int):
         super().__init__()
-        self.function, self.size, self.older = function, size, {}
+        self.function, self.size = function, size
 
     def __missing__(self, key):
-        value = self.older.get(key)
-        if value is None:
-            value = self.function(key)
-        if len(self) >= self.size:
-            self.older = dict(self)
-            self.clear()
-        self[key] = value
+        value = self.function(key)
+        if len(self) < self.size:
+            self[key] = value
         return value

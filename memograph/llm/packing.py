@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from memograph.llm.common import Recent, stored
+from memograph.llm.common import Known, byte_letters, stored
 
 CAPACITY = 2048
 SEPARATOR = 0
@@ -27,25 +27,42 @@ CACHED_WORDS = 400_000
 PIECE_FIELDS = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, task_rank long"
 
 
+#: Fixed value: the word pattern of the byte-level vocabulary.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
 class ByteTokens:
-    """Ids of texts by a tokenizer file, through a memory of recent words.
+    """Ids of texts by a byte-level tokenizer file, through a memory of words.
 
-    A space between two characters that are not white space always begins a new word of the byte-level
-    pattern, so the parts between such spaces are encoded on their own; other texts are encoded whole.
+    A space between two characters that are not white space always begins a new word of the pattern, so the parts
+    between such spaces are encoded on their own, new ones by a coder for single words with the file's vocabulary.
+    Texts with other white space, and parts that may hold a special token, are encoded by the tokenizer itself.
     """
 
     def __init__(self, path: str):
+        import json
         import os
         import re
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        import tiktoken
         from tokenizers import Tokenizer
 
+        with open(path, encoding="utf-8") as file:
+            vocab = json.load(file)["model"]["vocab"]
+        byte_of = {letter: b for b, letter in enumerate(byte_letters())}
+        ranks = {bytes(map(byte_of.__getitem__, token)): i for token, i in vocab.items()}
+        self.coder = tiktoken.Encoding("words", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         self.odd = re.compile(r"\s \s|  |\s | \s|^ | $").search
-        self.inner = Recent(lambda word: self._encode(" " + word), CACHED_WORDS)
+        self.inner = Known(self._part, CACHED_WORDS)
+
+    def _part(self, part: str) -> bytes:
+        if "<|" in part:
+            return self._encode(" " + part)
+        return array("I", self.coder.encode_ordinary(" " + part)).tobytes()
 
     def _encode(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
