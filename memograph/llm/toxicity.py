@@ -1,7 +1,7 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine through a block-max inverted index.
 
-Examples are a bounded sample of labelled documents. Terms are the words that go with one of the labels in that
-sample, counted by groups of near copies so that one copied document is no evidence for its words. The index holds
+Examples are a bounded sample of labelled documents. Terms are the words, and beginnings of
+longer words, that go with one of the labels in that sample, counted by groups of near copies so that one copied document is no evidence for its words. The index holds
 the examples in blocks with each term's largest weight per block; a block whose bound lies below the k-th best
 cosine so far is not scored, which leaves the k nearest exact. Their votes are weighted by closeness and calibrated
 by the votes that the examples get from the others.
@@ -26,9 +26,12 @@ EXAMPLES = 16_384
 TERMS = 4_096
 NEIGHBOURS = 15
 BLOCK = 64
-#: A term must be in so many groups of copies and reach this chi-square between the labels.
+#: A term must be in so many groups of copies, and its likelihood ratio must pass twice the logarithm of the terms
+#: that are, plus this margin: of terms without association not one in ten samples is expected to.
 LEAST_GROUPS = 3
-ASSOCIATION = 18.0
+MARGIN = 4.0
+#: Letters of a word's beginning that make a term of their own, for inflected and compounded words.
+PREFIX = 5
 TIE = 1e-9
 SCORE_FIELDS = "doc_id long, score double, evidence array<long>, cosines array<double>"
 _words = re.compile(r"[^\W\d_]+").findall
@@ -58,16 +61,17 @@ def _example_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         for doc_id, label, text in zip(*(c.to_pylist() for c in batch.columns)):
             words = _words(text.lower())
             counts = Counter(words)
-            rows.append((doc_id, label, _group(words), list(counts), list(counts.values())))
-        ids, marks, groups, terms, times = zip(*rows) if rows else [[]] * 5
+            counts.update(f"{w[:PREFIX]}*" for w in words if len(w) > PREFIX)
+            rows.append((doc_id, label, len(words), _group(words), list(counts), list(counts.values())))
+        ids, marks, sizes, groups, terms, times = zip(*rows) if rows else [[]] * 6
         yield pa.RecordBatch.from_arrays(
-            [pa.array(ids, pa.int64()), pa.array(marks, pa.int32()), pa.array(groups, pa.int64()), pa.array(terms, pa.list_(pa.string())), pa.array(times, pa.list_(pa.int32()))],
-            names=["doc_id", "label", "copies", "terms", "times"],
+            [pa.array(ids, pa.int64()), pa.array(marks, pa.int32()), pa.array(sizes, pa.int64()), pa.array(groups, pa.int64()), pa.array(terms, pa.list_(pa.string())), pa.array(times, pa.list_(pa.int32()))],
+            names=["doc_id", "label", "words", "copies", "terms", "times"],
         )
 
 
 def chosen_terms(examples: DataFrame) -> list[str]:
-    """The terms most associated with a label, by chi-square over groups of copies; ties by the term."""
+    """The terms most associated with a label, by likelihood ratio over groups of copies; ties by the term."""
     each = examples.select("label", "copies", F.explode("terms").alias("term"))
     seen = each.groupBy("term", "label").agg(F.count_distinct("copies").alias("n"))
     by_label = [F.sum(F.when(F.col("label") == y, F.col("n")).otherwise(0)).alias(f"n{y}") for y in (0, 1)]
@@ -76,20 +80,26 @@ def chosen_terms(examples: DataFrame) -> list[str]:
     if not zero or not one:
         return []
     a, b = F.col("n1").cast("double"), F.col("n0").cast("double")
-    cross = a * (zero - b) - b * (one - a)
-    chi = cross * cross * (zero + one) / ((a + b) * F.greatest(zero + one - a - b, F.lit(1.0)) * zero * one)
-    ranked = seen.groupBy("term").agg(*by_label).withColumn("chi", chi).filter((a + b >= LEAST_GROUPS) & (F.col("chi") >= ASSOCIATION))
-    return [r["term"] for r in ranked.orderBy(F.desc("chi"), "term").limit(TERMS).select("term").collect()]
+    seen = checkpointed(seen.groupBy("term").agg(*by_label).filter("n0 + n1 >= %d" % LEAST_GROUPS))
+    share = lambda part, whole, of: F.when(part > 0, part * F.log(part * (zero + one) / (whole * of))).otherwise(0.0)
+    ratio = 2 * (
+        share(a, a + b, one) + share(b, a + b, zero)
+        + share(one - a, zero + one - a - b, one) + share(zero - b, zero + one - a - b, zero)
+    )
+    least = 2 * np.log(max(seen.count(), 1)) + MARGIN
+    ranked = seen.withColumn("ratio", ratio).filter(F.col("ratio") >= least)
+    return [r["term"] for r in ranked.orderBy(F.desc("ratio"), "term").limit(TERMS).select("term").collect()]
 
 
 class Neighbours:
     """Block-max inverted index of unit vectors, and the vote of the nearest."""
 
-    def __init__(self, terms: list[str], rows: list[tuple[int, int, dict[str, int]]], k: int = NEIGHBOURS):
-        self.k, self.at = k, {t: i for i, t in enumerate(terms)}
-        known = [(d, y, {self.at[t]: n for t, n in c.items() if t in self.at}) for d, y, c in rows]
-        frequency = Counter(t for _, _, c in known for t in c)
-        self.idf = np.array([np.log((1 + len(rows)) / (1 + frequency[t])) + 1 for t in range(len(terms))])
+    def __init__(self, terms: list[str], rows: list[tuple[int, int, dict[str, int], int]], k: int = NEIGHBOURS):
+        self.k, self.at, self.other = k, {t: i for i, t in enumerate(terms)}, len(terms)
+        self.terms, self.starts = terms, {t[:-1]: t for t in terms if t.endswith("*")}
+        known = [(d, y, self.counts(c, n)) for d, y, c, n in rows]
+        frequency = Counter(t for _, _, c in known for t in c) | {self.other: len(rows)}
+        self.idf = np.array([np.log((1 + len(rows)) / (1 + frequency[t])) + 1 for t in range(len(terms) + 1)])
         rest = [y for _, y, c in known if not c]
         self.blank = (sum(rest) + 0.5) / (len(rest) + 2)
         # Examples of like content side by side make tight blocks.
@@ -113,6 +123,12 @@ class Neighbours:
         if len(known) > self.k:
             self._calibrate()
 
+    def counts(self, found: dict[str, int], words: int) -> dict[int, int]:
+        """Terms of a text of so many words; none if it has no chosen term."""
+        made = {self.at[t]: n for t, n in found.items() if t in self.at}
+        rest = words - sum(n for t, n in made.items() if not self.terms[t].endswith("*"))
+        return made | {self.other: rest} if made and rest else made
+
     def unit(self, counts: dict[int, int]) -> list[tuple[int, float]]:
         weights = [(t, (1 + np.log(n)) * self.idf[t]) for t, n in sorted(counts.items())]
         norm = np.sqrt(sum(w * w for _, w in weights))
@@ -161,8 +177,13 @@ class Neighbours:
         self.slope, self.shift = float(max(beta[0], 0.0)), float(beta[1])
 
     def score(self, text: str) -> tuple[float, list[int], list[float]]:
-        counts = Counter(filter(self.at.__contains__, _words(text.lower())))
-        places, cosines = self.nearest(self.unit({self.at[t]: n for t, n in counts.items()}), self.k) if counts else ((), ())
+        words = _words(text.lower())
+        found = Counter(filter(self.at.__contains__, words))
+        if self.starts:
+            starts = filter(self.starts.__contains__, [w[:PREFIX] for w in words if len(w) > PREFIX])
+            found.update(self.starts[w] for w in starts)
+        counts = self.counts(found, len(words))
+        places, cosines = self.nearest(self.unit(counts), self.k) if counts else ((), ())
         if not len(places):
             return self.blank, [], []
         score = 1 / (1 + np.exp(-np.clip(self.slope * _logit(self.vote(places, cosines)) + self.shift, -30, 30)))
@@ -177,12 +198,13 @@ def _logit(p):
 def fitted(docs: DataFrame, labels: DataFrame) -> Neighbours:
     """The index on the driver: at most ``EXAMPLES`` rows that hold chosen terms alone."""
     sample = labelled_sample(docs, labels, "toxic", EXAMPLES).select("doc_id", "label", "text")
-    fields = "doc_id long, label int, copies long, terms array<string>, times array<int>"
+    fields = "doc_id long, label int, words long, copies long, terms array<string>, times array<int>"
     examples = checkpointed(sample.mapInArrow(_example_words, fields))
     terms = chosen_terms(examples)
     known = F.array(*[F.lit(t) for t in terms]).cast("array<string>")
     pairs = F.filter(F.arrays_zip("terms", "times"), lambda z: F.array_contains(known, z["terms"]))
-    rows = [(r["doc_id"], r["label"], {z["terms"]: z["times"] for z in r["pairs"]}) for r in examples.select("doc_id", "label", pairs.alias("pairs")).collect()]
+    found = examples.select("doc_id", "label", pairs.alias("pairs"), "words").collect()
+    rows = [(r["doc_id"], r["label"], {z["terms"]: z["times"] for z in r["pairs"]}, r["words"]) for r in found]
     return Neighbours(terms, rows)
 
 
