@@ -244,3 +244,15 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = SIMILARI
     return judged.select("doc_id", "n_shingles", component.cast("long").alias("component_id")).withColumn(
         "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
     )
+
+
+def kept_rows(docs: DataFrame, words: int = WORDS, percent: int = SIMILARITY) -> DataFrame:
+    """One row of ``docs`` for each component, unchanged: the document whose id names it.
+
+    Repeated rows of an id become one, that with the smallest text. Rows without an id all stay.
+    """
+    kept = near_duplicates(docs, words, percent).filter("kept and doc_id is not null").select("doc_id").distinct()
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("by"), row.alias("row"))
+    once = rows.join(kept, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by("row", "by").alias("row")).select("row.*")
+    return once.unionByName(docs.filter("doc_id is null"))

@@ -14,7 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from memograph.llm.common import GAP, fold, stored
+from memograph.llm.common import GAP, checkpointed, fold, stored
 
 RISK = 0.02
 DELTA = 0.05
@@ -23,27 +23,32 @@ LEVELS = [
     (0.50, 0.95, 0.50, 1.0, 20.0), (0.40, 0.90, 0.49, 1.2, 18.0), (0.30, 0.85, 0.48, 1.4, 16.0), (0.20, 0.80, 0.46, 1.6, 14.0),
     (0.15, 0.70, 0.44, 1.8, 13.0), (0.10, 0.60, 0.42, 2.0, 12.0), (0.06, 0.50, 0.40, 2.2, 11.0), (0.04, 0.45, 0.38, 2.5, 10.0),
 ]
+#: Proven levels of at most so many strata are sent to all tasks.
+FEW_STRATA = 10_000
 SYMBOLS = r"[#*$%&|<>]"
 SPACES = " \t\n\u000b\f\r"
 
 
-def counted(docs: DataFrame) -> DataFrame:
-    """Per row: doc_id, lang and the counts of its whole text; a null text counts as an empty one.
+def counted(docs: DataFrame, whole_rows: bool = False) -> DataFrame:
+    """Per row: doc_id, stratum and the counts of its whole text; a null text counts as an empty one.
+
+    With ``whole_rows`` all columns of ``docs`` come along in a struct ``row``.
 
     Windows of three words are compared by 64-bit hashes within their document.
     """
     text = F.coalesce("text", F.lit(""))
     trimmed = F.btrim(text, F.lit(SPACES))
-    lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
+    stratum = F.coalesce(F.col("lang").cast("string"), F.lit("")) if "lang" in docs.columns else F.lit("")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]) if whole_rows else F.lit(None)
     words = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), lang.alias("lang"), text.alias("text"),
+        F.col("doc_id").cast("long").alias("doc_id"), stratum.alias("stratum"), row.alias("row"), text.alias("text"),
         F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, GAP)).alias("words"),
     ).withColumn("n_words", F.size("words").cast("long"))
     windows = F.arrays_zip(*[F.slice("words", i, F.greatest(F.size("words") - 2, F.lit(0))).alias(f"w{i}") for i in (1, 2, 3)])
     hashed = words.withColumn("hashes", F.transform(windows, lambda w: F.xxhash64(w["w1"], w["w2"], w["w3"])))
     again = F.size("hashes") > F.size(F.array_distinct("hashes"))
     ordered = hashed.select(
-        "doc_id", "lang", "n_words", F.char_length(F.array_join("words", "")).cast("long").alias("word_chars"),
+        "doc_id", "stratum", "row", "n_words", F.char_length(F.array_join("words", "")).cast("long").alias("word_chars"),
         F.regexp_count("text", F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
         F.filter(F.split("text", "\n"), lambda line: F.btrim(line, F.lit(SPACES)) != "").alias("lines"),
         F.when(again, F.sort_array(F.transform("hashes", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))).alias("sorted"),
@@ -58,7 +63,7 @@ def counted(docs: DataFrame) -> DataFrame:
     steps = F.arrays_zip(F.slice("places", 1, F.size("places") - 1).alias("x"), F.slice("places", 2, F.size("places") - 1).alias("y"))
     repeated = 3 + F.aggregate(steps, F.lit(0), lambda total, z: total + F.least(z["y"] - z["x"], F.lit(3)))
     return places.select(
-        "doc_id", "lang", "n_words", "word_chars", "n_symbols",
+        "doc_id", "stratum", "row", "n_words", "word_chars", "n_symbols",
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.when(F.col("places").isNull(), F.lit(0)).otherwise(repeated).cast("long").alias("n_repeat_words"),
         F.size("lines").cast("long").alias("n_lines"),
@@ -121,17 +126,33 @@ def proven_levels(measured: DataFrame, labels: DataFrame, risk: float = RISK, de
     return tests.groupBy("stratum").agg(F.coalesce(F.min(failing), F.lit(len(LEVELS))).alias("level"))
 
 
+def _levels(docs: DataFrame, labels: DataFrame, risk: float, delta: float) -> tuple[DataFrame, DataFrame]:
+    """The counts of all documents as a stored table, and the proven levels, sent along where they are few."""
+    measured = stored(counted(docs).drop("row"), "measured")
+    levels = checkpointed(proven_levels(measured, labels, risk, delta).filter("level > 0"))
+    return measured, F.broadcast(levels) if levels.count() <= FEW_STRATA else levels
+
+
+def _judged(measured: DataFrame, levels: DataFrame) -> DataFrame:
+    known = measured.join(levels, "stratum", "left").withColumn("level", F.coalesce("level", F.lit(0)).cast("int"))
+    broken = F.coalesce(broken_level(), F.lit(len(LEVELS) + 1))
+    return known.withColumns({"base_failed": base_failed(), "kept": ~base_failed() & (broken > F.col("level"))})
+
+
 def quality_rules(docs: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFrame:
     """Per row of ``docs``: doc_id, the counts, base_failed, level (proven for its stratum) and kept.
 
-    Strata are the values of ``lang`` (null and a missing column are one stratum). Labels of quality 1 count whose
+    Strata are the values of ``lang`` (null, empty and a missing column are one stratum). Labels of quality 1 count whose
     doc_id is in ``docs`` and outside the evaluation fold; repeated labels count once, null ones not. An empty or null
     text has no words and fails the base rules. A row without a doc_id is judged like any other, but never learned from.
     """
-    measured = stored(counted(docs).withColumn("stratum", F.coalesce("lang", F.lit(""))).drop("lang"), "measured")
-    levels = proven_levels(measured, labels, risk, delta)
-    judged = measured.join(levels, "stratum", "left").withColumn("level", F.coalesce("level", F.lit(0)).cast("int"))
-    return judged.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed().alias("base_failed"), "level",
-        (~base_failed() & (F.coalesce(broken_level(), F.lit(len(LEVELS) + 1)) > F.col("level"))).alias("kept"),
+    measured, levels = _levels(docs, labels, risk, delta)
+    return _judged(measured, levels).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "level"
     )
+
+
+def kept_rows(docs: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFrame:
+    """The rows of ``docs`` that the rules keep, unchanged. Texts are counted again rather than shuffled to their verdict."""
+    _, levels = _levels(docs, labels, risk, delta)
+    return _judged(counted(docs, whole_rows=True), levels).filter("kept").select("row.*")

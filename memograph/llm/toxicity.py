@@ -33,7 +33,7 @@ MARGIN = 4.0
 #: Letters of a word's beginning that make a term of their own, for inflected and compounded words.
 PREFIX = 5
 TIE = 1e-9
-SCORE_FIELDS = "doc_id long, score double, evidence array<long>, cosines array<double>"
+CUTOFF = 0.5
 _words = re.compile(r"[^\W\d_]+").findall
 
 
@@ -208,23 +208,35 @@ def fitted(docs: DataFrame, labels: DataFrame) -> Neighbours:
     return Neighbours(terms, rows)
 
 
+def scorer(docs: DataFrame, labels: DataFrame):
+    """A column function of texts: struct of score, evidence and cosines, by the examples found in ``docs``."""
+    index = docs.sparkSession.sparkContext.broadcast(fitted(docs, labels))
+
+    @F.arrow_udf("struct<score: double, evidence: array<long>, cosines: array<double>>")
+    def score(texts: pa.Array) -> pa.Array:
+        made = [index.value.score(t.as_py() or "") for t in texts]
+        columns = list(zip(*made)) or [[]] * 3
+        kinds = [pa.float64(), pa.list_(pa.int64()), pa.list_(pa.float64())]
+        return pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["score", "evidence", "cosines"])
+
+    return lambda text: score(text.cast("string"))
+
+
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Per row of ``docs``: doc_id, held_out, score, predicted (score >= 0.5), evidence (ids of the nearest), cosines.
 
     A text without known terms (an empty or null one, too) has no evidence and the rate of label 1 among such
     examples. Without labels the score is 0.25. Equal texts get equal scores, rows of a null id as well.
     """
-    index = docs.sparkSession.sparkContext.broadcast(fitted(docs, labels))
-    schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("evidence", pa.list_(pa.int64())), ("cosines", pa.list_(pa.float64()))])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        score = index.value.score
-        for batch in batches:
-            made = [score(t.as_py() or "") for t in batch.column(1)]
-            columns = list(zip(*made)) or [[]] * 3
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, f.type) for c, f in zip(columns, list(schema)[1:]))], schema=schema)
-
-    scored = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SCORE_FIELDS)
+    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), scorer(docs, labels)(F.col("text")).alias("made"))
     return scored.select(
-        "doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence", "cosines"
+        "doc_id", held_out("doc_id").alias("held_out"), "made.score", (F.col("made.score") >= CUTOFF).cast("int").alias("predicted"),
+        "made.evidence", "made.cosines",
     )
+
+
+def kept_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that are not predicted toxic, unchanged."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    scored = docs.select(row.alias("row"), scorer(docs, labels)(F.col("text")).alias("made"))
+    return scored.filter(F.col("made.score") < CUTOFF).select("row.*")
