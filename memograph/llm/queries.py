@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from memograph.llm import bpe, dedup, packing, rules, toxicity
+from memograph.llm import bpe, dedup, neighbours, packing, rules, toxicity
 from memograph.llm.common import table
 from memograph.llm.suite import query
 
@@ -33,3 +33,9 @@ def op5_quality_rules(spark, folder):
 @query("op10_toxicity")
 def op10_toxicity(spark, folder):
     return toxicity.toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("op6_cross_polytope_neighbours")
+def op6_cross_polytope_neighbours(spark, folder):
+    embeddings = table(spark, folder, "embeddings")
+    return neighbours.nearest(embeddings, embeddings.filter("vec_id % 100 = 0"), k=10)
