@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from memograph.llm import bpe, dedup, neighbours, packing, rules, toxicity
+from memograph.llm import bpe, dedup, neighbours, packing, quality, rules, toxicity
 from memograph.llm.common import table
 from memograph.llm.suite import query
 
@@ -39,3 +39,8 @@ def op10_toxicity(spark, folder):
 def op6_cross_polytope_neighbours(spark, folder):
     embeddings = table(spark, folder, "embeddings")
     return neighbours.nearest(embeddings, embeddings.filter("vec_id % 100 = 0"), k=10)
+
+
+@query("op1_quality_classifier")
+def op1_quality_classifier(spark, folder):
+    return quality.quality(table(spark, folder, "documents"), table(spark, folder, "labels"))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memograph.llm.common import checkpointed, fold, held_out
+from memograph.llm.common import checkpointed, held_out, labelled_sample
 
 #: Most examples in the index, terms in the vocabulary, and neighbours that vote.
 EXAMPLES = 16_384
@@ -37,19 +37,6 @@ CUTOFF = 0.5
 _words = re.compile(r"[^\W\d_]+").findall
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, most: int) -> DataFrame:
-    """doc_id, label and text of at most ``most`` labelled documents outside the evaluation fold.
-
-    The ids are drawn by their hash from the labels, so their number is bounded before they are sent to the texts.
-    Of several labels of an id the largest counts, of several texts the largest; null labels and texts don't.
-    """
-    marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(target).cast("int").alias("label"))
-    drawn = marked.dropna().filter(fold("doc_id") != 0).groupBy("doc_id").agg(F.max("label").alias("label"))
-    drawn = drawn.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.join(F.broadcast(drawn), "doc_id").groupBy("doc_id", "label").agg(F.max("text").alias("text")).dropna()
-
-
 def _group(words: list[str]) -> int:
     """A number that most near copies share: the least checksum of three words in a row."""
     return min((zlib.crc32(" ".join(w).encode()) for w in zip(words, words[1:], words[2:])), default=zlib.crc32(" ".join(words).encode()))
