@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from memograph.llm import bpe, dedup, neighbours, packing, quality, rules, toxicity
+from memograph.llm import bpe, dedup, extraction, neighbours, packing, quality, rules, toxicity
 from memograph.llm.common import table
 from memograph.llm.suite import query
 
@@ -44,3 +44,8 @@ def op6_cross_polytope_neighbours(spark, folder):
 @query("op1_quality_classifier")
 def op1_quality_classifier(spark, folder):
     return quality.quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("op2_html_extraction")
+def op2_html_extraction(spark, folder):
+    return extraction.extract(table(spark, folder, "pages"))
