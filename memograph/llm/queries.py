@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from memograph.llm import bpe, dedup, extraction, neighbours, packing, quality, rules, toxicity
+from memograph.llm import bpe, dedup, extraction, licences, neighbours, packing, quality, rules, toxicity
 from memograph.llm.common import table
 from memograph.llm.suite import query
 
@@ -49,3 +49,8 @@ def op1_quality_classifier(spark, folder):
 @query("op2_html_extraction")
 def op2_html_extraction(spark, folder):
     return extraction.extract(table(spark, folder, "pages"))
+
+
+@query("op9_licence_scan", licences.oracle_sql())
+def op9_licence_scan(spark, folder):
+    return licences.scan(table(spark, folder, "documents"), licences.known_digests(spark))
