@@ -4,9 +4,10 @@ A document's set holds the hashes of its word shingles. One pass sorts the set i
 of each; an empty bin borrows from the first non-empty one in an order of bins that is its own (optimal
 densification). Bands of five bins are the buckets. Documents of equal sets are one node, however many there are.
 
-Every bucket is a star: its members are compared with its smallest node alone, on whole sets. That finds most
-components with as many edges as rows. Members of one bucket that are still in different components have not
-been compared with each other yet; those pairs, and only those, are compared next, so no link is lost to the star.
+Every bucket is a star: its members are compared with one centre alone, on whole sets, so a round has at most as many
+pairs as rows. Members that the star leaves in another component than its centre get another centre in the next
+round. What is still apart when a round links nothing more, or when that is few pairs for the rows there are, is
+compared pair by pair across components, so no link is lost to the star.
 Sets of at most ``SMALL`` shingles have too few full bins to rely on; they have exact keys besides, the smallest
 fifth of their hashes, one of which any two sets linked with each other share.
 """
@@ -18,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from memograph.llm.common import checkpointed, stored, text_slices
@@ -27,6 +28,8 @@ WORDS = 5
 SIMILARITY = 80
 BINS, BAND = 256, 5
 SMALL = 64
+#: Pairs across components for each row of the buckets that are few enough to be compared at once.
+LINEAR = 2
 SLICE = 4 << 20
 SIGNED_FIELDS = "doc_id long, n_shingles long, cls binary, keys array<long>"
 
@@ -163,7 +166,7 @@ def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those pairs (a, b) whose whole sets are similar enough, counted in integers."""
+    """The components (a, b) of those pairs (node, other, a, b) whose whole sets are similar enough, counted in integers."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,9 +179,9 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 near.append(100 * common >= percent * (x.size + y.size - common))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], schema=schema).filter(pa.array(near, pa.bool_()))
 
-    left, right = (sets.select(F.col("node").alias(n), F.col("hashes").alias(f"hashes_{n}")) for n in "ab")
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "hashes_a", "hashes_b")
-    return both.mapInArrow(run, "a long, b long")
+    left, right = (sets.select(F.col("node").alias(n), F.col("hashes").alias(f"{n}_hashes")) for n in ("node", "other"))
+    both = pairs.join(left, "node").join(right, "other").select("a", "b", "node_hashes", "other_hashes")
+    return both.mapInArrow(run, "a long, b long").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -199,6 +202,43 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def _alike(n: str, m: str, percent: int) -> Column:
+    """Whether sets of these sizes can be similar enough at all."""
+    return 100 * F.least(n, m) >= percent * F.greatest(n, m)
+
+
+def _pairs_across(placed: DataFrame) -> int:
+    """Pairs of members of a bucket that are in different components, summed over buckets."""
+    each = placed.groupBy("key", "label").agg(F.count("*").cast("double").alias("c"))
+    inside = each.groupBy("key").agg(((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("pairs"))
+    return int(inside.agg(F.sum("pairs")).first()[0] or 0)
+
+
+def _star(placed: DataFrame, percent: int, turn: int) -> DataFrame:
+    """Each bucket's centre (node) with its members of other components (other); another centre every turn."""
+    centre = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("order"), "node", "n", "label")).alias("centre")
+    centres = placed.groupBy("key").agg(centre, F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high")
+    met = placed.join(centres.select("key", "centre"), "key").filter(F.col("label") != F.col("centre.label"))
+    met = met.filter(_alike("n", "centre.n", percent))
+    return _ordered(met.select(F.col("centre.node").alias("x"), F.col("node").alias("y"), F.col("centre.label").alias("lx"), F.col("label").alias("ly")))
+
+
+def _across(placed: DataFrame, percent: int) -> DataFrame:
+    """All pairs of members of a bucket that are in different components."""
+    split = placed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("key")
+    rest = placed.join(split, "key", "left_semi")
+    met = rest.join(rest.toDF("key", "y", "m", "ly"), "key").filter((F.col("node") < F.col("y")) & (F.col("label") != F.col("ly")))
+    met = met.filter(_alike("n", "m", percent))
+    return _ordered(met.select(F.col("node").alias("x"), "y", F.col("label").alias("lx"), "ly"))
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    """Distinct pairs (node, other) with node < other and their components (a, b)."""
+    turned = F.col("x") < F.col("y")
+    pick = lambda p, q: F.when(turned, F.col(p)).otherwise(F.col(q))
+    return pairs.select(pick("x", "y").alias("node"), pick("y", "x").alias("other"), pick("lx", "ly").alias("a"), pick("ly", "lx").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = SIMILARITY) -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles, component_id, kept.
 
@@ -214,29 +254,28 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = SIMILARI
         real.groupBy("cls").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys")), "nodes"
     )
     keyed = nodes.select(F.explode("keys").alias("key"), "node", "n")
-    centres = keyed.groupBy("key").agg(F.count("*").alias("members"), F.min(F.struct("node", "n")).alias("centre")).filter("members > 1")
-    members = stored(keyed.join(centres.select("key", "centre"), "key"), "members")
+    shared = keyed.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1").select("key")
+    members = stored(keyed.join(shared, "key").select("key", "node", "n"), "members")
 
-    alike = lambda n, m: 100 * F.least(n, m) >= percent * F.greatest(n, m)
-    star = members.filter((F.col("node") != F.col("centre.node")) & alike(F.col("n"), F.col("centre.n")))
-    pairs = stored(star.select(F.col("centre.node").alias("a"), F.col("node").alias("b")).distinct(), "stars")
     wanted = members.select("node").distinct().join(nodes.select("node", "cls"), "node").withColumnRenamed("node", "doc_id")
     found = docs.select("doc_id", "text").join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
     sets = shingle_sets(found, words).join(wanted, ["doc_id", "cls"]).dropDuplicates(["doc_id", "cls"])
     sets = stored(sets.select(F.col("doc_id").alias("node"), "hashes"), "sets")
-    links = stored(confirmed(pairs, sets, percent), "links")
-    labels = components(links)
 
-    # Members of a bucket that the star left in different components.
-    placed = members.join(labels, "node", "left").select("key", "node", "n", F.coalesce("label", "node").alias("label"))
-    split = placed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("key")
-    rest = placed.join(split, "key", "left_semi")
-    other = rest.toDF("key", "other", "m", "other_label")
-    met = rest.join(other, "key").filter((F.col("node") < F.col("other")) & (F.col("label") != F.col("other_label")) & alike(F.col("n"), F.col("m")))
-    apart = met.select(F.col("node").alias("a"), F.col("other").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    more = stored(confirmed(apart, sets, percent), "links")
-    if not more.isEmpty():
-        labels = components(links.union(more))
+    labels = members.select("node", F.col("node").alias("label")).distinct()
+    tried, turn, few, fruitless, whole = None, 0, LINEAR * members.count(), False, False
+    while not whole:
+        placed = members.join(labels, "node").select("key", "node", "n", "label")
+        whole = fruitless or _pairs_across(placed) <= few
+        pairs = _across(placed, percent) if whole else _star(placed, percent, turn)
+        pairs = stored(pairs if tried is None else pairs.join(tried, ["node", "other"], "left_anti"), "pairs")
+        links = checkpointed(confirmed(pairs, sets, percent))
+        fruitless = links.isEmpty()
+        if not fruitless:
+            lower = components(links).select(F.col("node").alias("label"), F.col("label").alias("lower"))
+            labels = checkpointed(labels.join(lower, "label", "left").select("node", F.coalesce("lower", "label").alias("label")))
+        seen = pairs.select("node", "other")
+        tried, turn = seen if tried is None else tried.unionByName(seen), turn + 1
 
     classes = nodes.select("cls", "node").join(labels, "node", "left").select("cls", F.coalesce("label", "node").alias("component"))
     judged = rows.select("doc_id", "n_shingles", "cls").join(classes, "cls", "left")
