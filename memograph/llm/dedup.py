@@ -6,8 +6,8 @@ densification). Bands of five bins are the buckets. Documents of equal sets are
 
 Every bucket is a star: its members are compared with one centre alone, on whole sets, so a round has at most as many
 pairs as rows. Members that the star leaves in another component than its centre get another centre in the next
-round. What is still apart when a round links nothing more, or when that is few pairs for the rows there are, is
-compared pair by pair across components, so no link is lost to the star.
+round. What is still apart then is compared pair by pair across components, as far as parity sketches of the sets
+leave a link possible (a bound, not an estimate), so no link is lost to the star.
 Sets of at most ``SMALL`` shingles have too few full bins to rely on; they have exact keys besides, the smallest
 fifth of their hashes, one of which any two sets linked with each other share.
 """
@@ -28,8 +28,12 @@ WORDS = 5
 SIMILARITY = 80
 BINS, BAND = 256, 5
 SMALL = 64
-#: Pairs across components for each row of the buckets that are few enough to be compared at once.
-LINEAR = 2
+#: Bits of the parity sketch of a set.
+SKETCH = 1024
+#: Members of a bucket that one task holds at a time, twice.
+BLOCK = 1024
+#: Rounds of stars, and pairs across components for each row of the buckets that are few enough to need no more.
+STARS, LINEAR = 2, 2
 SLICE = 4 << 20
 SIGNED_FIELDS = "doc_id long, n_shingles long, cls binary, keys array<long>"
 
@@ -149,20 +153,28 @@ def signed(docs: DataFrame, words: int = WORDS, percent: int = SIMILARITY) -> Da
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SIGNED_FIELDS)
 
 
+def odd_bits(hashes: np.ndarray) -> np.ndarray:
+    """Parity sketch: for each of ``SKETCH`` places, whether an odd number of hashes falls there."""
+    places = np.bincount((hashes & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
+    return np.packbits((places & 1).astype(bool))
+
+
 def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
-    """Per row: doc_id, digest of the set, the set itself as sorted 64-bit hashes."""
-    schema = pa.schema([("doc_id", pa.int64()), ("cls", pa.binary()), ("hashes", pa.binary())])
+    """Per row: doc_id, digest of the set, the set itself as sorted 64-bit hashes, its parity sketch."""
+    schema = pa.schema([("doc_id", pa.int64()), ("cls", pa.binary()), ("hashes", pa.binary()), ("odd", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
         for batch in batches:
             for start, end in text_slices(batch.column(1), SLICE):
-                sets = [h.tobytes() for h in shingler.sets(_text_bytes(batch, start, end))]
+                hashes = list(shingler.sets(_text_bytes(batch, start, end)))
+                sets = [h.tobytes() for h in hashes]
                 digests = [hashlib.blake2b(s, digest_size=16).digest() for s in sets]
-                made = [batch.column(0)[start:end], pa.array(digests, pa.binary()), pa.array(sets, pa.binary())]
+                odd = pa.array([odd_bits(h).tobytes() for h in hashes], pa.binary())
+                made = [batch.column(0)[start:end], pa.array(digests, pa.binary()), pa.array(sets, pa.binary()), odd]
                 yield pa.RecordBatch.from_arrays(made, schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, cls binary, hashes binary")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, cls binary, hashes binary, odd binary")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -223,13 +235,63 @@ def _star(placed: DataFrame, percent: int, turn: int) -> DataFrame:
     return _ordered(met.select(F.col("centre.node").alias("x"), F.col("node").alias("y"), F.col("centre.label").alias("lx"), F.col("label").alias("ly")))
 
 
-def _across(placed: DataFrame, percent: int) -> DataFrame:
-    """All pairs of members of a bucket that are in different components."""
-    split = placed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("key")
-    rest = placed.join(split, "key", "left_semi")
-    met = rest.join(rest.toDF("key", "y", "m", "ly"), "key").filter((F.col("node") < F.col("y")) & (F.col("label") != F.col("ly")))
-    met = met.filter(_alike("n", "m", percent))
-    return _ordered(met.select(F.col("node").alias("x"), "y", F.col("label").alias("lx"), "ly"))
+def _across(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs of members of a bucket in different components, less those that cannot be similar enough.
+
+    Every bit in which two parity sketches differ stands for at least one shingle that only one of the sets has. With d
+    such shingles, intersection and union are (n + m - d) / 2 and (n + m + d) / 2. Buckets are met in pairs of blocks
+    of bounded size, and only the pairs that are left become rows.
+    """
+    split = placed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    rest = placed.join(split.filter("low < high").select("key", "blocks"), "key").join(sets.select("node", "odd"), "node")
+    rest = rest.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.struct(F.least(b, "block").alias("i"), F.greatest(b, "block").alias("j")))
+    spread = rest.select("key", "node", "n", "label", "block", "odd", F.explode(meets).alias("meet")).select("key", "meet.i", "meet.j", "node", "n", "label", "block", "odd")
+    schema = pa.schema([(c, pa.int64()) for c in ("x", "y", "lx", "ly")])
+
+    def compared(rows: pa.Table) -> pa.RecordBatch:
+        column = lambda c: rows.column(c).to_numpy()
+        node, size, label, block = map(column, ("node", "n", "label", "block"))
+        sketch = np.frombuffer(b"".join(rows.column("odd").to_pylist()), dtype=np.uint64).reshape(len(rows), -1)
+        first, second = rows.column("i")[0].as_py(), rows.column("j")[0].as_py()
+        found = []
+        for at in np.flatnonzero(block == first):
+            others = np.flatnonzero((block == second) & (label != label[at]))
+            if first == second:
+                others = others[others > at]
+            apart = np.maximum(np.bitwise_count(sketch[others] ^ sketch[at]).sum(axis=1, dtype=np.int64), np.abs(size[others] - size[at]))
+            both = size[others] + size[at]
+            near = others[100 * (both - apart) >= percent * (both + apart)]
+            found.append(np.stack([np.full(near.size, node[at]), node[near], np.full(near.size, label[at]), label[near]]))
+        made = np.concatenate(found, axis=1) if found else np.zeros((4, 0), dtype=np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(m) for m in made], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _runs(batches, 3):
+            yield compared(rows)
+
+    dealt = spread.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
+    return _ordered(dealt.mapInArrow(run, "x long, y long, lx long, ly long"))
+
+
+def _runs(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Table]:
+    """Consecutive rows that are equal in the first ``width`` columns."""
+    held: list[pa.RecordBatch] = []
+    key = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.stack([batch.column(c).to_numpy() for c in range(width)])
+        starts = np.r_[0, np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1, batch.num_rows]
+        for a, b in zip(starts[:-1], starts[1:]):
+            here = tuple(keys[:, a])
+            if held and here != key:
+                yield pa.Table.from_batches(held)
+                held = []
+            key = here
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held)
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
@@ -260,18 +322,17 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = SIMILARI
     wanted = members.select("node").distinct().join(nodes.select("node", "cls"), "node").withColumnRenamed("node", "doc_id")
     found = docs.select("doc_id", "text").join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
     sets = shingle_sets(found, words).join(wanted, ["doc_id", "cls"]).dropDuplicates(["doc_id", "cls"])
-    sets = stored(sets.select(F.col("doc_id").alias("node"), "hashes"), "sets")
+    sets = stored(sets.select(F.col("doc_id").alias("node"), "hashes", "odd"), "sets")
 
     labels = members.select("node", F.col("node").alias("label")).distinct()
-    tried, turn, few, fruitless, whole = None, 0, LINEAR * members.count(), False, False
+    tried, turn, whole, few = None, 0, False, LINEAR * members.count()
     while not whole:
         placed = members.join(labels, "node").select("key", "node", "n", "label")
-        whole = fruitless or _pairs_across(placed) <= few
-        pairs = _across(placed, percent) if whole else _star(placed, percent, turn)
+        whole = turn == STARS or _pairs_across(placed) <= few
+        pairs = _across(placed, sets, percent) if whole else _star(placed, percent, turn)
         pairs = stored(pairs if tried is None else pairs.join(tried, ["node", "other"], "left_anti"), "pairs")
         links = checkpointed(confirmed(pairs, sets, percent))
-        fruitless = links.isEmpty()
-        if not fruitless:
+        if not links.isEmpty():
             lower = components(links).select(F.col("node").alias("label"), F.col("label").alias("lower"))
             labels = checkpointed(labels.join(lower, "label", "left").select("node", F.coalesce("lower", "label").alias("label")))
         seen = pairs.select("node", "other")
