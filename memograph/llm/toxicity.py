@@ -25,7 +25,7 @@ from memograph.llm.common import checkpointed, held_out, labelled_sample
 EXAMPLES = 16_384
 TERMS = 4_096
 NEIGHBOURS = 15
-BLOCK = 64
+BLOCK, FIRST_BLOCKS = 64, 4
 #: A term must be in so many groups of copies, and its likelihood ratio must pass twice the logarithm of the terms
 #: that are, plus this margin: of terms without association not one in ten samples is expected to.
 LEAST_GROUPS = 3
@@ -103,9 +103,8 @@ class Neighbours:
         for t, pairs in postings.items():
             where, weight = np.array([p[0] for p in pairs]), np.array([p[1] for p in pairs])
             blocks, starts = np.unique(where // BLOCK, return_index=True)
-            stops = np.r_[starts[1:], len(where)]
-            self.postings[t] = {int(b): (where[s:e] % BLOCK, weight[s:e]) for b, s, e in zip(blocks, starts, stops)}
-            self.bounds[t] = (blocks, np.maximum.reduceat(weight, starts))
+            self.postings[t] = where, weight, where // BLOCK
+            self.bounds[t] = blocks, np.maximum.reduceat(weight, starts)
         self.slope, self.shift = 1.0, 0.0
         if len(known) > self.k:
             self._calibrate()
@@ -114,7 +113,7 @@ class Neighbours:
         """Terms of a text of so many words; none if it has no chosen term."""
         made = {self.at[t]: n for t, n in found.items() if t in self.at}
         rest = words - sum(n for t, n in made.items() if not self.terms[t].endswith("*"))
-        return made | {self.other: rest} if made and rest else made
+        return made | {self.other: rest} if made and rest > 0 else made
 
     def unit(self, counts: dict[int, int]) -> list[tuple[int, float]]:
         weights = [(t, (1 + np.log(n)) * self.idf[t]) for t, n in sorted(counts.items())]
@@ -128,21 +127,29 @@ class Neighbours:
         for t, w in vector:
             blocks, most = self.bounds[t]
             bound[blocks] += w * most
-        places, cosines, least = np.zeros(0, dtype=np.int64), np.zeros(0), 0.0
-        for block in np.argsort(-bound, kind="stable"):
-            if bound[block] <= 0 or bound[block] < least - TIE:
-                break
-            scores = np.zeros(BLOCK)
+        # The blocks of highest bounds give a k-th best cosine; of the others those that can reach it are scored.
+        first = np.zeros(self.blocks, dtype=bool)
+        first[np.argsort(-bound, kind="stable")[:FIRST_BLOCKS]] = True
+        places, cosines = self._scored(vector, first & (bound > 0))
+        least = np.partition(cosines, -k)[-k] if len(cosines) >= k else 0.0
+        rest = self._scored(vector, ~first & (bound > 0) & (bound >= least - TIE))
+        places, cosines = np.concatenate([places, rest[0]]), np.concatenate([cosines, rest[1]])
+        if len(cosines) > 4 * k:
+            reach = np.partition(cosines, -k)[-k] - TIE
+            places, cosines = places[cosines >= reach], cosines[cosines >= reach]
+        order = np.lexsort((self.ids[places], -np.round(cosines, 9)))[:k]
+        return places[order], cosines[order]
+
+    def _scored(self, vector: list[tuple[int, float]], blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places and cosines of the examples in these blocks that share a term."""
+        scores = np.zeros(len(self.ids))
+        if blocks.any():
             for t, w in vector:
-                if (found := self.postings[t].get(int(block))) is not None:
-                    scores[found[0]] += w * found[1]
-            here = np.flatnonzero(scores)
-            places, cosines = np.r_[places, here + block * BLOCK], np.r_[cosines, scores[here]]
-            order = np.lexsort((self.ids[places], -np.round(cosines, 9)))[:k]
-            places, cosines = places[order], cosines[order]
-            if len(places) == k:
-                least = cosines[-1]
-        return places, cosines
+                where, weight, block = self.postings[t]
+                here = blocks[block]
+                scores[where[here]] += w * weight[here]
+        places = np.flatnonzero(scores)
+        return places, scores[places]
 
     def vote(self, places: np.ndarray, cosines: np.ndarray) -> float:
         weights = 1 / (1.05 - np.minimum(cosines, 1.0))
