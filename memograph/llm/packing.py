@@ -23,7 +23,7 @@ from memograph.llm.common import Known, byte_letters, stored
 
 CAPACITY = 2048
 SEPARATOR = 0
-CACHED_WORDS = 400_000
+CACHED_WORDS = 800_000
 PIECE_FIELDS = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, task_rank long"
 
 
@@ -56,7 +56,9 @@ class ByteTokens:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
-        self.odd = re.compile(r"\s \s|  |\s | \s|^ | $").search
+        # White space of the pattern other than spaces and line ends; rare, so texts with it are encoded whole.
+        self.rare = re.compile("[\t\v\f\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]").search
+        self.first = Known(self._encode, CACHED_WORDS // 8)
         self.inner = Known(self._part, CACHED_WORDS)
 
     def _part(self, part: str) -> bytes:
@@ -71,10 +73,10 @@ class ByteTokens:
         """The ids as unsigned 32-bit little-endian integers."""
         if not text:
             return b""
-        if self.odd(text):
+        if "  " in text or " \n" in text or "\n " in text or text[0] == " " or text[-1] == " " or self.rare(text):
             return self._encode(text)
         first, *rest = text.split(" ")
-        return self._encode(first) + b"".join(map(self.inner.__getitem__, rest))
+        return self.first[first] + b"".join(map(self.inner.__getitem__, rest))
 
 
 _TOKENS: dict[str, ByteTokens] = {}
