@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from memograph.llm import bpe, dedup, extraction, licences, neighbours, packing, quality, rules, toxicity
+from memograph.llm import bpe, dedup, extraction, language_model, licences, neighbours, packing, quality, rules, toxicity
 from memograph.llm.common import table
 from memograph.llm.suite import query
 
@@ -54,3 +54,8 @@ def op2_html_extraction(spark, folder):
 @query("op9_licence_scan", licences.oracle_sql())
 def op9_licence_scan(spark, folder):
     return licences.scan(table(spark, folder, "documents"), licences.known_digests(spark))
+
+
+@query("op8_stupid_backoff")
+def op8_stupid_backoff(spark, folder):
+    return language_model.backoff_scores(table(spark, folder, "documents"))
