@@ -240,30 +240,71 @@ def manifest_summary(v):
     )
 
 
-def _case(number, needle, question, gold, characters, distractor):
-    fields = {
-        "exp_id": F.lit(number), "test_name": F.lit(f"{number}_01_direct"), "question_type": F.lit("direct"),
-        "needle": F.lit(needle), "retrieval_question": F.lit(question), "gold_answers": F.array(F.lit(gold)),
-        "character_set": F.array(*map(F.lit, characters)).cast("array<string>"),
-        "distractor": F.lit(distractor).cast("string"), "seed_offset": F.lit(int(number)).cast("bigint"),
-    }
-    return F.struct(*[value.alias(name) for name, value in fields.items()])
-
-
-@query("needle_placement")
-def needle_placement(v):
-    """Two needles, one with a drawn character and a distractor, at every length and depth."""
-    numbered = folding.with_row_index(v.haystacks.select("haystack"), ["haystack"], "haystack_no")
-    cases = F.array(
-        _case("0001", "The keeper of the lamp is {CHAR}.", "Who is {CHAR}?", "Ada", ["Ada", "Bo", "Cy"], "Nobody keeps the lamp."),
-        _case("0002", "The gate opens at nine.", "When does the gate open?", "nine", [], None),
+@query("needle_placement", """
+WITH cases AS (
+    SELECT item_id AS seed_offset, text || ' The keeper of passage ' || item_id || ' is Ada' || item_id || '.' AS needle,
+        'Nobody keeps passage ' || item_id || ' any more.' AS distractor, lpad(item_id::VARCHAR, 4, '0') || '_01_direct' AS test_name,
+        row_number() OVER (ORDER BY item_id) - 1 AS case_no, count(*) OVER () AS cases
+    FROM benchmark
+), books AS (
+    SELECT 'doc_' || lpad(doc_id::VARCHAR, 8, '0') AS haystack, doc_id, text, regexp_extract_all(text, '\\S+') AS words,
+        string_split_regex(text, '\\S+') AS gaps
+    FROM documents WHERE regexp_matches(text, '\\S')
+), lines AS (
+    SELECT haystack, char_pos, least(token_pos, total - 1) AS token_pos, total FROM (
+        SELECT haystack, coalesce(sum(length(line) + 1) OVER before, 0) AS char_pos, coalesce(sum(n) OVER before, 0) AS token_pos,
+            sum(n) OVER (PARTITION BY haystack) AS total
+        FROM (SELECT *, len(regexp_extract_all(line, '\\S+')) AS n FROM (
+            SELECT haystack, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM books))
+        WINDOW before AS (PARTITION BY haystack ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
     )
-    pairs = v.haystacks.join(numbered, "haystack").select("*", F.inline(cases))
-    placed = samples.place_needles(pairs, [250, 1000], 5, seed=42)
+), asked AS (
+    SELECT *, unnest(generate_series(0, 4)) AS d FROM (SELECT *, unnest([250, 1000]) AS len FROM lines)
+), spots AS (
+    SELECT haystack, len, d, max(total)::BIGINT AS total,
+        coalesce(arg_min(char_pos, (delta, char_pos)) FILTER (delta >= 0), max(char_pos))::BIGINT AS char_pos,
+        coalesce(arg_min(token_pos, (delta, char_pos)) FILTER (delta >= 0), arg_max(token_pos, char_pos))::BIGINT AS token_pos
+    FROM (SELECT *, token_pos / (len + 1.0::DOUBLE) - d * 0.25::DOUBLE AS delta FROM asked) GROUP BY ALL
+), cut AS (
+    SELECT *, greatest(least(token_pos - round_even(len * d * 0.25::DOUBLE, 0)::BIGINT, total - least(len, total)), 0) AS first_token,
+        test_name || '__' || haystack || '__L' || len || '__D' || lpad(d::VARCHAR, 2, '0') AS sample_id
+    FROM spots JOIN books USING (haystack) JOIN cases ON cases.case_no = books.doc_id % cases.cases
+), sliced AS (
+    SELECT *, length(array_to_string(words[1:first_token], '')) + length(array_to_string(gaps[1:first_token + 1], '')) AS low,
+        length(array_to_string(words[1:first_token + least(len, total)], '')) + length(array_to_string(gaps[1:first_token + least(len, total)], '')) AS high
+    FROM cut
+), ends AS (SELECT *, greatest(low, least(char_pos, high)) AS c FROM sliced
+), halves AS (SELECT *, substr(text, low + 1, c - low) AS head, substr(text, c + 1, high - c) AS tail FROM ends
+), lined AS (SELECT *, regexp_replace(head, '[^' || chr(10) || ']*$', '') AS whole_lines FROM halves
+), placed AS (
+    SELECT *, trim(CASE WHEN whole_lines = '' THEN head ELSE whole_lines END || ' ' || needle || chr(10) || tail, E' \\n\\t\\r') AS body,
+        ('0x' || substr(md5((42 + seed_offset) || '|' || sample_id || '|distractor'), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u
+    FROM lined
+), moved AS (
+    SELECT *, regexp_extract_all(body, '\\S+') AS w, string_split_regex(body, '\\S+') AS g,
+        CASE WHEN rb + ra <= 0 THEN CASE WHEN z <= 0.5 THEN 0.8 ELSE 0.2 END WHEN u * (rb + ra) <= rb THEN u * (rb + ra) + 0.2::DOUBLE
+            ELSE z + 0.2::DOUBLE + u * (rb + ra) - rb END AS place
+    FROM (SELECT *, d * 0.25::DOUBLE AS z, greatest(d * 0.25::DOUBLE - 0.4::DOUBLE, 0) AS rb, greatest(1 - d * 0.25::DOUBLE - 0.4::DOUBLE, 0) AS ra FROM placed)
+), spotted AS (
+    SELECT *, greatest(least(round_even(place * greatest(len(w) - 1, 1), 0)::BIGINT, len(w) - 1), 0) AS k FROM moved
+), put AS (
+    SELECT *, length(array_to_string(w[1:k], '')) + length(array_to_string(g[1:k + 1], '')) AS k_char FROM spotted
+)
+SELECT sample_id, len::VARCHAR AS length, d * 25.0::DOUBLE AS depth_percent, round(token_pos::DOUBLE / total, 9) AS static_depth,
+    greatest(token_pos - first_token, 0)::BIGINT AS token_depth, round(place, 6) AS distractor_depth,
+    md5(trim(substr(body, 1, k_char) || ' ' || distractor || chr(10) || substr(body, k_char + 1), E' \\n\\t\\r')) AS context_hash
+FROM put
+""")
+def needle_placement(v):
+    """Every haystack with one of the benchmark's needles, by its number, at every length and depth."""
+    cases = samples.expand_cases(v.experiments).filter("test_name LIKE '%_01_direct'").withColumn("item_id", F.col("seed_offset"))
+    numbered = folding.with_row_index(cases.select("item_id"), ["item_id"], "case_no").join(cases, "item_id")
+    count = v.table("benchmark").agg(F.count("*").alias("cases"))
+    chosen = v.haystacks.join(F.broadcast(count)).withColumn("case_no", F.pmod("doc_id", F.col("cases"))).drop("cases")
+    placed = samples.place_needles(chosen.join(numbered, "case_no"), [250, 1000], 5, seed=42)
     return placed.select(
-        "sample_id", "task", "length", "depth_percent", "selected_character", "static_depth", "token_depth",
-        "distractor_depth", F.md5("context").alias("context_hash"),
-        F.contains("context", F.col("needle")).alias("has_needle"),
+        "sample_id", "length", "depth_percent", F.round("static_depth", 9).alias("static_depth"), "token_depth", "distractor_depth",
+        F.md5("context").alias("context_hash"),
     )
 
 
