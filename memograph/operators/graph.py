@@ -65,10 +65,20 @@ def closure(
     return reached
 
 
-def lineage(roots: DataFrame, edges: DataFrame, max_depth: int = S.LINEAGE_DEPTH) -> DataFrame:
-    """``root_id, entry_id, depth`` of all direct and indirect dependencies."""
+def lineage(roots: DataFrame, edges: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """``root_id, entry_id, depth`` of all direct and indirect dependencies.
+
+    With ``max_depth`` deeper ones are left out, and ``truncated`` says for each root whether there are any.
+    """
+    keys = ["root_id", "entry_id"]
     seeds = roots.select(F.col("entry_id").alias("root_id"), "entry_id")
-    return closure(seeds, edges, ["root_id", "entry_id"], "parent_entry_id", "child_entry_id", max_depth)
+    reached = closure(seeds, edges, keys, "parent_entry_id", "child_entry_id", max_depth)
+    if max_depth is None:
+        return reached
+    steps = edges.select(F.col("parent_entry_id").alias("entry_id"), F.col("child_entry_id").alias("next"))
+    beyond = reached.filter(F.col("depth") == max_depth).join(steps, "entry_id").select("root_id", F.col("next").alias("entry_id"))
+    cut = beyond.join(reached.select(*keys), keys, "left_anti").select("root_id").distinct().withColumn("cut", F.lit(True))
+    return reached.join(cut, "root_id", "left").select("root_id", "entry_id", "depth", F.coalesce("cut", F.lit(False)).alias("truncated"))
 
 
 def invalidated(

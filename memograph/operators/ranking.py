@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from memograph import schema as S
 from memograph.functions.text import let, overlap_ratio, search_tokens
 
-QUERIES_PER_PASS = 2048
+QUERIES_PER_BLOCK = 1024
+VECTORS_PER_BLOCK = 16_384
 
 
 def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int) -> DataFrame:
@@ -123,65 +124,45 @@ def mean_vectors(vectors: DataFrame, key: str, vector: str = "embedding") -> Dat
     )
 
 
-def _partial_top_k(ids: list, matrix: np.ndarray, query_id: str, vector_id: str, vector: str, k: int):
-    """Task-side scoring: keep the best ``k`` vectors per query seen in this partition."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best_scores = [np.empty(0) for _ in ids]
-        best_ids = [np.empty(0, dtype="int64") for _ in ids]
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            members = batch.column(vector_id).to_numpy(zero_copy_only=False)
-            values = batch.column(vector).flatten().to_numpy(zero_copy_only=False)
-            table = values.astype("float64").reshape(batch.num_rows, -1)
-            scores = np.round(table @ matrix.T, 6)
-            for j in range(len(ids)):
-                joint = np.concatenate([best_scores[j], scores[:, j]])
-                names = np.concatenate([best_ids[j], members])
-                keep = np.lexsort((names, -joint))[:k]
-                best_scores[j], best_ids[j] = joint[keep], names[keep]
-        sizes = [len(s) for s in best_scores]
-        if sum(sizes):
-            yield pa.RecordBatch.from_pydict(
-                {
-                    query_id: pa.array(np.repeat(np.array(ids, dtype="int64"), sizes)),
-                    vector_id: pa.array(np.concatenate(best_ids)),
-                    "score": pa.array(np.concatenate(best_scores)),
-                }
-            )
-
-    return run
-
-
 def nearest(
     queries: DataFrame, vectors: DataFrame, query_id: str, vector_id: str, k: int,
-    vector: str = "embedding", per_pass: int = QUERIES_PER_PASS,
+    vector: str = "embedding", per_block: int = QUERIES_PER_BLOCK,
 ) -> DataFrame:
-    """Exact top-k by inner product of every query over all vectors.
+    """Exact top-k by inner product of every query over all vectors; rows without an id or a vector take no part.
 
-    One pass over the vectors serves ``per_pass`` queries as a matrix product; only k rows
-    per query and partition leave a task. More queries than that take further passes.
+    Queries and vectors are dealt into blocks, and each pair of blocks is one matrix product in a task, of which k rows
+    per query are kept. Nothing is gathered on the driver but the two counts that give the number of blocks.
     """
-    wanted = queries.select(F.col(query_id).cast("bigint").alias(query_id), vector)
-    first = wanted.limit(per_pass + 1).collect()
-    if len(first) <= per_pass:
-        blocks = [first]
-    else:
-        parts = 2 * -(-wanted.count() // per_pass)
-        slot = F.pmod(F.xxhash64(query_id), F.lit(parts))
-        blocks = (wanted.filter(slot == n).collect() for n in range(parts))
-    schema = f"{query_id} BIGINT, {vector_id} BIGINT, score DOUBLE"
-    found = None
-    for rows in blocks:
-        if not rows:
-            continue
-        ids = [r[0] for r in rows]
-        matrix = np.array([r[1] for r in rows], dtype="float64")
-        part = vectors.select(F.col(vector_id).cast("bigint").alias(vector_id), vector).mapInArrow(
-            _partial_top_k(ids, matrix, query_id, vector_id, vector, k), schema
-        )
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        return queries.sparkSession.createDataFrame([], schema).withColumn("rank", F.lit(1))
+    kind = "ARRAY<DOUBLE>"
+    asked = queries.select(F.col(query_id).cast("bigint").alias("q"), F.col(vector).cast(kind).alias("v")).dropna()
+    known = vectors.select(F.col(vector_id).cast("bigint").alias("i"), F.col(vector).cast(kind).alias("v")).dropna()
+    query_blocks, blocks = (-(-df.count() // n) or 1 for df, n in ((asked, per_block), (known, VECTORS_PER_BLOCK)))
+
+    def dealt(df: DataFrame, key: str, own: str, count: int, other: str, others: int) -> DataFrame:
+        copies = F.explode(F.sequence(F.lit(0), F.lit(others - 1)))
+        return df.select(key, "v", F.pmod(F.xxhash64(key), F.lit(count)).cast("int").alias(own), copies.alias(other))
+
+    left = dealt(asked, "q", "query_block", query_blocks, "block", blocks)
+    right = dealt(known, "i", "block", blocks, "query_block", query_blocks)
+    schema = pa.schema([(query_id, pa.int64()), (vector_id, pa.int64()), ("score", pa.float64())])
+
+    def matrix(table: pa.Table) -> np.ndarray:
+        values = table.column("v").combine_chunks()
+        return values.flatten().to_numpy(zero_copy_only=False).reshape(len(values), -1)
+
+    def best(asking: pa.Table, given: pa.Table) -> pa.Table:
+        made = [[], [], []]
+        if len(asking) and len(given):
+            names, ids = asking.column("q").to_numpy(), given.column("i").to_numpy()
+            scores = np.round(matrix(asking) @ matrix(given).T, 6)
+            for name, row in zip(names, scores):
+                reach = np.flatnonzero(row >= np.partition(row, -k)[-k]) if len(row) > k else np.arange(len(row))
+                keep = reach[np.lexsort((ids[reach], -row[reach]))[:k]]
+                for column, values in zip(made, (np.full(keep.size, name), ids[keep], row[keep])):
+                    column.append(values)
+        columns = [np.concatenate(c) if c else np.empty(0) for c in made]
+        return pa.table([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+
+    keys = ["block", "query_block"]
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(best, f"{query_id} BIGINT, {vector_id} BIGINT, score DOUBLE")
     return top_k(found, [query_id], [F.desc("score"), F.asc(vector_id)], k)

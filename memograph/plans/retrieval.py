@@ -93,13 +93,14 @@ Planner = Callable[[DataFrame], DataFrame]
 
 
 def first_packet_planner(asked: DataFrame) -> DataFrame:
-    """Answer with the result of the best packet that is an answer."""
+    """Answer with the result of the best packet that is an answer; ``answer_entry_id`` names its entry."""
     usable = F.get(F.filter("packets", lambda p: (p["result_type"] == "answer") & (p["result"] != "")), F.lit(0))
     found = usable.isNotNull()
     return asked.withColumns(
         {
             "action": F.when(found, "answer").otherwise("solve"),
             "answer": F.coalesce(usable["result"], F.lit("")),
+            "answer_entry_id": usable["entry_id"],
             "used_entry_ids": F.when(found, F.array(usable["entry_id"])).otherwise(F.array().cast("array<string>")),
             "confidence": F.coalesce(usable["confidence"], F.lit(0.0)),
             "reason": F.lit("best packet"),
@@ -140,7 +141,8 @@ def answer_from_memo(
     """Replay a request, or let a planner answer it from candidate entries.
 
     Dependencies are the ids the planner used that were really among its candidates. Evidence
-    is taken from their packets.
+    is taken from their packets. Packets hold shortened results; where a planner names the entry whose result it
+    answers with, the answer is that entry's whole result.
     """
     exact = matching.exact_replays(requests, entries)
     stored = entries.select(F.col("entry_id").alias("exact_entry_id"), F.col("result").alias("stored_answer"))
@@ -156,6 +158,9 @@ def answer_from_memo(
     )
     asked = pending.select("request_id", "prompt").join(listed, "request_id", "left")
     decided = planner(asked)
+    if "answer_entry_id" in decided.columns:
+        whole = entries.select(F.col("entry_id").alias("answer_entry_id"), F.col("result").alias("whole_answer"))
+        decided = decided.join(whole, "answer_entry_id", "left").withColumn("answer", F.coalesce("whole_answer", "answer"))
     accepted = F.lower("action").isin("answer", "final_answer") & (F.col("answer") != "")
     known = F.coalesce(F.transform("packets", lambda p: p["entry_id"]), F.array().cast("array<string>"))
     used = F.filter("used_entry_ids", lambda i: F.array_contains(known, i))

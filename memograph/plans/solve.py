@@ -8,6 +8,7 @@ is checkpointed so that no lost task makes a model answer twice.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import cached_property
@@ -54,7 +55,8 @@ def built_in_solver(result, not_found=None, evidence=None) -> Solver:
 def python_solver(answer: Callable[[dict], str | dict]) -> Solver:
     """Wrap a callback that gets one scope as a dict and returns a text or a dict.
 
-    The dict may hold result, not_found, confidence, reusable_as, evidence and metadata_json.
+    The dict may hold result, not_found, confidence (a number, a percentage or a label), reusable_as, evidence, and
+    metadata_json or a metadata map.
     """
 
     names = ["result", "not_found", "confidence", "reusable_as", "evidence", "metadata_json"]
@@ -63,9 +65,9 @@ def python_solver(answer: Callable[[dict], str | dict]) -> Solver:
         raw = answer(scope)
         raw = raw if isinstance(raw, dict) else {"result": str(raw)}
         return (
-            str(raw.get("result", "")), bool(raw.get("not_found", False)), raw.get("confidence", 1.0),
+            str(raw.get("result", "")), bool(raw.get("not_found", False)), str(raw.get("confidence", 1.0)),
             list(raw.get("reusable_as", [S.AGGREGATION_COMPONENT])), list(raw.get("evidence", [])),
-            raw.get("metadata_json", "{}"),
+            raw.get("metadata_json") or json.dumps(raw.get("metadata") or {}, sort_keys=True, ensure_ascii=False),
         )
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -75,7 +77,8 @@ def python_solver(answer: Callable[[dict], str | dict]) -> Solver:
 
     def solve(scopes: DataFrame) -> DataFrame:
         fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in scopes.schema)
-        return scopes.mapInPandas(run, f"{fields}, {OUTCOME}")
+        made = scopes.mapInPandas(run, f"{fields}, {OUTCOME}".replace("confidence DOUBLE", "confidence STRING"))
+        return made.withColumn("confidence", E.coerce_confidence(F.col("confidence")))
 
     return solve
 

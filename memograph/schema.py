@@ -57,7 +57,6 @@ PACKET_RESULT_CHARS = 800
 PACKET_EVIDENCE_CHARS = 240
 PACKET_EVIDENCE_SPANS = 3
 PACKET_CONTEXT_CHARS = 1000
-LINEAGE_DEPTH = 10
 
 EVIDENCE = "ARRAY<STRUCT<document_id: STRING, start: BIGINT, end: BIGINT, unit: STRING, text: STRING>>"
 

@@ -52,7 +52,7 @@ def read_records(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Records of every JSON and JSONL file below a path, tagged with ``source_file``.
 
     A JSON file is a list of records, an object holding such a list under one of the known
-    keys, or a single record.
+    keys, or a single record. The first such key counts, also with an empty list. Malformed lines and files are errors.
     """
     files = spark.read.option("recursiveFileLookup", "true")
     origin = F.col("_metadata.file_path").alias("source_file")
@@ -60,15 +60,16 @@ def read_records(spark: SparkSession, path: str, schema: str) -> DataFrame:
     lines = (
         files.option("pathGlobFilter", "*.jsonl").text(path).select(origin, "value").filter(strip("value") != "")
     )
-    from_lines = lines.select("source_file", F.from_json("value", schema).alias("row"))
+    from_lines = lines.select("source_file", F.from_json("value", schema, {"mode": "FAILFAST"}).alias("row"))
 
     whole = files.option("pathGlobFilter", "*.json").text(path, wholetext=True).select(origin, strip("value").alias("value"))
     holder = ", ".join(f"{key}: ARRAY<STRUCT<{schema}>>" for key in CONTAINER_KEYS)
     held = F.from_json("value", f"STRUCT<{holder}>")
     as_list = F.from_json("value", f"ARRAY<STRUCT<{schema}>>")
     single = F.array(F.from_json("value", f"STRUCT<{schema}>"))
-    listed = F.coalesce(*[F.when(F.size(held[key]) > 0, held[key]) for key in CONTAINER_KEYS], single)
-    rows = F.when(F.startswith(F.col("value"), F.lit("[")), as_list).otherwise(listed)
+    broken = F.raise_error(F.concat(F.lit("not JSON: "), "source_file")).cast(f"ARRAY<STRUCT<{schema}>>")
+    listed = F.coalesce(*[held[key] for key in CONTAINER_KEYS], single)
+    rows = F.when(F.try_parse_json("value").isNull(), broken).when(F.startswith(F.col("value"), F.lit("[")), as_list).otherwise(listed)
     from_whole = whole.select("source_file", F.explode(rows).alias("row"))
 
     return from_lines.unionByName(from_whole).select("source_file", "row.*")
@@ -88,12 +89,13 @@ def write_manifest(df: DataFrame, spark: SparkSession, path: str) -> None:
 
 
 def resolve_manifests(spark: SparkSession, path: str) -> DataFrame:
-    """The manifest a path stands for: the file itself, the folder's own, or the newest below it.
+    """The manifest a path stands for: the file itself, the folder's own ``manifest.json``, or the last one below it.
 
-    Returns ``manifest, body``.
+    Returns ``manifest, body``; a folder without any gives no row.
     """
     files = (
         spark.read.option("recursiveFileLookup", "true")
+        .option("pathGlobFilter", "*" if path.endswith(".json") else "manifest.json")
         .text(path, wholetext=True)
         .select(F.col("_metadata.file_path").alias("manifest"), F.col("value").alias("body"))
     )

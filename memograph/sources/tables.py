@@ -28,9 +28,17 @@ SCHEMAS = {
 }
 
 
+def _missing(error: AnalysisException) -> bool:
+    """Whether a read failed for want of the path; anything else is no empty table."""
+    return error.getCondition() == "PATH_NOT_FOUND"
+
+
 def newest(df: DataFrame, keys: Sequence[str], version: str) -> DataFrame:
-    """The row with the highest version per key; older ones are dropped before the shuffle."""
-    window = W.partitionBy(*keys).orderBy(F.desc(version))
+    """The row with the highest version per key; older ones are dropped before the shuffle.
+
+    Of several rows of one version that with the greatest content hash counts, whatever the order of rows.
+    """
+    window = W.partitionBy(*keys).orderBy(F.desc(version), F.desc(F.xxhash64(*df.columns)))
     return df.withColumn("age", F.row_number().over(window)).filter("age = 1").drop("age")
 
 
@@ -63,7 +71,9 @@ class MemoTables:
         where = f"{self.path}/corpus_config"
         try:
             stored = self.spark.read.schema("corpus_id STRING").json(where).first()
-        except AnalysisException:
+        except AnalysisException as error:
+            if not _missing(error):
+                raise
             stored = None
         if stored is None:
             self.spark.createDataFrame([(corpus_id,)], "corpus_id STRING").coalesce(1).write.mode(
@@ -72,6 +82,27 @@ class MemoTables:
         elif stored["corpus_id"] != corpus_id:
             raise ValueError(f"{self.path} holds corpus {stored['corpus_id']!r}, not {corpus_id!r}")
 
+    def commit(self, table: str, writer: str, batch: int) -> int:
+        """The table's commit number of a writer's batch: the next one, or for a repeated batch the one it has.
+
+        All writers of a table share one sequence, so the version written last wins whoever wrote it. One process writes
+        a table at a time.
+        """
+        where, fields = f"{self.path}/commits/{table}", "writer STRING, writer_batch BIGINT, batch BIGINT"
+        try:
+            known = self.spark.read.schema(fields).parquet(where)
+            mine = F.max(F.when((F.col("writer") == writer) & (F.col("writer_batch") == batch), F.col("batch")))
+            own, last = known.agg(mine, F.max("batch")).first()
+        except AnalysisException as error:
+            if not _missing(error):
+                raise
+            own = last = None
+        if own is not None:
+            return own
+        number = 1 + max(-1 if last is None else last, self.history(table).agg(F.max("batch")).first()[0] or 0)
+        self.spark.createDataFrame([(writer, batch, number)], fields).coalesce(1).write.mode("append").parquet(where)
+        return number
+
     def append(self, table: str, rows: DataFrame, batch: int) -> None:
         (
             rows.select(*S.column_names(SCHEMAS[table]))
@@ -86,7 +117,9 @@ class MemoTables:
         schema = f"{SCHEMAS[table]}, batch BIGINT"
         try:
             return self.spark.read.schema(schema).parquet(f"{self.path}/{table}")
-        except AnalysisException:
+        except AnalysisException as error:
+            if not _missing(error):
+                raise
             return self.spark.createDataFrame([], schema)
 
     def read(self, table: str) -> DataFrame:

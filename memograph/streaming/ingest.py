@@ -15,9 +15,15 @@ from memograph.sources.tables import MemoTables
 
 
 def stream_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A Parquet table of a folder as a file stream."""
-    schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+    """A Parquet table of a folder, one file or a folder of files, as a file stream; an error if it is not there."""
+    path = f"{folder}/{name}.parquet"
+    table = spark.read.parquet(path)
+    found = table.select("_metadata.file_path").first()
+    reader = spark.readStream.schema(table.schema)
+    if found and found["file_path"].endswith(f"/{name}.parquet"):
+        # Streams read folders, so a table of one file is picked out of its own.
+        return reader.option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+    return reader.parquet(path)
 
 
 def _start(stream: DataFrame, write, checkpoint: str) -> StreamingQuery:
@@ -29,25 +35,28 @@ def _start(stream: DataFrame, write, checkpoint: str) -> StreamingQuery:
     )
 
 
-def ingest_entries(entries: DataFrame, tables: MemoTables, checkpoint: str, first_batch: int = 0) -> StreamingQuery:
-    """Store arriving entries; the newest version of an id wins."""
-    return _start(entries, lambda rows, batch: tables.add_entries(rows, first_batch + batch), checkpoint)
+def ingest_entries(entries: DataFrame, tables: MemoTables, checkpoint: str, name: str = "entries") -> StreamingQuery:
+    """Store arriving entries; the version committed last wins."""
+    return _start(entries, lambda rows, batch: tables.add_entries(rows, tables.commit("memo_entries", name, batch)), checkpoint)
 
 
-def ingest_chunks(chunks: DataFrame, tables: MemoTables, checkpoint: str, first_batch: int = 0) -> StreamingQuery:
-    return _start(chunks, lambda rows, batch: tables.append("context_chunks", rows, first_batch + batch), checkpoint)
+def ingest_chunks(chunks: DataFrame, tables: MemoTables, checkpoint: str, name: str = "chunks") -> StreamingQuery:
+    return _start(chunks, lambda rows, batch: tables.append("context_chunks", rows, tables.commit("context_chunks", name, batch)), checkpoint)
 
 
 def apply_changes(
-    changes: DataFrame, tables: MemoTables, checkpoint: str, reason: str, as_of: str, first_batch: int
+    changes: DataFrame, tables: MemoTables, checkpoint: str, reason: str, as_of: str, name: str = "changes"
 ) -> StreamingQuery:
-    """Reject what arriving scope changes make stale, together with everything built on it."""
+    """Reject what arriving scope changes make stale, together with everything built on it.
+
+    An entry that is solved and stored again after that is live again.
+    """
 
     def write(changed: DataFrame, batch: int) -> None:
         entries = tables.read("memo_entries")
         stale = graph.invalidated(changed, entries, tables.edges())
         hit = entries.join(stale.select("entry_id"), "entry_id", "left_semi")
-        tables.add_entries(graph.reject(hit, stale, reason, as_of), first_batch + batch)
+        tables.add_entries(graph.reject(hit, stale, reason, as_of), tables.commit("memo_entries", name, batch))
 
     return _start(changes, write, checkpoint)
 

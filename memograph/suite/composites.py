@@ -116,7 +116,7 @@ SELECT r.request_id, CASE WHEN x.request_id IS NOT NULL THEN 'exact' WHEN b.requ
     CASE WHEN x.request_id IS NULL THEN 1 ELSE 0 END::BIGINT AS planner_calls
 FROM v_requests r LEFT JOIN v_exact x USING (request_id) LEFT JOIN v_memo m ON m.entry_id = x.exact_entry_id
 LEFT JOIN (
-    SELECT request_id, arg_min(substr(result, 1, 800), rank) AS answer, arg_min(entry_id, rank) AS used
+    SELECT request_id, arg_min(result, rank) AS answer, arg_min(entry_id, rank) AS used
     FROM ({TOP_ENTRIES}) WHERE result_type = 'answer' AND result <> '' GROUP BY 1
 ) b ON b.request_id = r.request_id
 """)
@@ -348,7 +348,7 @@ def stream_memo_upsert(v):
 
     ingest.ingest_entries(stream(f"{folder}/arriving", v.memo.schema), tables, f"{folder}/c1").awaitTermination()
     ingest.apply_changes(
-        stream(f"{folder}/changes", v.changed.schema), tables, f"{folder}/c2", "text changed", AS_OF, 1_000_000
+        stream(f"{folder}/changes", v.changed.schema), tables, f"{folder}/c2", "text changed", AS_OF
     ).awaitTermination()
     return tables.read("memo_entries").groupBy("verifier_status").agg(F.count("*").alias("entries"))
 

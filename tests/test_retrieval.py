@@ -31,7 +31,7 @@ def test_nearest_is_exact_in_one_pass_and_in_many(spark):
     scores = np.round(queries.astype("float64") @ vectors.astype("float64").T, 6)
     expected = {(i, int(j)) for i in range(9) for j in np.lexsort((np.arange(200), -scores[i]))[:6]}
     for per_pass in (2048, 2):
-        found = ranking.nearest(q, v, "query_id", "vec_id", 6, per_pass=per_pass).collect()
+        found = ranking.nearest(q, v, "query_id", "vec_id", 6, per_block=per_pass).collect()
         assert {(r.query_id, r.vec_id) for r in found} == expected
     more = ranking.nearest(q, v, "query_id", "vec_id", 500)
     assert more.count() == 9 * 200

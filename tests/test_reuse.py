@@ -129,3 +129,11 @@ def test_similar_text_join_equals_brute_force(spark):
                 if len(x & y) >= threshold * len(x | y):
                     expected.add((i, j))
         assert found == expected
+
+
+def test_lineage_has_no_depth_limit_and_marks_a_given_one(spark):
+    edges = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(14)], "parent_entry_id STRING, child_entry_id STRING")
+    roots = spark.createDataFrame([("n0",), ("n12",)], "entry_id STRING")
+    assert graph.lineage(roots, edges).filter("root_id = 'n0'").count() == 15
+    cut = graph.lineage(roots, edges, max_depth=3)
+    assert {(r.root_id, r.truncated) for r in cut.collect()} == {("n0", True), ("n12", False)}

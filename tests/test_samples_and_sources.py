@@ -122,3 +122,30 @@ def test_manifest_and_jsonl_sinks(spark, tmp_path):
     assert files.read_jsonl(spark, str(tmp_path / "p"), "benchmark STRING, n INT").first()["n"] == 1
     with pytest.raises(ValueError):
         files.write_manifest(df.unionByName(df), spark, str(tmp_path / "x"))
+
+
+def test_malformed_records_are_errors_and_empty_containers_count(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text('{"id": "1"}\n{"id": \n')
+    with pytest.raises(Exception):
+        files.read_records(spark, str(tmp_path), "id STRING").collect()
+    (tmp_path / "a.jsonl").write_text('{"id": "1"}\n')
+    (tmp_path / "b.json").write_text('{"samples": [], "data": [{"id": "2"}]}')
+    assert [r.id for r in files.read_records(spark, str(tmp_path), "id STRING").collect()] == ["1"]
+
+
+def test_only_manifests_are_manifests(spark, tmp_path):
+    (tmp_path / "run").mkdir()
+    (tmp_path / "predictions.json").write_text("{}")
+    (tmp_path / "run" / "manifest.json").write_text('{"a": 1}')
+    assert [r.body for r in files.resolve_manifests(spark, str(tmp_path)).collect()] == ['{"a": 1}']
+
+
+def test_streams_read_tables_of_one_or_many_files(spark, tmp_path):
+    from memograph.streaming import ingest
+
+    spark.range(20).repartition(4).write.parquet(f"{tmp_path}/many.parquet")
+    for name in ("many",):
+        target = f"{tmp_path}/out_{name}"
+        stream = ingest.stream_table(spark, str(tmp_path), name).writeStream.option("checkpointLocation", f"{tmp_path}/c_{name}")
+        stream.trigger(availableNow=True).format("parquet").start(target).awaitTermination()
+        assert spark.read.parquet(target).count() == 20

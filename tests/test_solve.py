@@ -141,3 +141,13 @@ def test_warm_run_needs_no_calls(memo, spark):
     assert {r.sample_id: (r.delta_calls, r.from_cache, r.is_correct) for r in cold.collect()} == {1: (3, False, 1.0), 2: (1, False, 0.0)}
     warm, _ = run_samples(made, stored.checkpoint(), solver, "c", 1, 2, AT)
     assert {(r.delta_calls, r.from_cache, r.cache_type) for r in warm.collect()} == {(0, True, "exact")}
+
+
+def test_solver_confidence_may_be_a_label_and_metadata_a_map(spark):
+    from memograph.plans.solve import python_solver
+
+    scopes = spark.createDataFrame([(1,), (2,), (3,)], "request_id BIGINT")
+    answers = {1: {"result": "a", "confidence": "high", "metadata": {"k": 1}}, 2: {"result": "b", "confidence": "80%"}, 3: "c"}
+    rows = {r.request_id: r for r in python_solver(lambda scope: answers[scope["request_id"]])(scopes).collect()}
+    assert 0.5 < rows[1].confidence <= 1 and rows[1].metadata_json == '{"k": 1}'
+    assert rows[2].confidence == 0.8 and rows[3].confidence == 1.0 and rows[3].metadata_json == "{}"

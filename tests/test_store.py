@@ -60,3 +60,8 @@ def test_chunks_are_keyed_by_five_columns(spark, tmp_path):
     assert len(KEYS["context_chunks"]) == 5
     tables.compact("context_chunks", str(tmp_path / "n"))
     assert MemoTables(spark, str(tmp_path / "n")).read("context_chunks").count() == 2
+
+
+def test_writers_share_one_sequence_of_commits(memo, spark, tmp_path):
+    tables = MemoTables(spark, str(tmp_path / "m"))
+    assert [tables.commit("memo_entries", w, b) for w, b in (("entries", 0), ("changes", 0), ("entries", 1), ("changes", 0))] == [1, 2, 3, 2]
