@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from memograph import schema as S
+from memograph.functions import entries as E
 from memograph.functions import facts
 from memograph.functions import identity as I
 from memograph.functions import text as T
@@ -40,12 +41,22 @@ def judged(near: DataFrame, judge: Judge, candidates: int = S.TOP_K_CANDIDATES)
     return judge(best).filter("hit")
 
 
-def lookup(lookups: DataFrame, cache: DataFrame, threshold: float = 0.8, judge: Judge | None = None) -> DataFrame:
+def in_scope(cache: DataFrame, active_scope: str | None) -> DataFrame:
+    """Cached rows made for the active data scope; all of them without one."""
+    return cache.filter(E.in_active_scope(F.coalesce("data_scope_hash", F.lit("")), active_scope)) if active_scope else cache
+
+
+def lookup(
+    lookups: DataFrame, cache: DataFrame, threshold: float = 0.8, judge: Judge | None = None, active_scope: str | None = None
+) -> DataFrame:
     """Exact hit, else the most similar question in the bucket, else a miss; hits are guarded.
 
+    With an active data scope, rows of other scopes and of none cannot answer.
+
     Rows with the same question in a bucket are reduced to the first one before matching. With
     a judge, similarity only proposes candidates and the first accepted one counts.
     """
+    cache = in_scope(cache, active_scope)
     first = cache.withColumn("plain", _plain("query")).groupBy("chunk_hash", "plain").agg(F.min("cache_id").alias("cache_id"))
     asked = lookups.withColumn("wanted", _plain("query")).drop("query")
     exact = asked.join(first.withColumnRenamed("plain", "wanted"), ["chunk_hash", "wanted"]).select("lookup_id", "cache_id")
@@ -118,8 +129,9 @@ def _unknown_only(entries: DataFrame, memo: DataFrame) -> DataFrame:
     return entries.join(known, keys, "left_anti").dropDuplicates(["entry_id"])
 
 
-def migrate_cache(cache: DataFrame, memo: DataFrame, created_at: str) -> DataFrame:
-    """Cached answers as exact entries, leaving out those the memo already answers."""
+def migrate_cache(cache: DataFrame, memo: DataFrame, created_at: str, active_scope: str | None = None) -> DataFrame:
+    """Cached answers, of the active data scope if there is one, as exact entries; not those the memo already answers."""
+    cache = in_scope(cache, active_scope)
     span = F.struct(
         F.col("document_id"), F.col("start"), F.col("end"), F.col("unit"), F.left("source_context", F.lit(500)).alias("text")
     )
@@ -141,8 +153,11 @@ def facts_of_cache(cache: DataFrame) -> DataFrame:
     return cache.select("cache_id", F.inline(facts.triples(F.col("result"))))
 
 
-def migrate_facts(known_facts: DataFrame, cache: DataFrame, memo: DataFrame, created_at: str) -> DataFrame:
-    """Known triples as supporting facts in the scope of their source row."""
+def migrate_facts(
+    known_facts: DataFrame, cache: DataFrame, memo: DataFrame, created_at: str, active_scope: str | None = None
+) -> DataFrame:
+    """Known triples as supporting facts in the scope of their source row, which must be of the active data scope if there is one."""
+    cache = in_scope(cache, active_scope)
     text = T.strip(F.concat_ws(" ", "subject", "relation", "object"))
     span = F.struct(
         F.col("document_id"), F.col("start"), F.col("end"), F.col("unit"), F.left("source_context", F.lit(500)).alias("text")

@@ -215,12 +215,15 @@ def top_sources(hits: DataFrame, order: list, count: int = 3) -> DataFrame:
 
 def search(
     requests: DataFrame, entries: DataFrame, queries: DataFrame, vectors: DataFrame, texts: DataFrame,
-    synthesise: Synthesiser = first_source, second_opinion: Synthesiser | None = None, **retrieval,
+    synthesise: Synthesiser = first_source, second_opinion: Synthesiser | None = None, active_scope: str | None = None, **retrieval,
 ) -> DataFrame:
     """Replay what is stored for a task; retrieve, synthesise and cross-check the rest.
 
-    ``requests`` has ``request_id, task_signature`` and equals ``queries`` by id.
+    ``requests`` has ``request_id, task_signature`` and equals ``queries`` by id. With an active data scope only answers
+    stored for it, by their content hash, are replayed.
     """
+    if active_scope:
+        entries = entries.filter(E.in_active_scope(F.col("content_hash"), active_scope))
     exact = matching.exact_replays_any_scope(requests, entries)
     stored = entries.select(F.col("entry_id").alias("exact_entry_id"), "result")
     known = exact.join(stored, "exact_entry_id").select(

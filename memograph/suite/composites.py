@@ -173,7 +173,7 @@ def search_answers(v):
     return retrieval.search(requests, v.memo, questions, v.vectors, texts, threshold=0.2)
 
 
-@query("cache_lookup", rf"""
+LOOKUP_SQL = rf"""
 SELECT l.lookup_id, coalesce(h.outcome, 'miss') AS outcome, h.cache_id, c.result, CASE WHEN h.cache_id IS NULL THEN NULL ELSE 'pass' END AS guard, g.grounding
 FROM v_lookups l LEFT JOIN (
     SELECT lookup_id, arg_min(outcome, outcome) AS outcome, arg_min(cache_id, outcome || lpad(cache_id::VARCHAR, 12, '0')) AS cache_id FROM (
@@ -193,11 +193,20 @@ LEFT JOIN (
         WHEN len(list_filter(f, lambda x: contains(source_text, x))) = 0 THEN 'INFERRED' ELSE 'PARTIAL' END AS grounding
     FROM (SELECT *, {O.figures('answer')} AS f FROM v_answers)
 ) g ON g.o_orderkey = h.cache_id
-""")
+"""
+
+
+@query("cache_lookup", LOOKUP_SQL)
 def cache_lookup(v):
     return caching.lookup(v.lookups, v.cache)
 
 
+@query("cache_lookup_scoped", LOOKUP_SQL.replace("JOIN v_cache c", "JOIN (SELECT * FROM v_cache WHERE data_scope_hash = 'scope-a') c"))
+def cache_lookup_scoped(v):
+    """Only rows made for the active data scope may answer."""
+    return caching.lookup(v.lookups, v.cache, active_scope="scope-a")
+
+
 @query("recursive_summarize", """
 SELECT doc_id, levels::INTEGER AS levels, length(summary)::BIGINT AS chars, md5(summary) AS summary_hash FROM (
     SELECT doc_id, 0 AS levels, text AS summary FROM documents WHERE length(text) // 4 <= 4000

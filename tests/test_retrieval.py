@@ -122,3 +122,15 @@ def test_embeddings_are_unit_vectors(spark):
     encode = model_embedding(lambda texts: np.array([[len(t), 1.0] for t in texts]), batch=2)
     for r in df.select(encode(F.col("t")).alias("e")).collect():
         assert abs(sum(x * x for x in r.e) - 1) < 1e-5
+
+
+def test_answers_stay_in_their_data_scope(memo, spark):
+    cache = spark.createDataFrame(
+        [(1, "who signed", "of a", "", "h", "a"), (2, "who signed", "of none", "", "h", ""), (3, "who paid", "of b", "", "h", "b")],
+        "cache_id BIGINT, query STRING, result STRING, source_context STRING, chunk_hash STRING, data_scope_hash STRING",
+    )
+    lookups = spark.createDataFrame([(10, "who signed", "h"), (11, "who paid", "h")], "lookup_id BIGINT, query STRING, chunk_hash STRING")
+    outcomes = {s: {r.lookup_id: r.cache_id for r in caching.lookup(lookups, cache, active_scope=s).collect()} for s in ("a", "b", "c", None)}
+    assert outcomes == {"a": {10: 1, 11: None}, "b": {10: None, 11: 3}, "c": {10: None, 11: None}, None: {10: 1, 11: 3}}
+    empty = memo.entries((0, 1, "exact_answer")).filter("false")
+    assert [r.result for r in caching.migrate_cache(cache, empty, "2024-01-01T00:00:00Z", active_scope="b").collect()] == ["of b"]
