@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 #: Known tables of at most so many rows are sent to all tasks; larger ones are joined by a shuffle.
 FEW_KNOWN = 100_000
 COPYRIGHT = r"^[^a-z0-9]*(copyright|\(c\)|©)[ \t]*(\(c\)|©|[0-9]{4}|<year>|\[year\]|\[yyyy\])"
-MARKS = r"[\x01-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F‘’“”–—•·©«»]+"
+MARKS = r"[\x01-\x09\x0B-\x1F\x21-\x2F\x3A-\x60\x7B-\x7F‘’“”–—•·©«»]+"
 #: Equivalent spellings in licences, the second counts.
 SPELLINGS = [
     ("licence", "license"), ("licences", "licenses"), ("licenced", "licensed"), ("sub license", "sublicense"), ("sub licensable", "sublicensable"),
@@ -71,14 +71,20 @@ def known_texts() -> list[tuple[str, str]]:
 def canonical_lines(text: Column) -> Column:
     """The canonical lines of a text, those without words left out."""
     lines = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "\n"), lambda line: ~line.rlike(COPYRIGHT))
-    return F.filter(F.transform(lines, _canonical), lambda line: line != "")
+    words = F.transform(lines, lambda line: F.btrim(F.regexp_replace(F.regexp_replace(line, MARKS, " "), " {2,}", " ")))
+    return F.transform(F.filter(words, lambda line: line != ""), _respelled)
 
 
-def _canonical(line: Column) -> Column:
-    made = F.concat(F.lit("  "), F.replace(F.regexp_replace(line, MARKS, " "), F.lit(" "), F.lit("  ")), F.lit("  "))
+def _respelled(line: Column) -> Column:
+    """Words of a line in their counting spelling; lines that hold none of the others stay as they are."""
+    odd = line.contains(SPELLINGS[0][0])
+    for spelling, _ in SPELLINGS[1:]:
+        # Three letters may well be inside other words.
+        odd = odd | (line.contains(spelling) if spelling != "ver" else line.contains(" ver") | line.startswith("ver"))
+    made = F.concat(F.lit("  "), F.replace(line, F.lit(" "), F.lit("  ")), F.lit("  "))
     for spelling, other in SPELLINGS:
         made = F.replace(made, F.lit(f" {spelling.replace(' ', '  ')} "), F.lit(f" {other.replace(' ', '  ')} "))
-    return F.btrim(F.regexp_replace(made, " +", " "))
+    return F.when(odd, F.btrim(F.regexp_replace(made, " +", " "))).otherwise(line)
 
 
 def digest(canonical: Column) -> Column:
@@ -109,7 +115,7 @@ def scan(docs: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def _sql_canonical(line: str) -> str:
-    made = f"'  ' || replace(regexp_replace({line}, '{MARKS}', ' ', 'g'), ' ', '  ') || '  '"
+    made = f"'  ' || replace(regexp_replace(regexp_replace({line}, '{MARKS}', ' ', 'g'), ' +', ' ', 'g'), ' ', '  ') || '  '"
     for spelling, other in SPELLINGS:
         made = f"replace({made}, ' {spelling.replace(' ', '  ')} ', ' {other.replace(' ', '  ')} ')"
     return f"trim(regexp_replace({made}, ' +', ' ', 'g'))"
