@@ -188,11 +188,17 @@ def fitted(docs: DataFrame, labels: DataFrame) -> tuple[Words, Network | float]:
     shared = docs.sparkSession.sparkContext.broadcast(words)
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = shared.value.contexts(text for b in batches for text in b.column(0).to_pylist())
-        yield pa.RecordBatch.from_arrays([pa.array([made.tobytes()], pa.binary())], names=["sums"])
-
-    sums = sample.select("text").mapInArrow(summed, "sums binary").collect()
-    words.learn(sum(np.frombuffer(r["sums"]).reshape(-1, WIDTH) for r in sums))
+        made = shared.value.contexts(text for b in batches for text in b.column(0).to_pylist()).astype(np.int64)
+        seen = np.flatnonzero(made.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(list(made[seen]), pa.list_(pa.int64()))], names=["word", "sums"])
+
+    # Tasks' sums are added up in Spark, so that one row per word reaches the driver however many tasks there are.
+    parts = sample.select("text").mapInArrow(summed, "word long, sums array<long>")
+    sums = parts.groupBy("word").agg(*[F.sum(F.col("sums")[i]).alias(f"s{i}") for i in range(WIDTH)]).collect()
+    contexts = np.zeros((len(words.words), WIDTH))
+    for row in sums:
+        contexts[row["word"]] = row[1:]
+    words.learn(contexts)
     x, y, aside = _per_text(sample, words)
     if len(set(y)) < 2:
         return words, float((y.sum() + 0.5) / (len(y) + 1))
