@@ -308,8 +308,7 @@ def needle_placement(v):
     """Every haystack with one of the benchmark's needles, by its number, at every length and depth."""
     cases = samples.expand_cases(v.experiments).filter("test_name LIKE '%_01_direct'").withColumn("item_id", F.col("seed_offset"))
     numbered = folding.with_row_index(cases.select("item_id"), ["item_id"], "case_no").join(cases, "item_id")
-    count = v.table("benchmark").agg(F.count("*").alias("cases"))
-    chosen = v.haystacks.join(F.broadcast(count)).withColumn("case_no", F.pmod("doc_id", F.col("cases"))).drop("cases")
+    chosen = v.haystacks.withColumn("case_no", F.pmod("doc_id", F.lit(max(v.table("benchmark").count(), 1))))
     placed = samples.place_needles(chosen.join(numbered, "case_no"), [250, 1000], 5, seed=42)
     return placed.select(
         "sample_id", "length", "depth_percent", F.round("static_depth", 9).alias("static_depth"), "token_depth", "distractor_depth",
