@@ -1,67 +1,169 @@
 """Language-model scores with stupid backoff, computed relationally.
 
-The vocabulary is the most frequent words of the corpus, all others are one word. Every document is exploded into its
-distinct bigrams with their counts. These rows are dealt by the hash of the bigram once: the same exchange feeds the
-table of bigram counts and its join with the rows, and scores are summed per document. A bigram counts if the corpus
-has it more often than the document itself; otherwise the score backs off to the word's own frequency.
+Words are known by a 64-bit hash, bigrams by the two hashes of their words, so no vocabulary is kept and none is cut.
+Every document is exploded into its distinct bigrams with their counts; these rows are dealt by the bigram once and summed
+beside themselves. A bigram counts if the corpus has it more often than the document itself; otherwise the score backs off
+to the word's own frequency. Counts of words are joined by hash. What is sent to all tasks is bounded and changes no score:
+the exact counts of the most frequent words, and of the bigrams so frequent that they would burden one task; the latter are
+scored where the text is read, the others go through the exchange.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from memograph.llm.common import stored
+from memograph.llm.common import Known, stored, text_slices
 
-#: Words with a number of their own; the rest share number 0. Begin and end of a text are number 1.
-VOCABULARY = 200_000
 BACKOFF = 0.4
-REST, EDGE = 0, 1
-SLOTS = 1 << 20
+#: Words whose counts are sent to all tasks, the counts of all others are joined by a shuffle.
+SENT = 50_000
+#: A word or bigram is hot if it makes up one of so many steps; so there are no more of them than this.
+HOT_WORDS, HOT_BIGRAMS = 2_000, 20_000
+#: Words whose hash a task remembers, and bytes of text that it works on at a time.
+REMEMBERED, SLICE = 200_000, 4 << 20
+ODD = np.int64(-7046029254386353131)
 
 
 def _words(text: str) -> list[str]:
     return text.lower().split()
 
 
+def code(word: str) -> int:
+    """The signed 64-bit hash of a word; the empty word is the begin and end of every text."""
+    return int.from_bytes(blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+EDGE = code("")
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
     """How often the corpus has each word, and the empty word for each text with words; tasks add up their own first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts: Counter = Counter()
-            for text in batch.column(0):
-                words = _words(text.as_py() or "")
-                counts.update(words)
-                counts[""] += bool(words)
-            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
+            for start, end in text_slices(batch.column(0), SLICE):
+                counts: Counter = Counter()
+                for text in batch.column(0)[start:end]:
+                    words = _words(text.as_py() or "")
+                    counts.update(words)
+                    counts[""] += bool(words)
+                yield pa.RecordBatch.from_arrays([pa.array(map(code, counts), pa.int64()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
+
+    return docs.select(F.col("text").cast("string")).mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def _coded(texts: pa.Array, known: Known) -> tuple[np.ndarray, np.ndarray]:
+    """The words of all texts in a row, an edge before the first and after every text with words; words of each text."""
+    made, sizes = [np.array([EDGE])], np.zeros(len(texts), dtype=np.int64)
+    for i, text in enumerate(texts):
+        words = _words(text.as_py() or "")
+        if words:
+            sizes[i] = len(words)
+            words.append("")
+            made.append(np.fromiter(map(known.__getitem__, words), dtype=np.int64, count=len(words)))
+    return np.concatenate(made), sizes
+
+
+def _pairs(texts: pa.Array, known: Known) -> tuple[np.ndarray, ...]:
+    """Distinct bigrams of each text: place of the text, first word, second word, times; and the words of each text."""
+    codes, sizes = _coded(texts, known)
+    u, v = codes[:-1], codes[1:]
+    place = np.repeat(np.arange(len(sizes)), np.where(sizes > 0, sizes + 1, 0))
+    order = np.lexsort((v, u, place))
+    u, v, place = u[order], v[order], place[order]
+    fresh = np.ones(len(u), dtype=bool)
+    fresh[1:] = (u[1:] != u[:-1]) | (v[1:] != v[:-1]) | (place[1:] != place[:-1])
+    starts = np.flatnonzero(fresh)
+    return place[starts], u[starts], v[starts], np.diff(np.r_[starts, len(u)]), sizes
+
+
+class Hot:
+    """Bigrams that make up a large part of the corpus, with the counts of them and of their words."""
+
+    def __init__(self, rows: list[tuple[int, int, int]], times: dict[int, int], steps: int):
+        table = np.array(rows, dtype=np.int64).reshape(-1, 3)
+        key = table[:, 0] * ODD + table[:, 1]
+        self.table, self.key, self.steps = table[np.argsort(key)], np.sort(key), steps
+        self.times = np.array([[times[u], times[v]] for u, v in self.table[:, :2].tolist()], dtype=np.int64).reshape(-1, 2)
+
+    def find(self, u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the bigrams are here, and where."""
+        if not len(self.key):
+            return np.zeros(len(u), dtype=bool), np.zeros(0, dtype=np.int64)
+        at = np.minimum(np.searchsorted(self.key, u * ODD + v), len(self.key) - 1)
+        here = (self.table[at, 0] == u) & (self.table[at, 1] == v)
+        return here, at[here]
+
+    def scores(self, at: np.ndarray, n: np.ndarray) -> np.ndarray:
+        others = self.table[at, 2] - n
+        seen = np.maximum(others, 1) / np.maximum(self.times[at, 0] - n, np.maximum(others, 1))
+        return n * np.log(np.where(others > 0, seen, BACKOFF * self.times[at, 1] / self.steps))
+
+
+def hot_bigrams(docs: DataFrame, times: dict[int, int], steps: int) -> Hot:
+    """The bigrams of frequent words that make up one of ``HOT_BIGRAMS`` steps; at most so many, with exact counts."""
+    frequent = np.array(sorted(w for w, n in times.items() if n * HOT_WORDS >= steps), dtype=np.int64)
+    shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
-    return docs.select(F.col("text").cast("string")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, known = shared.value, Known(code, REMEMBERED)
+        for batch in batches:
+            for start, end in text_slices(batch.column(0), SLICE):
+                codes, _ = _coded(batch.column(0)[start:end], known)
+                at = np.minimum(np.searchsorted(words, codes), len(words) - 1)
+                here = words[at] == codes
+                pairs, n = np.unique((at[:-1] * len(words) + at[1:])[here[:-1] & here[1:]], return_counts=True)
+                made = [pa.array(words[pairs // len(words)]), pa.array(words[pairs % len(words)]), pa.array(n)]
+                yield pa.RecordBatch.from_arrays(made, names=["u", "v", "n"])
+
+    if not len(frequent):
+        return Hot([], times, steps)
+    counted = docs.select(F.col("text").cast("string")).mapInArrow(run, "u long, v long, n long").groupBy("u", "v").agg(F.sum("n").alias("n"))
+    rows = counted.filter(F.col("n") * HOT_BIGRAMS >= steps).collect()
+    return Hot([(r["u"], r["v"], r["n"]) for r in rows], times, steps)
+
+
+def bigrams(docs: DataFrame, hot: Hot) -> DataFrame:
+    """A row (row, u, v, n) per document and distinct bigram that is not hot; u and v are the hashes of its words."""
+    shared = docs.sparkSession.sparkContext.broadcast(hot)
+    schema = pa.schema([("row", pa.int64()), ("u", pa.int64()), ("v", pa.int64()), ("n", pa.int64())])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Known(code, REMEMBERED)
+        for batch in batches:
+            rows = batch.column(0).to_numpy()
+            for start, end in text_slices(batch.column(1), SLICE):
+                place, u, v, n, _ = _pairs(batch.column(1)[start:end], known)
+                cold = ~shared.value.find(u, v)[0]
+                yield pa.RecordBatch.from_arrays([pa.array(x[cold]) for x in (rows[start:end][place], u, v, n)], schema=schema)
+
+    return docs.select("row", F.col("text").cast("string")).mapInArrow(run, "row long, u long, v long, n long")
 
-def bigrams(docs: DataFrame, numbers: dict[str, int]) -> DataFrame:
-    """A row (row, bigram, n) per document and distinct bigram; a bigram is first number * SLOTS + second."""
-    shared = docs.sparkSession.sparkContext.broadcast(numbers)
-    schema = pa.schema([("row", pa.int64()), ("bigram", pa.int64()), ("n", pa.int64())])
+
+def hot_scores(docs: DataFrame, hot: Hot) -> DataFrame:
+    """Per row of ``docs``: row, doc_id, n_words, and the sum of the logarithms of its hot bigrams."""
+    shared = docs.sparkSession.sparkContext.broadcast(hot)
+    names = ["row", "doc_id", "n_words", "hot_score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = shared.value.get
+        known = Known(code, REMEMBERED)
         for batch in batches:
-            rows = batch.column(0).to_pylist()
-            for row, text in zip(rows, batch.column(1)):
-                words = _words(text.as_py() or "")
-                if not words:
-                    continue
-                codes = np.fromiter((get(w, REST) for w in words), dtype=np.int64, count=len(words))
-                pairs, n = np.unique(np.r_[EDGE, codes] * SLOTS + np.r_[codes, EDGE], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(pairs.size, row)), pa.array(pairs), pa.array(n)], schema=schema)
+            for start, end in text_slices(batch.column(2), SLICE):
+                place, u, v, n, sizes = _pairs(batch.column(2)[start:end], known)
+                here, at = shared.value.find(u, v)
+                sums = np.bincount(place[here], shared.value.scores(at, n[here]), len(sizes))
+                own = [batch.column(i)[start:end] for i in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(sizes), pa.array(sums.astype(np.float64))], names=names)
 
-    return docs.select("row", F.col("text").cast("string")).mapInArrow(run, "row long, bigram long, n long")
+    return docs.select("row", "doc_id", "text").mapInArrow(run, "row long, doc_id long, n_words long, hot_score double")
 
 
 def backoff_scores(docs: DataFrame) -> DataFrame:
@@ -77,27 +179,23 @@ def backoff_scores(docs: DataFrame) -> DataFrame:
         F.coalesce(F.xxhash64("doc_id", "text"), F.lit(0)).alias("row"),
     )
     counted = stored(word_counts(rows), "words")
-    frequent = counted.filter("word != ''").orderBy(F.desc("n"), "word").limit(VOCABULARY).collect()
-    numbers = {r["word"]: i for i, r in enumerate(frequent, 2)}
-    total = F.sum(F.when(F.col("word") != "", F.col("n"))), F.sum(F.when(F.col("word") == "", F.col("n")))
-    words, texts = (int(x or 0) for x in counted.agg(*total).first())
-    rest = words - sum(r["n"] for r in frequent)
-    known = [(REST, rest), (EDGE, texts), *((i, r["n"]) for i, r in enumerate(frequent, 2))]
-    single = docs.sparkSession.createDataFrame(known, "number long, times long")
-
-    dealt = bigrams(rows, numbers).repartition("bigram")
-    counts = dealt.groupBy("bigram").agg(F.sum("n").alias("c"))
-    each = dealt.join(counts, "bigram").withColumns({"u": F.floor(F.col("bigram") / SLOTS), "v": F.col("bigram") % SLOTS})
-    for side in "uv":
-        each = each.join(F.broadcast(single.withColumnsRenamed({"number": side, "times": f"times_{side}"})), side)
-    others = F.col("c") - F.col("n")
-    seen = F.log(others / F.greatest(F.col("times_u") - F.col("n"), others))
-    unseen = F.log(BACKOFF * F.greatest("times_v", F.lit(1)) / float(max(words + texts, 1)))
-    scored = each.groupBy("row").agg(F.sum(F.col("n") * F.when(others > 0, seen).otherwise(unseen)).alias("log_score"), F.sum("n").alias("steps"))
+    steps = int(counted.agg(F.sum("n")).first()[0] or 0)
+    sent = counted.orderBy(F.desc("n"), "word").limit(SENT).collect()
+    times = {r["word"]: r["n"] for r in sent}
+    hot = hot_bigrams(rows, times, steps)
+    known = docs.sparkSession.createDataFrame(list(times.items()), "word long, times long")
+
+    # A bigram is looked up by one of its words alone: by the first if other documents have it, else by the second.
+    others = F.sum("n").over(Window.partitionBy("u", "v")) - F.col("n")
+    each = bigrams(rows, hot).withColumn("others", others)
+    each = each.select("row", "n", "others", F.when(F.col("others") > 0, F.col("u")).otherwise(F.col("v")).alias("word"))
+    rare = counted.join(F.broadcast(known), "word", "left_anti").withColumnRenamed("n", "times")
+    found = each.join(F.broadcast(known), "word").unionByName(each.join(F.broadcast(known), "word", "left_anti").join(rare, "word"))
+    seen = F.log(F.col("others") / F.greatest(F.col("times") - F.col("n"), F.col("others")))
+    unseen = F.log(BACKOFF * F.col("times") / float(max(steps, 1)))
+    scored = found.groupBy("row").agg(F.sum(F.col("n") * F.when(F.col("others") > 0, seen).otherwise(unseen)).alias("log_score"))
     copies = rows.groupBy("row").agg(F.count("*").alias("copies"))
-    scored = scored.join(copies, "row").select("row", (F.col("log_score") / F.col("copies")).alias("log_score"), (F.col("steps") / F.col("copies")).cast("long").alias("steps"))
-    made = rows.select("row", "doc_id").join(scored, "row", "left")
-    return made.select(
-        "doc_id", F.coalesce(F.col("steps") - 1, F.lit(0)).alias("n_words"), F.coalesce("log_score", F.lit(0.0)).alias("log_score"),
-        (F.col("log_score") / F.col("steps")).alias("mean_log_score"),
-    )
+    scored = scored.join(copies, "row").select("row", (F.col("log_score") / F.col("copies")).alias("cold_score"))
+    made = hot_scores(rows, hot).join(scored, "row", "left")
+    made = made.withColumn("log_score", F.col("hot_score") + F.coalesce("cold_score", F.lit(0.0)))
+    return made.select("doc_id", "n_words", "log_score", F.when(F.col("n_words") > 0, F.col("log_score") / (F.col("n_words") + 1)).alias("mean_log_score"))
