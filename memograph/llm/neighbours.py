@@ -94,14 +94,19 @@ def filed(vectors: DataFrame, tables: int, probes: int) -> DataFrame:
 
 
 def closest(queries: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, ids: np.ndarray, k: int):
-    """(query, candidate, distance) of each query's k nearest rows of other ids; ties to the smaller id."""
+    """(query, candidate, distance) of each query's k nearest other ids, by the nearest row of an id; ties to the smaller id."""
+    by_id = np.argsort(ids, kind="stable")
+    rows, ids = rows[by_id], ids[by_id]
+    starts = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
     rough = (queries * queries).sum(axis=1)[:, None] + (rows * rows).sum(axis=1)[None] - 2 * queries @ rows.T
     slack = 1e-9 * (1 + np.abs((queries * queries).sum(axis=1)) + (rows * rows).sum(axis=1).max())
     for i in range(len(queries)):
         others = np.flatnonzero(ids != query_ids[i])
-        if len(others) > k:
-            near = rough[i, others]
-            others = others[near <= np.partition(near, k - 1)[k - 1] + slack[i]]
+        near = np.minimum.reduceat(rough[i], starts)
+        near = near[ids[starts] != query_ids[i]]
+        if len(near) > k:
+            # Within the k-th smallest distance of an id, so that copies of one id take no other's place.
+            others = others[rough[i, others] <= np.partition(near, k - 1)[k - 1] + slack[i]]
         distance = np.sqrt(((rows[others] - queries[i]) ** 2).sum(axis=1))
         order = np.lexsort((ids[others], distance))
         _, first = np.unique(ids[others][order], return_index=True)
@@ -115,7 +120,7 @@ def met(candidates: DataFrame, queries: DataFrame, k: int, dtype: str) -> DataFr
     sizes = candidates.groupBy(*cell).agg(F.ceil(F.count("*") / CANDIDATES).alias("blocks"))
     asked = queries.groupBy(*cell).agg(F.ceil(F.count("*") / QUERIES).alias("query_blocks"))
     spread = lambda n: F.explode(F.sequence(F.lit(0), (F.col(n) - 1).cast("int")))
-    pick = lambda n: F.pmod(F.xxhash64("vec_id"), F.col(n)).cast("int")
+    pick = lambda n: F.pmod(F.xxhash64("vec_id", "vec"), F.col(n)).cast("int")
     shape = sizes.join(asked, cell)
     left = candidates.join(shape, cell).select(*cell, "vec_id", "vec", pick("blocks").alias("block"), spread("query_blocks").alias("query_block"))
     right = queries.join(shape, cell).select(*cell, "vec_id", "vec", pick("query_blocks").alias("query_block"), spread("blocks").alias("block"))
@@ -143,7 +148,7 @@ def nearest(embeddings: DataFrame, queries: DataFrame, k: int = 10, tables: int
     fewer than k is compared with all vectors, so that small inputs give all they have. Hashing is by direction: of
     vectors of very unequal length near ones may be missed; recall is measured by the tests.
     """
-    vectors, asking = usable(embeddings), usable(queries)
+    vectors, asking = usable(embeddings).dropDuplicates(["vec_id", "vec"]), usable(queries).dropDuplicates(["vec_id", "vec"])
     dtype = _dtype(vectors)
     found = stored(met(filed(vectors, tables, 1), filed(asking, tables, probes), k, dtype), "found")
     best = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))

@@ -45,3 +45,16 @@ def test_backoff_is_the_same_however_much_is_sent(spark, monkeypatch, sent, hot)
     rows = [(i, " ".join(f"w{x}" for x in draw.zipf(1.5, 40))) for i in range(60)] + [(60, None), (61, ""), (62, "w1 w1 w1 w1")]
     made = {r["doc_id"]: r["log_score"] for r in language_model.backoff_scores(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert made == {doc_id: pytest.approx(score, rel=1e-9) for doc_id, _, score in backoff(rows)}
+
+
+def test_copies_of_an_id_take_no_places(spark):
+    """Rows of one id, repeated or slightly different, count once: the other ids are still found."""
+    rows = [(0, [1.0, 0.0])] + [(1, [1.0, 0.001 * i]) for i in range(1, 13)] + [(1, [1.0, 0.001])] * 12
+    rows += [(i, [1.0, 0.1 * i]) for i in range(2, 9)]
+    expected = [(0, 1, 0.001)] + [(0, i, 0.1 * i) for i in range(2, 6)]
+    array, ids = np.array([r[1] for r in rows]), np.array([r[0] for r in rows])
+    made = list(neighbours.closest(array[:1], array, ids[:1], ids, 5))
+    assert [(q, i, round(d, 9)) for q, i, d in made] == [(q, i, round(d, 9)) for q, i, d in expected]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    made = neighbours.nearest(df, df.filter("vec_id = 0"), k=5).orderBy("rank").collect()
+    assert [(r["query_id"], r["vec_id"], round(r["score"], 9)) for r in made] == [(q, i, round(d, 9)) for q, i, d in expected]
