@@ -133,7 +133,7 @@ def migrate_cache(cache: DataFrame, memo: DataFrame, created_at: str, active_sco
     """Cached answers, of the active data scope if there is one, as exact entries; not those the memo already answers."""
     cache = in_scope(cache, active_scope)
     span = F.struct(
-        F.col("document_id"), F.col("start"), F.col("end"), F.col("unit"), F.left("source_context", F.lit(500)).alias("text")
+        F.col("document_id"), F.col("start"), F.col("end"), F.col("unit"), F.col("source_context").alias("text")
     )
     none = F.array().cast(S.EVIDENCE)
     rows = _scope_of_cache(cache).withColumns(
@@ -160,7 +160,7 @@ def migrate_facts(
     cache = in_scope(cache, active_scope)
     text = T.strip(F.concat_ws(" ", "subject", "relation", "object"))
     span = F.struct(
-        F.col("document_id"), F.col("start"), F.col("end"), F.col("unit"), F.left("source_context", F.lit(500)).alias("text")
+        F.col("document_id"), F.col("start"), F.col("end"), F.col("unit"), F.col("source_context").alias("text")
     )
     rows = (
         known_facts.withColumn("prompt", text).filter("prompt <> ''").join(_scope_of_cache(cache).drop("result"), "cache_id")

@@ -38,17 +38,26 @@ def one_level(df: DataFrame, key: str, value: str, summarise: Summariser) -> Dat
 
 
 def condense(df: DataFrame, key: str, value: str, summarise: Summariser) -> DataFrame:
-    """``key, summary, levels``: repeat until each text fits, at most five levels, then cut hard."""
+    """``key, summary, levels, truncated, whole``: repeat until each text fits, beyond five levels as long as it shrinks.
+
+    A text that neither fits nor shrinks any more is ``truncated``: its summary is the beginning that fits, and
+    ``whole`` is all of it (null for the others).
+    """
     ensure_checkpointing(df.sparkSession)
     large = T.estimate_tokens(F.col(value)) > S.SUMMARISE_TOKENS
-    done = df.filter(~large).select(key, F.col(value).alias("summary"), F.lit(0).alias("levels"))
-    todo = df.filter(large).select(key, F.col(value).alias("text"))
-    fits = T.estimate_tokens(F.col("summary")) <= S.SUMMARISE_TOKENS
-    for level in range(1, S.SUMMARY_MAX_DEPTH + 1):
-        step = one_level(todo, key, "text", summarise).checkpoint()
-        done = done.unionByName(step.filter(fits).withColumn("levels", F.lit(level)))
-        todo = step.filter(~fits).withColumnRenamed("summary", "text")
-        if todo.isEmpty():
-            return done
-    cut = F.left("text", F.lit(S.SUMMARISE_TOKENS * 4))
-    return done.unionByName(todo.select(key, cut.alias("summary"), F.lit(S.SUMMARY_MAX_DEPTH).alias("levels")))
+    none = F.lit(None).cast("string").alias("whole")
+    done = df.filter(~large).select(key, F.col(value).alias("summary"), F.lit(0).alias("levels"), F.lit(False).alias("truncated"), none)
+    todo = df.filter(large).select(key, F.col(value).alias("text"), F.length(value).alias("before"))
+    fits = T.estimate_tokens(F.coalesce("summary", F.lit(""))) <= S.SUMMARISE_TOKENS
+    cut = F.left("summary", F.lit(S.SUMMARISE_TOKENS * 4))
+    level = 0
+    while level == 0 or not todo.isEmpty():
+        level += 1
+        step = one_level(todo, key, "text", summarise).join(todo.select(key, "before"), key).checkpoint()
+        stuck = ~fits & (F.length("summary") >= F.col("before")) if level >= S.SUMMARY_MAX_DEPTH else F.lit(False)
+        done = done.unionByName(step.filter(fits).select(key, "summary", F.lit(level).alias("levels"), F.lit(False).alias("truncated"), none))
+        done = done.unionByName(
+            step.filter(stuck).select(key, cut.alias("summary"), F.lit(level).alias("levels"), F.lit(True).alias("truncated"), F.col("summary").alias("whole"))
+        )
+        todo = step.filter(~fits & ~stuck).select(key, F.col("summary").alias("text"), F.length("summary").alias("before"))
+    return done

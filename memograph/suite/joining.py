@@ -201,7 +201,7 @@ def migrate_legacy_anti_join(v):
     nothing = v.memo.filter("false")
     stored = caching.migrate_cache(v.cache.filter("data_scope_hash <> ''"), nothing, AS_OF)
     fresh = caching.migrate_cache(v.cache, stored, AS_OF)
-    return fresh.select("entry_id", "result", F.get("evidence", F.lit(0))["text"].alias("evidence_text"))
+    return fresh.select("entry_id", "result", F.left(F.get("evidence", F.lit(0))["text"], F.lit(500)).alias("evidence_text"))
 
 
 NOTES_SQL = """
