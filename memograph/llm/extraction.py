@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 from memograph.llm.common import Known, text_slices
 
-#: Pages learned from, the longest of them in characters and blocks, and variants of each.
-PAGES, LONGEST, MOST_BLOCKS, VARIANTS = 192, 40_000, 160, 3
+#: Windows of pages learned from, blocks of the largest of them, and variants of each.
+PAGES, MOST_BLOCKS, VARIANTS = 192, 160, 3
 PATH_WIDTH, WORD_WIDTH, MEASURES, HIDDEN = 160, 48, 6, 20
 EPOCHS, BATCH, RATE = 10, 24, 8e-3
 CACHED = 100_000
@@ -156,9 +156,8 @@ def marked(page: list[Block]) -> list[int]:
     return [int(h is None and len(b.text) >= 40 and b.linked < 0.3 * len(b.text)) for h, b in zip(hints, page)]
 
 
-def varied(page: list[Block], draw: np.random.Generator) -> tuple[list[Block], list[int]]:
+def varied(page: list[Block], draw: np.random.Generator, labels: list[int]) -> tuple[list[Block], list[int]]:
     """The page with another article container and some of its texts once more outside the article."""
-    labels = marked(page)
     container, made = str(draw.choice(CONTAINERS)), []
     top = "html/body" if draw.random() < 0.8 else "html/body/div"
     for block, label in zip(page, labels):
@@ -193,7 +192,9 @@ class Features:
         made[zlib.crc32(b"leaf " + elements[-1].split(".")[0].encode()) % PATH_WIDTH] = 1
         return made
 
-    def __call__(self, page: list[Block]) -> np.ndarray:
+    def __call__(self, page: list[Block], first: int = 0, total: int | None = None) -> np.ndarray:
+        """Vectors of a page's blocks, or of those from ``first`` on of a page of ``total``."""
+        total = total or len(page)
         made = np.zeros((len(page), PATH_WIDTH + WORD_WIDTH + MEASURES), dtype=np.float32)
         for row, (i, block) in zip(made, enumerate(page)):
             row[:PATH_WIDTH] = self.paths[block.path]
@@ -202,7 +203,7 @@ class Features:
             row[PATH_WIDTH:-MEASURES] = np.bincount(codes, minlength=WORD_WIDTH) / len(words)
             size = len(block.text)
             stops = sum(map(block.text.count, ".,;:!?"))
-            row[-MEASURES:] = np.log1p(size) / 5, np.log1p(len(words)) / 4, block.linked / size, stops / len(words), i / len(page), 1 / (1 + i)
+            row[-MEASURES:] = np.log1p(size) / 5, np.log1p(len(words)) / 4, block.linked / size, stops / len(words), (first + i) / total, 1 / (1 + first + i)
         return made
 
 
@@ -314,19 +315,47 @@ def _padded(pages: list[np.ndarray], labels: list[list[int]] | None) -> tuple[np
     return x, mask, y
 
 
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Windows of each page's blocks with their marks: all of a page of at most ``MOST_BLOCKS``, else one after the other."""
+    names = ["turn", "h", "first", "total", "paths", "texts", "linked", "marks"]
+    kinds = [*[pa.int64()] * 4, pa.list_(pa.string()), pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.int64())]
+    for batch in batches:
+        for h, html in zip(batch.column(0).to_pylist(), batch.column(1)):
+            page = blocks(html.as_py())
+            marks, count = marked(page), -(-len(page) // MOST_BLOCKS)
+            for turn in range(min(count, PAGES)):
+                first = (h + turn) % count * MOST_BLOCKS
+                part = page[first : first + MOST_BLOCKS]
+                row = turn, h, first, len(page), [b.path for b in part], [b.text for b in part], [b.linked for b in part], marks[first : first + MOST_BLOCKS]
+                yield pa.RecordBatch.from_arrays([pa.array([x], kind) for x, kind in zip(row, kinds)], names=names)
+
+
+def sampled(pages: DataFrame) -> list:
+    """At most ``PAGES`` windows of different pages, drawn by the hash of their text; of the same pages if there are too few.
+
+    Pages without blocks are replaced by the next ones, twice as many at a time.
+    """
+    fields = "turn long, h long, first long, total long, paths array<string>, texts array<string>, linked array<long>, marks array<long>"
+    left = pages.select(F.col("html").cast("string").alias("html")).filter(F.length("html") > 0).withColumn("h", F.xxhash64("html"))
+    found, most = [], PAGES
+    while sum(r["turn"] == 0 for r in found) < PAGES:
+        drawn = left.select("h").distinct().orderBy("h").limit(most).agg(F.max("h")).first()[0]
+        if drawn is None:
+            break
+        texts = left.filter(F.col("h") <= drawn).groupBy("h").agg(F.min("html").alias("html"))
+        found += texts.mapInArrow(_windows, fields).orderBy("turn", "h").limit(PAGES).collect()
+        left, most = left.filter(F.col("h") > drawn), 2 * most
+    return sorted(found, key=lambda r: (r["turn"], r["h"]))[:PAGES]
+
+
 def trained(pages: DataFrame) -> Labeller:
-    """The labeller fitted on at most ``PAGES`` pages, drawn by the hash of their text from those of moderate length."""
-    short = pages.select(F.col("html").cast("string").alias("html")).filter((F.length("html") > 0) & (F.length("html") <= LONGEST))
-    drawn = short.select(F.xxhash64("html").alias("h")).distinct().orderBy("h").limit(PAGES)
-    rows = short.withColumn("h", F.xxhash64("html")).join(F.broadcast(drawn), "h").groupBy("h").agg(F.min("html").alias("html")).orderBy("h").collect()
+    """The labeller fitted on windows of pages of any length; it is untrained only if no page has a block to label."""
     draw, features, xs, ys = np.random.default_rng(13), Features(), [], []
-    for row in rows:
-        page = blocks(row["html"])
-        if not 0 < len(page) <= MOST_BLOCKS:
-            continue
-        shown = [(page, marked(page))] + [varied(page, draw) for _ in range(VARIANTS)]
-        xs += [features(p) for p, _ in shown]
-        ys += [y for _, y in shown]
+    for row in sampled(pages):
+        page, marks = [Block(*b) for b in zip(row["paths"], row["texts"], row["linked"])], row["marks"]
+        for part, labels in [(page, marks)] + [varied(page, draw, marks) for _ in range(VARIANTS)]:
+            xs.append(features(part, row["first"], row["total"] + len(part) - len(page)))
+            ys.append(labels)
     return Labeller().fit(xs, ys) if xs else Labeller()
 
 

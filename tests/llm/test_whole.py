@@ -6,7 +6,7 @@ import math
 import numpy as np
 import pytest
 
-from memograph.llm import language_model, neighbours
+from memograph.llm import extraction, language_model, neighbours
 
 
 def backoff(rows):
@@ -58,3 +58,22 @@ def test_copies_of_an_id_take_no_places(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     made = neighbours.nearest(df, df.filter("vec_id = 0"), k=5).orderBy("rank").collect()
     assert [(r["query_id"], r["vec_id"], round(r["score"], 9)) for r in made] == [(q, i, round(d, 9)) for q, i, d in expected]
+
+
+def test_extraction_learns_from_long_pages(spark):
+    """Where every page is over 40,000 characters and 160 blocks the labeller is trained all the same, by windows."""
+    pages, texts = [], []
+    for p in range(3):
+        main = [f"Paragraph {i} of article {p} tells, at some length and with stops, what took place on day {i}." for i in range(240)]
+        links = "".join(f'<li><a href="/{i}">Link {i}</a></li>' for i in range(200))
+        notes = "".join(f"<p>Reply {i}: I would like to say something about page {p}, too.</p>" for i in range(160))
+        story = "".join(f"<p>{t}</p>" for t in main)
+        pages.append((p, "u", f"<html><body><nav><ul>{links}</ul></nav><article>{story}</article><div class='comments'>{notes}</div></body></html>"))
+        texts.append("\n".join(main))
+    assert min(len(h) for *_, h in pages) > 40_000
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string")
+    assert {r["turn"] for r in extraction.sampled(frame)} == {0, 1, 2, 3}
+    made = {r["page_id"]: r["text"] for r in extraction.extract(frame).collect()}
+    for p, text in enumerate(texts):
+        got, expected = set(made[p].split("\n")), set(text.split("\n"))
+        assert len(got & expected) >= 0.95 * len(expected) and len(got - expected) <= 0.05 * len(expected)
