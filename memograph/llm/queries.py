@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from memograph.llm import bpe, dedup, extraction, language_model, licences, neighbours, packing, quality, rules, toxicity
+from memograph.llm import bpe, dedup, extraction, language_model, licences, neighbours, packing, quality, rules, sharding, toxicity
 from memograph.llm.common import table
 from memograph.llm.suite import query
 
@@ -59,3 +59,8 @@ def op9_licence_scan(spark, folder):
 @query("op8_stupid_backoff")
 def op8_stupid_backoff(spark, folder):
     return language_model.backoff_scores(table(spark, folder, "documents"))
+
+
+@query("op11_hilbert_shards", sharding.oracle_sql())
+def op11_hilbert_shards(spark, folder):
+    return sharding.shard_documents(table(spark, folder, "documents"))
