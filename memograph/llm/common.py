@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from memograph.session import ensure_checkpointing, shared_dir
 
@@ -28,6 +29,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, column: str, name: str) -> DataFrame:
+    """Stored rows with a gapless number from 0 in ``column``, in no stated order.
+
+    Spark's row numbers count within a partition; one row per partition is added up to close the gaps.
+    """
+    place = F.monotonically_increasing_id()
+    kept = stored(df.select(F.struct("*").alias("row"), F.spark_partition_id().alias("part"), place.bitwiseAND(F.lit((1 << 33) - 1)).alias("pos")), name)
+    sizes = kept.groupBy("part").agg(F.count("*").alias("own"))
+    shifts = sizes.select("part", (F.sum("own").over(Window.orderBy("part")) - F.col("own")).alias("shift"))
+    return kept.join(F.broadcast(shifts), "part").select("row.*", (F.col("pos") + F.col("shift")).alias(column))
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     ensure_checkpointing(df.sparkSession)
     return df.checkpoint()

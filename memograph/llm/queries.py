@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from memograph.llm import bpe, dedup, extraction, language_model, licences, neighbours, packing, quality, rules, sharding, toxicity
+from memograph.llm import bpe, dedup, extraction, language_model, licences, neighbours, packing, quality, rules, sharding, toxicity, whitening
 from memograph.llm.common import table
 from memograph.llm.suite import query
 
@@ -64,3 +64,8 @@ def op8_stupid_backoff(spark, folder):
 @query("op11_hilbert_shards", sharding.oracle_sql())
 def op11_hilbert_shards(spark, folder):
     return sharding.shard_documents(table(spark, folder, "documents"))
+
+
+@query("op12_whitening")
+def op12_whitening(spark, folder):
+    return whitening.whiten(table(spark, folder, "embeddings"))
