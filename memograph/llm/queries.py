@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from memograph.llm import bpe, dedup, extraction, language_model, licences, neighbours, packing, quality, rules, sharding, toxicity, whitening
+from memograph.llm import bpe, dedup, extraction, language_model, licences, negatives, neighbours, packing, quality, rules, sharding, toxicity, whitening
 from memograph.llm.common import table
 from memograph.llm.suite import query
 
@@ -69,3 +69,8 @@ def op11_hilbert_shards(spark, folder):
 @query("op12_whitening")
 def op12_whitening(spark, folder):
     return whitening.whiten(table(spark, folder, "embeddings"))
+
+
+@query("op13_hard_negatives", negatives.oracle_sql())
+def op13_hard_negatives(spark, folder):
+    return negatives.hard_negatives(table(spark, folder, "embeddings"))
