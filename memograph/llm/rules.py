@@ -126,11 +126,10 @@ def proven_levels(measured: DataFrame, labels: DataFrame, risk: float = RISK, de
     return tests.groupBy("stratum").agg(F.coalesce(F.min(failing), F.lit(len(LEVELS))).alias("level"))
 
 
-def _levels(docs: DataFrame, labels: DataFrame, risk: float, delta: float) -> tuple[DataFrame, DataFrame]:
-    """The counts of all documents as a stored table, and the proven levels, sent along where they are few."""
-    measured = stored(counted(docs).drop("row"), "measured")
+def _levels(measured: DataFrame, labels: DataFrame, risk: float, delta: float) -> DataFrame:
+    """The proven levels for stored counts, sent along where they are few."""
     levels = checkpointed(proven_levels(measured, labels, risk, delta).filter("level > 0"))
-    return measured, F.broadcast(levels) if levels.count() <= FEW_STRATA else levels
+    return F.broadcast(levels) if levels.count() <= FEW_STRATA else levels
 
 
 def _judged(measured: DataFrame, levels: DataFrame) -> DataFrame:
@@ -146,13 +145,17 @@ def quality_rules(docs: DataFrame, labels: DataFrame, risk: float = RISK, delta:
     doc_id is in ``docs`` and outside the evaluation fold; repeated labels count once, null ones not. An empty or null
     text has no words and fails the base rules. A row without a doc_id is judged like any other, but never learned from.
     """
-    measured, levels = _levels(docs, labels, risk, delta)
-    return _judged(measured, levels).select(
+    measured = stored(counted(docs).drop("row"), "measured")
+    return _judged(measured, _levels(measured, labels, risk, delta)).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "level"
     )
 
 
 def kept_rows(docs: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFrame:
-    """The rows of ``docs`` that the rules keep, unchanged. Texts are counted again rather than shuffled to their verdict."""
-    _, levels = _levels(docs, labels, risk, delta)
-    return _judged(counted(docs, whole_rows=True), levels).filter("kept").select("row.*")
+    """The rows of ``docs`` that the rules keep, unchanged, with all their columns; see ``quality_rules`` for odd rows.
+
+    Rows are stored with their counts, once. A filter right above the counts would make the optimiser copy the whole chain of
+    array functions into every comparison.
+    """
+    whole = stored(counted(docs, whole_rows=True), "counted")
+    return _judged(whole, _levels(whole.drop("row"), labels, risk, delta)).filter("kept").select("row.*")
