@@ -89,7 +89,11 @@ class Node:
 
 
 class Tree:
-    """Nodes and leaves, each numbered from 0. A node needs ``SUPPORT * fanout`` sample rows, so the sample bounds the tree."""
+    """Nodes and leaves, each numbered from 0. Each split point needs ``SUPPORT`` sample rows, so the sample bounds the tree.
+
+    A node has as many parts as leaves of full size would hold its rows, at most ``fanout``, so that leaves are not far
+    from full: each leaf an anchor is sent to costs a row.
+    """
 
     def __init__(self, sample: np.ndarray, rows: int, fanout: int = FANOUT, leaf_rows: int = LEAF_ROWS):
         self.nodes: list[Node] = []
@@ -97,8 +101,8 @@ class Tree:
         self.root = self._grow(sample, rows / max(len(sample), 1), fanout, leaf_rows)
 
     def _grow(self, sample: np.ndarray, weight: float, fanout: int, leaf_rows: int) -> Node | int:
-        large = len(sample) * weight > leaf_rows and len(sample) >= SUPPORT * fanout
-        points = self._spread(sample, fanout) if large else sample[:0]
+        parts = min(fanout, int(-(-len(sample) * weight // leaf_rows)), len(sample) // SUPPORT)
+        points = self._spread(sample, parts) if parts > 1 else sample[:0]
         if len(points) < 2:
             self.leaves += 1
             return self.leaves - 1
