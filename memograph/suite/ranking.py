@@ -1,10 +1,14 @@
 """Top-k retrieval, re-scoring and ordered listings."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from memograph.functions import text as T
 from memograph.operators import ranking
 from memograph.plans import retrieval
+from memograph.session import shared_dir
+from memograph.sources.vector_index import VectorIndex
 from memograph.suite import oracle_views as O
 from memograph.suite.registry import query
 from memograph.suite.stretches import MEANS, _label_means
@@ -47,17 +51,29 @@ def context_packets(v):
     return made.select("request_id", "document_id", "chunk_index", "score", "rank", F.md5("text").alias("text_hash"), "text_truncated")
 
 
-@query("vector_topk", f"""
+VECTOR_TOPK = f"""
 SELECT label::BIGINT AS query_id, vec_id, score, rank::INTEGER AS rank FROM (
     SELECT *, row_number() OVER (PARTITION BY label ORDER BY score DESC, vec_id) AS rank FROM (
         SELECT a.label, vec_id, round(list_inner_product(q, embedding::DOUBLE[]), 6) AS score FROM ({MEANS}) a, embeddings
     )
 ) WHERE rank <= 20
-""")
+"""
+
+
+@query("vector_topk", VECTOR_TOPK)
 def vector_topk(v):
     return ranking.nearest(_label_means(v), v.vectors, "query_id", "vec_id", 20)
 
 
+@query("vector_index_topk", VECTOR_TOPK)
+def vector_index_topk(v):
+    """The same from a stored index of two batches, the second one appended."""
+    index = VectorIndex(v.spark, f"{shared_dir(v.spark)}/memograph/vectors-{uuid.uuid4().hex}")
+    for batch in (0, 1):
+        index.add(v.vectors.filter(F.pmod("vec_id", F.lit(2)) == batch), f"batch {batch}")
+    return index.nearest(_label_means(v), 20)
+
+
 @query("bucket_vector_topk", f"""
 SELECT label, vec_id, score, rank::INTEGER AS rank FROM (
     SELECT *, row_number() OVER (PARTITION BY label ORDER BY score DESC, vec_id) AS rank FROM (
