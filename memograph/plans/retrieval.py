@@ -13,6 +13,7 @@ from memograph.functions import entries as E
 from memograph.functions import facts
 from memograph.functions import text as T
 from memograph.operators import matching, ranking
+from memograph.sources.lexical_index import LexicalIndex
 
 NO_DOCUMENTS = "No relevant documents found."
 SOURCE_SEPARATOR = "\n\n---\n\n"
@@ -55,16 +56,21 @@ def packets(
 
 
 def context_packets(
-    requests: DataFrame, chunks: DataFrame, limit: int = S.PACKET_LIMIT, text_chars: int | None = S.PACKET_CONTEXT_CHARS
+    requests: DataFrame, chunks: DataFrame, limit: int = S.PACKET_LIMIT, text_chars: int | None = S.PACKET_CONTEXT_CHARS,
+    index: LexicalIndex | None = None,
 ) -> DataFrame:
     """Best raw chunks of the document of each request, for its prompt.
 
-    The whole document is searched, not only the requested range.
+    The whole document is searched, not only the requested range. With an ``index`` of the chunks only those that a token
+    occurs in are met, else every chunk of a document meets every request of it.
     """
-    texts = chunks.withColumnRenamed("content_hash", "stored_hash")
-    asked = requests.select("request_id", *S.SCOPE_KEYS, "content_hash")
-    pairs = texts.join(asked, S.SCOPE_KEYS).filter(E.compatible_hash(F.col("content_hash"), F.col("stored_hash")))
-    best = ranking.search_scoped_chunks(requests, pairs, "prompt", limit)
+    if index is not None:
+        best = index.search_documents(requests, chunks, "prompt", limit)
+    else:
+        texts = chunks.withColumnRenamed("content_hash", "stored_hash")
+        asked = requests.select("request_id", *S.SCOPE_KEYS, "content_hash")
+        pairs = texts.join(asked, S.SCOPE_KEYS).filter(E.compatible_hash(F.col("content_hash"), F.col("stored_hash")))
+        best = ranking.search_scoped_chunks(requests, pairs, "prompt", limit)
     cut = T.bounded(F.col("text"), text_chars)
     return best.select(
         "request_id", "rank", "document_id", "chunk_index", "score", "matched_terms",
@@ -72,10 +78,12 @@ def context_packets(
     )
 
 
-def reuse_packets(requests: DataFrame, entries: DataFrame, chunks: DataFrame, limit: int = S.PACKET_LIMIT) -> DataFrame:
+def reuse_packets(
+    requests: DataFrame, entries: DataFrame, chunks: DataFrame, limit: int = S.PACKET_LIMIT, index: LexicalIndex | None = None
+) -> DataFrame:
     """Per request, its at most ``limit`` memo packets and context packets, best first."""
     memo = packets(ranked_entries(requests, entries, limit), entries)
-    context = context_packets(requests, chunks, limit)
+    context = context_packets(requests, chunks, limit, index=index)
 
     def gathered(df: DataFrame, name: str) -> DataFrame:
         rest = [c for c in df.columns if c not in ("request_id", "rank")]

@@ -101,8 +101,12 @@ class VectorIndex:
     def _fitted(self, rows: DataFrame) -> np.ndarray:
         count = rows.count()
         lists = min(MOST_LISTS, max(2, round(count**0.5)))
-        sample = rows.orderBy(F.xxhash64("vec"), "vec_id").limit(lists * SAMPLE_PER_LIST)
-        model = KMeans(k=lists, seed=7, maxIter=5, initSteps=1).fit(sample.select(array_to_vector("vec").alias("features")))
+        sample = rows.orderBy(F.xxhash64("vec"), "vec_id").limit(lists * SAMPLE_PER_LIST).select("vec").distinct().checkpoint()
+        lists = min(lists, sample.count())
+        if lists < 2:
+            return np.array([r["vec"] for r in sample.collect()])
+        # Started from different points, as fewer of them than asked for is an error of the library.
+        model = KMeans(k=lists, seed=7, maxIter=5, initMode="random").fit(sample.select(array_to_vector("vec").alias("features")))
         return np.array(model.clusterCenters())
 
     def add(self, vectors: DataFrame, batch: str, key: str = "vec_id", vector: str = "embedding") -> None:

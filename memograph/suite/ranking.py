@@ -8,6 +8,7 @@ from memograph.functions import text as T
 from memograph.operators import ranking
 from memograph.plans import retrieval
 from memograph.session import shared_dir
+from memograph.sources.lexical_index import LexicalIndex
 from memograph.sources.vector_index import VectorIndex
 from memograph.suite import oracle_views as O
 from memograph.suite.registry import query
@@ -17,7 +18,7 @@ CHUNK_QUERIES = ["Which backup channel should launch use?", "the thing and the r
 _LISTED = ", ".join(f"({i}, '{q}')" for i, q in enumerate(CHUNK_QUERIES))
 
 
-@query("chunk_search_topk", f"""
+CHUNK_SEARCH = f"""
 WITH asked AS (SELECT query_no, {O.search_tokens('q')} AS tokens FROM (VALUES {_LISTED}) t(query_no, q))
 SELECT query_no, document_id, chunk_index, score, rank::INTEGER AS rank,
     array_to_string(list_filter(tokens, lambda t: contains(lower(text), t)), ' ') AS matched_terms
@@ -28,7 +29,10 @@ FROM (
         FROM v_chunks, asked
     ) WHERE score > 0
 ) WHERE rank <= 20
-""")
+"""
+
+
+@query("chunk_search_topk", CHUNK_SEARCH)
 def chunk_search_topk(v):
     found = ranking.search_chunks(v.chunks, CHUNK_QUERIES, 20)
     return found.select(
@@ -36,7 +40,7 @@ def chunk_search_topk(v):
     )
 
 
-@query("context_packets", f"""
+CONTEXT_PACKETS = f"""
 SELECT request_id, document_id, chunk_index, score, rank::INTEGER AS rank, md5(substr(text, 1, 1000)) AS text_hash, length(text) > 1000 AS text_truncated
 FROM (
     SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, document_id, chunk_index) AS rank FROM (
@@ -45,12 +49,37 @@ FROM (
         FROM v_requests r JOIN v_chunks c ON c.document_id = r.document_id AND {O.hash_ok('c.content_hash', 'r.content_hash')}
     ) WHERE score > 0
 ) WHERE rank <= 12
-""")
+"""
+
+
+@query("context_packets", CONTEXT_PACKETS)
 def context_packets(v):
     made = retrieval.context_packets(v.requests, v.chunks)
     return made.select("request_id", "document_id", "chunk_index", "score", "rank", F.md5("text").alias("text_hash"), "text_truncated")
 
 
+def _lexical_index(v):
+    """An index of all chunks in two batches, the second one appended."""
+    index = LexicalIndex(v.spark, f"{shared_dir(v.spark)}/memograph/terms-{uuid.uuid4().hex}")
+    for batch in (0, 1):
+        index.add(v.chunks.filter(F.pmod(F.crc32("document_id"), F.lit(2)) == batch), f"batch {batch}")
+    return index
+
+
+@query("chunk_search_indexed", CHUNK_SEARCH)
+def chunk_search_indexed(v):
+    found = _lexical_index(v).search(CHUNK_QUERIES, v.chunks, 20)
+    return found.select(
+        "query_no", "document_id", "chunk_index", "score", "rank", F.array_join("matched_terms", " ").alias("matched_terms")
+    )
+
+
+@query("context_packets_indexed", CONTEXT_PACKETS)
+def context_packets_indexed(v):
+    made = retrieval.context_packets(v.requests, v.chunks, index=_lexical_index(v))
+    return made.select("request_id", "document_id", "chunk_index", "score", "rank", F.md5("text").alias("text_hash"), "text_truncated")
+
+
 VECTOR_TOPK = f"""
 SELECT label::BIGINT AS query_id, vec_id, score, rank::INTEGER AS rank FROM (
     SELECT *, row_number() OVER (PARTITION BY label ORDER BY score DESC, vec_id) AS rank FROM (
