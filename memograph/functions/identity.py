@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-from memograph.functions.text import normalize_text, strip
+from memograph.functions.text import let, normalize_text, strip
+from memograph.session import allow_repeated_keys
 
 
 def json_string(value: Column) -> Column:
@@ -48,22 +49,68 @@ def json_array(values: Column) -> Column:
     return F.to_json(values)
 
 
+#: Stands before numbers that a VARIANT would write in another way; a private character no text should hold.
+KEPT = "\uf8f0"
+STRING = r'"(?:[^"\\]|\\.)*+"'
+NUMBER = r"-?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?"
+
+
+def float_text(token: Column) -> Column:
+    """A number with fraction or exponent in its shortest form: plain from 0.0001 to below 1e16, else like ``1e-05``."""
+
+    def written(java: Column) -> Column:
+        value = java.cast("double")
+        size = F.abs(value)
+        sign = F.when(F.startswith(java, F.lit("-")), F.lit("-")).otherwise("")
+        plain = F.regexp_replace(F.regexp_replace(java.try_cast("decimal(38,21)").cast("string"), "0+$", ""), r"\.$", ".0")
+        power = F.regexp_extract(java, r"E-?(\d+)$", 1)
+        mark = F.when(F.contains(java, F.lit("E-")), F.lit("e-")).otherwise("e+")
+        short = F.concat(F.regexp_replace(F.regexp_extract(java, r"^(-?[0-9.]+)E", 1), r"\.0$", ""), mark, F.when(F.length(power) < 2, F.lpad(power, 2, "0")).otherwise(power))
+        return (
+            F.when(size == float("inf"), F.concat(sign, F.lit("Infinity"))).when(size == 0, F.concat(sign, F.lit("0.0")))
+            .when((size >= 1e-4) & (size < 1e16), plain).otherwise(short)
+        )
+
+    return let(token.try_cast("double").cast("string"), written)
+
+
+def canonical_json(value: Column) -> Column:
+    """JSON text in one form: keys sorted at every depth, no blanks, characters beyond ASCII as they are.
+
+    Of a repeated key the last value counts. Null stays null; what is no JSON is an error. Values are read as VARIANT, which
+    sorts keys by their UTF-16 units; this differs from code points only beyond the basic plane. Numbers with a fraction
+    or exponent, and whole ones of many digits, are put past it as text, as it would turn 1.0 into 1.
+    """
+    if session := SparkSession.getActiveSession():
+        allow_repeated_keys(session)
+
+    def past(token: Column) -> Column:
+        number = F.rlike(token, F.lit(f"^{NUMBER}$"))
+        broken = F.rlike(token, F.lit("[.eE]"))
+        kept = F.concat(F.lit(f'"{KEPT}'), F.when(broken, float_text(token)).otherwise(token), F.lit('"'))
+        return F.when(number & (broken | (F.length(token) > 18)), kept).otherwise(token)
+
+    tokens = F.regexp_extract_all(value, F.lit(rf'{STRING}|{NUMBER}|[^"\d-]+|[\s\S]'), F.lit(0))
+    sorted_keys = F.to_json(F.parse_json(F.array_join(F.transform(tokens, past), "")))
+    return F.regexp_replace(sorted_keys, f'"{KEPT}([^"]*)"', "$1")
+
+
 def digest(value: Column, length: int) -> Column:
     return F.substring(F.sha2(value, 256), 1, length)
 
 
-def task_json(prompt: Column, task_type: Column, output_contract: Column, constraints_json: Column) -> Column:
-    """Canonical task. Constraints arrive as canonical JSON and are not normalised."""
+def task_json(prompt: Column, task_type: Column, output_contract: Column, constraints_json: Column, raw: bool = False) -> Column:
+    """Canonical task. Constraints arrive as canonical JSON, or with ``raw`` as any JSON (null: none)."""
     return json_object(
-        constraints=constraints_json,
+        constraints=F.coalesce(canonical_json(constraints_json), F.lit("{}")) if raw else constraints_json,
         output_contract=json_string(normalize_text(output_contract)),
         prompt=json_string(normalize_text(prompt)),
         task_type=json_string(normalize_text(task_type)),
     )
 
 
-def task_signature(prompt: Column, task_type: Column, output_contract: Column, constraints_json: Column) -> Column:
-    return digest(task_json(prompt, task_type, output_contract, constraints_json), 16)
+def task_signature(prompt: Column, task_type: Column, output_contract: Column, constraints_json: Column, raw: bool = False) -> Column:
+    return digest(task_json(prompt, task_type, output_contract, constraints_json, raw), 16)
 
 
 def scope_json(

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from memograph import schema as S
 from memograph.functions.identity import json_object, json_string
+from memograph.operators.folding import with_row_index
 from memograph.operators.matching import candidates
 from memograph.session import ensure_checkpointing
 
@@ -81,6 +82,51 @@ def lineage(roots: DataFrame, edges: DataFrame, max_depth: int | None = None) ->
     return reached.join(cut, "root_id", "left").select("root_id", "entry_id", "depth", F.coalesce("cut", F.lit(False)).alias("truncated"))
 
 
+PATH = "ARRAY<STRUCT<created_at: STRING, entry_id: STRING>>"
+
+
+def lineage_tree(roots: DataFrame, edges: DataFrame, entries: DataFrame, max_depth: int = 10) -> DataFrame:
+    """``root_id, position, depth, entry_id, expanded``: the tree a walk from each root meets, in pre-order.
+
+    The walk takes children by creation time and id and goes down before it goes on. An entry met again, and one at
+    ``max_depth``, is listed but not ``expanded``. Unknown children are left out, an edge of several types counts once.
+
+    Where an entry is expanded is a smallest solution, so there is no walk: among all expanded parents, its path is the
+    smallest path of a parent with one step more. Each round takes that minimum from all paths of the round before, until
+    nothing changes; there is one path per root and entry, however many ways lead to it, and cycles only add longer paths.
+    """
+    ensure_checkpointing(roots.sparkSession)
+    known = entries.select(F.col("entry_id").alias("child")).distinct()
+    step = F.struct(F.coalesce(F.min("created_at"), F.lit("")).alias("created_at"), F.col("child").alias("entry_id"))
+    steps = edges.select(F.col("parent_entry_id").alias("entry_id"), F.col("child_entry_id").alias("child"), "created_at").groupBy(
+        "entry_id", "child"
+    ).agg(step.alias("step")).join(known, "child", "left_semi").select("entry_id", "step").checkpoint()
+    start = roots.select(F.col("entry_id").alias("root_id"), "entry_id", F.array().cast(PATH).alias("path")).distinct().filter(F.lit(max_depth > 0))
+
+    def onward(paths: DataFrame) -> DataFrame:
+        """The children of expanded entries, where they are met."""
+        return paths.join(steps, "entry_id").select("root_id", F.col("step.entry_id").alias("entry_id"), F.concat("path", F.array("step")).alias("path"))
+
+    paths, before = start.checkpoint(), None
+    while True:
+        seal = F.sum(F.xxhash64("root_id", "entry_id", "path").cast("decimal(20,0)"))
+        state = tuple(paths.agg(F.count("*"), seal).first())
+        if state == before:
+            break
+        before = state
+        met = onward(paths).filter(F.size("path") < max_depth)
+        paths = start.unionByName(met).groupBy("root_id", "entry_id").agg(F.min("path").alias("path")).checkpoint()
+
+    top = roots.select(F.col("entry_id").alias("root_id"), "entry_id", F.array().cast(PATH).alias("path")).distinct()
+    listed = top.unionByName(onward(paths))
+    open_at = paths.select("root_id", "entry_id", F.col("path").alias("open_path"))
+    marked = listed.join(open_at, ["root_id", "entry_id"], "left").withColumn("expanded", F.coalesce(F.col("path") == F.col("open_path"), F.lit(False)))
+    # Positions count over all rows sorted by root and path, so a root of many rows is no task of its own.
+    placed = with_row_index(marked.drop("open_path"), ["root_id", "path"], "n")
+    first = placed.groupBy("root_id").agg(F.min("n").alias("first"))
+    return placed.join(first, "root_id").select("root_id", (F.col("n") - F.col("first")).alias("position"), F.size("path").alias("depth"), "entry_id", "expanded")
+
+
 def invalidated(
     changed: DataFrame, entries: DataFrame, edges: DataFrame, same_task: bool = False, propagate: bool = True
 ) -> DataFrame:

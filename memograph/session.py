@@ -54,6 +54,12 @@ def ensure_checkpointing(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(folder)
 
 
+def allow_repeated_keys(spark: SparkSession) -> None:
+    """Let JSON objects with a repeated key be read as VARIANT, the last value counting, instead of failing."""
+    if spark.conf.get("spark.sql.variant.allowDuplicateKeys", "false") != "true":
+        spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Rows over all cores before costly per-row work, where few bytes would mean few tasks."""
     spark = df.sparkSession

@@ -36,6 +36,21 @@ def lineage_closure(v):
     return graph.lineage(v.summaries.select("entry_id"), v.edges)
 
 
+@query("lineage_tree", """
+WITH walk AS (
+    SELECT entry_id AS root_id, entry_id, 0 AS depth, []::VARCHAR[] AS path FROM v_summaries
+    UNION ALL
+    SELECT w.root_id, g.child_entry_id, w.depth + 1, list_append(w.path, g.child_entry_id)
+    FROM walk w JOIN (SELECT DISTINCT parent_entry_id, child_entry_id FROM v_edges) g ON g.parent_entry_id = w.entry_id
+    WHERE w.depth < 10 AND g.child_entry_id IN (SELECT entry_id FROM v_nodes)
+)
+SELECT root_id, row_number() OVER (PARTITION BY root_id ORDER BY path) - 1 AS position, depth, entry_id, depth < 10 AS expanded FROM walk
+""")
+def lineage_tree(v):
+    """What each source summary rests on; here every entry has one parent, so each is met once."""
+    return graph.lineage_tree(v.summaries.select("entry_id"), v.edges, v.nodes)
+
+
 @query("reject_entries", """
 SELECT entry_id, CASE WHEN entry_id IN (SELECT entry_id FROM v_reach) THEN 'rejected' ELSE verifier_status END AS verifier_status,
     CASE WHEN entry_id IN (SELECT entry_id FROM v_reach) THEN

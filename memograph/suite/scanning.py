@@ -128,6 +128,27 @@ def task_signature(v):
     )
 
 
+CANONICAL_CONSTRAINTS = """'{"conv":{"a":[],"b":{"c":' || conv_id || ',"d":2000.0}},"said":{"by":[{"x":null,"y":' || turn || '.5},true],"role":'
+  || to_json(role)::VARCHAR || '},"turn":1,"été":' || to_json(text)::VARCHAR || '}'"""
+
+
+@query("canonical_json", f"""
+SELECT conv_id, turn, canonical, substr(sha256('{{"constraints":' || canonical || ',"output_contract":"short answer","prompt":' ||
+    to_json({O.normalize('text')})::VARCHAR || ',"task_type":' || to_json(role)::VARCHAR || '}}'), 1, 16) AS signature
+FROM (SELECT *, {CANONICAL_CONSTRAINTS} AS canonical FROM conversations)
+""")
+def canonical_json(v):
+    """Nested constraints with keys out of order, one of them twice, escapes and blanks."""
+    turns = v.table("conversations")
+    raw = F.concat(
+        F.lit('{"turn": '), "turn", F.lit(', "said" : {"role":'), I.json_string(F.col("role")), F.lit(', "by": [ {"y": '), "turn",
+        F.lit('.50, "x": null}, true ]},\n  "turn": 1, "\\u00e9t\\u00e9": '), I.json_string(F.col("text")),
+        F.lit(', "conv": {"b": {"d": 2e3, "c": '), "conv_id", F.lit('}, "a": []}}'),
+    )
+    signature = I.task_signature(F.col("text"), F.col("role"), F.lit("  Short\nAnswer"), F.col("raw"), raw=True)
+    return turns.withColumn("raw", raw).select("conv_id", "turn", I.canonical_json(F.col("raw")).alias("canonical"), signature.alias("signature"))
+
+
 @query("scope_signature", f"""
 SELECT request_id, substr(sha256({O.scope_json('r_start', 'r_end')}), 1, 16) AS signature FROM v_requests
 """)
