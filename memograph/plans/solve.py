@@ -22,6 +22,7 @@ from memograph.functions import entries as E
 from memograph.functions import identity as I
 from memograph.operators import folding, graph, matching, spans
 from memograph.operators.reports import count_where
+from memograph.plans.aggregate import Aggregate, aggregated
 from memograph.plans.reuse import ReusePlan, plan_reuse
 from memograph.session import ensure_checkpointing
 
@@ -139,7 +140,8 @@ class Solution:
     """Outcome of one batch of requests.
 
     ``todo`` holds what was missing at first: ``request_id, missing_length`` of every piece
-    looked at, zero for reused windows. ``solved`` are the new entries; both are checkpointed.
+    looked at, zero for reused windows. ``solved`` are the new entries; both are checkpointed. With ``aggregate`` that callback
+    makes the answers, else results are joined in document order.
     """
 
     first: ReusePlan
@@ -147,21 +149,33 @@ class Solution:
     solved: DataFrame
     by_windows: bool
     created_at: str
+    aggregate: Aggregate | None = None
 
     @cached_property
     def final(self) -> ReusePlan:
         """The plan over old and new entries; only a new entry can replay a pending request now."""
         everything = self.first.entries.unionByName(self.solved)
-        return ReusePlan(self.first.pending, everything, ["result"], self.solved)
+        return ReusePlan(self.first.pending, everything, ["result", "confidence"], self.solved)
 
     @cached_property
     def pieces(self) -> DataFrame:
         """Per pending request, the entries its answer is made of, in document order."""
         return self.final.reusable.select("request_id", "scope_start", "scope_end", "entry_id", "result")
 
+    @cached_property
+    def outcomes(self) -> DataFrame:
+        """What the aggregate callback made of the pieces of each pending request, of its negative entries too."""
+        names = ["request_id", "scope_start", "scope_end", "entry_id", "result", "confidence"]
+        stored = self.final.entries.select("entry_id", "result", "confidence")
+        negative = self.final.negatives.select(*names[:4]).distinct().join(stored, "entry_id").select(*names, F.lit(True).alias("negative"))
+        found = self.final.reusable.select(*names, F.lit(False).alias("negative")).unionByName(negative)
+        return aggregated(found.join(self.final.pending.select("request_id", F.col("prompt").alias("query")), "request_id"), self.aggregate)
+
     @cached_property
     def answers(self) -> DataFrame:
-        """``request_id, answer`` from the ordered results of the reused entries."""
+        """``request_id, answer`` from the ordered results of the reused entries, or from the aggregate callback."""
+        if self.aggregate:
+            return self.outcomes.select("request_id", F.col("result").alias("answer"))
         return folding.ordered_text(
             self.pieces.filter("result <> ''"), ["request_id"], ["scope_start", "scope_end", "entry_id"],
             F.col("result"), "answer",
@@ -169,7 +183,9 @@ class Solution:
 
     @cached_property
     def dependencies(self) -> DataFrame:
-        """``request_id, dependencies``: reused entries, then negatives, each in document order."""
+        """``request_id, dependencies``: reused entries, then negatives, each in document order; those the callback used."""
+        if self.aggregate:
+            return self.outcomes.select("request_id", F.col("used").alias("dependencies"))
         order = ["scope_start", "scope_end", "entry_id"]
         used = folding.ordered_arrays(self.pieces, ["request_id"], order, {"used": F.col("entry_id")})
         negative = folding.ordered_arrays(self.final.negatives, ["request_id"], order, {"ruled_out": F.col("entry_id")})
@@ -208,6 +224,14 @@ class Solution:
             )
         )
         none = F.array().cast(S.EVIDENCE)
+        given = None
+        if self.aggregate:
+            given = self.outcomes.select(
+                "request_id", F.col("confidence").alias("stated"), F.col("evidence").alias("given"), F.col("metadata_json").alias("noted")
+            )
+            rows = rows.join(given, "request_id").withColumns(
+                {"confidence": F.col("stated"), "metadata_json": F.coalesce("noted", "metadata_json")}
+            )
         if evidence:
             owned = rows.select("request_id", F.posexplode("dependencies").alias("place", "entry_id")).join(
                 self.final.entries.select("entry_id", F.col("evidence").alias("spans")), "entry_id"
@@ -215,6 +239,8 @@ class Solution:
             merged = folding.ordered_arrays(owned, ["request_id"], ["place"], {"spans": F.col("spans")})
             rows = rows.join(merged.select("request_id", F.flatten("spans").alias("evidence")), "request_id", "left")
             rows = rows.withColumn("evidence", F.coalesce("evidence", none))
+            if given is not None:
+                rows = rows.withColumn("evidence", F.when(F.size("given") > 0, F.col("given")).otherwise(F.col("evidence")))
         else:
             rows = rows.withColumn("evidence", none)
         return as_entries(rows, self.created_at)
@@ -264,22 +290,26 @@ def _first_plan(requests: DataFrame, entries: DataFrame) -> ReusePlan:
     return plan
 
 
-def solve_windows(requests: DataFrame, entries: DataFrame, size: int, solver: Solver, created_at: str) -> Solution:
+def solve_windows(
+    requests: DataFrame, entries: DataFrame, size: int, solver: Solver, created_at: str, aggregate: Aggregate | None = None
+) -> Solution:
     """Answer requests by windows: whole windows that are not fully covered go to the solver."""
     first = _first_plan(requests, entries)
     states = window_states(windows_of(first.pending, size), entries).checkpoint()
     solved = _solve_scopes(states.filter("NOT is_complete"), solver, created_at)
     todo = states.select(F.col("parent_id").alias("request_id"), "missing_length")
-    return Solution(first, todo, solved, True, created_at)
+    return Solution(first, todo, solved, True, created_at, aggregate)
 
 
-def solve_gaps(requests: DataFrame, entries: DataFrame, solver: Solver, created_at: str) -> Solution:
+def solve_gaps(
+    requests: DataFrame, entries: DataFrame, solver: Solver, created_at: str, aggregate: Aggregate | None = None
+) -> Solution:
     """Answer requests by gaps: exactly the uncovered stretches go to the solver."""
     first = _first_plan(requests, entries)
     holes = first.pending.drop("start", "end").join(first.missing, "request_id").checkpoint()
     solved = _solve_scopes(holes, solver, created_at)
     todo = holes.select("request_id", (F.col("end") - F.col("start")).alias("missing_length"))
-    return Solution(first, todo, solved, False, created_at)
+    return Solution(first, todo, solved, False, created_at, aggregate)
 
 
 def resolve_changes(

@@ -1,5 +1,7 @@
 """Solving, answering, caching, placement and streaming from end to end."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from memograph.operators import folding, reports, samples
@@ -72,6 +74,38 @@ def solve_gaps(v):
     return solve.solve_gaps(v.requests, v.memo, _solver(), AS_OF).report
 
 
+def total_words(query, pieces):
+    """Add up the words that pieces report; those that report any are what the answer rests on."""
+    found = [(int(m[1]), p) for p in pieces if (m := re.search(r"words (\d+)$", p["result"])) and int(m[1])]
+    return {
+        "result": f"total words {sum(n for n, _ in found)}", "confidence": min((p["confidence"] for _, p in found), default=1.0),
+        "used_entry_ids": [i for _, p in found for i in p["used"]],
+    }
+
+
+@query("aggregate_callback", finished(f"SELECT request_id, s, e FROM ({STATES}) WHERE have < size", "").split("), answers AS (")[0] + f"""
+), pieces AS (
+    SELECT request_id, 0 AS place, scope_start, scope_end, entry_id, result, confidence, regexp_extract(result, 'words (\\d+)$', 1) AS found FROM chosen
+    UNION ALL SELECT request_id, 1, scope_start, scope_end, entry_id, result, confidence, '' FROM v_candidates WHERE negative
+), totals AS (
+    SELECT request_id, sum(CASE WHEN found <> '' THEN found::BIGINT ELSE 0 END) AS total,
+        coalesce(min(CASE WHEN found NOT IN ('', '0') THEN confidence END), 1.0) AS confidence,
+        count(*) FILTER (found NOT IN ('', '0')) AS used
+    FROM pieces GROUP BY 1
+)
+SELECT r.document_id, r_start AS scope_start, r_end AS scope_end, 'total words ' || total AS result, t.confidence,
+    (SELECT md5(string_agg(p.entry_id, ',' ORDER BY place, p.scope_start, p.scope_end, p.entry_id)) FROM pieces p
+        WHERE p.request_id = t.request_id AND (t.used = 0 OR found NOT IN ('', '0'))) AS dependencies
+FROM totals t JOIN v_pending r ON r.request_id = t.request_id WHERE r_end > r_start
+""")
+def aggregate_callback(v):
+    """Composites whose answers, confidence and dependencies come from a callback."""
+    made = solve.solve_windows(v.requests, v.memo, 4, _solver(), AS_OF, total_words).composites(evidence=False)
+    return made.select(
+        "document_id", "scope_start", "scope_end", "result", "confidence", F.md5(F.array_join("dependencies", ",")).alias("dependencies")
+    )
+
+
 @query("composite_entries")
 def composite_entries(v):
     """Composites of a window run with a Python solver, as they would be stored."""
