@@ -1,12 +1,13 @@
 """Solving, answering, caching, placement and streaming from end to end."""
 
 import re
+import uuid
 
 from pyspark.sql import functions as F
 
 from memograph.operators import folding, reports, samples
 from memograph.plans import cache as caching
-from memograph.plans import retrieval, solve, summarise
+from memograph.plans import cached, retrieval, solve, summarise
 from memograph.session import shared_dir
 from memograph.sources.tables import MemoTables
 from memograph.sources.views import AS_OF, PROMPTS, Views
@@ -235,6 +236,27 @@ def cache_lookup(v):
     return caching.lookup(v.lookups, v.cache)
 
 
+@query("cached_query", f"""
+WITH asked AS (SELECT lookup_id, chunk_hash, lower({O.strip('query')}) AS plain FROM v_lookups),
+firsts AS (SELECT chunk_hash, plain, min(lookup_id) AS asked_by FROM asked GROUP BY 1, 2)
+SELECT run::INTEGER AS run, lookup_id, CASE run WHEN 1 THEN 'miss' ELSE 'exact' END AS outcome, run = 2 AS from_cache, run = 1 AND lookup_id = asked_by AS executed,
+    'run 1:' || asked_by AS cache_id, plain || ' | is settled at | $' || length(plain) || '.5M' AS result, 'pass' AS guard, 'INFERRED' AS grounding,
+    CASE WHEN run = 1 THEN 'AGREED' END AS consensus
+FROM asked JOIN firsts USING (chunk_hash, plain), (VALUES (1), (2)) t(run)
+""")
+def cached_query(v):
+    """All lookups through an empty cache, twice: the second run executes nothing."""
+    context = v.table("orders").select(F.col("o_orderkey").alias("lookup_id"), F.concat(F.lit("Ledger of customer "), "o_custkey").alias("context"))
+    lookups = v.lookups.drop("chunk_hash").join(context, "lookup_id")
+    store = cached.CacheStore(v.spark, f"{shared_dir(v.spark)}/memograph/answers-{uuid.uuid4().hex}")
+
+    def execute(asked):
+        return asked.withColumn("result", F.concat("plain", F.lit(" | is settled at | $"), F.length("plain"), F.lit(".5M")))
+
+    runs = [cached.cached_query(lookups, store, execute, f"run {n}", AS_OF).withColumn("run", F.lit(n)) for n in (1, 2)]
+    return runs[0].unionByName(runs[1]).drop("model", "divergent")
+
+
 @query("cache_lookup_scoped", LOOKUP_SQL.replace("JOIN v_cache c", "JOIN (SELECT * FROM v_cache WHERE data_scope_hash = 'scope-a') c"))
 def cache_lookup_scoped(v):
     """Only rows made for the active data scope may answer."""
