@@ -5,9 +5,10 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from memograph.functions import text as T
 from memograph.operators import folding, reports, samples
 from memograph.plans import cache as caching
-from memograph.plans import cached, retrieval, solve, summarise
+from memograph.plans import cached, retrieval, solve, summarise, verified
 from memograph.session import shared_dir
 from memograph.sources.tables import MemoTables
 from memograph.sources.views import AS_OF, PROMPTS, Views
@@ -107,6 +108,42 @@ def aggregate_callback(v):
     )
 
 
+REWORDED_PAIRS = f"""
+    SELECT r.request_id, r.task_signature, e.task_signature AS stored_signature, e.entry_id, e.result,
+        len(list_intersect(list_distinct({O.search_tokens('r.prompt')}), list_distinct({O.search_tokens('e.prompt')}))) AS shared,
+        len(list_distinct({O.search_tokens('r.prompt')})) + len(list_distinct({O.search_tokens('e.prompt')})) AS total
+    FROM v_pending r JOIN v_memo e ON e.document_id = r.document_id AND {O.hash_ok('e.content_hash', 'r.content_hash')}
+        AND scope_start = r_start AND scope_end = r_end AND e.task_signature <> r.task_signature
+    WHERE e.verifier_status <> 'rejected' AND list_contains(e.reusable_as, 'exact_answer')
+"""
+ADOPTED = f"SELECT request_id, arg_min(result, entry_id) AS adopted FROM ({REWORDED_PAIRS}) WHERE shared >= 0.8 * (total - shared) GROUP BY 1"
+STILL_OPEN = f"SELECT request_id, s, e FROM ({STATES}) WHERE have < size AND request_id NOT IN (SELECT request_id FROM ({ADOPTED}))"
+
+
+@query("solve_verified", f"""
+SELECT run::INTEGER AS run, f.request_id, CASE WHEN a.request_id IS NULL THEN f.memo_type ELSE 'semantic_exact' END AS memo_type,
+    coalesce(a.adopted, f.answer) AS answer, initial_ratio,
+    CASE run WHEN 1 THEN (SELECT count(DISTINCT task_signature || stored_signature) FROM ({REWORDED_PAIRS})) ELSE 0 END::BIGINT AS verifier_calls
+FROM ({finished(STILL_OPEN, "")}) f LEFT JOIN ({ADOPTED}) a ON a.request_id = f.request_id, (VALUES (1), (2)) t(run)
+""")
+def solve_verified(v):
+    """Windows after equivalent tasks, twice over one store of verdicts: the second run asks the verifier nothing."""
+    verdicts = verified.Verdicts(v.spark, f"{shared_dir(v.spark)}/memograph/verdicts-{uuid.uuid4().hex}")
+
+    def similar(pairs):
+        left, right = (F.array_distinct(T.search_tokens(c)) for c in ("prompt", "stored_prompt"))
+        shared = F.size(F.array_intersect(left, right))
+        return pairs.withColumn("reuse_as", F.when(shared >= 0.8 * (F.size(left) + F.size(right) - shared), "exact").otherwise("different"))
+
+    made = []
+    for run in (1, 2):
+        done = verified.solve_verified(v.requests, v.memo, 4, _solver(), AS_OF, similar, verdicts, f"run {run}")
+        made.append(done.report.select(
+            F.lit(run).alias("run"), "request_id", "memo_type", "answer", "initial_ratio", F.lit(done.calls).cast("bigint").alias("verifier_calls")
+        ))
+    return made[0].unionByName(made[1])
+
+
 @query("composite_entries")
 def composite_entries(v):
     """Composites of a window run with a Python solver, as they would be stored."""
