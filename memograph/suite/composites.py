@@ -144,7 +144,29 @@ def solve_verified(v):
     return made[0].unionByName(made[1])
 
 
-@query("composite_entries")
+PYTHON_SOLVED = (
+    finished(f"SELECT request_id, s, e FROM ({STATES}) WHERE have < size", "").split("), answers AS (")[0]
+    .replace("'solved ' || s || '-' || e", "'fact:' || document_id || ':' || s").replace("1.0::DOUBLE AS confidence", "0.75::DOUBLE AS confidence")
+)
+
+
+@query("composite_entries", PYTHON_SOLVED + f"""
+), parts AS (
+    SELECT request_id, 0 AS place, scope_start, scope_end, entry_id, result FROM chosen
+    UNION ALL SELECT request_id, 1, scope_start, scope_end, entry_id, '' FROM v_candidates WHERE negative
+), made AS (
+    SELECT request_id, list(entry_id ORDER BY place, scope_start, scope_end, entry_id) AS dependencies,
+        string_agg(result, chr(10) ORDER BY scope_start, scope_end, entry_id) FILTER (place = 0 AND result <> '') AS result,
+        sum(coalesce(n_evidence, 0))::BIGINT AS evidence_spans
+    FROM parts LEFT JOIN (SELECT entry_id, n_evidence FROM v_memo) USING (entry_id) GROUP BY 1
+), composed AS (
+    SELECT document_id, content_hash, prompt, r_start AS scope_start, r_end AS scope_end, dependencies, result, 'answer' AS result_type,
+        ['exact_answer'] AS reusable_as, evidence_spans
+    FROM made JOIN v_pending USING (request_id) WHERE r_end > r_start AND result IS NOT NULL
+)
+SELECT {O.ENTRY_ID.replace("|| result ||", "|| replace(result, chr(10), chr(92) || 'n') ||")} AS entry_id, document_id, scope_start, scope_end, result,
+    len(dependencies)::BIGINT AS dependency_count, evidence_spans FROM composed
+""")
 def composite_entries(v):
     """Composites of a window run with a Python solver, as they would be stored."""
     answer = solve.python_solver(lambda scope: {"result": f"fact:{scope['document_id']}:{scope['start']}", "confidence": 0.75})
