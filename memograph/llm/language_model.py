@@ -1,16 +1,18 @@
 """Language-model scores with stupid backoff, computed relationally.
 
 Words are known by a 64-bit hash, bigrams by the two hashes of their words, so no vocabulary is kept and none is cut.
-Every document is exploded into its distinct bigrams with their counts; these rows are dealt by the bigram once and summed
-beside themselves. A bigram counts if the corpus has it more often than the document itself; otherwise the score backs off
-to the word's own frequency. Counts of words are joined by hash. What is sent to all tasks is bounded and changes no score:
-the exact counts of the most frequent words, and of the bigrams so frequent that they would burden one task; the latter are
-scored where the text is read, the others go through the exchange.
+Every document is exploded into its distinct bigrams with their counts. A bigram counts if the corpus has it more often than
+the document itself; otherwise the score backs off to the word's own frequency. The bigrams are dealt to parts by hash: by
+the rare word in them if there is one, so that the counts of rare words, dealt in the same way, lie beside them; a bigram of
+two rare words goes to both parts, the first word's scores it if other documents have it, the second word's if not. A slice
+of texts sends one packed row to a part, in which a frequent word takes two bytes and a document is named once.
+
+What is sent to all tasks is bounded and changes no score: the exact counts of the most frequent words, and of the bigrams so
+frequent that they would burden one part; those are scored where the text is read.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from hashlib import blake2b
 
@@ -18,18 +20,25 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from memograph.llm.common import Known, stored, text_slices
 
 BACKOFF = 0.4
-#: Words whose counts are sent to all tasks, the counts of all others are joined by a shuffle.
-SENT = 50_000
-#: A word or bigram is hot if it makes up one of so many steps; so there are no more of them than this.
-HOT_WORDS, HOT_BIGRAMS = 2_000, 20_000
-#: Words whose hash a task remembers, and bytes of text that it works on at a time.
-REMEMBERED, SLICE = 200_000, 4 << 20
+#: Words whose counts are sent to all tasks (two bytes name one of them), the counts of all others are dealt by hash.
+SENT, MOST_SENT = 50_000, 65_535
+#: A word or bigram is hot if it makes up one of so many steps. Both words of a hot bigram are hot, so they are sent, too.
+HOT_WORDS, HOT_BIGRAMS = 20_000, 20_000
+#: Words whose hash a task remembers, bytes of text that it works on at a time, and bytes of text to a part.
+REMEMBERED, SLICE, PART = 200_000, 8 << 20, 12 << 20
 ODD = np.int64(-7046029254386353131)
+RARE = np.uint16(65_535)
+GRAMS = "first long, word long, n long"
+PIECES = {
+    "part": pa.int64(), "docs": pa.binary(), "sizes": pa.binary(), "n": pa.binary(), "u": pa.binary(), "v": pa.binary(), "rare_u": pa.binary(),
+    "rare_v": pa.binary(), "words": pa.binary(), "times": pa.binary(), "sums": pa.binary(),
+}
+PIECE_FIELDS = ", ".join(f"{name} {'long' if name == 'part' else 'binary'}" for name in PIECES)
+SCORES = pa.schema([("hi", pa.int64()), ("lo", pa.int64()), ("score", pa.float64()), ("n_words", pa.int64())])
 
 
 def _words(text: str) -> list[str]:
@@ -44,22 +53,6 @@ def code(word: str) -> int:
 EDGE = code("")
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """How often the corpus has each word, and the empty word for each text with words; tasks add up their own first."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start, end in text_slices(batch.column(0), SLICE):
-                counts: Counter = Counter()
-                for text in batch.column(0)[start:end]:
-                    words = _words(text.as_py() or "")
-                    counts.update(words)
-                    counts[""] += bool(words)
-                yield pa.RecordBatch.from_arrays([pa.array(map(code, counts), pa.int64()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
-
-    return docs.select(F.col("text").cast("string")).mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-
-
 def _coded(texts: pa.Array, known: Known) -> tuple[np.ndarray, np.ndarray]:
     """The words of all texts in a row, an edge before the first and after every text with words; words of each text."""
     made, sizes = [np.array([EDGE])], np.zeros(len(texts), dtype=np.int64)
@@ -72,6 +65,43 @@ def _coded(texts: pa.Array, known: Known) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(made), sizes
 
 
+def _runs(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order that brings equal bigrams together, and where each of them starts in it."""
+    key = u * ODD + v
+    order = np.argsort(key)
+    if np.any((np.diff(key[order]) == 0) & ((np.diff(u[order]) != 0) | (np.diff(v[order]) != 0))):
+        order = np.lexsort((v, u))
+    fresh = np.ones(len(u), dtype=bool)
+    fresh[1:] = (np.diff(u[order]) != 0) | (np.diff(v[order]) != 0)
+    return order, np.flatnonzero(fresh)
+
+
+def counted_grams(docs: DataFrame) -> DataFrame:
+    """Counts of words (first is null), and of the bigrams that may be hot, each a lower bound of the bigram's own.
+
+    Every word counts, and the empty word for each text with words. A bigram is listed by the slices of text in which it
+    makes up one of ``2 * HOT_BIGRAMS`` steps. The other slices together have it less often than that, so a hot one has
+    at least half of its share listed; tasks add up their own first.
+    """
+    share = 2 * HOT_BIGRAMS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Known(code, REMEMBERED)
+        for batch in batches:
+            for start, end in text_slices(batch.column(0), SLICE):
+                codes, _ = _coded(batch.column(0)[start:end], known)
+                words, n = np.unique(codes[1:], return_counts=True)
+                order, starts = _runs(codes[:-1], codes[1:])
+                times = np.diff(np.r_[starts, len(order)])
+                often = times * share >= len(order)
+                at = order[starts[often]]
+                first = pa.array(np.r_[np.zeros(len(words), dtype=np.int64), codes[:-1][at]], mask=np.arange(len(words) + len(at)) < len(words))
+                made = [first, pa.array(np.r_[words, codes[1:][at]]), pa.array(np.r_[n, times[often]])]
+                yield pa.RecordBatch.from_arrays(made, names=["first", "word", "n"])
+
+    return docs.select("text").mapInArrow(run, GRAMS).groupBy("first", "word").agg(F.sum("n").alias("n"))
+
+
 def _pairs(texts: pa.Array, known: Known) -> tuple[np.ndarray, ...]:
     """Distinct bigrams of each text: place of the text, first word, second word, times; and the words of each text."""
     codes, sizes = _coded(texts, known)
@@ -85,14 +115,29 @@ def _pairs(texts: pa.Array, known: Known) -> tuple[np.ndarray, ...]:
     return place[starts], u[starts], v[starts], np.diff(np.r_[starts, len(u)]), sizes
 
 
+class Sent:
+    """The most frequent words with their counts."""
+
+    def __init__(self, times: dict[int, int], steps: int):
+        self.words = np.array(sorted(times), dtype=np.int64)
+        self.times, self.steps = np.array([times[w] for w in sorted(times)], dtype=np.int64), max(steps, 1)
+
+    def find(self, codes: np.ndarray) -> np.ndarray:
+        """The number of each word, ``RARE`` if it is not here."""
+        if not len(self.words):
+            return np.full(len(codes), RARE)
+        at = np.minimum(np.searchsorted(self.words, codes), len(self.words) - 1)
+        return np.where(self.words[at] == codes, at, RARE).astype(np.uint16)
+
+
 class Hot:
     """Bigrams that make up a large part of the corpus, with the counts of them and of their words."""
 
-    def __init__(self, rows: list[tuple[int, int, int]], times: dict[int, int], steps: int):
+    def __init__(self, rows: list[tuple[int, int, int]], sent: Sent):
         table = np.array(rows, dtype=np.int64).reshape(-1, 3)
         key = table[:, 0] * ODD + table[:, 1]
-        self.table, self.key, self.steps = table[np.argsort(key)], np.sort(key), steps
-        self.times = np.array([[times[u], times[v]] for u, v in self.table[:, :2].tolist()], dtype=np.int64).reshape(-1, 2)
+        self.table, self.key, self.steps = table[np.argsort(key)], np.sort(key), sent.steps
+        self.times = np.stack([sent.times[sent.find(self.table[:, i]).astype(np.int64)] for i in (0, 1)], axis=1) if len(table) else table[:, :2]
 
     def find(self, u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Which of the bigrams are here, and where."""
@@ -103,67 +148,139 @@ class Hot:
         return here, at[here]
 
     def scores(self, at: np.ndarray, n: np.ndarray) -> np.ndarray:
-        others = self.table[at, 2] - n
-        seen = np.maximum(others, 1) / np.maximum(self.times[at, 0] - n, np.maximum(others, 1))
-        return n * np.log(np.where(others > 0, seen, BACKOFF * self.times[at, 1] / self.steps))
+        return logarithms(n, self.table[at, 2] - n, self.times[at, 0], self.times[at, 1], self.steps)
+
+
+def logarithms(n: np.ndarray, others: np.ndarray, first: np.ndarray, second: np.ndarray, steps: int) -> np.ndarray:
+    """Of bigrams that a document has n times and all others together ``others`` times, with the counts of both words."""
+    seen = np.maximum(others, 1) / np.maximum(first - n, np.maximum(others, 1))
+    return n * np.log(np.where(others > 0, seen, BACKOFF * second / steps))
 
 
-def hot_bigrams(docs: DataFrame, times: dict[int, int], steps: int) -> Hot:
-    """The bigrams of frequent words that make up one of ``HOT_BIGRAMS`` steps; at most so many, with exact counts."""
-    frequent = np.array(sorted(w for w, n in times.items() if n * HOT_WORDS >= steps), dtype=np.int64)
-    shared = docs.sparkSession.sparkContext.broadcast(frequent)
+def hot_bigrams(docs: DataFrame, listed: DataFrame, sent: Sent) -> Hot:
+    """Exact counts of the listed bigrams that can be hot: at most ``2 * HOT_BIGRAMS``, every hot one among them."""
+    rows = listed.filter(F.col("n") * 2 * HOT_BIGRAMS >= sent.steps).collect()
+    asked = np.array([(r["first"], r["word"], 0) for r in rows], dtype=np.int64).reshape(-1, 3)
+    asked = asked[(sent.find(asked[:, 0]) != RARE) & (sent.find(asked[:, 1]) != RARE)]
+    if not len(asked):
+        return Hot([], sent)
+    shared = docs.sparkSession.sparkContext.broadcast(Hot(asked.tolist(), sent))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, known = shared.value, Known(code, REMEMBERED)
+        hot, known = shared.value, Known(code, REMEMBERED)
+        total = np.zeros(len(hot.table), dtype=np.int64)
         for batch in batches:
             for start, end in text_slices(batch.column(0), SLICE):
                 codes, _ = _coded(batch.column(0)[start:end], known)
-                at = np.minimum(np.searchsorted(words, codes), len(words) - 1)
-                here = words[at] == codes
-                pairs, n = np.unique((at[:-1] * len(words) + at[1:])[here[:-1] & here[1:]], return_counts=True)
-                made = [pa.array(words[pairs // len(words)]), pa.array(words[pairs % len(words)]), pa.array(n)]
-                yield pa.RecordBatch.from_arrays(made, names=["u", "v", "n"])
+                total += np.bincount(hot.find(codes[:-1], codes[1:])[1], minlength=len(total))
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["at", "n"])
 
-    if not len(frequent):
-        return Hot([], times, steps)
-    counted = docs.select(F.col("text").cast("string")).mapInArrow(run, "u long, v long, n long").groupBy("u", "v").agg(F.sum("n").alias("n"))
-    rows = counted.filter(F.col("n") * HOT_BIGRAMS >= steps).collect()
-    return Hot([(r["u"], r["v"], r["n"]) for r in rows], times, steps)
+    counts = docs.select("text").mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect()
+    table = shared.value.table
+    return Hot([(*table[r["at"], :2].tolist(), r["n"]) for r in counts], sent)
 
 
-def bigrams(docs: DataFrame, hot: Hot) -> DataFrame:
-    """A row (row, u, v, n) per document and distinct bigram that is not hot; u and v are the hashes of its words."""
-    shared = docs.sparkSession.sparkContext.broadcast(hot)
-    schema = pa.schema([("row", pa.int64()), ("u", pa.int64()), ("v", pa.int64()), ("n", pa.int64())])
+def _part(codes: np.ndarray, parts: int) -> np.ndarray:
+    return ((codes >> np.int64(20)) & np.int64(0xFFFFFFFF)) % parts
+
+
+def _piece(part: int, **arrays: np.ndarray) -> dict:
+    return {"part": part} | {name: a.tobytes() for name, a in arrays.items()}
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Known(code, REMEMBERED)
-        for batch in batches:
-            rows = batch.column(0).to_numpy()
-            for start, end in text_slices(batch.column(1), SLICE):
-                place, u, v, n, _ = _pairs(batch.column(1)[start:end], known)
-                cold = ~shared.value.find(u, v)[0]
-                yield pa.RecordBatch.from_arrays([pa.array(x[cold]) for x in (rows[start:end][place], u, v, n)], schema=schema)
 
-    return docs.select("row", F.col("text").cast("string")).mapInArrow(run, "row long, u long, v long, n long")
+def _batch(pieces: list[dict]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([p.get(name) for p in pieces], kind) for name, kind in PIECES.items()], names=list(PIECES))
 
 
-def hot_scores(docs: DataFrame, hot: Hot) -> DataFrame:
-    """Per row of ``docs``: row, doc_id, n_words, and the sum of the logarithms of its hot bigrams."""
-    shared = docs.sparkSession.sparkContext.broadcast(hot)
-    names = ["row", "doc_id", "n_words", "hot_score"]
+def _dealt(part: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each part that occurs with the places where it does, in their order."""
+    order = np.argsort(part, kind="stable")
+    starts = np.flatnonzero(np.r_[True, np.diff(part[order]) != 0]) if len(part) else []
+    for start, end in zip(starts, [*starts[1:], len(order)]):
+        yield int(part[order[start]]), order[start:end]
+
+
+def exploded(docs: DataFrame, sent, hot, parts: int) -> DataFrame:
+    """Packed rows of the bigrams that are not hot, by part, and (below 0) of the words and hot scores of documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Known(code, REMEMBERED)
         for batch in batches:
+            ids = np.stack([batch.column(i).to_numpy() for i in (0, 1)], axis=1)
             for start, end in text_slices(batch.column(2), SLICE):
                 place, u, v, n, sizes = _pairs(batch.column(2)[start:end], known)
-                here, at = shared.value.find(u, v)
-                sums = np.bincount(place[here], shared.value.scores(at, n[here]), len(sizes))
-                own = [batch.column(i)[start:end] for i in (0, 1)]
-                yield pa.RecordBatch.from_arrays([*own, pa.array(sizes), pa.array(sums.astype(np.float64))], names=names)
+                here, at = hot.value.find(u, v)
+                sums = np.bincount(place[here], hot.value.scores(at, n[here]), len(sizes)).astype(np.float64)
+                own = ids[start:end]
+                yield _batch([_piece(-1 - int(_part(own[:1, 0], parts)[0]), docs=own, sizes=sizes, sums=sums)])
+                place, u, v, n = (x[~here] for x in (place, u, v, n))
+                a, b = sent.value.find(u), sent.value.find(v)
+                by = np.where(b == RARE, v, np.where(a == RARE, u, u * ODD + v))
+                both = np.flatnonzero((a == RARE) & (b == RARE))
+                dealt = [(p, x) for p, x in _dealt(_part(by, parts))] + [(parts + p, both[x]) for p, x in _dealt(_part(u[both], parts))]
+                pieces = []
+                for p, x in dealt:
+                    mine, each = np.unique(place[x], return_counts=True)
+                    first, second = u[x][a[x] == RARE], v[x][b[x] == RARE]
+                    pieces.append(_piece(p, docs=own[mine], sizes=each, n=n[x].astype(np.uint32), u=a[x], v=b[x], rare_u=first, rare_v=second))
+                yield _batch(pieces)
+
+    return docs.select("hi", "lo", "text").mapInArrow(run, PIECE_FIELDS)
+
+
+def dealt_words(rare: DataFrame, parts: int) -> DataFrame:
+    """Packed rows of the counts of rare words, for both parts in which a bigram asks for them."""
 
-    return docs.select("row", "doc_id", "text").mapInArrow(run, "row long, doc_id long, n_words long, hot_score double")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words, times = (c.to_numpy() for c in batch.columns)
+            pieces = [_piece(p, words=words[x], times=times[x]) for p, x in _dealt(_part(words, parts))]
+            yield _batch(pieces + [piece | {"part": piece["part"] + parts} for piece in pieces])
+
+    return rare.select("word", "n").mapInArrow(run, PIECE_FIELDS)
+
+
+def part_scores(pieces: pa.Table, sent: Sent, parts: int) -> pa.Table:
+    """Sums of logarithms per document and packed row of one part."""
+    part = pieces.column("part")[0].as_py()
+
+    def joined(name: str, kind) -> np.ndarray:
+        return np.frombuffer(b"".join(x for x in pieces.column(name).to_pylist() if x), dtype=kind)
+
+    docs, sizes = joined("docs", np.int64).reshape(-1, 2), joined("sizes", np.int64)
+    if part < 0:
+        return pa.table([pa.array(docs[:, 0]), pa.array(docs[:, 1]), pa.array(joined("sums", np.float64)), pa.array(sizes)], schema=SCORES)
+    words, times = joined("words", np.int64), joined("times", np.int64)
+    order = np.argsort(words)
+    words, times = words[order], times[order]
+
+    def read(name: str) -> tuple[np.ndarray, np.ndarray]:
+        """Codes and counts of the bigrams' words; a rare word whose count is in another part has 0."""
+        at = joined(name, np.uint16)
+        rare = at == RARE
+        codes, counts = np.zeros(len(at), dtype=np.int64), np.zeros(len(at), dtype=np.int64)
+        codes[~rare], counts[~rare] = sent.words[at[~rare]], sent.times[at[~rare]]
+        codes[rare] = joined(f"rare_{name}", np.int64)
+        if len(words):
+            where = np.minimum(np.searchsorted(words, codes[rare]), len(words) - 1)
+            counts[rare] = np.where(words[where] == codes[rare], times[where], 0)
+        return codes, counts
+
+    u, first = read("u")
+    v, second = read("v")
+    n = joined("n", np.uint32).astype(np.int64)
+    order, starts = _runs(u, v)
+    others = np.zeros(len(n), dtype=np.int64)
+    if len(n):
+        others[order] = np.repeat(np.add.reduceat(n[order], starts), np.diff(np.r_[starts, len(n)]))
+    others -= n
+    both = (joined("u", np.uint16) == RARE) & (joined("v", np.uint16) == RARE)
+    mine = others > 0 if part >= parts else ~both | (others == 0)
+    made = np.zeros(len(n))
+    made[mine] = logarithms(n[mine], others[mine], first[mine], second[mine], sent.steps)
+    sums = np.bincount(np.repeat(np.arange(len(sizes)), sizes), made, len(sizes)).astype(np.float64)
+    return pa.table([pa.array(docs[:, 0]), pa.array(docs[:, 1]), pa.array(sums), pa.nulls(len(sums), pa.int64())], schema=SCORES)
 
 
 def backoff_scores(docs: DataFrame) -> DataFrame:
@@ -171,31 +288,26 @@ def backoff_scores(docs: DataFrame) -> DataFrame:
 
     For words u, v that the rest of the corpus has c times in a row: c / count(u), where count(u) leaves the bigram's own
     occurrences in the document out, too; without any, 0.4 * count(v) / all words. Texts without words (null ones, too) have
-    n_words 0, log_score 0.0 and a null mean. Rows go by a hash of id and text; equal rows have equal scores, each told apart
-    by how many there are.
+    n_words 0, log_score 0.0 and a null mean. Rows go by two hashes of id and text; equal rows have equal scores, each
+    told apart by how many there are.
     """
-    rows = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
-        F.coalesce(F.xxhash64("doc_id", "text"), F.lit(0)).alias("row"),
-    )
-    counted = stored(word_counts(rows), "words")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = rows.withColumns({"hi": F.xxhash64("doc_id", "text"), "lo": F.xxhash64("text", F.lit(1), "doc_id")})
+    grams = stored(counted_grams(rows), "grams")
+    counted = grams.filter("first IS NULL").select("word", "n")
     steps = int(counted.agg(F.sum("n")).first()[0] or 0)
-    sent = counted.orderBy(F.desc("n"), "word").limit(SENT).collect()
-    times = {r["word"]: r["n"] for r in sent}
-    hot = hot_bigrams(rows, times, steps)
-    known = docs.sparkSession.createDataFrame(list(times.items()), "word long, times long")
-
-    # A bigram is looked up by one of its words alone: by the first if other documents have it, else by the second.
-    others = F.sum("n").over(Window.partitionBy("u", "v")) - F.col("n")
-    each = bigrams(rows, hot).withColumn("others", others)
-    each = each.select("row", "n", "others", F.when(F.col("others") > 0, F.col("u")).otherwise(F.col("v")).alias("word"))
-    rare = counted.join(F.broadcast(known), "word", "left_anti").withColumnRenamed("n", "times")
-    found = each.join(F.broadcast(known), "word").unionByName(each.join(F.broadcast(known), "word", "left_anti").join(rare, "word"))
-    seen = F.log(F.col("others") / F.greatest(F.col("times") - F.col("n"), F.col("others")))
-    unseen = F.log(BACKOFF * F.col("times") / float(max(steps, 1)))
-    scored = found.groupBy("row").agg(F.sum(F.col("n") * F.when(F.col("others") > 0, seen).otherwise(unseen)).alias("log_score"))
-    copies = rows.groupBy("row").agg(F.count("*").alias("copies"))
-    scored = scored.join(copies, "row").select("row", (F.col("log_score") / F.col("copies")).alias("cold_score"))
-    made = hot_scores(rows, hot).join(scored, "row", "left")
-    made = made.withColumn("log_score", F.col("hot_score") + F.coalesce("cold_score", F.lit(0.0)))
+    most = min(max(SENT, HOT_WORDS), MOST_SENT)
+    frequent = {r["word"]: r["n"] for r in counted.orderBy(F.desc("n"), "word").limit(most).collect()}
+    sent = Sent(frequent, steps)
+    hot = hot_bigrams(rows, grams.filter("first IS NOT NULL"), sent)
+    spark = docs.sparkSession
+    known = spark.createDataFrame([(w,) for w in frequent], "word long")
+    rare = counted.join(F.broadcast(known), "word", "left_anti")
+
+    parts = 1 + int(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // PART
+    shared, shared_hot = spark.sparkContext.broadcast(sent), spark.sparkContext.broadcast(hot)
+    pieces = exploded(rows, shared, shared_hot, parts).unionByName(dealt_words(rare, parts))
+    scored = pieces.groupBy("part").applyInArrow(lambda t: part_scores(t, shared.value, parts), "hi long, lo long, score double, n_words long")
+    scored = scored.groupBy("hi", "lo").agg(F.max("n_words").alias("n_words"), (F.sum("score") / F.count("n_words")).alias("log_score"))
+    made = rows.select("hi", "lo", "doc_id").join(scored, ["hi", "lo"])
     return made.select("doc_id", "n_words", "log_score", F.when(F.col("n_words") > 0, F.col("log_score") / (F.col("n_words") + 1)).alias("mean_log_score"))
