@@ -5,7 +5,9 @@ Every document is exploded into its distinct bigrams with their counts. A bigram
 the document itself; otherwise the score backs off to the word's own frequency. The bigrams are dealt to parts by hash: by
 the rare word in them if there is one, so that the counts of rare words, dealt in the same way, lie beside them; a bigram of
 two rare words goes to both parts, the first word's scores it if other documents have it, the second word's if not. A slice
-of texts sends one packed row to a part, in which a frequent word takes two bytes and a document is named once.
+of texts sends one packed row to a part, in which a frequent word takes two bytes and a document its place in the slice; the
+part answers with a sum per document, and the answers come together by slice. They say how many bigrams they tell of, so
+that a slice that was cut differently when a task was repeated is an error and not a wrong score.
 
 What is sent to all tasks is bounded and changes no score: the exact counts of the most frequent words, and of the bigrams so
 frequent that they would burden one part; those are scored where the text is read.
@@ -29,18 +31,22 @@ SENT, MOST_SENT = 50_000, 65_535
 #: A word or bigram is hot if it makes up one of so many steps. Both words of a hot bigram are hot, so they are sent, too.
 HOT_WORDS, HOT_BIGRAMS = 20_000, 20_000
 #: Words whose hash a task remembers, bytes of text that it works on at a time, and bytes of text to a part.
-REMEMBERED, SLICE, PART = 200_000, 8 << 20, 12 << 20
+REMEMBERED, SLICE, PART = 100_000, 3 << 20, 10 << 20
 ODD = np.int64(-7046029254386353131)
 RARE = np.uint16(65_535)
 GRAMS = "first long, word long, n long"
 PIECES = {
-    "part": pa.int64(), "docs": pa.binary(), "sizes": pa.binary(), "n": pa.binary(), "u": pa.binary(), "v": pa.binary(), "rare_u": pa.binary(),
-    "rare_v": pa.binary(), "words": pa.binary(), "times": pa.binary(), "sums": pa.binary(),
+    "part": pa.int64(), "slice": pa.binary(), "places": pa.binary(), "sizes": pa.binary(), "n": pa.binary(), "u": pa.binary(), "v": pa.binary(),
+    "rare_u": pa.binary(), "rare_v": pa.binary(), "words": pa.binary(), "times": pa.binary(), "docs": pa.binary(), "sums": pa.binary(), "told": pa.int64(),
 }
-PIECE_FIELDS = ", ".join(f"{name} {'long' if name == 'part' else 'binary'}" for name in PIECES)
+ANSWERS = {name: PIECES[name] for name in ("slice", "places", "sizes", "docs", "sums", "told")}
 SCORES = pa.schema([("hi", pa.int64()), ("lo", pa.int64()), ("score", pa.float64()), ("n_words", pa.int64())])
 
 
+def _fields(columns: dict[str, pa.DataType]) -> str:
+    return ", ".join(f"{name} {'long' if kind == pa.int64() else 'binary'}" for name, kind in columns.items())
+
+
 def _words(text: str) -> list[str]:
     return text.lower().split()
 
@@ -185,8 +191,8 @@ def _part(codes: np.ndarray, parts: int) -> np.ndarray:
     return ((codes >> np.int64(20)) & np.int64(0xFFFFFFFF)) % parts
 
 
-def _piece(part: int, **arrays: np.ndarray) -> dict:
-    return {"part": part} | {name: a.tobytes() for name, a in arrays.items()}
+def _piece(part: int, told: int = 0, name: bytes | None = None, **arrays: np.ndarray) -> dict:
+    return {"part": part, "told": told, "slice": name} | {column: a.tobytes() for column, a in arrays.items()}
 
 
 def _batch(pieces: list[dict]) -> pa.RecordBatch:
@@ -202,7 +208,7 @@ def _dealt(part: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def exploded(docs: DataFrame, sent, hot, parts: int) -> DataFrame:
-    """Packed rows of the bigrams that are not hot, by part, and (below 0) of the words and hot scores of documents."""
+    """Packed rows of the bigrams that are not hot, by part, and (below 0) of the documents of a slice with their hot scores."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Known(code, REMEMBERED)
@@ -212,21 +218,25 @@ def exploded(docs: DataFrame, sent, hot, parts: int) -> DataFrame:
                 place, u, v, n, sizes = _pairs(batch.column(2)[start:end], known)
                 here, at = hot.value.find(u, v)
                 sums = np.bincount(place[here], hot.value.scores(at, n[here]), len(sizes)).astype(np.float64)
-                own = ids[start:end]
-                yield _batch([_piece(-1 - int(_part(own[:1, 0], parts)[0]), docs=own, sizes=sizes, sums=sums)])
+                own = np.ascontiguousarray(ids[start:end])
+                name = blake2b(own.tobytes(), digest_size=16).digest()
                 place, u, v, n = (x[~here] for x in (place, u, v, n))
                 a, b = sent.value.find(u), sent.value.find(v)
                 by = np.where(b == RARE, v, np.where(a == RARE, u, u * ODD + v))
                 both = np.flatnonzero((a == RARE) & (b == RARE))
                 dealt = [(p, x) for p, x in _dealt(_part(by, parts))] + [(parts + p, both[x]) for p, x in _dealt(_part(u[both], parts))]
+                told = len(u) + len(both)
+                yield _batch([_piece(-1 - int(_part(own[:1, 0], parts)[0]), told, name, docs=own, sizes=sizes, sums=sums)])
                 pieces = []
                 for p, x in dealt:
                     mine, each = np.unique(place[x], return_counts=True)
                     first, second = u[x][a[x] == RARE], v[x][b[x] == RARE]
-                    pieces.append(_piece(p, docs=own[mine], sizes=each, n=n[x].astype(np.uint32), u=a[x], v=b[x], rare_u=first, rare_v=second))
+                    own_words = {"u": a[x], "v": b[x], "rare_u": first, "rare_v": second}
+                    steps = np.diff(mine, prepend=0).astype(np.uint32)
+                    pieces.append(_piece(p, len(x), name, places=steps, sizes=each.astype(np.uint32), n=n[x].astype(np.uint32), **own_words))
                 yield _batch(pieces)
 
-    return docs.select("hi", "lo", "text").mapInArrow(run, PIECE_FIELDS)
+    return docs.select("hi", "lo", "text").mapInArrow(run, _fields(PIECES))
 
 
 def dealt_words(rare: DataFrame, parts: int) -> DataFrame:
@@ -238,19 +248,19 @@ def dealt_words(rare: DataFrame, parts: int) -> DataFrame:
             pieces = [_piece(p, words=words[x], times=times[x]) for p, x in _dealt(_part(words, parts))]
             yield _batch(pieces + [piece | {"part": piece["part"] + parts} for piece in pieces])
 
-    return rare.select("word", "n").mapInArrow(run, PIECE_FIELDS)
+    return rare.select("word", "n").mapInArrow(run, _fields(PIECES))
 
 
 def part_scores(pieces: pa.Table, sent: Sent, parts: int) -> pa.Table:
-    """Sums of logarithms per document and packed row of one part."""
+    """Sums of logarithms per document of every packed row of one part; rows of documents go on unchanged."""
     part = pieces.column("part")[0].as_py()
+    if part < 0:
+        return pieces.select(list(ANSWERS))
 
     def joined(name: str, kind) -> np.ndarray:
         return np.frombuffer(b"".join(x for x in pieces.column(name).to_pylist() if x), dtype=kind)
 
-    docs, sizes = joined("docs", np.int64).reshape(-1, 2), joined("sizes", np.int64)
-    if part < 0:
-        return pa.table([pa.array(docs[:, 0]), pa.array(docs[:, 1]), pa.array(joined("sums", np.float64)), pa.array(sizes)], schema=SCORES)
+    sizes = joined("sizes", np.uint32)
     words, times = joined("words", np.int64), joined("times", np.int64)
     order = np.argsort(words)
     words, times = words[order], times[order]
@@ -280,7 +290,26 @@ def part_scores(pieces: pa.Table, sent: Sent, parts: int) -> pa.Table:
     made = np.zeros(len(n))
     made[mine] = logarithms(n[mine], others[mine], first[mine], second[mine], sent.steps)
     sums = np.bincount(np.repeat(np.arange(len(sizes)), sizes), made, len(sizes)).astype(np.float64)
-    return pa.table([pa.array(docs[:, 0]), pa.array(docs[:, 1]), pa.array(sums), pa.nulls(len(sums), pa.int64())], schema=SCORES)
+    asked = pieces.filter(pa.compute.is_valid(pieces.column("slice")))
+    ends = np.cumsum([len(x) // 4 for x in asked.column("places").to_pylist()], dtype=np.int64)
+    cells = [sums[start:end].tobytes() for start, end in zip([0, *ends[:-1]], ends)]
+    columns = {"slice": asked.column("slice"), "places": asked.column("places"), "sums": pa.array(cells, pa.binary()), "told": asked.column("told")}
+    return pa.table([columns.get(name, pa.nulls(len(asked), kind)) for name, kind in ANSWERS.items()], schema=pa.schema(ANSWERS))
+
+
+def slice_scores(answers: pa.Table) -> pa.Table:
+    """A row (hi, lo, score, n_words) per document of one slice, and of its copies if the same slice was read again."""
+    rows = answers.to_pylist()
+    own, parts = [r for r in rows if r["docs"] is not None], [r for r in rows if r["docs"] is None]
+    if not own or sum(r["told"] for r in own) != sum(r["told"] for r in parts):
+        raise RuntimeError("a slice of texts was cut in two ways: read the documents from files or a stored table")
+    docs = np.frombuffer(own[0]["docs"], dtype=np.int64).reshape(-1, 2)
+    total = np.zeros(len(docs))
+    for r in parts:
+        total[np.cumsum(np.frombuffer(r["places"], dtype=np.uint32))] += np.frombuffer(r["sums"], dtype=np.float64)
+    score = np.frombuffer(own[0]["sums"], dtype=np.float64) + total / len(own)
+    made = [docs[:, 0], docs[:, 1], score, np.frombuffer(own[0]["sizes"], dtype=np.int64)]
+    return pa.table([pa.array(np.tile(x, len(own))) for x in made], schema=SCORES)
 
 
 def backoff_scores(docs: DataFrame) -> DataFrame:
@@ -289,7 +318,7 @@ def backoff_scores(docs: DataFrame) -> DataFrame:
     For words u, v that the rest of the corpus has c times in a row: c / count(u), where count(u) leaves the bigram's own
     occurrences in the document out, too; without any, 0.4 * count(v) / all words. Texts without words (null ones, too) have
     n_words 0, log_score 0.0 and a null mean. Rows go by two hashes of id and text; equal rows have equal scores, each
-    told apart by how many there are.
+    told apart by how many there are. Documents should come from files or a stored table, so that a repeated task reads the same.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.withColumns({"hi": F.xxhash64("doc_id", "text"), "lo": F.xxhash64("text", F.lit(1), "doc_id")})
@@ -307,7 +336,8 @@ def backoff_scores(docs: DataFrame) -> DataFrame:
     parts = 1 + int(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // PART
     shared, shared_hot = spark.sparkContext.broadcast(sent), spark.sparkContext.broadcast(hot)
     pieces = exploded(rows, shared, shared_hot, parts).unionByName(dealt_words(rare, parts))
-    scored = pieces.groupBy("part").applyInArrow(lambda t: part_scores(t, shared.value, parts), "hi long, lo long, score double, n_words long")
-    scored = scored.groupBy("hi", "lo").agg(F.max("n_words").alias("n_words"), (F.sum("score") / F.count("n_words")).alias("log_score"))
+    answers = pieces.groupBy("part").applyInArrow(lambda t: part_scores(t, shared.value, parts), _fields(ANSWERS))
+    scored = answers.groupBy("slice").applyInArrow(slice_scores, "hi long, lo long, score double, n_words long")
+    scored = scored.groupBy("hi", "lo").agg(F.max("n_words").alias("n_words"), F.avg("score").alias("log_score"))
     made = rows.select("hi", "lo", "doc_id").join(scored, ["hi", "lo"])
     return made.select("doc_id", "n_words", "log_score", F.when(F.col("n_words") > 0, F.col("log_score") / (F.col("n_words") + 1)).alias("mean_log_score"))
