@@ -9,6 +9,7 @@ from memograph.functions import text as T
 from memograph.operators import folding, reports, samples
 from memograph.plans import cache as caching
 from memograph.plans import cached, retrieval, solve, summarise, verified
+from memograph.plans import ingest as ingesting
 from memograph.session import shared_dir
 from memograph.sources.tables import MemoTables
 from memograph.sources.views import AS_OF, PROMPTS, Views
@@ -316,6 +317,31 @@ def cached_query(v):
     return runs[0].unionByName(runs[1]).drop("model", "divergent")
 
 
+@query("ingest_corpus", f"""
+WITH found AS (SELECT 'doc_' || doc_id AS filename, lang, coalesce({O.strip('text')}, '') AS t FROM documents),
+rounds AS (
+    SELECT 1 AS round, filename, 'added' AS state, length(t) AS n FROM found
+    UNION ALL
+    SELECT 2, filename, CASE lang WHEN 'fr' THEN 'removed' WHEN 'de' THEN 'changed' ELSE 'same' END,
+        CASE lang WHEN 'fr' THEN 0 WHEN 'de' THEN length('Revised edition. ' || t) ELSE length(t) END FROM found
+), cut AS (SELECT *, CASE WHEN n >= 50 THEN (n - 50) // 2800 + 1 ELSE 0 END AS windows FROM rounds)
+SELECT round::INTEGER AS round, filename, state, windows::INTEGER AS windows, (CASE state WHEN 'same' THEN 0 ELSE windows END)::INTEGER AS embedded FROM cut
+""")
+def ingest_corpus(v):
+    """All documents into an empty corpus, then again with one language revised and one gone."""
+    corpus = ingesting.Corpus(v.spark, f"{shared_dir(v.spark)}/memograph/corpus-{uuid.uuid4().hex}")
+    first = v.spread("documents", "doc_id").select(
+        F.concat(F.lit("doc_"), "doc_id").alias("filename"), "lang", F.coalesce(T.strip("text"), F.lit("")).alias("text")
+    )
+    revised = F.when(F.col("lang") == "de", F.concat(F.lit("Revised edition. "), "text")).otherwise(F.col("text"))
+    second = first.filter("lang IS DISTINCT FROM 'fr'").withColumn("text", revised)
+    made = []
+    for n, texts in enumerate((first, second), 1):
+        found = texts.select("filename", "text", F.sha2("text", 256).alias("content_hash"), F.length("text").cast("bigint").alias("total_chars"))
+        made.append(ingesting.ingest(found, corpus, f"round {n}").select(F.lit(n).alias("round"), "filename", "state", "windows", "embedded"))
+    return made[0].unionByName(made[1])
+
+
 @query("cache_lookup_scoped", LOOKUP_SQL.replace("JOIN v_cache c", "JOIN (SELECT * FROM v_cache WHERE data_scope_hash = 'scope-a') c"))
 def cache_lookup_scoped(v):
     """Only rows made for the active data scope may answer."""
