@@ -77,3 +77,15 @@ def test_extraction_learns_from_long_pages(spark):
     for p, text in enumerate(texts):
         got, expected = set(made[p].split("\n")), set(text.split("\n"))
         assert len(got & expected) >= 0.95 * len(expected) and len(got - expected) <= 0.05 * len(expected)
+
+
+def test_backoff_of_odd_rows(spark, corpus, nothing):
+    """Null ids and texts, empty and very long texts, repeated rows, columns named like the operator's own; a table without rows."""
+    clashing = corpus[0].withColumnsRenamed({"lang": "hi", "score": "n_words", "row": "slice"})
+    made = [(r["doc_id"], r["n_words"], r["log_score"]) for r in language_model.backoff_scores(clashing).collect()]
+    expected = list(backoff([(i, t) for i, t, *_ in corpus[1]]))
+    order = lambda row: (row[0] is None, row[0] or 0, row[1], row[2])
+    assert len(made) == len(expected)
+    for got, plain in zip(sorted(made, key=order), sorted(expected, key=order)):
+        assert got[:2] == plain[:2] and got[2] == pytest.approx(plain[2], rel=1e-9)
+    assert language_model.backoff_scores(nothing).count() == 0
