@@ -1,187 +1,236 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine through a block-max inverted index.
 
-Examples are a bounded sample of labelled documents. Terms are the words, and beginnings of
-longer words, that go with one of the labels in that sample, counted by groups of near copies so that one copied document is no evidence for its words. The index holds
-the examples in blocks with each term's largest weight per block; a block whose bound lies below the k-th best
-cosine so far is not scored, which leaves the k nearest exact. Their votes are weighted by closeness and calibrated
-by the votes that the examples get from the others.
+Examples are a bounded sample of labelled documents, with all of their words; document frequencies are counted over
+all documents. A word's weight is its inverse document frequency, raised by its association with label 1 in the sample,
+counted by groups of near copies so that one copied document is no evidence for its words. The index holds every example
+in blocks with each word's largest weight per block; a block whose bound lies below the k-th best cosine so far is not
+scored, which leaves the k nearest exact. Their votes are weighted by closeness and calibrated by the votes that the
+examples get from the others.
 """
 
 from __future__ import annotations
 
-import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memograph.llm.common import checkpointed, held_out, labelled_sample
+from memograph.llm.common import checkpointed, held_out, labelled_sample, text_slices
 
-#: Most examples in the index, terms in the vocabulary, and neighbours that vote.
-EXAMPLES = 16_384
-TERMS = 4_096
+#: Most examples in the index (the bound of all that is broadcast), and neighbours that vote.
+EXAMPLES = 4_096
 NEIGHBOURS = 15
-BLOCK, FIRST_BLOCKS = 64, 4
-#: A term must be in so many groups of copies, and its likelihood ratio must pass twice the logarithm of the terms
-#: that are, plus this margin: of terms without association not one in ten samples is expected to.
-LEAST_GROUPS = 3
-MARGIN = 4.0
-#: Letters of a word's beginning that make a term of their own, for inflected and compounded words.
-PREFIX = 5
+BLOCK, FIRST_BLOCKS = 32, 4
+#: Share of its inverse document frequency that a word keeps without association, and what a unit of association per group
+#: of copies adds. Association counts from twice the logarithm of the number of words, plus the margin: of words without
+#: any, not one in ten samples is expected to reach it.
+PLAIN, PULL, MARGIN = 0.05, 28.0, 4.0
+#: Words that are in more than one of so many blocks are common; so many texts are searched together.
+COMMON, TOGETHER = 3, 256
+SLICE = 4 << 20
 TIE = 1e-9
 CUTOFF = 0.5
-_words = re.compile(r"[^\W\d_]+").findall
 
 
-def _group(words: list[str]) -> int:
+def word_counts(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct words (runs of letters, in lower case) of some texts; by text and word in order: text, word, times."""
+    parts = pc.ascii_split_whitespace(pc.replace_substring_regex(pc.utf8_lower(pc.fill_null(texts, "")), r"\PL+", " "))
+    flat = parts.flatten().dictionary_encode()
+    text = np.repeat(np.arange(len(parts)), pc.list_value_length(parts).to_numpy(zero_copy_only=False))
+    code = flat.indices.to_numpy(zero_copy_only=False)
+    said = pc.binary_length(flat.dictionary).to_numpy(zero_copy_only=False)[code] > 0
+    width = max(len(flat.dictionary), 1)
+    pairs, times = np.unique(text[said] * width + code[said], return_counts=True)
+    return flat.dictionary, pairs // width, pairs % width, times
+
+
+def _copies(text: str) -> int:
     """A number that most near copies share: the least checksum of three words in a row."""
+    words = [w for w in pc.split_pattern_regex(pa.array([text]), r"\PL+").flatten().to_pylist() if w]
     return min((zlib.crc32(" ".join(w).encode()) for w in zip(words, words[1:], words[2:])), default=zlib.crc32(" ".join(words).encode()))
 
 
 def _example_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = []
-        for doc_id, label, text in zip(*(c.to_pylist() for c in batch.columns)):
-            words = _words(text.lower())
-            counts = Counter(words)
-            counts.update(f"{w[:PREFIX]}*" for w in words if len(w) > PREFIX)
-            rows.append((doc_id, label, len(words), _group(words), list(counts), list(counts.values())))
-        ids, marks, sizes, groups, terms, times = zip(*rows) if rows else [[]] * 6
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(ids, pa.int64()), pa.array(marks, pa.int32()), pa.array(sizes, pa.int64()), pa.array(groups, pa.int64()), pa.array(terms, pa.list_(pa.string())), pa.array(times, pa.list_(pa.int32()))],
-            names=["doc_id", "label", "words", "copies", "terms", "times"],
-        )
-
-
-def chosen_terms(examples: DataFrame) -> list[str]:
-    """The terms most associated with a label, by likelihood ratio over groups of copies; ties by the term."""
-    each = examples.select("label", "copies", F.explode("terms").alias("term"))
-    seen = each.groupBy("term", "label").agg(F.count_distinct("copies").alias("n"))
-    by_label = [F.sum(F.when(F.col("label") == y, F.col("n")).otherwise(0)).alias(f"n{y}") for y in (0, 1)]
-    totals = {r["label"]: r["n"] for r in examples.groupBy("label").agg(F.count_distinct("copies").alias("n")).collect()}
-    zero, one = totals.get(0, 0), totals.get(1, 0)
-    if not zero or not one:
-        return []
-    a, b = F.col("n1").cast("double"), F.col("n0").cast("double")
-    seen = checkpointed(seen.groupBy("term").agg(*by_label).filter("n0 + n1 >= %d" % LEAST_GROUPS))
-    share = lambda part, whole, of: F.when(part > 0, part * F.log(part * (zero + one) / (whole * of))).otherwise(0.0)
-    ratio = 2 * (
-        share(a, a + b, one) + share(b, a + b, zero)
-        + share(one - a, zero + one - a - b, one) + share(zero - b, zero + one - a - b, zero)
-    )
-    least = 2 * np.log(max(seen.count(), 1)) + MARGIN
-    ranked = seen.withColumn("ratio", ratio).filter(F.col("ratio") >= least)
-    return [r["term"] for r in ranked.orderBy(F.desc("ratio"), "term").limit(TERMS).select("term").collect()]
+        ids, labels, texts = batch.columns
+        names, text, word, times = word_counts(texts)
+        ends = np.searchsorted(text, np.arange(len(texts) + 1)).astype(np.int32)
+        words = pa.ListArray.from_arrays(pa.array(ends), names.take(pa.array(word)))
+        counts = pa.ListArray.from_arrays(pa.array(ends), pa.array(times.astype(np.int32)))
+        copies = pa.array([_copies(t.as_py().lower()) for t in texts], pa.int64())
+        yield pa.RecordBatch.from_arrays([ids, labels, copies, words, counts], names=["doc_id", "label", "copies", "words", "times"])
+
+
+def places_of(names: pa.Array, words: pa.Array) -> np.ndarray:
+    """The place of each name among the words, -1 for others."""
+    return pc.fill_null(pc.index_in(names, value_set=words.cast(names.type)), -1).to_numpy(zero_copy_only=False)
+
+
+def document_frequencies(docs: DataFrame, words: pa.Array) -> tuple[np.ndarray, int]:
+    """In how many rows of ``docs`` each word stands, and how many rows there are; counted per task before they are summed."""
+    sent = docs.sparkSession.sparkContext.broadcast(words)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, rows = np.zeros(len(sent.value), dtype=np.int64), 0
+        for batch in batches:
+            texts, rows = batch.column(0), rows + batch.num_rows
+            for start, end in text_slices(texts, SLICE):
+                names, _, word, _ = word_counts(texts.slice(start, end - start))
+                at = places_of(names, sent.value)[word]
+                found += np.bincount(at[at >= 0], minlength=len(found))
+        seen = np.flatnonzero(found)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(seen, -1)), pa.array(np.append(found[seen], rows))], names=["word", "n"])
+
+    each = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(counted, "word long, n long")
+    made = each.groupBy("word").agg(F.sum("n").alias("n")).toArrow()
+    word, n = made["word"].to_numpy(), made["n"].to_numpy()
+    total = np.zeros(len(words) + 1, dtype=np.int64)
+    total[word] = n  # -1, the rows, comes last
+    return total[:-1], int(total[-1])
+
+
+def associations(words: int, word: np.ndarray, label: np.ndarray, copies: np.ndarray) -> np.ndarray:
+    """By word, how far its likelihood ratio with label 1 passes the bar, per group of copies; 0 for words of label 0.
+
+    One entry per example and word: the word's place, the example's label and its group of copies.
+    """
+    groups = np.unique(np.c_[label, copies], axis=0)[:, 0]
+    one, zero = np.sum(groups == 1), np.sum(groups == 0)
+    if not one or not zero:
+        return np.zeros(words)
+    entries = np.unique(np.c_[word, label, copies], axis=0)
+    a, b = (np.bincount(entries[entries[:, 1] == y, 0], minlength=words).astype(float) for y in (1, 0))
+
+    def part(n, whole, of):
+        return n * np.log(np.where(n > 0, n, 1) * (zero + one) / np.maximum(whole * of, 1))
+
+    ratio = 2 * (part(a, a + b, one) + part(b, a + b, zero) + part(one - a, zero + one - a - b, one) + part(zero - b, zero + one - a - b, zero))
+    return np.where(a * zero > b * one, np.maximum(ratio - 2 * np.log(words) - MARGIN, 0), 0) / (zero + one)
+
+
+def _spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """All numbers of the stretches, one stretch after the other."""
+    return np.arange(lengths.sum()) + np.repeat(starts - np.cumsum(lengths) + lengths, lengths)
 
 
 class Neighbours:
-    """Block-max inverted index of unit vectors, and the vote of the nearest."""
-
-    def __init__(self, terms: list[str], rows: list[tuple[int, int, dict[str, int], int]], k: int = NEIGHBOURS):
-        self.k, self.at, self.other = k, {t: i for i, t in enumerate(terms)}, len(terms)
-        self.terms, self.starts = terms, {t[:-1]: t for t in terms if t.endswith("*")}
-        known = [(d, y, self.counts(c, n)) for d, y, c, n in rows]
-        frequency = Counter(t for _, _, c in known for t in c) | {self.other: len(rows)}
-        self.idf = np.array([np.log((1 + len(rows)) / (1 + frequency[t])) + 1 for t in range(len(terms) + 1)])
-        rest = [y for _, y, c in known if not c]
-        self.blank = (sum(rest) + 0.5) / (len(rest) + 2)
-        # Examples of like content side by side make tight blocks.
-        known = sorted((x for x in known if x[2]), key=lambda x: (sorted(x[2]), x[0]))
-        self.ids = np.array([x[0] for x in known], dtype=np.int64)
-        self.labels = np.array([x[1] for x in known], dtype=np.float64)
-        self.vectors = [self.unit(x[2]) for x in known]
-        postings: dict[int, list[tuple[int, float]]] = {}
-        for i, vector in enumerate(self.vectors):
-            for t, w in vector:
-                postings.setdefault(t, []).append((i, w))
-        self.blocks = -(-len(known) // BLOCK)
-        self.postings, self.bounds = {}, {}
-        for t, pairs in postings.items():
-            where, weight = np.array([p[0] for p in pairs]), np.array([p[1] for p in pairs])
-            blocks, starts = np.unique(where // BLOCK, return_index=True)
-            self.postings[t] = where, weight, where // BLOCK
-            self.bounds[t] = blocks, np.maximum.reduceat(weight, starts)
-        self.slope, self.shift = 1.0, 0.0
-        if len(known) > self.k:
-            self._calibrate()
-
-    def counts(self, found: dict[str, int], words: int) -> dict[int, int]:
-        """Terms of a text of so many words; none if it has no chosen term."""
-        made = {self.at[t]: n for t, n in found.items() if t in self.at}
-        rest = words - sum(n for t, n in made.items() if not self.terms[t].endswith("*"))
-        return made | {self.other: rest} if made and rest > 0 else made
-
-    def unit(self, counts: dict[int, int]) -> list[tuple[int, float]]:
-        weights = [(t, (1 + np.log(n)) * self.idf[t]) for t, n in sorted(counts.items())]
-        norm = np.sqrt(sum(w * w for _, w in weights))
-        return [(t, w / norm) for t, w in weights]
-
-    def nearest(self, vector: list[tuple[int, float]], k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Places and cosines of the k nearest examples, ties to the smaller id; none that share no term."""
-        bound = np.zeros(self.blocks)
-        vector = [(t, w) for t, w in vector if t in self.bounds]
-        for t, w in vector:
-            blocks, most = self.bounds[t]
-            bound[blocks] += w * most
+    """Block-max inverted index of the unit vectors of all examples, and the vote of the nearest.
+
+    ``counts`` are arrays of example, word and times, sorted by example; ``weights`` are the words' weights and ``unknown``
+    that of every word that no example has.
+    """
+
+    def __init__(self, words: pa.Array, weights: np.ndarray, unknown: float, ids: np.ndarray, labels: np.ndarray, counts, k: int = NEIGHBOURS):
+        self.k, self.words, self.weights, self.unknown = k, words, weights, unknown
+        self.blank = (labels.sum() + 0.5) / (len(labels) + 2)
+        example, word, times = counts
+        value = (1 + np.log(times)) * weights[word]
+        norms = np.sqrt(np.bincount(example, value**2, minlength=len(ids)))
+        # Examples whose heaviest word is the same lie side by side: tight blocks.
+        heaviest = np.full(len(ids), len(words))
+        by_value = np.lexsort((-word, value))
+        heaviest[example[by_value]] = word[by_value]
+        order = np.lexsort((ids, heaviest))
+        self.ids, self.labels = ids[order], labels[order].astype(float)
+        place = np.empty(len(ids), dtype=np.int64)
+        place[order] = np.arange(len(ids))
+        by_word = np.lexsort((place[example], word))
+        self.row, self.value = place[example[by_word]].astype(np.int32), (value / norms[example])[by_word]
+        # One entry per word and block with its postings' start and its largest weight.
+        self.blocks = -(-len(ids) // BLOCK)
+        entry, self.start = np.unique(word[by_word] * max(self.blocks, 1) + self.row // BLOCK, return_index=True)
+        self.length = np.diff(np.append(self.start, len(self.row)))
+        self.most = np.maximum.reduceat(self.value, self.start) if len(entry) else np.zeros(0)
+        self.block = entry % max(self.blocks, 1)
+        self.first = np.searchsorted(entry // max(self.blocks, 1), np.arange(len(words) + 1))
+        # Words of many blocks are kept as dense columns instead: bounds and cosines of theirs are matrix products.
+        spread = np.diff(self.first)
+        common = np.flatnonzero(spread > max(int(self.blocks / COMMON), 1))
+        self.common = np.full(len(words), -1)
+        self.common[common] = np.arange(len(common))
+        self.dense, self.most_of = np.zeros((self.blocks * BLOCK, len(common))), np.zeros((len(common), self.blocks))
+        here = _spread(self.first[common], spread[common])
+        self.most_of[np.repeat(np.arange(len(common)), spread[common]), self.block[here]] = self.most[here]
+        column = np.repeat(np.arange(len(common)), np.add.reduceat(self.length[here], np.cumsum(spread[common]) - spread[common]) if len(common) else 0)
+        here = _spread(self.start[here], self.length[here])
+        self.dense[self.row[here], column] = self.value[here]
+
+    def vectors(self, names: pa.Array, text: np.ndarray, word: np.ndarray, times: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Text, known word and weight of the unit vectors of n texts; unknown words count in their length."""
+        at = places_of(names, self.words)[word]
+        value = (1 + np.log(times)) * np.where(at >= 0, self.weights[at] if len(self.weights) else 0.0, self.unknown)
+        norms = np.sqrt(np.bincount(text, value**2, minlength=n))
+        known = at >= 0
+        return text[known], at[known], (value / norms[text])[known]
+
+    def examples(self, start: int, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Example (from 0), word and weight of the examples at these places."""
+        here = np.flatnonzero((self.row >= start) & (self.row < end))
+        here = here[np.argsort(self.row[here], kind="stable")]
+        entry = np.searchsorted(self.start, here, side="right") - 1
+        return self.row[here] - start, np.searchsorted(self.first, entry, side="right") - 1, self.value[here]
+
+    def nearest(self, text: np.ndarray, word: np.ndarray, value: np.ndarray, n: int, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+        """Of each of n texts the k nearest examples, ties to the smaller id, none that share no word: places and cosines
+        (to nine decimals), and how many blocks were scored."""
+        for start in range(0, n, TOGETHER):
+            some = min(TOGETHER, n - start)
+            part = slice(*np.searchsorted(text, [start, start + some]))
+            yield from self._nearest(text[part] - start, word[part], value[part], some, k)
+
+    def _nearest(self, text: np.ndarray, word: np.ndarray, value: np.ndarray, n: int, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+        common = self.common[word]
+        dense = np.zeros((n, self.dense.shape[1]))
+        dense[text[common >= 0], common[common >= 0]] = value[common >= 0]
+        text, word, value = text[common < 0], word[common < 0], value[common < 0]
+        lengths = self.first[word + 1] - self.first[word]
+        rare = np.repeat(text, lengths), _spread(self.first[word], lengths), np.repeat(value, lengths)
+        text, entries, value = rare
+        bound = dense @ self.most_of
+        bound += np.bincount(text * self.blocks + self.block[entries], value * self.most[entries], minlength=bound.size).reshape(bound.shape)
         # The blocks of highest bounds give a k-th best cosine; of the others those that can reach it are scored.
-        first = np.zeros(self.blocks, dtype=bool)
-        first[np.argsort(-bound, kind="stable")[:FIRST_BLOCKS]] = True
-        places, cosines = self._scored(vector, first & (bound > 0))
-        least = np.partition(cosines, -k)[-k] if len(cosines) >= k else 0.0
-        rest = self._scored(vector, ~first & (bound > 0) & (bound >= least - TIE))
-        places, cosines = np.concatenate([places, rest[0]]), np.concatenate([cosines, rest[1]])
-        if len(cosines) > 4 * k:
-            reach = np.partition(cosines, -k)[-k] - TIE
-            places, cosines = places[cosines >= reach], cosines[cosines >= reach]
-        order = np.lexsort((self.ids[places], -np.round(cosines, 9)))[:k]
-        return places[order], cosines[order]
-
-    def _scored(self, vector: list[tuple[int, float]], blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places and cosines of the examples in these blocks that share a term."""
-        scores = np.zeros(len(self.ids))
-        if blocks.any():
-            for t, w in vector:
-                where, weight, block = self.postings[t]
-                here = blocks[block]
-                scores[where[here]] += w * weight[here]
-        places = np.flatnonzero(scores)
-        return places, scores[places]
+        first = np.zeros(bound.shape, dtype=bool)
+        np.put_along_axis(first, np.argsort(-bound, axis=1, kind="stable")[:, :FIRST_BLOCKS], True, axis=1)
+        scores = np.zeros((n, self.blocks * BLOCK))
+        self._score(scores, dense, rare, first)
+        least = np.partition(scores, -k, axis=1)[:, -k] if scores.shape[1] >= k else np.zeros(n)
+        rest = ~first & (bound > 0) & (bound >= least[:, None] - TIE)
+        self._score(scores, dense, rare, rest)
+        scored = (first | rest).sum(axis=1)
+        reach = np.partition(scores, -k, axis=1)[:, -k] if scores.shape[1] >= k else np.zeros(n)
+        for i in range(n):
+            places = np.flatnonzero(scores[i] >= max(reach[i] - TIE, 1e-12))
+            cosines = np.round(scores[i, places], 9)
+            order = np.lexsort((self.ids[places], -cosines))[:k]
+            yield places[order], cosines[order], int(scored[i])
+
+    def _score(self, scores: np.ndarray, dense: np.ndarray, rare, chosen: np.ndarray) -> None:
+        """Adds the cosines of the chosen blocks, by text and block, to ``scores``."""
+        for block in np.flatnonzero(chosen.any(axis=0)):
+            here, rows = np.flatnonzero(chosen[:, block]), slice(block * BLOCK, (block + 1) * BLOCK)
+            scores[here, rows] = dense[here] @ self.dense[rows].T
+        text, entries, value = rare
+        here = chosen[text, self.block[entries]]
+        text, entries, value = text[here], entries[here], value[here]
+        lengths = self.length[entries]
+        at = _spread(self.start[entries], lengths)
+        spot = np.repeat(text, lengths) * scores.shape[1] + self.row[at]
+        scores += np.bincount(spot, np.repeat(value, lengths) * self.value[at], minlength=scores.size).reshape(scores.shape)
 
     def vote(self, places: np.ndarray, cosines: np.ndarray) -> float:
         weights = 1 / (1.05 - np.minimum(cosines, 1.0))
         return float((weights @ self.labels[places] + self.blank) / (weights.sum() + 1))
 
-    def _calibrate(self) -> None:
-        """Logistic fit of the labels on the votes that examples get from the others (Newton's steps, a small ridge)."""
-        votes = []
-        for i, vector in enumerate(self.vectors):
-            places, cosines = self.nearest(vector, self.k + 1)
-            others = places != i
-            votes.append(self.vote(places[others][: self.k], cosines[others][: self.k]))
-        x = np.c_[_logit(np.array(votes)), np.ones(len(votes))]
-        beta, ridge = np.array([1.0, 0.0]), np.diag([1e-2, 1e-2])
-        for _ in range(30):
-            p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-            gradient = x.T @ (self.labels - p) - ridge @ (beta - [1.0, 0.0])
-            beta = beta + np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge, gradient)
-        self.slope, self.shift = float(max(beta[0], 0.0)), float(beta[1])
-
-    def score(self, text: str) -> tuple[float, list[int], list[float]]:
-        words = _words(text.lower())
-        found = Counter(filter(self.at.__contains__, words))
-        if self.starts:
-            starts = filter(self.starts.__contains__, [w[:PREFIX] for w in words if len(w) > PREFIX])
-            found.update(self.starts[w] for w in starts)
-        counts = self.counts(found, len(words))
-        places, cosines = self.nearest(self.unit(counts), self.k) if counts else ((), ())
-        if not len(places):
-            return self.blank, [], []
-        score = 1 / (1 + np.exp(-np.clip(self.slope * _logit(self.vote(places, cosines)) + self.shift, -30, 30)))
-        return float(score), self.ids[places].tolist(), np.minimum(cosines, 1.0).tolist()
+    def votes_of_others(self, start: int, end: int) -> Iterator[float]:
+        """The vote on each of these examples by the nearest others."""
+        found = self.nearest(*self.examples(start, end), end - start, self.k + 1)
+        for place, (places, cosines, _) in zip(range(start, end), found):
+            others = places != place
+            yield self.vote(places[others][: self.k], cosines[others][: self.k])
 
 
 def _logit(p):
@@ -189,27 +238,66 @@ def _logit(p):
     return np.log(p / (1 - p))
 
 
+def calibration(votes: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
+    """Slope and shift of a logistic fit of the labels on the votes (Newton's steps, a small ridge)."""
+    x = np.c_[_logit(votes), np.ones(len(votes))]
+    beta, ridge = np.array([1.0, 0.0]), np.diag([1e-2, 1e-2])
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
+        gradient = x.T @ (labels - p) - ridge @ (beta - [1.0, 0.0])
+        beta = beta + np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge, gradient)
+    return float(max(beta[0], 0.0)), float(beta[1])
+
+
 def fitted(docs: DataFrame, labels: DataFrame) -> Neighbours:
-    """The index on the driver: at most ``EXAMPLES`` rows that hold chosen terms alone."""
+    """The index on the driver: the words of at most ``EXAMPLES`` documents, weighed by all of ``docs``."""
     sample = labelled_sample(docs, labels, "toxic", EXAMPLES).select("doc_id", "label", "text")
-    fields = "doc_id long, label int, words long, copies long, terms array<string>, times array<int>"
-    examples = checkpointed(sample.mapInArrow(_example_words, fields))
-    terms = chosen_terms(examples)
-    known = F.array(*[F.lit(t) for t in terms]).cast("array<string>")
-    pairs = F.filter(F.arrays_zip("terms", "times"), lambda z: F.array_contains(known, z["terms"]))
-    found = examples.select("doc_id", "label", pairs.alias("pairs"), "words").collect()
-    rows = [(r["doc_id"], r["label"], {z["terms"]: z["times"] for z in r["pairs"]}, r["words"]) for r in found]
-    return Neighbours(terms, rows)
+    fields = "doc_id long, label int, copies long, words array<string>, times array<int>"
+    found = checkpointed(sample.mapInArrow(_example_words, fields)).toArrow().sort_by("doc_id").combine_chunks()
+    ids, marks, copies = (found[c].to_numpy() for c in ("doc_id", "label", "copies"))
+    lists = found["words"].combine_chunks()
+    times = pc.list_flatten(found["times"]).to_numpy()
+    said = lists.flatten().cast(pa.string())
+    words = pc.unique(said).sort() if len(said) else pa.array([], pa.string())
+    word = places_of(said, words).astype(np.int64)
+    example = np.repeat(np.arange(len(ids)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+    frequencies, rows = document_frequencies(docs, words)
+    idf = np.log((1 + rows) / (1 + frequencies)) + 1
+    pull = associations(len(words), word, marks[example], copies[example]) if len(words) else np.zeros(0)
+    return Neighbours(words, idf * (PLAIN + PULL * pull), PLAIN * (np.log(1 + rows) + 1), ids, marks, (example, word, times))
 
 
 def scorer(docs: DataFrame, labels: DataFrame):
     """A column function of texts: struct of score, evidence and cosines, by the examples found in ``docs``."""
-    index = docs.sparkSession.sparkContext.broadcast(fitted(docs, labels))
+    spark = docs.sparkSession
+    made = fitted(docs, labels)
+    index = spark.sparkContext.broadcast(made)
+    slope, shift = 1.0, 0.0
+
+    def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in batch.column(0).to_pylist():
+                end = min(start + TOGETHER, len(index.value.ids))
+                found = pa.array(index.value.votes_of_others(start, end), pa.float64())
+                yield pa.RecordBatch.from_arrays([pa.array(range(start, end), pa.int64()), found], names=["id", "vote"])
+
+    if len(made.ids) > made.k:
+        found = spark.range(0, len(made.ids), TOGETHER).mapInArrow(votes, "id long, vote double").toArrow().sort_by("id")
+        slope, shift = calibration(found["vote"].to_numpy(), made.labels)
+
+    def judged(places: np.ndarray, cosines: np.ndarray) -> tuple[float, list[int], list[float]]:
+        if not len(places):
+            return index.value.blank, [], []
+        score = 1 / (1 + np.exp(-np.clip(slope * _logit(index.value.vote(places, cosines)) + shift, -30, 30)))
+        return float(score), index.value.ids[places].tolist(), np.minimum(cosines, 1.0).tolist()
 
     @F.arrow_udf("struct<score: double, evidence: array<long>, cosines: array<double>>")
     def score(texts: pa.Array) -> pa.Array:
-        made = [index.value.score(t.as_py() or "") for t in texts]
-        columns = list(zip(*made)) or [[]] * 3
+        rows = []
+        for start, end in text_slices(texts, SLICE):
+            vectors = index.value.vectors(*word_counts(texts.slice(start, end - start)), end - start)
+            rows += [judged(*found[:2]) for found in index.value.nearest(*vectors, end - start, index.value.k)]
+        columns = list(zip(*rows)) or [[]] * 3
         kinds = [pa.float64(), pa.list_(pa.int64()), pa.list_(pa.float64())]
         return pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["score", "evidence", "cosines"])
 
@@ -219,8 +307,8 @@ def scorer(docs: DataFrame, labels: DataFrame):
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Per row of ``docs``: doc_id, held_out, score, predicted (score >= 0.5), evidence (ids of the nearest), cosines.
 
-    A text without known terms (an empty or null one, too) has no evidence and the rate of label 1 among such
-    examples. Without labels the score is 0.25. Equal texts get equal scores, rows of a null id as well.
+    A text that shares no word with any example (an empty or null one, too) has no evidence and the examples' rate of
+    label 1. Without labels the score is 0.25. Equal texts get equal scores, rows of a null id as well.
     """
     scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), scorer(docs, labels)(F.col("text")).alias("made"))
     return scored.select(

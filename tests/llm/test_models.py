@@ -4,6 +4,7 @@ import math
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -75,24 +76,49 @@ def test_toxicity(judged):
     assert kept.columns == frame.columns and kept.count() == sum(not r["predicted"] for r in rows)
 
 
-def test_neighbours_equal_all_cosines():
-    draw = random.Random(1)
-    terms = [f"t{i}" for i in range(50)]
-    rows = [(i, draw.randint(0, 1), {t: draw.randint(1, 4) for t in draw.sample(terms, draw.randint(0, 5))}, draw.randint(60, 90)) for i in range(1200)]
-    index = toxicity.Neighbours(terms, rows)
-    full = np.zeros((len(index.ids), len(terms) + 1))
-    for i, vector in enumerate(index.vectors):
-        for t, w in vector:
-            full[i, t] = w
-    for _ in range(100):
-        vector = index.unit(index.counts({t: draw.randint(1, 3) for t in draw.sample(terms, 3)}, draw.randint(60, 90)))
-        query = np.zeros(len(terms) + 1)
-        for t, w in vector:
-            query[t] = w
-        cosines = full @ query
-        expected = [i for i in np.lexsort((index.ids, -np.round(cosines, 9))) if cosines[i] > 0][:15]
-        places, got = index.nearest(vector, 15)
-        assert list(places) == expected and np.allclose(got, cosines[expected])
+def test_toxicity_equals_all_cosines(spark):
+    """Index, weights, cosines and evidence against plain sums over all words of all examples and documents."""
+    draw = random.Random(3)
+    lexicon = [f"w{chr(97 + i // 20)}{chr(97 + i % 20)}é" for i in range(300)]
+    texts = [" ".join(lexicon[min(int(draw.expovariate(0.02)), 299)] for _ in range(draw.randint(3, 60))) for _ in range(700)]
+    texts += [None, "", "123 ...", texts[0], texts[1], "Wæß neverseen", "long " * 50_000 + texts[2]]
+    frame = spark.createDataFrame([(i, t, "de") for i, t in enumerate(texts)], "doc_id long, text string, score string")
+    labels = spark.createDataFrame([(i, int("waaé" in (t or ""))) for i, t in enumerate(texts[:600])], "doc_id long, toxic int")
+    index = toxicity.fitted(frame, labels)
+    words = [Counter(re.findall(r"[^\W\d_]+", (t or "").lower())) for t in texts]
+    examples = [i for i in range(600) if fold(i)]
+    assert sorted(index.ids.tolist()) == examples and set(index.words.to_pylist()) == {w for i in examples for w in words[i]}
+    frequency = Counter(w for c in words for w in c)
+    weight = dict(zip(index.words.to_pylist(), index.weights))
+    plain = {w: 0.05 * (np.log((1 + len(texts)) / (1 + frequency[w])) + 1) for w in weight}
+    assert all(weight[w] >= plain[w] * (1 - 1e-12) for w in weight) and max(weight, key=lambda w: weight[w] / plain[w]) == "waaé"
+    unknown = 0.05 * (np.log(1 + len(texts)) + 1)
+
+    def unit(counts):
+        values = {w: (1 + np.log(n)) * weight.get(w, unknown) for w, n in counts.items()}
+        norm = np.sqrt(sum(v * v for v in values.values()))
+        return {w: v / norm for w, v in values.items()}
+
+    known = [(i, unit(words[i])) for i in examples]
+    rows = {r["doc_id"]: r for r in toxicity.toxicity(frame, labels).collect()}
+    assert len(rows) == len(texts)
+    for i in [*range(0, 700, 29), *range(700, len(texts))]:
+        query = unit(words[i])
+        cosines = [(-round(sum(v * x.get(w, 0.0) for w, v in query.items()), 8), j) for j, x in known]
+        expected = [(j, -c) for c, j in sorted(cosines) if c < 0][:15]
+        assert np.allclose(rows[i]["cosines"], [c for _, c in expected], atol=2e-8)
+        reach = expected[-1][1] if expected else 0
+        assert {j for j, c in expected if c > reach + 1e-7} <= set(rows[i]["evidence"])
+    assert rows[700]["evidence"] == rows[702]["evidence"] == rows[705]["evidence"] == [] and rows[0]["score"] == rows[703]["score"]
+    scored = [n for _, _, n in index.nearest(*index.examples(0, 100), 100, 15)]
+    assert max(scored) <= index.blocks
+
+
+def test_toxicity_of_odd_tables(spark):
+    empty = spark.createDataFrame([(1, ""), (2, None), (None, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (2, 0)], "doc_id long, toxic int")
+    assert [(r["predicted"], r["evidence"]) for r in toxicity.toxicity(empty, labels).collect()] == [(0, [])] * 3
+    assert toxicity.toxicity(empty.filter("false"), labels.filter("false")).count() == 0
 
 
 def counts(text):
