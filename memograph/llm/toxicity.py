@@ -128,6 +128,7 @@ class Neighbours:
         self.k, self.words, self.weights, self.unknown = k, words, weights, unknown
         self.blank = (labels.sum() + 0.5) / (len(labels) + 2)
         example, word, times = counts
+        self.made_of = ids, labels, np.bincount(example, minlength=len(ids)).astype(np.int32), word.astype(np.int32), times.astype(np.int32)
         value = (1 + np.log(times)) * weights[word]
         norms = np.sqrt(np.bincount(example, value**2, minlength=len(ids)))
         # Examples whose heaviest word is the same lie side by side: tight blocks.
@@ -159,6 +160,11 @@ class Neighbours:
         here = _spread(self.start[here], self.length[here])
         self.dense[self.row[here], column] = self.value[here]
 
+    def __reduce__(self):
+        """Sent as the examples' counts alone, a fraction of the index; each worker builds the index anew."""
+        ids, labels, lengths, word, times = self.made_of
+        return _rebuilt, (self.words, self.weights, self.unknown, ids, labels, lengths, word, times, self.k)
+
     def vectors(self, names: pa.Array, text: np.ndarray, word: np.ndarray, times: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Text, known word and weight of the unit vectors of n texts; unknown words count in their length."""
         at = places_of(names, self.words)[word]
@@ -233,6 +239,10 @@ class Neighbours:
             yield self.vote(places[others][: self.k], cosines[others][: self.k])
 
 
+def _rebuilt(words, weights, unknown, ids, labels, lengths, word, times, k) -> Neighbours:
+    return Neighbours(words, weights, unknown, ids, labels, (np.repeat(np.arange(len(ids)), lengths), word.astype(np.int64), times), k)
+
+
 def _logit(p):
     p = np.clip(p, 1e-6, 1 - 1e-6)
     return np.log(p / (1 - p))
