@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from memograph import schema as S
@@ -24,6 +25,38 @@ def leading_text(chars: int = 200) -> Summariser:
     return run
 
 
+#: A sentence of a piece: from its first character that is no blank to its closing marks or the end of its line.
+SENTENCE = r"([^.!?\s][^.!?\n]*[.!?]*)"
+
+
+def central_sentences(chars: int = 2_000) -> Summariser:
+    """Every sentence of a piece is read; those that share most words with the others are kept, in order.
+
+    A sentence scores, per thousand of its different words, the other sentences that its words stand in; ties go to the
+    earlier one. Sentences are taken by score while all so far have at most ``chars`` characters, with one separator each.
+    Where the first of them is longer, its beginning is the summary. A piece without sentences (blanks, closing marks) has
+    the empty summary. A piece is a bounded number of characters, so its sentences fit a task however they are spread.
+    """
+
+    def run(pieces: DataFrame) -> DataFrame:
+        keys = [c for c in pieces.columns if c != "text"]
+        found = F.filter(F.transform(F.regexp_extract_all("text", F.lit(SENTENCE)), lambda s: F.trim(s)), lambda s: s != "")
+        # One exchange: all windows and groups below are within a piece.
+        each = pieces.repartition(*keys).select(*keys, F.posexplode_outer(found).alias("at", "sentence"))
+        words = F.array_distinct(F.filter(F.split("sentence", " "), lambda w: w != ""))
+        said = each.select(*keys, "at", "sentence", F.size(words).alias("n"), F.explode_outer(words).alias("word"))
+        others = said.withColumn("others", F.count("*").over(W.partitionBy(*keys, "word")) - 1)
+        scored = others.groupBy(*keys, "at", "sentence").agg(F.floor(F.sum("others") * 1000 / F.max("n")).alias("score"))
+        best_first = W.partitionBy(*keys).orderBy(F.desc("score"), "at")
+        upto = best_first.rowsBetween(W.unboundedPreceding, W.currentRow)
+        taken = scored.withColumn("sum", F.sum(F.length("sentence") + 1).over(upto)).withColumn("rank", F.row_number().over(best_first))
+        kept = F.when((F.col("sum") <= chars) | (F.col("rank") == 1), F.struct("at", F.left("sentence", F.lit(chars)).alias("sentence")))
+        in_order = F.transform(F.array_sort(F.collect_list(kept)), lambda s: s["sentence"])
+        return taken.groupBy(*keys).agg(F.array_join(in_order, " ").alias("summary"))
+
+    return run
+
+
 def pieces_of(df: DataFrame, key: str, value: Column) -> DataFrame:
     """Consecutive pieces of a fixed number of characters, numbered."""
     starts = F.sequence(F.lit(0), F.length(value) - 1, F.lit(S.SUMMARY_PIECE_CHARS))

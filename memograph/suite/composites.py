@@ -364,6 +364,43 @@ def recursive_summarize(v):
     )
 
 
+def central_level(texts: str) -> str:
+    """SQL of one level: doc_id and the summaries of the pieces of the long texts of ``texts``."""
+    return f"""
+    SELECT doc_id, string_agg(summary, chr(10) ORDER BY i) AS text FROM (
+        SELECT doc_id, i, coalesce(string_agg(substr(sentence, 1, 2000), ' ' ORDER BY spot) FILTER (WHERE total <= 2000 OR rank = 1), '') AS summary FROM (
+            SELECT *, sum(length(sentence) + 1) OVER best_first AS total, row_number() OVER best_first AS rank FROM (
+                SELECT doc_id, i, spot, sentence, sum(others) * 1000 // max(n) AS score FROM (
+                    SELECT *, count(*) OVER (PARTITION BY doc_id, i, word) - 1 AS others FROM (
+                        SELECT doc_id, i, spot, sentence, len(words) AS n, unnest(words) AS word FROM (
+                            SELECT *, list_distinct(list_filter(string_split(sentence, ' '), lambda w: w <> '')) AS words FROM (
+                                SELECT doc_id, i, unnest(found) AS sentence, generate_subscripts(found, 1) AS spot FROM (
+                                    SELECT doc_id, i, list_filter(list_transform(regexp_extract_all(substr(text, i + 1, 4000), '([^.!?\\s][^.!?\\n]*[.!?]*)', 1), lambda s: trim(s)), lambda s: s <> '') AS found
+                                    FROM (SELECT doc_id, text, unnest(generate_series(0, length(text) - 1, 4000)) AS i FROM {texts} WHERE length(text) // 4 > 4000)
+                                )
+                            )
+                        )
+                    )
+                ) GROUP BY ALL
+            ) WINDOW best_first AS (PARTITION BY doc_id, i ORDER BY score DESC, spot)
+        ) GROUP BY doc_id, i
+    ) GROUP BY doc_id"""
+
+
+LEVELS = 5
+
+
+@query("summarize_central", f"""
+WITH level0 AS (SELECT doc_id, text FROM documents), {", ".join(f"level{n} AS MATERIALIZED ({central_level(f'level{n - 1}')})" for n in range(1, LEVELS + 1))}
+SELECT doc_id, levels::INTEGER AS levels, length(text)::BIGINT AS chars, md5(text) AS summary_hash
+FROM ({" UNION ALL ".join(f"SELECT doc_id, text, {n} AS levels FROM level{n}" for n in range(LEVELS + 1))}) WHERE length(text) // 4 <= 4000
+""")
+def summarize_central(v):
+    """Long documents condensed by their most central sentences, level by level; every sentence is read."""
+    made = summarise.condense(v.spread("documents", "doc_id"), "doc_id", "text", summarise.central_sentences())
+    return made.select("doc_id", "levels", F.length("summary").cast("bigint").alias("chars"), F.md5("summary").alias("summary_hash"))
+
+
 @query("manifest_summary", """
 SELECT 'run/' || model AS manifest, model, count(*) AS samples, round(avg(from_cache::INT), 6) AS initial_coverage_ratio,
     count(*) FILTER (NOT from_cache) AS model_calls, count(*) AS memo_entries

@@ -1,5 +1,7 @@
 """Summaries and evidence that used to be cut without a sign."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from memograph.plans import cache as caching
@@ -28,3 +30,27 @@ def test_migrated_entries_carry_whole_evidence(memo, spark):
     at = "2024-01-01T00:00:00Z"
     for moved in (caching.migrate_cache(cache, empty, at), caching.migrate_facts(facts, cache, empty, at)):
         assert [e.text for r in moved.collect() for e in r.evidence] == [context]
+
+
+def test_central_sentences_read_the_whole_piece(spark):
+    """The last sentence of a piece wins where it shares most words; ties go to the earlier sentence, order is kept."""
+    rows = [
+        (1, 0, "Far off. The cat sat. The dog sat. Nothing else! The cat and the dog sat"),
+        (1, 1, "... !!"), (2, 0, "one two. one two. three"), (3, 0, "x" * 90),
+    ]
+    pieces = spark.createDataFrame(rows, "id BIGINT, piece_no INT, text STRING")
+    made = {(r.id, r.piece_no): r.summary for r in summarise.central_sentences(40)(pieces).collect()}
+    assert made[1, 1] == "" and made[3, 0] == "x" * 40 and made[2, 0] == "one two. one two. three"
+    assert made[1, 0] == "The cat sat. The dog sat."
+    assert {(r.id, r.piece_no): r.summary for r in summarise.central_sentences(12)(pieces).collect()}[2, 0] == "one two."
+
+
+def test_central_sentences_reach_a_second_level(spark):
+    text = " ".join(f"w{i % 7} w{i % 11} w{i % 13} sentence {i}." for i in range(3_000))
+    done = summarise.condense(spark.createDataFrame([(1, text), (2, "short")], "id BIGINT, text STRING"), "id", "text", summarise.central_sentences())
+    rows = {r.id: r for r in done.collect()}
+    assert rows[1].levels >= 2 and not rows[1].truncated and len(rows[1].summary) // 4 <= 4000
+    # In order, and from the end of the text too; ends of lines that a further level reads become blanks.
+    numbers = [int(n) for n in re.findall(r"w\d+ w\d+ w\d+ sentence (\d+)\.", rows[1].summary)]
+    assert numbers == sorted(numbers) and numbers[0] == 0 and numbers[-1] > 2_900
+    assert rows[2].summary == "short" and rows[2].levels == 0
