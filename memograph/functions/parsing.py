@@ -71,12 +71,15 @@ def planner_response(value: Column, fallback_ids: Column) -> Column:
     )
 
 
-def split_prompt(value: Column) -> Column:
-    """struct<context, question> of a prompt that carries both."""
-    return let(strip(value), _split_prompt)
+def split_prompt(value: Column, may_ask: Column | bool = True) -> Column:
+    """struct<context, question> of a prompt that carries both.
 
+    Where ``may_ask`` is false the prompt is known to be context only: it stays whole, whatever its last line looks like.
+    """
+    return let(strip(value), lambda text: _split_prompt(text, F.lit(may_ask) if isinstance(may_ask, bool) else may_ask))
 
-def _split_prompt(text: Column) -> Column:
+
+def _split_prompt(text: Column, may_ask: Column) -> Column:
     marked = r"(?s)^(.*)\nText:(.*)$"
     head = strip(F.regexp_extract(text, marked, 1))
     lines = F.filter(F.split(text, LINE_BREAK), lambda line: strip(line) != "")
@@ -89,6 +92,7 @@ def _split_prompt(text: Column) -> Column:
 
     return (
         F.when(text == "", pair(F.lit(""), F.lit("")))
+        .when(~may_ask, pair(text, F.lit(FALLBACK_QUESTION)))
         .when(head != "", pair(head, strip(F.concat(F.lit("Text:"), F.regexp_extract(text, marked, 2)))))
         .when((F.size(lines) >= 2) & asks & (before != ""), pair(before, last))
         .otherwise(pair(text, F.lit(FALLBACK_QUESTION)))
