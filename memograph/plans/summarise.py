@@ -65,9 +65,9 @@ def pieces_of(df: DataFrame, key: str, value: Column) -> DataFrame:
 
 
 def one_level(df: DataFrame, key: str, value: str, summarise: Summariser) -> DataFrame:
-    """``key, summary``: summaries of the pieces of every text, in order, one per line."""
+    """``key, summary``: summaries of the pieces of every text, in order, one per line; empty ones take no line."""
     parts = summarise(pieces_of(df, key, F.col(value)))
-    return folding.ordered_text(parts, [key], ["piece_no"], F.col("summary"), "summary")
+    return folding.ordered_text(parts, [key], ["piece_no"], F.nullif("summary", F.lit("")), "summary")
 
 
 def condense(df: DataFrame, key: str, value: str, summarise: Summariser) -> DataFrame:

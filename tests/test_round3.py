@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_points
+from memograph.plans import summarise
 from tools.check_oracle import canon
 
 
@@ -23,3 +24,12 @@ def test_system_turns_do_not_ask(spark, tmp_path, name):
     rows = [(1, 0, "system", "Be brief.\nWhen anan oueth"), (1, 1, "user", "Facts.\nWhat thened"), (1, 2, "assistant", "Facts.\nWhen thened"), (2, 0, "system", "One line?")]
     spark.createDataFrame(rows, "conv_id BIGINT, turn BIGINT, role STRING, text STRING").write.parquet(f"{tmp_path}/conversations.parquet")
     equals_sql(spark, tmp_path, name, "conversations")
+
+
+def test_pieces_without_sentences_take_no_line(spark, tmp_path):
+    text = "".join(f"word{i} and word{i % 9} meet here {i}. " for i in range(2_000))[:16_000]
+    rows = [(1, text + "."), (2, text + "tail"), (3, text[:8_000] + "." * 4_000 + text[:8_000])]
+    spark.createDataFrame(rows, "doc_id BIGINT, text STRING").write.parquet(f"{tmp_path}/documents.parquet")
+    equals_sql(spark, tmp_path, "summarize_central", "documents")
+    made = summarise.condense(spark.createDataFrame([(1, "!" * 20_000)], "doc_id BIGINT, text STRING"), "doc_id", "text", summarise.central_sentences())
+    assert [(r.doc_id, r.summary) for r in made.collect()] == [(1, "")]
