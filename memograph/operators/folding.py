@@ -5,13 +5,16 @@ They run in levels so that no task ever sees more than a bounded slice of a key.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from memograph.session import spread
+
 SEGMENT = 256
 
 
@@ -56,31 +59,50 @@ def fold_in_pandas(
     partial: Callable[[pd.DataFrame], pd.DataFrame],
     schema: str,
     fan_in: int = SEGMENT,
+    ties: Sequence[str] = (),
 ) -> DataFrame:
     """Order-aware aggregation by a Python callback.
 
-    ``partial`` reduces rows sorted by ``position`` to one row with the same columns, so it
+    ``partial`` reduces rows sorted by ``position``, then by ``ties``, to one row with the same columns, so it
     can be applied to its own results. It runs over stretches of ``fan_in`` positions, then
-    over stretches of those, until one row per key is left.
+    over stretches of those, until one row per key is left. Stretches are dealt over all cores and come sorted, many to a
+    batch, as most are far too small to be sent to Python one by one.
     """
 
-    def reduce_rows(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(position, kind="stable").drop(columns=["level"])
-        return partial(rows)
+    def reduce_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for stretches in whole_stretches(batches, [key, "level"]):
+            made = [partial(rows) for rows in stretches]
+            if made:
+                yield pd.concat(made, ignore_index=True)
 
     last = df.agg(F.max(position)).first()[0] or 0
     width = fan_in
     while True:
-        df = (
-            df.withColumn("level", F.floor(F.col(position) / width))
-            .groupBy(key, "level")
-            .applyInPandas(reduce_rows, schema)
-        )
+        dealt = spread(df.withColumn("level", F.floor(F.col(position) / width)), key, "level")
+        df = dealt.sortWithinPartitions(key, "level", position, *ties).mapInPandas(reduce_rows, schema)
         if width > last:
             return df
         width *= fan_in
 
 
+def whole_stretches(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[list[pd.DataFrame]]:
+    """Per batch of sorted rows, the stretches of equal keys that end in it, without the last key column."""
+    kept = None
+    for batch in batches:
+        rows = batch if kept is None else pd.concat([kept, batch], ignore_index=True)
+        if not len(rows):
+            continue
+        changed = np.zeros(len(rows) - 1, dtype=bool)
+        for name in keys:
+            values = rows[name].to_numpy()
+            changed |= (values[1:] != values[:-1]) & ~(pd.isna(values[1:]) & pd.isna(values[:-1]))
+        starts = [0, *(np.flatnonzero(changed) + 1).tolist()]
+        kept, rows = rows.iloc[starts[-1]:], rows.drop(columns=keys[-1])
+        yield [rows.iloc[a:b].reset_index(drop=True) for a, b in zip(starts, starts[1:])]
+    if kept is not None:
+        yield [kept.drop(columns=keys[-1]).reset_index(drop=True)]
+
+
 def with_offsets(df: DataFrame, order: Sequence[str], count: str, name: str) -> DataFrame:
     """Add the sum of ``count`` over all rows that come earlier in a total order.
 

@@ -176,14 +176,15 @@ def compose_answer_udaf(v):
     )
 
     def join_rows(part):
-        part = part.sort_values(["scope_start", "tie"])
+        if len(part) == 1:
+            return part
         head = part.iloc[[0]].copy()
         head["chars"] = part["chars"].sum()
         head["answer"] = "\n".join(part["answer"])
         return head
 
     schema = "request_id BIGINT, scope_start BIGINT, tie STRING, chars BIGINT, answer STRING"
-    return folding.fold_in_pandas(rows, "request_id", "scope_start", join_rows, schema).drop("tie")
+    return folding.fold_in_pandas(rows, "request_id", "scope_start", join_rows, schema, ties=["tie"]).drop("tie")
 
 
 @query("window_reuse_counts", f"""
