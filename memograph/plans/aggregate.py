@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from memograph import schema as S
 from memograph.functions import entries as E
 from memograph.operators.folding import SEGMENT, with_row_index
-from memograph.session import ensure_checkpointing
+from memograph.session import ensure_checkpointing, spread
 
 Aggregate = Callable[[str, list[dict]], str | dict]
 PIECE = f"""
@@ -66,21 +67,30 @@ def aggregated(pieces: DataFrame, aggregate: Aggregate, fan_in: int = SEGMENT) -
     if last is None:
         last = 0
 
-    def fold(whole: bool) -> Callable[[pa.Table], pa.Table]:
-        def run(table: pa.Table) -> pa.Table:
-            rows = sorted(table.drop_columns(["part"]).to_pylist(), key=lambda r: r["place"])
-            made = rows[0] | {"place": table.column("part")[0].as_py()}
+    def fold(whole: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def made_of(rows: list[dict]) -> dict:
+            made = {k: v for k, v in rows[0].items() if k != "part"} | {"place": rows[0]["part"]}
             if whole or len(rows) > 1:
                 given = [{k: r[k] for k in ("result", "negative", "entry_ids", "used", "evidence")} | {"confidence": float(r["confidence"])} for r in rows]
                 made |= _outcome(aggregate(rows[0]["query"], given), rows)
-            return pa.Table.from_pylist([made], schema=schema)
+            return made
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            # Rows come sorted, many stretches to a batch; the last one may go on in the next batch.
+            kept: list[dict] = []
+            for batch in batches:
+                stretches = [list(rows) for _, rows in groupby(kept + batch.to_pylist(), key=lambda r: (r["request_id"], r["part"]))]
+                kept = stretches.pop() if stretches else []
+                yield pa.RecordBatch.from_pylist([made_of(rows) for rows in stretches], schema=schema)
+            if kept:
+                yield pa.RecordBatch.from_pylist([made_of(kept)], schema=schema)
 
         return run
 
     first_level = True
     while first_level or last > 0:
-        parts = level.withColumn("part", F.floor(F.col("place") / fan_in))
-        folded = parts.groupBy("request_id", "part").applyInArrow(fold(first_level), f"request_id {key}, place BIGINT, {PIECE}")
+        parts = spread(level.withColumn("part", F.floor(F.col("place") / fan_in)), "request_id", "part").sortWithinPartitions("request_id", "part", "place")
+        folded = parts.mapInArrow(fold(first_level), f"request_id {key}, place BIGINT, {PIECE}")
         # Confidences may be labels or percentages; what the next level is given is a number.
         level = folded.withColumn("confidence", E.coerce_confidence(F.col("confidence")).cast("string")).checkpoint()
         first_level, last = False, last // fan_in
