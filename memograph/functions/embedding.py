@@ -9,21 +9,21 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from memograph.functions.text import let, search_tokens
+from memograph.functions.text import search_tokens
 
 
 def hashed_embedding(value: Column, dim: int = 64) -> Column:
     """Unit vector of signed token counts, one hash slot per token; zero for no tokens."""
 
-    def counts(slots: Column) -> Column:
-        return F.transform(
-            F.sequence(F.lit(1), F.lit(dim)),
-            lambda d: (F.size(F.filter(slots, lambda s: s == d)) - F.size(F.filter(slots, lambda s: s == -d))).cast("double"),
-        )
-
-    def unit(vector: Column) -> Column:
-        norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda total, x: total + x * x))
-        return let(norm, lambda n: F.transform(vector, lambda x: F.coalesce(F.try_divide(x, n), F.lit(0.0)).cast("float")))
+    @F.pandas_udf("array<float>")
+    def unit(slots: pd.Series) -> pd.Series:
+        sizes = slots.map(len).to_numpy(dtype="int64")
+        flat = np.concatenate([np.empty(0, dtype="int64"), *slots]).astype("int64")
+        cells = np.repeat(np.arange(len(slots)), sizes) * dim + np.abs(flat) - 1
+        table = np.bincount(cells, np.sign(flat), len(slots) * dim).astype("float64").reshape(len(slots), dim)
+        norms = np.sqrt((table * table).sum(axis=1, keepdims=True))
+        made = np.divide(table, norms, out=np.zeros_like(table), where=norms > 0).astype("float32")
+        return pd.Series(list(made), index=slots.index)
 
     # Slots are numbered from 1 so that the sign of a slot number carries the sign of the count.
     slots = F.transform(
@@ -31,7 +31,7 @@ def hashed_embedding(value: Column, dim: int = 64) -> Column:
         lambda t: (F.pmod(F.xxhash64(t), F.lit(dim)) + 1).cast("int")
         * F.when(F.pmod(F.hash(t), F.lit(2)) == 0, 1).otherwise(-1),
     )
-    return let(let(slots, counts), unit)
+    return unit(slots)
 
 
 def model_embedding(encode: Callable[[list[str]], np.ndarray], batch: int = 16) -> Callable[[Column], Column]:
