@@ -55,11 +55,14 @@ def overlapping(
 
 
 def candidates(
-    requests: DataFrame, entries: DataFrame, payload: Sequence[str] = (), same_task: bool = True
+    requests: DataFrame, entries: DataFrame, payload: Sequence[str] = (), same_task: bool = True, asked: Sequence[str] = ()
 ) -> DataFrame:
-    """Live entries overlapping each request, of the same task unless told otherwise."""
+    """Live entries overlapping each request, of the same task unless told otherwise.
+
+    Pairs have the ``payload`` columns of the entry and the ``asked`` ones of the request.
+    """
     keys = [*SCOPE_KEYS, "task_signature"] if same_task else SCOPE_KEYS
-    wanted = requests.select("request_id", *keys, "start", "end", "content_hash")
+    wanted = requests.select("request_id", *keys, "start", "end", "content_hash", *asked)
     live = entries.filter(~E.is_rejected()).select(
         "entry_id", *keys, "scope_start", "scope_end", "content_hash", *payload
     )

@@ -22,9 +22,9 @@ SOURCE_SEPARATOR = "\n\n---\n\n"
 def ranked_entries(requests: DataFrame, entries: DataFrame, limit: int = S.PACKET_LIMIT) -> DataFrame:
     """Best entries of any task inside the scope of each request, for its own prompt."""
     termed = entries.withColumn("entry_terms", F.array_distinct(T.search_tokens(ranking.candidate_text())))
-    pairs = matching.candidates(requests, termed, ["reusable_as", "confidence", "entry_terms"], same_task=False)
-    asked = pairs.join(requests.select("request_id", "prompt"), "request_id")
-    return ranking.rank_entries(asked, "prompt", True, limit).select(
+    # Requests bring their prompt along: pairs are scored where they meet, and the terms of entries go no further.
+    pairs = matching.candidates(requests, termed, ["reusable_as", "confidence", "entry_terms"], same_task=False, asked=["prompt"])
+    return ranking.rank_entries(pairs, "prompt", True, limit).select(
         "request_id", "rank", "entry_id", "score", "matched_terms"
     )
 

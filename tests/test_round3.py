@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry_points
 from memograph.functions.embedding import hashed_embedding
 from memograph.operators import folding, samples
-from memograph.plans import summarise
+from memograph.plans import retrieval, summarise
 from memograph.plans.aggregate import aggregated
 from tools.check_oracle import canon
 
@@ -87,3 +87,11 @@ def test_hashed_embeddings_read_the_tokens_once(spark):
     made = {r.id: r.e for r in df.collect()}
     assert sorted(abs(x) for x in made[1] if x) in ([pytest.approx(1 / 5**0.5), pytest.approx(2 / 5**0.5)], [pytest.approx(1.0)])
     assert made[2] == made[3] == [0.0] * 16
+
+
+def test_terms_of_entries_are_not_shuffled_with_their_pairs(spark, memo):
+    """Before, pairs met the requests a second time to get their prompts, and took the terms of all entries along."""
+    entries = memo.entries((0, 2, "aggregation_component"), (2, 4, "aggregation_component", {"result": "Q1 ARR found"}))
+    ranked = retrieval.ranked_entries(memo.requests((1, 0, 4)), entries)
+    assert len(re.findall(r"Join (Inner|LeftOuter)", plan_of(ranked))) <= 1 + plan_of(entries).count("Join ")
+    assert [r["rank"] for r in ranked.collect()] == [1, 2]
