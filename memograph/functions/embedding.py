@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,15 +16,14 @@ from memograph.functions.text import search_tokens
 def hashed_embedding(value: Column, dim: int = 64) -> Column:
     """Unit vector of signed token counts, one hash slot per token; zero for no tokens."""
 
-    @F.pandas_udf("array<float>")
-    def unit(slots: pd.Series) -> pd.Series:
-        sizes = slots.map(len).to_numpy(dtype="int64")
-        flat = np.concatenate([np.empty(0, dtype="int64"), *slots]).astype("int64")
+    @F.arrow_udf("array<float>")
+    def unit(slots: pa.Array) -> pa.Array:
+        sizes, flat = np.diff(slots.offsets.to_numpy()), slots.flatten().to_numpy(zero_copy_only=False).astype("int64")
         cells = np.repeat(np.arange(len(slots)), sizes) * dim + np.abs(flat) - 1
         table = np.bincount(cells, np.sign(flat), len(slots) * dim).astype("float64").reshape(len(slots), dim)
         norms = np.sqrt((table * table).sum(axis=1, keepdims=True))
         made = np.divide(table, norms, out=np.zeros_like(table), where=norms > 0).astype("float32")
-        return pd.Series(list(made), index=slots.index)
+        return pa.ListArray.from_arrays(np.arange(len(slots) + 1, dtype="int32") * dim, made.ravel())
 
     # Slots are numbered from 1 so that the sign of a slot number carries the sign of the count.
     slots = F.transform(
