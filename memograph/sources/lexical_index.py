@@ -2,9 +2,9 @@
 
 A search token holds only letters, digits, hyphens and underscores. Where a token without underscores occurs in a text, it lies
 inside one *term*, a longest run of such characters. So the index keeps the distinct terms, the character pairs and
-triples of every term, and for every term the chunks that hold it. A token looks up its rarest triple, the terms
-found there are compared with it exactly, and their chunks are all the chunks it occurs in; no text is read. As an
-underscore stands for any character, a token with one is only proposed by its longest piece and then held against the texts.
+triples of every term, and for every chunk the terms it holds, in one row. A token looks up its rarest triple, the terms
+found there are compared with it exactly, and the chunks that hold them are all the chunks it occurs in; no text is read. The
+terms found go to the chunks, so that of the chunks only hits are shuffled. As an underscore stands for any character, a token with one is only proposed by its longest piece and then held against the texts.
 """
 
 from __future__ import annotations
@@ -21,7 +21,9 @@ from memograph.sources.batches import Batches
 TERM = "[a-z0-9_-]+"
 CHUNK = ["corpus_id", "document_id", "unit", "content_hash", "chunk_index"]
 CHUNK_DDL = "corpus_id STRING, document_id STRING, unit STRING, content_hash STRING, chunk_index BIGINT"
-SCHEMAS = {"grams": "gram STRING, term STRING", "postings": f"term STRING, {CHUNK_DDL}", "chunks": CHUNK_DDL}
+SCHEMAS = {"grams": "gram STRING, term STRING", "held": f"{CHUNK_DDL}, terms ARRAY<STRING>"}
+# Pairs of token and term sent to all tasks; more are joined by a shuffle, with the same result.
+SENT_PAIRS = 200_000
 
 
 def grams(term: Column) -> Column:
@@ -35,7 +37,7 @@ def grams(term: Column) -> Column:
 
 
 class LexicalIndex:
-    """Terms and postings of chunks in a folder, appended to in batches; of several versions of a chunk the latest counts.
+    """Terms of chunks in a folder, appended to in batches; of several versions of a chunk the latest counts.
 
     Null texts are texts without terms. A repeated batch changes nothing.
     """
@@ -49,11 +51,9 @@ class LexicalIndex:
             return
         commit = self.batches.begin()
         terms = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(TERM), F.lit(0)))
-        held = chunks.select(*CHUNK, F.explode(F.filter(terms, lambda t: F.length(t) > 1)).alias("term"))
-        self.batches.write(commit, "postings", held)
-        fresh = self.batches.written(commit, "postings").select("term").distinct()
+        self.batches.write(commit, "held", chunks.select(*CHUNK, F.filter(terms, lambda t: F.length(t) > 1).alias("terms")))
+        fresh = self.batches.written(commit, "held").select(F.explode("terms").alias("term")).distinct()
         self.batches.write(commit, "grams", fresh.select(F.explode(grams(F.col("term"))).alias("gram"), "term"))
-        self.batches.write(commit, "chunks", chunks.select(*CHUNK).distinct())
         self.batches.publish(commit, batch)
 
     def _terms_with(self, tokens: DataFrame) -> DataFrame:
@@ -72,7 +72,7 @@ class LexicalIndex:
     def _current(self, hits: DataFrame) -> DataFrame:
         """Hits in the latest version of their chunk."""
         if len(self.batches.published()) > 1:
-            newest = self.batches.read("chunks").groupBy(*CHUNK).agg(F.max("seq").alias("seq"))
+            newest = self.batches.read("held").groupBy(*CHUNK).agg(F.max("seq").alias("seq"))
             hits = hits.join(newest, [*CHUNK, "seq"], "left_semi")
         return hits.drop("seq")
 
@@ -88,8 +88,12 @@ class LexicalIndex:
             "token", wild.alias("wild"), F.when(wild, longest).otherwise(F.col("token")).alias("piece")
         )
         terms = self._terms_with(pieces.filter(F.length("piece") > 1).select(F.col("piece").alias("token")).distinct())
-        named = pieces.join(terms.withColumnRenamed("token", "piece"), "piece").select("token", "wild", "term")
-        held = self.batches.read("postings").join(named, "term").select("token", "wild", *CHUNK, "seq").distinct()
+        ensure_checkpointing(self.spark)
+        named = pieces.join(terms.withColumnRenamed("token", "piece"), "piece").select("token", "wild", "term").checkpoint()
+        if named.count() <= SENT_PAIRS:
+            named = F.broadcast(named)
+        postings = self.batches.read("held").select(*CHUNK, "seq", F.explode("terms").alias("term"))
+        held = postings.join(named, "term").select("token", "wild", *CHUNK, "seq").distinct()
         proposed = self._current(held.join(wanted.distinct(), ["token", *scope], "left_semi"))
         text = F.like(F.lower("text"), F.concat(F.lit("%"), F.col("token"), F.lit("%")))
         texts = chunks.select(*CHUNK, "text")

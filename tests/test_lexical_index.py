@@ -6,6 +6,7 @@ import re
 import pytest
 
 from memograph.functions.text import SEARCH_STOPWORDS
+from memograph.sources import lexical_index
 from memograph.sources.lexical_index import LexicalIndex
 
 CHUNKS = "corpus_id STRING, document_id STRING, chunk_index BIGINT, unit STRING, content_hash STRING, text STRING"
@@ -83,3 +84,14 @@ def test_an_empty_index_finds_nothing(spark, tmp_path):
     assert index.search(["some words"], none).count() == 0
     index.add(none, "nothing")
     assert index.search(["some words"], none).count() == 0
+
+
+@pytest.mark.parametrize("sent", [0, 200_000])
+def test_one_row_per_chunk_and_equal_hits_however_the_terms_travel(spark, tmp_path, chunks, monkeypatch, sent):
+    monkeypatch.setattr(lexical_index, "SENT_PAIRS", sent)
+    index, frame = stored(spark, tmp_path, chunks[:20], chunks[20:]), spark.createDataFrame(chunks, CHUNKS)
+    assert index.batches.read("held").count() == len(chunks)
+    made = index.search(PROMPTS, frame, 6).collect()
+    for no, prompt in enumerate(PROMPTS):
+        got = sorted((r["rank"], r["document_id"], r["chunk_index"]) for r in made if r["query_no"] == no)
+        assert got == [(rank, d, i) for d, i, _, rank in best(chunks, tokens(prompt), 6)], prompt
