@@ -88,6 +88,12 @@ def words(value: Column | str) -> Column:
     return F.array_remove(F.split(_text(value), f"{BLANK}+"), "")
 
 
+def count_words(value: Column | str) -> Column:
+    """How many ``words`` there are, without listing them: inside stripped text every run of blanks parts two words."""
+    text = strip(value)
+    return F.when(text == "", 0).otherwise(F.size(F.split(text, f"{BLANK}+"))).cast("bigint")
+
+
 def join_slice(items: Column, start: Column, length: Column | int, separator: str = " ") -> Column:
     """Items [start, start + length) of an array, zero based, joined."""
     length = F.lit(length) if isinstance(length, int) else length

@@ -44,7 +44,7 @@ def _digit(key: Column, place: int) -> Column:
     return F.substring(key, place, 1)
 
 
-def _by_document(key: Column, options: list[str]) -> Column:
+def _by_document(key: Column, options: list[str] | list[Column]) -> Column:
     choice = _digit(key, 2)
     return F.when(choice < "5", options[0]).when(choice < "a", options[1]).otherwise(options[2])
 
@@ -56,7 +56,8 @@ class Views:
     """Driver tables of one folder and the views derived from them.
 
     The memo itself - document sizes, chunks, entries - is a stored set of tables: it is
-    written once per application to the shared folder and read from there by every query.
+    written once per application to the shared folder and read from there by every query. ``outline`` is the memo
+    without the texts of its evidence: it follows from the documents' sizes, so a query that reads no evidence text cuts none.
     """
 
     def __init__(self, spark: SparkSession, folder: str) -> None:
@@ -83,16 +84,18 @@ class Views:
     @cached_property
     def documents(self) -> DataFrame:
         """Sizes and keys of the documents that have at least one word; no texts."""
-        return self.stored("documents", lambda: self.texts.drop("words"))
+        return self.stored("documents", lambda: self._sized(T.count_words("text")).drop("text"))
 
     @cached_property
     def texts(self) -> DataFrame:
         """Documents with at least one word, cut into words."""
-        n_words = F.size("words").cast("bigint")
+        return self._sized(F.size("words").cast("bigint"), T.words("text").alias("words"))
+
+    def _sized(self, n_words: Column, text: Column | str = "text") -> DataFrame:
         return (
             self.spread("documents", "doc_id")
             .filter(T.strip("text") != "")
-            .select("doc_id", "lang", "source", T.words("text").alias("words"))
+            .select("doc_id", "lang", "source", text)
             .withColumn("n_words", n_words)
             .withColumn("n_chunks", F.floor((F.col("n_words") + WORDS_PER_CHUNK - 1) / WORDS_PER_CHUNK))
             .withColumn("doc_key", F.md5(F.col("doc_id").cast("string")))
@@ -162,9 +165,18 @@ class Views:
         """Stored window results: plain windows, and some that straddle two of them."""
         return self.stored("fragments", self._fragments)
 
+    @cached_property
+    def bare_fragments(self) -> DataFrame:
+        """The fragments without the texts of their evidence."""
+        return self.stored("bare_fragments", lambda: self._cut(self.documents, lambda first: F.lit(None).cast("string")))
+
     def _fragments(self) -> DataFrame:
         """Each document is cut into the texts of its windows before rows multiply."""
         size = CHUNKS_PER_WINDOW * WORDS_PER_CHUNK
+        return self._cut(self.texts, lambda first: T.join_slice(F.col("words"), first * WORDS_PER_CHUNK, size))
+
+    def _cut(self, documents: DataFrame, text: Callable[[Column], Column]) -> DataFrame:
+        """Fragments of documents; ``text`` gives the evidence text of a window from its first chunk."""
         step = F.lit(CHUNKS_PER_WINDOW).cast("bigint")
 
         def piece(i: Column, shift: int) -> Column:
@@ -172,7 +184,7 @@ class Views:
             return F.struct(
                 first.alias("scope_start"),
                 F.least(first + CHUNKS_PER_WINDOW, F.col("n_chunks")).alias("scope_end"),
-                T.join_slice(F.col("words"), first * WORDS_PER_CHUNK, size).alias("text"),
+                text(first).alias("text"),
             )
 
         starts = F.sequence(F.lit(0).cast("bigint"), F.col("n_chunks") - 1, step)
@@ -186,7 +198,7 @@ class Views:
         toxic = self.table("labels").filter("toxic = 1").select("doc_id", F.lit(S.REJECTED).alias("status"))
         key = F.col("window_key")
         cut = (
-            self.texts.select("doc_id", "document_id", "doc_key", "content_hash", "n_words", F.inline(pieces))
+            documents.select("doc_id", "document_id", "doc_key", "content_hash", "n_words", F.inline(pieces))
             .select("*", F.posexplode("options").alias("option_no", "o"))
             .select("*", "o.*")
             .filter(F.when(F.col("option_no") == 0, key >= "50").otherwise(key >= "d0"))
@@ -239,7 +251,7 @@ class Views:
         from memograph.operators.folding import ordered_arrays
 
         ids = ordered_arrays(
-            self.fragments.select("document_id", "scope_start", "scope_end", "entry_id"),
+            self.bare_fragments.select("document_id", "scope_start", "scope_end", "entry_id"),
             ["document_id"], ["scope_start", "scope_end", "entry_id"], {"dependencies": F.col("entry_id")},
         )
         choice = _digit(F.col("doc_key"), 3)
@@ -271,6 +283,11 @@ class Views:
     def memo(self) -> DataFrame:
         return self.fragments.unionByName(self.fulls)
 
+    @cached_property
+    def outline(self) -> DataFrame:
+        """The memo with the places of its evidence, but not its texts; every other column is the same."""
+        return self.bare_fragments.unionByName(self.fulls)
+
     @cached_property
     def summaries(self) -> DataFrame:
         """One node per source, standing for a summary over its documents."""
@@ -298,7 +315,7 @@ class Views:
 
     @cached_property
     def nodes(self) -> DataFrame:
-        return self.memo.select("entry_id", "document_id", "scope_start", "scope_end", "verifier_status").unionByName(
+        return self.outline.select("entry_id", "document_id", "scope_start", "scope_end", "verifier_status").unionByName(
             self.summaries.select(
                 "entry_id", "document_id", "scope_start", "scope_end", F.lit(S.NOT_REQUIRED).alias("verifier_status")
             )
@@ -314,15 +331,15 @@ class Views:
             F.floor(F.col("n_chunks") * 3 / 4).alias("end"),
         )
         version = _digit(F.col("doc_key"), 5)
+        # Of the fixed prompts, so that they are worked out once and not per request.
+        signatures = [I.task_signature(F.lit(p), F.lit(TASK_TYPE), F.lit(OUTPUT_CONTRACT), F.lit(CONSTRAINTS)) for p in PROMPTS]
         return self.documents.select("*", F.inline(F.array(whole, middle))).select(
             (F.col("doc_id") * 2 + F.col("part")).alias("request_id"),
             _by_document(F.col("doc_key"), PROMPTS).alias("prompt"),
             F.lit(TASK_TYPE).alias("task_type"),
             F.lit(OUTPUT_CONTRACT).alias("output_contract"),
             F.lit(CONSTRAINTS).alias("constraints_json"),
-            I.task_signature(
-                _by_document(F.col("doc_key"), PROMPTS), F.lit(TASK_TYPE), F.lit(OUTPUT_CONTRACT), F.lit(CONSTRAINTS)
-            ).alias("task_signature"),
+            _by_document(F.col("doc_key"), signatures).alias("task_signature"),
             F.lit("docs").alias("corpus_id"), "document_id", "start", "end", F.lit("chunk").alias("unit"),
             F.when(version < "5", "").when(version < "d", "v1").otherwise("v2").alias("content_hash"),
         )

@@ -69,12 +69,12 @@ WINDOW_COUNTS = ", ".join(
 
 @query("solve_windows", finished(f"SELECT request_id, s, e FROM ({STATES}) WHERE have < size", WINDOW_COUNTS))
 def solve_windows(v):
-    return solve.solve_windows(v.requests, v.memo, 4, _solver(), AS_OF).report
+    return solve.solve_windows(v.requests, v.outline, 4, _solver(), AS_OF).report
 
 
 @query("solve_gaps", finished('SELECT request_id, "start" AS s, "end" AS e FROM v_holes', ""))
 def solve_gaps(v):
-    return solve.solve_gaps(v.requests, v.memo, _solver(), AS_OF).report
+    return solve.solve_gaps(v.requests, v.outline, _solver(), AS_OF).report
 
 
 def total_words(query, pieces):
@@ -103,7 +103,7 @@ FROM totals t JOIN v_pending r ON r.request_id = t.request_id WHERE r_end > r_st
 """)
 def aggregate_callback(v):
     """Composites whose answers, confidence and dependencies come from a callback."""
-    made = solve.solve_windows(v.requests, v.memo, 4, _solver(), AS_OF, total_words).composites(evidence=False)
+    made = solve.solve_windows(v.requests, v.outline, 4, _solver(), AS_OF, total_words).composites(evidence=False)
     return made.select(
         "document_id", "scope_start", "scope_end", "result", "confidence", F.md5(F.array_join("dependencies", ",")).alias("dependencies")
     )
@@ -138,7 +138,7 @@ def solve_verified(v):
 
     made = []
     for run in (1, 2):
-        done = verified.solve_verified(v.requests, v.memo, 4, _solver(), AS_OF, similar, verdicts, f"run {run}")
+        done = verified.solve_verified(v.requests, v.outline, 4, _solver(), AS_OF, similar, verdicts, f"run {run}")
         made.append(done.report.select(
             F.lit(run).alias("run"), "request_id", "memo_type", "answer", "initial_ratio", F.lit(done.calls).cast("bigint").alias("verifier_calls")
         ))

@@ -17,7 +17,7 @@ SELECT count(*) AS entry_count, sum(len(dependencies))::BIGINT AS dependency_edg
 FROM v_memo
 """)
 def memo_stats(v):
-    return reports.store_totals(v.memo)
+    return reports.store_totals(v.outline)
 
 
 @query("memo_stats_by_kind", f"""
@@ -26,14 +26,14 @@ UNION ALL SELECT 'result_type', result_type, count(*) FROM v_memo GROUP BY 2
 UNION ALL SELECT 'verifier_status', verifier_status, count(*) FROM v_memo GROUP BY 2
 """)
 def memo_stats_by_kind(v):
-    return reports.store_counts(v.memo)
+    return reports.store_counts(v.outline)
 
 
 @query("memo_stats_by_mode", """
 SELECT mode, count(*) AS entries FROM (SELECT unnest(reusable_as) AS mode FROM v_memo) GROUP BY 1
 """)
 def memo_stats_by_mode(v):
-    return reports.store_modes(v.memo)
+    return reports.store_modes(v.outline)
 
 
 @query("chunk_count", """
@@ -158,8 +158,8 @@ FROM states GROUP BY 1
 def run_totals(v):
     from memograph.plans.reuse import plan_reuse
 
-    pending = plan_reuse(v.requests, v.memo).pending
-    fragments_only = v.memo
+    pending = plan_reuse(v.requests, v.outline).pending
+    fragments_only = v.outline
     states = solve.window_states(solve.windows_of(pending, 4), fragments_only)
     size = F.col("end") - F.col("start")
     per_request = states.groupBy("task_signature", "parent_id").agg(

@@ -16,7 +16,7 @@ def _graph_entries(v):
         "entry_id", F.lit("docs").alias("corpus_id"), "document_id", F.lit("source").alias("unit"),
         "scope_start", "scope_end", F.lit("").alias("content_hash"), F.lit("not_required").alias("verifier_status"),
     )
-    return v.memo.select(*summaries.columns).unionByName(summaries)
+    return v.outline.select(*summaries.columns).unionByName(summaries)
 
 
 @query("invalidate_closure", "SELECT entry_id, min(depth)::INTEGER AS depth FROM v_reach GROUP BY 1")
@@ -60,7 +60,7 @@ FROM v_memo
 """)
 def reject_entries(v):
     stale = graph.invalidated(v.changed, _graph_entries(v), v.edges)
-    return graph.reject(v.memo, stale, "text changed", AS_OF).select("entry_id", "verifier_status", "metadata_json")
+    return graph.reject(v.outline, stale, "text changed", AS_OF).select("entry_id", "verifier_status", "metadata_json")
 
 
 @query("incremental_resolve", f"""
@@ -91,7 +91,7 @@ def incremental_resolve(v):
     from memograph.plans.reuse import plan_reuse
 
     stale = graph.invalidated(v.changed, _graph_entries(v), v.edges)
-    live = v.memo.join(stale, "entry_id", "left_anti")
+    live = v.outline.join(stale, "entry_id", "left_anti")
     pending = plan_reuse(v.requests, live).pending
     states = solve.window_states(solve.windows_of(pending, 4), live)
     size = F.col("end") - F.col("start")

@@ -20,7 +20,7 @@ WHERE e.verifier_status <> 'rejected'
 
 @query("exact_replay", "SELECT request_id, exact_entry_id FROM v_exact")
 def exact_replay(v):
-    return matching.exact_replays(v.requests, v.memo)
+    return matching.exact_replays(v.requests, v.outline)
 
 
 @query("exact_replay_global", """
@@ -30,19 +30,19 @@ SELECT request_id, exact_entry_id FROM v_requests JOIN (
 ) USING (task_signature)
 """)
 def exact_replay_global(v):
-    return matching.exact_replays_any_scope(v.requests, v.memo)
+    return matching.exact_replays_any_scope(v.requests, v.outline)
 
 
 @query("candidates_interval_join", f"""
 SELECT r.request_id, e.entry_id, scope_start, scope_end {LIVE_OVERLAP} AND e.task_signature = r.task_signature
 """)
 def candidates_interval_join(v):
-    return matching.candidates(v.requests, v.memo).select("request_id", "entry_id", "scope_start", "scope_end")
+    return matching.candidates(v.requests, v.outline).select("request_id", "entry_id", "scope_start", "scope_end")
 
 
 @query("scope_candidates_join", f"SELECT r.request_id, e.entry_id, scope_start, scope_end {LIVE_OVERLAP}")
 def scope_candidates_join(v):
-    found = matching.candidates(v.requests, v.memo, same_task=False)
+    found = matching.candidates(v.requests, v.outline, same_task=False)
     return found.select("request_id", "entry_id", "scope_start", "scope_end")
 
 
@@ -50,7 +50,7 @@ def scope_candidates_join(v):
 SELECT r.request_id, e.entry_id {LIVE_OVERLAP} AND scope_start <= r_start AND scope_end >= r_end
 """)
 def scope_contains_join(v):
-    return matching.containing(matching.candidates(v.requests, v.memo, same_task=False)).select("request_id", "entry_id")
+    return matching.containing(matching.candidates(v.requests, v.outline, same_task=False)).select("request_id", "entry_id")
 
 
 @query("scope_overlap_join", """
@@ -62,7 +62,7 @@ def scope_overlap_join(v):
         F.lit("docs").alias("corpus_id"), "document_id", F.lit("chunk").alias("unit"), "content_hash",
         F.col("w").cast("bigint").alias("window_no"), "start", "end",
     )
-    stored = v.memo.select("entry_id", *S.SCOPE_KEYS, "scope_start", "scope_end", "content_hash")
+    stored = v.outline.select("entry_id", *S.SCOPE_KEYS, "scope_start", "scope_end", "content_hash")
     return matching.overlapping(windows, stored).select("document_id", "window_no", "entry_id")
 
 
@@ -71,7 +71,7 @@ SELECT r.request_id, e.entry_id, greatest(scope_start, r_start) AS clip_start, l
     least(scope_end, r_end) - greatest(scope_start, r_start) AS clip_length {LIVE_OVERLAP}
 """)
 def scope_clip(v):
-    cut = matching.clipped(matching.candidates(v.requests, v.memo, same_task=False))
+    cut = matching.clipped(matching.candidates(v.requests, v.outline, same_task=False))
     return cut.select(
         "request_id", "entry_id", "clip_start", "clip_end", (F.col("clip_end") - F.col("clip_start")).alias("clip_length")
     )
@@ -102,7 +102,7 @@ SELECT request_id, min(entry_id) AS source_entry_id, arg_min(result, entry_id) A
 ) WHERE shared >= 0.8 * (total - shared) GROUP BY request_id
 """)
 def semantic_reuse_join(v):
-    found = solve.semantic_reuse(v.requests, v.memo, 0.8)
+    found = solve.semantic_reuse(v.requests, v.outline, 0.8)
     return found.select("request_id", "source_entry_id", F.col("result").alias("answer"))
 
 
@@ -178,7 +178,7 @@ def dependency_semi_join(v):
     from memograph.functions import entries as E
 
     used = v.fulls.select(F.explode("dependencies").alias("entry_id"))
-    return v.memo.filter(E.can_cover()).join(used, "entry_id", "left_semi").select("document_id", "entry_id")
+    return v.outline.filter(E.can_cover()).join(used, "entry_id", "left_semi").select("document_id", "entry_id")
 
 
 def _cache_entry_id(task_type: str, contract: str, prompt: str, result: str, mode: str) -> str:
@@ -198,7 +198,7 @@ SELECT {_cache_entry_id('retrieval_search', 'synthesized_answer', 'query', 'resu
 FROM v_cache WHERE data_scope_hash = ''
 """)
 def migrate_legacy_anti_join(v):
-    nothing = v.memo.filter("false")
+    nothing = v.outline.filter("false")
     stored = caching.migrate_cache(v.cache.filter("data_scope_hash <> ''"), nothing, AS_OF)
     fresh = caching.migrate_cache(v.cache, stored, AS_OF)
     return fresh.select("entry_id", "result", F.left(F.get("evidence", F.lit(0))["text"], F.lit(500)).alias("evidence_text"))
@@ -238,7 +238,7 @@ SELECT {_cache_entry_id('legacy_knowledge_fact', 'fact_triple', 'fact', 'fact',
 FROM (SELECT *, subject || ' ' || relation || ' ' || object AS fact FROM ({NOTES_SQL}) JOIN v_cache USING (cache_id))
 """)
 def migrate_facts(v):
-    moved = caching.migrate_facts(_notes(v), v.cache, v.memo.filter("false"), AS_OF)
+    moved = caching.migrate_facts(_notes(v), v.cache, v.outline.filter("false"), AS_OF)
     return moved.select("entry_id", "result")
 
 

@@ -46,7 +46,7 @@ SELECT created_at, entry_id, document_id, scope_start, scope_end, result, result
 FROM v_memo ORDER BY created_at, entry_id
 """)
 def memo_all_entries(v):
-    return v.memo.select(
+    return v.outline.select(
         "created_at", *SCOPE_ROW, "result", "result_type", "verifier_status", "task_signature"
     ).orderBy("created_at", "entry_id")
 
@@ -159,17 +159,17 @@ def scope_signature(v):
 
 @query("negative_filter", f"SELECT entry_id, result_type FROM v_memo WHERE {O.NEGATIVE}")
 def negative_filter(v):
-    return v.memo.filter(E.is_negative()).select("entry_id", "result_type")
+    return v.outline.filter(E.is_negative()).select("entry_id", "result_type")
 
 
 @query("fragment_kind_projection", f"SELECT entry_id, {O.KIND} AS fragment_kind FROM v_memo")
 def fragment_kind_projection(v):
-    return v.memo.select("entry_id", E.fragment_kind().alias("fragment_kind"))
+    return v.outline.select("entry_id", E.fragment_kind().alias("fragment_kind"))
 
 
 @query("cover_filter", f"SELECT entry_id, scope_start, scope_end FROM v_memo WHERE {O.COVERS}")
 def cover_filter(v):
-    return v.memo.filter(E.can_cover()).select("entry_id", "scope_start", "scope_end")
+    return v.outline.filter(E.can_cover()).select("entry_id", "scope_start", "scope_end")
 
 
 @query("entry_id_derivation", f"""

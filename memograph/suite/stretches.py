@@ -32,7 +32,7 @@ FROM v_docs d LEFT JOIN (
 ) c ON c.document_id = d.document_id
 """)
 def coverage_ratio(v):
-    held = v.fragments.filter(E.can_cover()).select(
+    held = v.bare_fragments.filter(E.can_cover()).select(
         "document_id", F.col("scope_start").alias("start"), F.col("scope_end").alias("end")
     )
     documents = v.documents.select("doc_id", "document_id", "n_chunks")
@@ -51,7 +51,7 @@ def coverage_ratio(v):
 @query("interval_merge", islands(
     "SELECT DISTINCT document_id, unnest(generate_series(scope_start, scope_end - 1)) AS p FROM v_fragments", "document_id"))
 def interval_merge(v):
-    held = v.fragments.select("document_id", F.col("scope_start").alias("start"), F.col("scope_end").alias("end"))
+    held = v.bare_fragments.select("document_id", F.col("scope_start").alias("start"), F.col("scope_end").alias("end"))
     return spans.merge(held, ["document_id"])
 
 
@@ -60,12 +60,12 @@ SELECT request_id, "start", "end" FROM v_covered
 UNION ALL SELECT request_id, r_start, r_end FROM v_requests WHERE request_id IN (SELECT request_id FROM v_exact) AND r_end > r_start
 """)
 def covered_intervals(v):
-    return plan_reuse(v.requests, v.memo).covered
+    return plan_reuse(v.requests, v.outline).covered
 
 
 @query("missing_scopes", 'SELECT request_id, "start", "end" FROM v_holes')
 def missing_scopes(v):
-    return plan_reuse(v.requests, v.memo).missing
+    return plan_reuse(v.requests, v.outline).missing
 
 
 @query("dedupe_covering", f"""
@@ -74,7 +74,7 @@ QUALIFY row_number() OVER (PARTITION BY task_signature, document_id, content_has
     ORDER BY list_contains(reusable_as, 'exact_answer') DESC, len(dependencies) DESC, confidence DESC, entry_id) = 1
 """)
 def dedupe_covering(v):
-    return condensed(v.memo).filter("best IS NOT NULL").select(
+    return condensed(v.outline).filter("best IS NOT NULL").select(
         "document_id", "content_hash", "scope_start", "scope_end", "best.entry_id"
     )
 
@@ -110,7 +110,7 @@ SELECT *, missing_length = 0 AS is_complete,
 FROM ({TELEMETRY})
 """)
 def plan_telemetry(v):
-    told = plan_reuse(v.requests, v.memo).telemetry
+    told = plan_reuse(v.requests, v.outline).telemetry
     kept = [c for c in told.columns if not c.startswith(("kind_", "covering_"))]
     return told.select(*[c for c in kept if c not in ("task_signature", "document_id", "start", "end")])
 
@@ -120,7 +120,7 @@ SELECT request_id, has_exact_replay, exact_entry_id, missing_length > 0 AS requi
 FROM ({TELEMETRY})
 """)
 def plan_reuse_query(v):
-    return plan_reuse(v.requests, v.memo).telemetry.select(
+    return plan_reuse(v.requests, v.outline).telemetry.select(
         "request_id", "has_exact_replay", "exact_entry_id", (~F.col("is_complete")).alias("requires_calls"),
         "covered_length", "missing_length", "reusable",
     )
@@ -135,7 +135,7 @@ SELECT request_id, kind AS fragment_kind, count(*) AS entries FROM (
 ) GROUP BY 1, 2
 """)
 def plan_fragment_mix(v):
-    told = plan_reuse(v.requests, v.memo).telemetry
+    told = plan_reuse(v.requests, v.outline).telemetry
     kinds = F.array(*[F.struct(F.lit(k).alias("fragment_kind"), F.col(f"kind_{k}").alias("entries")) for k in KINDS])
     return told.select("request_id", F.inline(kinds)).filter("entries > 0")
 
@@ -146,7 +146,7 @@ UNION ALL SELECT request_id, entry_id, 'negative' FROM v_candidates WHERE negati
 UNION ALL SELECT request_id, entry_id, 'hint' FROM v_candidates WHERE hint
 """)
 def plan_union(v):
-    plan = plan_reuse(v.requests, v.memo)
+    plan = plan_reuse(v.requests, v.outline)
     parts = [("reusable", plan.reusable), ("negative", plan.negatives), ("hint", plan.hints)]
     rows = [df.select("request_id", "entry_id", F.lit(role).alias("role")) for role, df in parts]
     return rows[0].unionByName(rows[1]).unionByName(rows[2])
@@ -157,7 +157,7 @@ SELECT request_id, string_agg(result, chr(10) ORDER BY scope_start, scope_end, e
 FROM v_reusable WHERE result <> '' GROUP BY request_id
 """)
 def compose_answer(v):
-    pieces = plan_reuse(v.requests, v.memo, ["result"]).reusable.filter("result <> ''")
+    pieces = plan_reuse(v.requests, v.outline, ["result"]).reusable.filter("result <> ''")
     return folding.ordered_text(
         pieces, ["request_id"], ["scope_start", "scope_end", "entry_id"], F.col("result"), "answer"
     )
@@ -169,7 +169,7 @@ SELECT request_id, min(scope_start) AS scope_start, sum(length(result))::BIGINT
 FROM v_reusable GROUP BY request_id
 """)
 def compose_answer_udaf(v):
-    pieces = plan_reuse(v.requests, v.memo, ["result"]).reusable
+    pieces = plan_reuse(v.requests, v.outline, ["result"]).reusable
     rows = pieces.select(
         "request_id", "scope_start", F.format_string("%012d%s", "scope_end", "entry_id").alias("tie"),
         F.length("result").cast("bigint").alias("chars"), F.col("result").alias("answer"),
@@ -203,7 +203,7 @@ def window_reuse_counts(v):
     windows = v.windows.select(
         "document_id", F.col("w").alias("window_no"), F.lit("").alias("content_hash"), "start", "end"
     )
-    held = v.fragments.filter(E.can_cover()).select("document_id", "scope_start", "scope_end", "content_hash")
+    held = v.bare_fragments.filter(E.can_cover()).select("document_id", "scope_start", "scope_end", "content_hash")
     cut = matching.clipped(matching.overlapping(windows, held, ["document_id"])).select(
         "document_id", "window_no", F.col("clip_start").alias("start"), F.col("clip_end").alias("end")
     )
