@@ -16,7 +16,6 @@ from memograph.functions import entries as E
 from memograph.functions import identity as I
 from memograph.plans import solve
 from memograph.plans.aggregate import Aggregate
-from memograph.session import ensure_checkpointing
 from memograph.sources.batches import Batches
 
 PAIR = ["task_signature", "stored_signature"]
@@ -71,10 +70,9 @@ def solve_verified(
     ``adopted`` are the entries to store for the second kind: the stored result and evidence under the asked task, resting on
     the entry they came from. Of several accepted entries the smallest id counts. A repeated batch asks nothing.
     """
-    ensure_checkpointing(requests.sparkSession)
     keys = [*S.SCOPE_KEYS, "start", "end"]
-    plan = solve.plan_reuse(requests, entries)
-    pending = plan.pending.checkpoint()
+    plan = solve.first_plan(requests, entries)
+    plan.pending = pending = plan.pending.checkpoint()
     wanted = pending.select("request_id", "prompt", "task_signature", "content_hash", *keys)
     pairs = wanted.join(solve.reworded_candidates(pending, entries), keys).filter(
         (F.col("task_signature") != F.col("stored_signature")) & E.compatible_hash(F.col("content_hash"), F.col("stored_hash"))
@@ -100,9 +98,15 @@ def solve_verified(
         ),
         created_at,
     )
-    rest = solve.solve_windows(requests.join(accepted.select("request_id"), "request_id", "left_anti"), entries, size, solver, created_at, aggregate)
+    done = accepted.select("request_id")
+    # Replays are known, and of the adopted requests alone it is asked how much of them was covered.
+    others = solve.plan_reuse(requests.join(done, "request_id", "left_anti"), entries)
+    others.exact, others.pending = plan.exact, pending.join(done, "request_id", "left_anti").checkpoint()
+    rest = solve.solve_windows(others.requests, entries, size, solver, created_at, aggregate, others)
     length = F.col("covered_length") + F.col("missing_length")
-    held = plan.coverage.join(accepted, "request_id").select(
+    taken = solve.plan_reuse(pending.join(done, "request_id", "left_semi"), entries)
+    taken.pending = taken.requests
+    held = taken.coverage.join(accepted, "request_id").select(
         "request_id", F.lit("semantic_exact").alias("memo_type"), *[F.lit(0).cast("bigint").alias(c) for c in ("windows", "reused_windows", "missing_windows")],
         F.round(F.coalesce(F.try_divide("covered_length", length), F.lit(1.0)), 6).alias("initial_ratio"), F.lit(1.0).alias("final_ratio"),
         F.col("result").alias("answer"),

@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from memograph import schema as S
@@ -151,3 +153,18 @@ def test_solver_confidence_may_be_a_label_and_metadata_a_map(spark):
     rows = {r.request_id: r for r in python_solver(lambda scope: answers[scope["request_id"]])(scopes).collect()}
     assert 0.5 < rows[1].confidence <= 1 and rows[1].metadata_json == '{"k": 1}'
     assert rows[2].confidence == 0.8 and rows[3].confidence == 1.0 and rows[3].metadata_json == "{}"
+
+
+def test_window_states_count_every_position_once(memo):
+    """Against sets of positions: nested, touching, repeated, long and far-off entries, windows across bins."""
+    chance = random.Random(7)
+    held = [(0, 2_000, AG, {"hash": "v2"}), (60, 70, AG), (60, 66, AG), (60, 70, AG, {"result": "again"}), (64, 130, AG), (300, 1_100, EX), (1_023, 1_025, AG), (5, 9, HI)]
+    held += [(s, s + chance.choice([1, 2, 5, 40]), AG) for s in chance.sample(range(1_200, 1_500), 60)]
+    asked = [(1, 3, 1_510), (2, 61, 190), (3, 1_000, 1_030), (4, 4_000, 4_007), (5, 5, 5)]
+    covers = {p for s, e, mode, *o in held if mode != HI and not (o and "hash" in o[0]) for p in range(s, e)}
+    for size in (4, 100):
+        states = solve.window_states(solve.windows_of(memo.requests(*asked), size), memo.entries(*held)).collect()
+        assert len(states) == sum(-(-(e - s) // size) for _, s, e in asked)
+        for r in states:
+            missing = sum(p not in covers for p in range(r.start, r.end))
+            assert (r.missing_length, r.is_complete) == (missing, missing == 0), r
